@@ -119,112 +119,136 @@ def inconsistent_timestamps(files: DataFrame) -> DataFrame:
     return files.where(_inverted()).groupBy("root_path").agg(F.count(F.lit(1)).alias("n"))
 
 
-def violation_sample(files: DataFrame, folders: DataFrame, **skew) -> DataFrame:
-    """Per root the first cascade violations by path and one row counting the others.
+def _first_violations(files: DataFrame, folders: DataFrame, **skew) -> DataFrame:
+    """The first violations of each root by path.
 
     `row_number() <= 3` is cut down in each map task before the shuffle (window group limit), so a
     root with very many violations costs three rows per task.
     """
     found = removed_cascade_violations(files, folders, **skew)
     place = F.row_number().over(Window.partitionBy("root_path").orderBy("path"))
-    shown = (
+    text = F.format_string(
+        "Folder %s removed but child file %s not marked removed", F.col("folder_path"), F.col("path")
+    )
+    return (
         found.withColumn("issue_no", place)
         .where(F.col("issue_no") <= SAMPLE_ROWS)
-        .select(
-            "root_path",
-            "issue_no",
-            F.format_string(
-                "Folder %s removed but child file %s not marked removed", F.col("folder_path"), F.col("path")
-            ).alias("description"),
-        )
+        .select("root_path", "issue_no", text.alias("description"))
     )
+
+
+def _more_violations(n: Column) -> Column:
+    return F.format_string("...and %d more inconsistencies", n - SAMPLE_ROWS)
+
+
+def violation_sample(files: DataFrame, folders: DataFrame, **skew) -> DataFrame:
+    """Per root the first cascade violations by path and one row counting the others."""
     rest = (
-        found.groupBy("root_path")
+        removed_cascade_violations(files, folders, **skew)
+        .groupBy("root_path")
         .agg(F.count(F.lit(1)).alias("n"))
         .where(F.col("n") > SAMPLE_ROWS)
         .select(
-            "root_path",
-            F.lit(SAMPLE_ROWS + 1).alias("issue_no"),
-            F.format_string("...and %d more inconsistencies", F.col("n") - SAMPLE_ROWS).alias("description"),
+            "root_path", F.lit(SAMPLE_ROWS + 1).alias("issue_no"), _more_violations(F.col("n")).alias("description")
         )
     )
-    return shown.unionByName(rest)
+    return _first_violations(files, folders, **skew).unionByName(rest)
 
 
-def _issue(df: DataFrame, check: str, severity: str, description: Column, place: Column, n: Column) -> DataFrame:
-    return df.select(
-        "root_path",
-        F.lit(check).alias("check"),
-        F.lit(severity).alias("severity"),
-        place.cast("int").alias("issue_no"),
-        description.alias("description"),
-        n.cast("bigint").alias("n"),
+def root_profile(folders: DataFrame, files: DataFrame, now: int, live_only: bool = True) -> DataFrame:
+    """Per root all counts the checks need, from one pass over the files.
+
+    Files are counted per (root, folder, algorithm) first; only those rows meet the folders.
+    """
+    per_folder = files.groupBy("root_path", "folder_path", "hash_algorithm").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(F.col("removed") == 0).alias("live"),
+        F.count_if(_in_future(now)).alias("future"),
+        F.count_if(_inverted()).alias("inverted"),
+    )
+    placed = per_folder.join(
+        folders.select("folder_path", F.col("removed").alias("folder_removed")), "folder_path", "left"
+    )
+    per_algorithm = placed.groupBy("root_path", "hash_algorithm").agg(
+        F.sum("n").alias("n"),
+        F.sum("live").alias("live"),
+        F.sum("future").alias("future"),
+        F.sum("inverted").alias("inverted"),
+        F.sum(F.when(F.col("folder_removed").isNull(), F.col("n"))).alias("orphans"),
+        F.sum(F.when(F.col("folder_removed") == 1, F.col("live"))).alias("violations"),
+    )
+    # A root has one entry per algorithm name, so this list stays short.
+    named = F.when(F.col("hash_algorithm").isNotNull(), F.format_string("%s (%d files)", "hash_algorithm", "n"))
+    of_files = per_algorithm.groupBy("root_path").agg(
+        F.sum("live" if live_only else "n").alias("actual_files"),
+        *[F.sum(name).alias(name) for name in ("future", "inverted", "orphans", "violations")],
+        F.sort_array(F.collect_list(named)).alias("algorithms"),
+    )
+    counted = (F.col("removed") == 0) if live_only else F.lit(True)
+    lost = orphan_folders(folders).groupBy("root_path").agg(F.count(F.lit(1)).alias("orphan_folders"))
+    of_folders = (
+        folders.groupBy("root_path")
+        .agg(F.count_if(counted).alias("actual_folders"))
+        .join(lost, "root_path", "left")
     )
+    return of_files.join(of_folders, "root_path", "full_outer")
 
 
 def integrity_issues(
     roots: DataFrame, folders: DataFrame, files: DataFrame, now: int, live_only: bool = True
 ) -> DataFrame:
     """Every issue of the five checks, one row each, for all roots."""
-    per_root = lambda df: df.groupBy("root_path").agg(F.count(F.lit(1)).alias("n"))
-    n = F.col("n")
-    counted = [
-        (per_root(orphan_files(files, folders)), FOREIGN_KEYS, ERROR, "%d files reference non-existent folders", 1),
-        (
-            per_root(orphan_folders(folders)),
-            FOREIGN_KEYS,
-            ERROR,
-            "%d folders reference non-existent parent folders",
-            2,
-        ),
-        (future_timestamps(files, now), TIMESTAMPS, WARNING, "%d files have future timestamps", 1),
-        (inconsistent_timestamps(files), TIMESTAMPS, WARNING, "%d files have created_at > updated_at", 2),
-    ]
-    issues = [
-        _issue(df, check, severity, F.format_string(text, n), F.lit(place), n)
-        for df, check, severity, text, place in counted
-    ]
-    sample = violation_sample(files, folders)
-    issues.append(_issue(sample, CASCADE, ERROR, F.col("description"), F.col("issue_no"), F.lit(1)))
-    wrong = statistics_mismatch(roots, folders, files, live_only)
-    issues.append(
-        _issue(
-            wrong,
-            STATISTICS,
-            WARNING,
-            F.format_string(
-                "Statistics mismatch - Expected: %d folders, %d files; Actual: %d folders, %d files",
-                *[F.col(c) for c in ("stored_folders", "stored_files", "actual_folders", "actual_files")],
-            ),
-            F.lit(1),
-            F.lit(1),
-        )
+    stored = roots.select(
+        "root_path", F.col("folder_count").alias("stored_folders"), F.col("file_count").alias("stored_files")
     )
-    # At most one entry per algorithm name of a root, so the list stays short.
-    mixed = (
-        algorithm_mix(files)
-        .where(F.col("mixed") == 1)
-        .groupBy("root_path")
-        .agg(
-            F.array_join(
-                F.sort_array(F.collect_list(F.format_string("%s (%d files)", "hash_algorithm", "n"))), " "
-            ).alias("text")
-        )
+    counts = ("actual_files", "actual_folders", "future", "inverted", "orphans", "violations", "orphan_folders")
+    zero = F.lit(0).cast("bigint")
+    profile = (
+        root_profile(folders, files, now, live_only)
+        .join(stored, "root_path", "full_outer")
+        .withColumns({name: F.coalesce(name, zero) for name in counts})
     )
-    issues.append(
-        _issue(
-            mixed,
-            ALGORITHM,
-            WARNING,
-            F.concat(F.lit("Multiple hash algorithms detected: "), F.col("text")),
-            F.lit(1),
-            F.lit(1),
+
+    def issue(check: str, severity: str, place: int, holds: Column, description: Column, n: Column) -> Column:
+        found = F.struct(
+            F.lit(check).alias("check"),
+            F.lit(severity).alias("severity"),
+            F.lit(place).alias("issue_no"),
+            description.alias("description"),
+            n.cast("bigint").alias("n"),
         )
+        return F.when(holds, found)
+
+    def counted(check: str, severity: str, place: int, name: str, text: str) -> Column:
+        n = F.col(name)
+        return issue(check, severity, place, n > 0, F.format_string(text, n), n)
+
+    wrong = (F.col("stored_folders") != F.col("actual_folders")) | (F.col("stored_files") != F.col("actual_files"))
+    mismatch = F.format_string(
+        "Statistics mismatch - Expected: %d folders, %d files; Actual: %d folders, %d files",
+        *[F.col(c) for c in ("stored_folders", "stored_files", "actual_folders", "actual_files")],
     )
-    result = issues[0]
-    for more in issues[1:]:
-        result = result.unionByName(more)
-    return result
+    mixed = F.concat(F.lit("Multiple hash algorithms detected: "), F.array_join("algorithms", " "))
+    one = F.lit(1)
+    more = F.col("violations")
+    found = F.array(
+        counted(FOREIGN_KEYS, ERROR, 1, "orphans", "%d files reference non-existent folders"),
+        counted(FOREIGN_KEYS, ERROR, 2, "orphan_folders", "%d folders reference non-existent parent folders"),
+        counted(TIMESTAMPS, WARNING, 1, "future", "%d files have future timestamps"),
+        counted(TIMESTAMPS, WARNING, 2, "inverted", "%d files have created_at > updated_at"),
+        issue(CASCADE, ERROR, SAMPLE_ROWS + 1, more > SAMPLE_ROWS, _more_violations(more), one),
+        issue(STATISTICS, WARNING, 1, F.coalesce(wrong, F.lit(False)), mismatch, one),
+        issue(ALGORITHM, WARNING, 1, F.coalesce(F.size("algorithms") > 1, F.lit(False)), mixed, one),
+    )
+    sample = _first_violations(files, folders).select(
+        "root_path",
+        F.lit(CASCADE).alias("check"),
+        F.lit(ERROR).alias("severity"),
+        "issue_no",
+        "description",
+        one.cast("bigint").alias("n"),
+    )
+    return profile.select("root_path", F.inline(F.array_compact(found))).unionByName(sample)
 
 
 def integrity_report(

@@ -11,8 +11,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.paths import ancestors
+from ..session import materialize
 from .duplicates import CONTENT
-from .skew import lookup
+from .skew import key_counts, lookup
 
 # Four lanes of 28 bits: a lane's sum over 2^35 files of one folder still fits a long.
 LANE_BITS = 28
@@ -21,13 +22,13 @@ LANES = ["_l0", "_l1", "_l2", "_l3"]
 SCOPES = ("subtree", "direct")
 
 
-def _lanes(weight: Column | None = None) -> list[Column]:
+def _lanes() -> list[Column]:
     """Summed lanes of two independent 64-bit hashes of the content."""
     columns = []
     for number, name in enumerate(LANES):
         word = F.xxhash64(F.lit(number // 2), *CONTENT)
         lane = F.shiftrightunsigned(word, LANE_BITS * (number % 2)).bitwiseAND(F.lit(LANE_MASK))
-        columns.append((F.sum(lane) if weight is None else F.sum(lane * weight)).alias(name))
+        columns.append(F.sum(lane).alias(name))
     return columns
 
 
@@ -93,37 +94,28 @@ def folder_signatures(files: DataFrame, scope: str = "subtree") -> DataFrame:
     return whole.where(F.col("_unhashed") == 0).select("folder_path", "files", "bytes", *LANES)
 
 
-def _refuse(groups: DataFrame, contents: DataFrame, count_key: str) -> DataFrame:
-    """Group names whose members do not all hold the same contents equally often."""
-    same = contents.groupBy("group_folder", count_key, *CONTENT).agg(
-        F.count(F.lit(1)).alias("c"), F.min("k").alias("lo"), F.max("k").alias("hi")
-    )
-    return (
-        same.where((F.col("c") != F.col(count_key)) | (F.col("lo") != F.col("hi")))
-        .select("group_folder")
-        .distinct()
-    )
+def _check_groups(contents: DataFrame) -> None:
+    """Fails should two different folders share a signature.
 
-
-def _checked(members: DataFrame, refused: DataFrame, **skew) -> DataFrame:
-    """`members`, failing loudly should two different folders share a signature."""
-    flagged = lookup(
-        members, refused.withColumn("_bad", F.lit(True)), ["group_folder"], "left", spread="folder_path", **skew
+    Every member of a group must hold the same contents equally often; counted per (group,
+    content), which combines before the shuffle.
+    """
+    same = contents.groupBy("group_folder", "copies", *CONTENT).agg(
+        F.count(F.lit(1)).alias("c"), F.min("k").alias("lo"), F.max("k").alias("hi")
     )
-    clash = F.raise_error(F.concat(F.lit("signature clash in the group of "), "group_folder"))
-    return flagged.withColumn(
-        "group_folder", F.when(F.col("_bad"), clash.cast("string")).otherwise(F.col("group_folder"))
-    ).drop("_bad")
+    clash = same.where((F.col("c") != F.col("copies")) | (F.col("lo") != F.col("hi")))
+    if not clash.isEmpty():
+        raise ValueError("two different folders share a signature")
 
 
 def duplicate_folders(files: DataFrame, scope: str = "subtree", verify: bool = True, **skew) -> DataFrame:
     """Folders with the same multiset of contents as another: group_folder, folder_path, copies.
 
     `verify` compares the candidates' contents one by one, with counts per (group, content) that
-    combine before the shuffle.
+    combine before the shuffle; only files of candidate folders are read for it.
     """
     signature = ["files", "bytes", *LANES]
-    signed = folder_signatures(files, scope)
+    signed = materialize(folder_signatures(files, scope), "signatures")
     groups = signed.groupBy(*signature).agg(
         F.count(F.lit(1)).alias("copies"), F.min("folder_path").alias("group_folder")
     )
@@ -133,23 +125,31 @@ def duplicate_folders(files: DataFrame, scope: str = "subtree", verify: bool = T
     ).select("group_folder", "folder_path", "copies", "files", "bytes")
     if not verify:
         return members
+    members = materialize(members, "folder-groups")
     live = files.where(F.col("removed") == 0)
     holders = live.select("folder_path", "root_path").distinct()
-    reach = lookup(
-        _reach(holders, scope),
-        members.select("folder_path", "group_folder", "copies"),
-        ["folder_path"],
-        "inner",
-        spread="holder",
-        **skew,
+    reach = materialize(
+        lookup(
+            _reach(holders, scope),
+            members.select("folder_path", "group_folder", "copies"),
+            ["folder_path"],
+            "inner",
+            spread="holder",
+            **skew,
+        ),
+        "folder-reach",
     )
-    per_holder = live.groupBy(F.col("folder_path").alias("holder"), *CONTENT).agg(F.count(F.lit(1)).alias("k"))
+    held = live.select(F.col("folder_path").alias("holder"), *CONTENT)
+    per_holder = held.groupBy("holder", *CONTENT).agg(F.count(F.lit(1)).alias("k"))
     contents = (
-        lookup(per_holder, reach, ["holder"], "inner", spread="hash_value", **skew)
+        lookup(
+            per_holder, reach, ["holder"], "inner", spread="hash_value", counts=key_counts(held, ["holder"]), **skew
+        )
         .groupBy("group_folder", "copies", "folder_path", *CONTENT)
         .agg(F.sum("k").alias("k"))
     )
-    return _checked(members, _refuse(members, contents, "copies"), **skew)
+    _check_groups(contents)
+    return members
 
 
 def folder_contents(files: DataFrame, scope: str = "direct", include_empty: bool = True) -> DataFrame:
@@ -173,10 +173,11 @@ def folder_shapes(contents: DataFrame, verify: bool = True, **skew) -> DataFrame
     The shape is named by its first folder. Contents are compared as sets here.
     """
     signature = ["contents", *LANES]
-    signed = (
+    signed = materialize(
         contents.groupBy("folder_path")
         .agg(F.count(F.lit(1)).alias("contents"), *_lanes())
-        .select("folder_path", "contents", *_masked(LANES))
+        .select("folder_path", "contents", *_masked(LANES)),
+        "set-signatures",
     )
     groups = signed.groupBy(*signature).agg(
         F.count(F.lit(1)).alias("copies"), F.min("folder_path").alias("group_folder")
@@ -185,47 +186,92 @@ def folder_shapes(contents: DataFrame, verify: bool = True, **skew) -> DataFrame
     members = lookup(signed, groups, signature, "inner", spread="folder_path", counts=counts, **skew).select(
         "folder_path", "group_folder", "copies", "contents"
     )
+    members = materialize(members, "shapes")
     if not verify:
         return members
     repeated = members.where(F.col("copies") >= 2).select("folder_path", "group_folder", "copies")
     held = lookup(contents.drop("k"), repeated, ["folder_path"], "inner", spread="hash_value", **skew)
-    return _checked(members, _refuse(members, held.withColumn("k", F.lit(1)), "copies"), **skew)
+    _check_groups(held.withColumn("k", F.lit(1)))
+    return members
 
 
 def _ceil_div(a: Column, b: int) -> Column:
     return F.floor((a + (b - 1)) / F.lit(b)).cast("bigint")
 
 
+SMALL_SHAPE = 64
+
+
+def _small_places(shared: DataFrame) -> DataFrame:
+    """Place of each content in shapes of at most SMALL_SHAPE contents, with all keys of the shape."""
+    items = F.sort_array(F.collect_list(F.struct("ord", "key"))).alias("_items")
+    return (
+        shared.groupBy("shape", "n", "copies")
+        .agg(items)
+        .withColumn("keys", F.col("_items.key"))
+        .select("shape", "n", "copies", "keys", F.size("_items").alias("_known"), F.posexplode("_items"))
+        .select(
+            "shape",
+            "n",
+            "copies",
+            F.col("col.key").alias("key"),
+            (F.col("n") - F.col("_known") + F.col("pos") + 1).alias("place"),
+            "keys",
+        )
+    )
+
+
+def _large_places(shared: DataFrame, **skew) -> DataFrame:
+    """Lower bound of the place of each content, from a histogram of the shape's order values."""
+    histogram = shared.groupBy("shape", "n", "ord").agg(F.count(F.lit(1)).alias("c"))
+    whole = Window.partitionBy("shape")
+    earlier = whole.orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
+    rare = F.col("n") - F.sum("c").over(whole)
+    places = histogram.select(
+        "shape", "ord", (rare + F.coalesce(F.sum("c").over(earlier), F.lit(0)) + 1).alias("place")
+    )
+    counts = histogram.select("shape", "ord", F.col("c").alias("n"))
+    return lookup(shared, places, ["shape", "ord"], "inner", spread="key", counts=counts, **skew).select(
+        "shape", "n", "copies", "key", "place", F.lit(None).cast("array<bigint>").alias("keys")
+    )
+
+
 def shape_pairs(tokens: DataFrame, threshold: int, **skew) -> DataFrame:
-    """Pairs of shapes that can reach the threshold: x (not larger), y, nx, ny.
+    """Pairs of shapes that can reach the threshold: x (not larger), y, nx, ny, cx, cy.
 
-    `tokens`: shape, n, key, one row per content of a shape. Contents are ordered from rare to
-    frequent. Two sets of sizes nx <= ny at the threshold share at least
+    `tokens`: shape, n (contents), copies, key, one row per content of a shape. Contents are
+    ordered from rare to frequent. Two sets of sizes nx <= ny at the threshold share at least
     o = ceil(t (nx + ny) / (100 + t)) contents, so their first shared one is at most at place
     nx - o + 1 and ny - o + 1; the smaller set needs only its index prefix, the larger its probe
-    prefix. Places come from a histogram over (frequency, hash bucket) per shape, as lower bounds,
-    so no task ever sorts a whole shape and no pair is lost.
+    prefix. Small shapes are sorted as arrays and carry their keys, which settles most meetings on
+    the spot; in larger ones places come from a histogram over (frequency, hash bucket) as lower
+    bounds, so no task ever sorts a whole large shape and no pair is lost.
     """
     t = threshold
     frequency = tokens.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    counted = lookup(
-        tokens, frequency.withColumnRenamed("n", "df"), ["key"], "inner", spread="shape", counts=frequency, **skew
-    ).withColumn("ord", F.col("df") * 64 + F.pmod("key", F.lit(64)))
-    histogram = counted.groupBy("shape", "ord").agg(F.count(F.lit(1)).alias("c"))
-    earlier = Window.partitionBy("shape").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
-    places = histogram.select(
-        "shape", "ord", (F.coalesce(F.sum("c").over(earlier), F.lit(0)) + 1).alias("place")
-    )
     # A content found in one shape only takes a place but cannot bring two shapes together.
-    shared = counted.where(F.col("df") >= 2).select("shape", "n", "key", "ord")
-    placed = lookup(shared, places, ["shape", "ord"], "inner", spread="key", **skew).drop("ord")
-
-    n, place = F.col("n"), F.col("place")
-    probe = placed.where(place <= n - _ceil_div(n * t, 100) + 1).select(
-        "key", F.col("shape").alias("y"), n.alias("ny"), place.alias("py")
+    frequent = frequency.where(F.col("n") >= 2).withColumnRenamed("n", "df")
+    shared = materialize(
+        lookup(tokens, frequent, ["key"], "inner", spread="shape", counts=frequency, **skew).select(
+            "shape", "n", "copies", "key", (F.col("df") * 64 + F.pmod("key", F.lit(64))).alias("ord")
+        ),
+        "shared-contents",
+    )
+    small = F.col("n") <= SMALL_SHAPE
+    wanted = F.col("place") <= F.col("n") - _ceil_div(F.col("n") * t, 100) + 1
+    placed = materialize(
+        _small_places(shared.where(small)).unionByName(_large_places(shared.where(~small), **skew)).where(wanted),
+        "placed-contents",
     )
-    index = placed.where(place <= n - _ceil_div(n * (2 * t), 100 + t) + 1).select(
-        "key", F.col("shape").alias("x"), n.alias("nx"), place.alias("px")
+
+    def prefix(length: Column, names: dict[str, str]) -> DataFrame:
+        kept = placed.where(F.col("place") <= F.col("n") - length + 1)
+        return kept.select("key", *[F.col(old).alias(new) for old, new in names.items()])
+
+    n = F.col("n")
+    probe = prefix(_ceil_div(n * t, 100), {"shape": "y", "n": "ny", "copies": "cy", "place": "py", "keys": "ky"})
+    index = prefix(
+        _ceil_div(n * (2 * t), 100 + t), {"shape": "x", "n": "nx", "copies": "cx", "place": "px", "keys": "kx"}
     )
     nx, ny = F.col("nx"), F.col("ny")
     overlap = _ceil_div((nx + ny) * t, 100 + t)
@@ -236,7 +282,11 @@ def shape_pairs(tokens: DataFrame, threshold: int, **skew) -> DataFrame:
         & (F.col("px") <= nx - overlap + 1)
         & (F.col("py") <= ny - overlap + 1)
     )
-    return met.select("x", "y", "nx", "ny").distinct()
+    # Equal keys of different contents can only add to the overlap, unless within one shape.
+    distinct_keys = lambda keys: F.size(F.array_distinct(keys)) == F.size(keys)
+    comparable = F.col("kx").isNotNull() & F.col("ky").isNotNull() & distinct_keys("kx") & distinct_keys("ky")
+    hopeless = comparable & (F.size(F.array_intersect("kx", "ky")) < overlap)
+    return met.where(~F.coalesce(hopeless, F.lit(False))).select("x", "y", "nx", "ny", "cx", "cy").distinct()
 
 
 def similar_folders(
@@ -256,21 +306,31 @@ def similar_folders(
     """
     if not 1 <= threshold <= 100:
         raise ValueError("threshold is a percentage from 1 to 100")
-    contents = folder_contents(files, scope, include_empty)
+    contents = materialize(folder_contents(files, scope, include_empty), "folder-contents")
     shapes = folder_shapes(contents, verify, **skew)
-    named = shapes.where(F.col("folder_path") == F.col("group_folder"))
-    heads = named.select("folder_path", F.col("contents").alias("n"))
-    held = lookup(contents.drop("k"), heads, ["folder_path"], "inner", spread="hash_value", **skew).select(
-        F.col("folder_path").alias("shape"), "n", *CONTENT, F.xxhash64(*CONTENT).alias("key")
+    named = shapes.where(F.col("folder_path") == F.col("group_folder")).select(
+        "folder_path", F.col("contents").alias("n"), "copies"
     )
-    pairs = shape_pairs(held.select("shape", "n", "key"), threshold, **skew)
+    held = materialize(
+        lookup(contents.drop("k"), named, ["folder_path"], "inner", spread="hash_value", **skew).select(
+            F.col("folder_path").alias("shape"), "n", "copies", *CONTENT, F.xxhash64(*CONTENT).alias("key")
+        ),
+        "shape-contents",
+    )
+    pairs = materialize(shape_pairs(held.select("shape", "n", "copies", "key"), threshold, **skew), "shape-pairs")
 
-    smaller = held.select(F.col("shape").alias("x"), *CONTENT)
-    larger = held.select(F.col("shape").alias("y"), *CONTENT)
+    # Only shapes with a possible partner are compared content by content.
+    involved = pairs.select(F.explode(F.array("x", "y")).alias("shape")).distinct()
+    compared = materialize(
+        lookup(held, involved, ["shape"], "left_semi", spread="key", **skew), "compared-contents"
+    )
+    smaller = compared.select(F.col("shape").alias("x"), *CONTENT)
+    larger = compared.select(F.col("shape").alias("y"), *CONTENT)
     listed = lookup(pairs, smaller, ["x"], "inner", spread="y", **skew)
-    common = (
+    x_first = F.col("x") < F.col("y")
+    across = (
         lookup(listed, larger, ["y", *CONTENT], "left_semi", spread="x", **skew)
-        .groupBy("x", "y", "nx", "ny")
+        .groupBy("x", "y", "nx", "ny", "cx", "cy")
         .agg(F.count(F.lit(1)).alias("common"))
         .withColumn("distinct_contents", F.col("nx") + F.col("ny") - F.col("common"))
         .where(F.col("common") * 100 >= F.col("distinct_contents") * threshold)
@@ -279,27 +339,20 @@ def similar_folders(
             F.greatest("x", "y").alias("right_folder"),
             "common",
             "distinct_contents",
+            F.when(x_first, F.col("cx")).otherwise(F.col("cy")).alias("left_copies"),
+            F.when(x_first, F.col("cy")).otherwise(F.col("cx")).alias("right_copies"),
+            (F.col("cx") * F.col("cy")).alias("folder_pairs"),
         )
     )
-    copies = named.select(F.col("group_folder"), "copies", "contents")
-    left = copies.select(F.col("group_folder").alias("left_folder"), F.col("copies").alias("left_copies"))
-    right = copies.select(F.col("group_folder").alias("right_folder"), F.col("copies").alias("right_copies"))
-    across = lookup(
-        lookup(common, left, ["left_folder"], "inner", spread="right_folder", **skew),
-        right,
-        ["right_folder"],
-        "inner",
-        spread="left_folder",
-        **skew,
-    ).withColumn("folder_pairs", F.col("left_copies") * F.col("right_copies"))
-    within = copies.where(F.col("copies") >= 2).select(
-        F.col("group_folder").alias("left_folder"),
-        F.col("group_folder").alias("right_folder"),
-        F.col("contents").alias("common"),
-        F.col("contents").alias("distinct_contents"),
-        F.col("copies").alias("left_copies"),
-        F.col("copies").alias("right_copies"),
-        F.floor(F.col("copies") * (F.col("copies") - 1) / 2).alias("folder_pairs"),
+    copies = F.col("copies")
+    within = named.where(copies >= 2).select(
+        F.col("folder_path").alias("left_folder"),
+        F.col("folder_path").alias("right_folder"),
+        F.col("n").alias("common"),
+        F.col("n").alias("distinct_contents"),
+        copies.alias("left_copies"),
+        copies.alias("right_copies"),
+        F.floor(copies * (copies - 1) / 2).alias("folder_pairs"),
     )
     found = across.unionByName(within)
     if scope == "subtree":

@@ -1,9 +1,10 @@
 """Joins that keep one hot key from landing in one task.
 
-A key that holds at least 1/HOT_SHARE of all rows is hot, so there are at most HOT_SHARE hot keys
-whatever the size of the data: that bound is what makes broadcasting them safe. The rows of a hot
-key are spread over salts and the other side's row for it is repeated once per salt. All other
-keys join as they are.
+The HOT_KEYS most frequent keys with at least `hot_rows` rows are hot. They are counted in one job
+whose result is at most HOT_KEYS rows whatever the size of the data, which is what makes it safe to
+broadcast them; any other key has fewer than 1/HOT_KEYS of all rows. The rows of a hot key are
+spread over salts and the other side's rows for it are repeated once per salt. Without hot keys the
+join is an ordinary one.
 """
 
 from __future__ import annotations
@@ -11,8 +12,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-HOT_SHARE = 1000
-HOT_ROWS = 200_000
+HOT_KEYS = 1000
+MAX_SALTS = 1000
+HOT_ROWS = 1_000_000
 
 
 def estimated_bytes(df: DataFrame) -> int:
@@ -31,18 +33,19 @@ def key_counts(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
 
 
-def hot_keys(counts: DataFrame, keys: list[str], n: str = "n", hot_rows: int = HOT_ROWS) -> DataFrame:
-    """At most HOT_SHARE keys with the number of salts each needs (`_salts`)."""
-    total = counts.agg(F.sum(n)).scalar()
-    found = counts.where((F.col(n) >= hot_rows) & (F.col(n) * HOT_SHARE >= total))
+def hot_keys(counts: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFrame | None:
+    """The hot keys with the number of salts each gets (`_salts`), or None when there are none."""
+    found = counts.where(F.col("n") >= hot_rows)
     for key in keys:
         found = found.where(F.col(key).isNotNull())
-    share = F.ceil(F.col(n) * HOT_SHARE / total)
-    return found.select(*keys, F.least(share, F.lit(HOT_SHARE)).cast("int").alias("_salts"))
+    salts = F.least(F.ceil(F.col("n") / hot_rows), F.lit(MAX_SALTS)).cast("int").alias("_salts")
+    top = found.orderBy(F.desc("n"), *keys).limit(HOT_KEYS).select(*keys, salts)
+    rows = top.collect()
+    return counts.sparkSession.createDataFrame(rows, top.schema) if rows else None
 
 
-def spread_salt(spread: list[str | Column], salts: Column) -> Column:
-    return F.pmod(F.xxhash64(*spread), salts).cast("int")
+def _salt(spread: str | Column, salts: Column) -> Column:
+    return F.pmod(F.xxhash64(spread), salts).cast("int")
 
 
 def lookup(
@@ -59,33 +62,28 @@ def lookup(
     """`big` joined to `small` on `keys` (`inner`, `left`, `left_semi` or `left_anti`).
 
     When Spark will broadcast `small`, `big` is not shuffled and no key can be hot. Beyond that
-    size the hot keys of `big` are salted by `spread`. `counts` may hand over existing rows-per-key
+    size the hot keys of `big` are salted by `spread`. `counts` may hand over existing rows per key
     (columns `keys` and `n`) of `big` or of a superset of it. With `keep_salt` the result has the
     column `_salt`, a function of the keys and `spread`, so that a later grouping by keys, `_salt`
     and `spread` needs no further shuffle.
     """
-    if fits_broadcast(small) and not force_salt:
+    hot = None
+    if force_salt or not fits_broadcast(small):
+        hot = hot_keys(counts if counts is not None else key_counts(big, keys), keys, hot_rows)
+    if hot is None:
         joined = big.join(small, keys, how)
         return joined.withColumn("_salt", F.lit(0)) if keep_salt else joined
 
-    hot = hot_keys(counts if counts is not None else key_counts(big, keys), keys, hot_rows=hot_rows)
-    no_match = F.lit(False)
+    unmatched = F.lit(False)
     for key in keys:
-        no_match = no_match | F.col(key).isNull()
-    salted_big = (
-        big.join(F.broadcast(hot), keys, "left")
-        .withColumn(
-            "_salt",
-            F.when(no_match, spread_salt([spread], F.lit(HOT_SHARE)))
-            .when(F.col("_salts").isNotNull(), spread_salt([spread], F.col("_salts")))
-            .otherwise(F.lit(0)),
-        )
-        .drop("_salts")
-    )
-    salted_small = (
-        small.join(F.broadcast(hot), keys, "left")
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1)))
-        .drop("_salts")
+        unmatched = unmatched | F.col(key).isNull()
+    salt = (
+        F.when(unmatched, _salt(spread, F.lit(MAX_SALTS)))
+        .when(F.col("_salts").isNotNull(), _salt(spread, F.col("_salts")))
+        .otherwise(F.lit(0))
     )
+    salted_big = big.join(F.broadcast(hot), keys, "left").withColumn("_salt", salt).drop("_salts")
+    every_salt = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1))
+    salted_small = small.join(F.broadcast(hot), keys, "left").withColumn("_salt", every_salt).drop("_salts")
     joined = salted_big.join(salted_small, [*keys, "_salt"], how)
     return joined if keep_salt else joined.drop("_salt")

@@ -1048,9 +1048,10 @@ _DIFFERENCE_TABLES = f"""
   pr as (select left_folder, right_folder from ({_SIMILAR.format(threshold=50)}) where left_folder <> right_folder),
   lc as (select left_folder, right_folder, hash_value, size from pr join oc on folder_path = left_folder),
   rc as (select left_folder, right_folder, hash_value, size from pr join oc on folder_path = right_folder),
-  nm as (select left_folder, right_folder, regexp_extract(a.path, '[^/]+$') as name, a.mtime as left_mtime, b.mtime as right_mtime
-         from pr join o a on a.folder_path = left_folder join o b on b.folder_path = right_folder
-           and regexp_extract(a.path, '[^/]+$') = regexp_extract(b.path, '[^/]+$'))"""
+  ls as materialized (select left_folder, right_folder, split_part(path, '/', 4) as name, mtime from pr join o on folder_path = left_folder),
+  rs as materialized (select left_folder, right_folder, split_part(path, '/', 4) as name, mtime from pr join o on folder_path = right_folder),
+  nm as (select left_folder, right_folder, name, ls.mtime as left_mtime, rs.mtime as right_mtime
+         from ls join rs using (left_folder, right_folder, name))"""
 _DIFFERENCES = """
   select left_folder, right_folder, 'missing_right' as difference, hash_value, size, null as name,
     null::bigint as left_mtime, null::bigint as right_mtime from (from lc except from rc)

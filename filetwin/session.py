@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _own_dirs: dict[str, str] = {}
 
@@ -20,6 +20,7 @@ def local_session(cores: str = "8", app: str = "filetwin", **conf) -> SparkSessi
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "16g",
+        "spark.sql.dataFrameQueryContext.enabled": "false",
         **conf,
     }
     builder = SparkSession.builder.master(f"local[{cores}]").appName(app)
@@ -51,3 +52,14 @@ def shared_dir(spark: SparkSession) -> str:
 def fresh_dir(spark: SparkSession, label: str) -> str:
     """A new, not yet existing folder below the shared one."""
     return os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
+
+
+def materialize(df: DataFrame, label: str) -> DataFrame:
+    """`df` as a written table in the shared folder.
+
+    For intermediate results used more than once: they are computed once, survive lost executors,
+    and their size is known to the joins that follow.
+    """
+    target = fresh_dir(df.sparkSession, label)
+    df.write.parquet(target)
+    return df.sparkSession.read.schema(df.schema).parquet(target)

@@ -14,8 +14,18 @@ BASE_TIME = 1704067200
 NOW = 1735689600
 
 
+# Columns read from the given tables; naming them saves a schema job per read.
+COLUMNS = {
+    "documents": "doc_id bigint, text string, lang string, source string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_linenumber int, l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "customer": "c_custkey bigint, c_name string",
+    "pages": "page_id bigint, url string",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(COLUMNS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def epoch_seconds(column: str):
@@ -23,99 +33,107 @@ def epoch_seconds(column: str):
     return F.expr(f"timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {column})")
 
 
+_BUCKET = "concat('/', source, '/', lang, '/b', doc_id % 4)"
+_SEEN = f"{BASE_TIME}L + doc_id * 60"
+_FAILED = "doc_id % 29 = 0"
+_UNHASHED = f"({_FAILED} or doc_id % 31 = 0)"
+
+
 def doc_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`files` from `documents`: exact copies, errors, missing hashes, removed rows."""
-    docs = table(spark, sf_dir, "documents")
-    folder = F.concat(F.lit("/"), "source", F.lit("/"), "lang", F.lit("/b"), (F.col("doc_id") % 4).cast("string"))
-    failed = F.col("doc_id") % 29 == 0
-    unhashed = failed | (F.col("doc_id") % 31 == 0)
-    seen = F.lit(BASE_TIME) + F.col("doc_id") * 60
-    return docs.select(
-        F.concat(folder, F.lit("/doc_"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"),
-        F.octet_length("text").cast("bigint").alias("size"),
-        seen.alias("mtime"),
-        F.when(~unhashed, F.sha2(F.col("text").cast("binary"), 256)).alias("hash_value"),
-        F.when(~unhashed, F.when(F.col("doc_id") % 50 == 0, "sha512").otherwise("sha256")).alias("hash_algorithm"),
-        F.when(failed, "permission denied").alias("error_status"),
-        seen.alias("first_scanned_at"),
-        (seen + 3600).alias("last_scanned_at"),
-        (F.col("doc_id") % 23 == 0).cast("int").alias("removed"),
-        folder.alias("folder_path"),
-        F.concat(F.lit("/"), "source").alias("root_path"),
+    return table(spark, sf_dir, "documents").selectExpr(
+        f"concat({_BUCKET}, '/doc_', doc_id, '.txt') as path",
+        "cast(octet_length(text) as bigint) as size",
+        f"{_SEEN} as mtime",
+        f"if({_UNHASHED}, null, sha2(cast(text as binary), 256)) as hash_value",
+        f"if({_UNHASHED}, null, if(doc_id % 50 = 0, 'sha512', 'sha256')) as hash_algorithm",
+        f"if({_FAILED}, 'permission denied', null) as error_status",
+        f"{_SEEN} as first_scanned_at",
+        f"{_SEEN} + 3600 as last_scanned_at",
+        "cast(doc_id % 23 = 0 as int) as removed",
+        f"{_BUCKET} as folder_path",
+        "concat('/', source) as root_path",
     )
 
 
 def doc_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`folders` of `doc_files`: roots, languages and buckets with the times of the files below."""
-    docs = table(spark, sf_dir, "documents").select(
-        F.concat(F.lit("/"), "source").alias("root_path"),
-        F.concat(F.lit("/"), "source", F.lit("/"), "lang").alias("lang_path"),
-        F.concat(F.lit("/"), "source", F.lit("/"), "lang", F.lit("/b"), (F.col("doc_id") % 4).cast("string")).alias(
-            "bucket_path"
-        ),
-        (F.lit(BASE_TIME) + F.col("doc_id") * 60).alias("seen"),
+    buckets = (
+        table(spark, sf_dir, "documents")
+        .selectExpr(
+            "concat('/', source) as root_path",
+            "concat('/', source, '/', lang) as lang_path",
+            f"{_BUCKET} as bucket_path",
+            f"{_SEEN} as seen",
+        )
+        .groupBy("root_path", "lang_path", "bucket_path")
+        .agg(F.min("seen").alias("lo"), F.max("seen").alias("hi"))
     )
-    buckets = docs.groupBy("root_path", "lang_path", "bucket_path").agg(
-        F.min("seen").alias("lo"), F.max("seen").alias("hi")
+    levels = buckets.selectExpr(
+        "root_path",
+        "lo",
+        "hi",
+        "stack(3, root_path, cast(null as string), lang_path, root_path, bucket_path, lang_path) "
+        "as (folder_path, parent_path)",
     )
-    levels = F.explode(
-        F.array(
-            F.struct(F.col("root_path").alias("folder_path"), F.lit(None).cast("string").alias("parent_path")),
-            F.struct(F.col("lang_path").alias("folder_path"), F.col("root_path").alias("parent_path")),
-            F.struct(F.col("bucket_path").alias("folder_path"), F.col("lang_path").alias("parent_path")),
-        )
-    ).alias("f")
     return (
-        buckets.select("root_path", "lo", "hi", levels)
-        .groupBy("f.folder_path", "f.parent_path", "root_path")
-        .agg(F.min("lo").alias("first_scanned_at"), (F.max("hi") + 3600).alias("last_scanned_at"))
-        .select(
+        levels.groupBy("folder_path", "parent_path", "root_path")
+        .agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+        .selectExpr(
             "folder_path",
             "parent_path",
             "root_path",
-            F.lit(None).cast("string").alias("error_status"),
-            "first_scanned_at",
-            "last_scanned_at",
-            F.lit(0).alias("removed"),
+            "cast(null as string) as error_status",
+            "lo as first_scanned_at",
+            "hi + 3600 as last_scanned_at",
+            "0 as removed",
         )
     )
 
 
 def doc_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`roots`: one per source, registered but not yet counted; every third never scanned."""
-    number = F.substring("source", 4, 10).cast("bigint")
+    number = "cast(substring(source, 4) as bigint)"
     return (
         table(spark, sf_dir, "documents")
         .groupBy("source")
         .agg(F.max("doc_id").alias("last_id"))
-        .select(
-            F.concat(F.lit("/"), "source").alias("root_path"),
-            (number % 5).alias("agent_id"),
-            F.lit(0).alias("traverse_links"),
-            F.when(number % 3 != 0, F.lit(BASE_TIME) + F.col("last_id") * 60 + 3600).alias("last_scan_date"),
-            F.lit(0).cast("bigint").alias("folder_count"),
-            F.lit(0).cast("bigint").alias("file_count"),
-            F.lit(0).cast("bigint").alias("total_size"),
+        .selectExpr(
+            "concat('/', source) as root_path",
+            f"{number} % 5 as agent_id",
+            "0 as traverse_links",
+            f"if({number} % 3 <> 0, {BASE_TIME}L + last_id * 60 + 3600, null) as last_scan_date",
+            "0L as folder_count",
+            "0L as file_count",
+            "0L as total_size",
         )
     )
 
 
 def dirty_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`doc_folders` with missing rows, lost parents and removed folders."""
-    path = F.col("folder_path")
     return (
         doc_folders(spark, sf_dir)
-        .where(~path.endswith("/b3"))
-        .withColumn("parent_path", F.when(path.endswith("/b2"), "/nowhere").otherwise(F.col("parent_path")))
-        .withColumn("removed", path.endswith("/de/b1").cast("int"))
+        .where("not endswith(folder_path, '/b3')")
+        .selectExpr(
+            "folder_path",
+            "if(endswith(folder_path, '/b2'), '/nowhere', parent_path) as parent_path",
+            "root_path",
+            "error_status",
+            "first_scanned_at",
+            "last_scanned_at",
+            "cast(endswith(folder_path, '/de/b1') as int) as removed",
+        )
     )
 
 
+DOC_ID = "cast(regexp_extract(path, 'doc_([0-9]+)', 1) as bigint)"
+
+
 def dirty_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`doc_files` with first times in the future where doc_id divides by 37."""
-    doc_id = F.regexp_extract("path", r"doc_(\d+)", 1).cast("bigint")
-    late = F.when(doc_id % 37 == 0, F.col("first_scanned_at") + 1_000_000_000)
-    return doc_files(spark, sf_dir).withColumn("first_scanned_at", late.otherwise(F.col("first_scanned_at")))
+    late = F.expr(f"first_scanned_at + if({DOC_ID} % 37 = 0, 1000000000L, 0L)")
+    return doc_files(spark, sf_dir).withColumn("first_scanned_at", late)
 
 
 def dirty_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,30 +142,28 @@ def dirty_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     roots = doc_roots(spark, sf_dir)
     true = root_statistics(roots, dirty_folders(spark, sf_dir), dirty_files(spark, sf_dir))
-    even = (F.right("root_path", F.lit(1)).cast("int") % 2 == 0).cast("bigint")
     kept = roots.drop("folder_count", "file_count", "total_size")
-    return kept.join(true, "root_path").withColumn("file_count", F.col("file_count") + even)
+    even = F.expr("file_count + cast(cast(right(root_path, 1) as int) % 2 = 0 as bigint)")
+    return kept.join(true, "root_path").withColumn("file_count", even)
 
 
 def order_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`files` from `lineitem`: order = folder, line = file; folders overlap in contents."""
-    lines = table(spark, sf_dir, "lineitem")
-    key = F.col("l_orderkey").cast("string")
-    root = F.concat(F.lit("/wh"), (F.col("l_orderkey") % 8).cast("string"))
-    folder = F.concat(root, F.lit("/o_"), key)
-    seen = epoch_seconds("l_shipdate")
-    return lines.select(
-        F.concat(folder, F.lit("/l_"), F.col("l_linenumber").cast("string"), F.lit(".dat")).alias("path"),
-        (F.lit(100) + F.col("l_partkey") % 997).alias("size"),
-        seen.alias("mtime"),
-        F.sha2(F.col("l_partkey").cast("string").cast("binary"), 256).alias("hash_value"),
-        F.lit("sha256").alias("hash_algorithm"),
-        F.lit(None).cast("string").alias("error_status"),
-        seen.alias("first_scanned_at"),
-        seen.alias("last_scanned_at"),
-        F.lit(0).alias("removed"),
-        folder.alias("folder_path"),
-        root.alias("root_path"),
+    root = "concat('/wh', l_orderkey % 8)"
+    folder = f"concat({root}, '/o_', l_orderkey)"
+    seen = "timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', l_shipdate)"
+    return table(spark, sf_dir, "lineitem").selectExpr(
+        f"concat({folder}, '/l_', l_linenumber, '.dat') as path",
+        "100L + l_partkey % 997 as size",
+        f"{seen} as mtime",
+        "sha2(cast(cast(l_partkey as string) as binary), 256) as hash_value",
+        "'sha256' as hash_algorithm",
+        "cast(null as string) as error_status",
+        f"{seen} as first_scanned_at",
+        f"{seen} as last_scanned_at",
+        "0 as removed",
+        f"{folder} as folder_path",
+        f"{root} as root_path",
     )
 
 
@@ -171,7 +187,7 @@ def new_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     A moved file keeps its root.
     """
     files = doc_files(spark, sf_dir)
-    doc_id = F.regexp_extract("path", r"doc_(\d+)", 1).cast("bigint")
+    doc_id = F.expr(DOC_ID)
     cols = ["path", "size", "mtime", "hash_value", "hash_algorithm", "folder_path", "root_path"]
     staying = files.where(doc_id % 7 != 0).select(*cols)
     moved = files.where(doc_id % 14 == 0).select(
@@ -260,7 +276,7 @@ def duplicate_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def clashing_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`doc_files` with every tenth path a second time in capitals."""
     files = doc_files(spark, sf_dir)
-    doc_id = F.regexp_extract("path", r"doc_(\d+)", 1).cast("bigint")
+    doc_id = F.expr(DOC_ID)
     return files.unionByName(files.where(doc_id % 10 == 0).withColumn("path", F.upper("path")))
 
 
