@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import fresh_dir
+from ..session import fresh_dir, path_exists
 
 BASE_TIME = 1704067200
 NOW = 1735689600
@@ -322,7 +322,7 @@ def document_tree(spark: SparkSession, sf_dir: str) -> str:
     Written once per session and input; file names are Spark's, contents are the text and a newline.
     """
     key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _trees:
+    if key not in _trees or not path_exists(spark, _trees[key]):
         target = fresh_dir(spark, "document-tree")
         table(spark, sf_dir, "documents").select(
             "source", "lang", (F.col("doc_id") % 4).alias("b"), F.col("text").alias("value")
