@@ -28,7 +28,7 @@ def active_folders(folders: DataFrame, root_path: str | None = None) -> DataFram
 def resolve_parent(folders: DataFrame, registered: DataFrame, **skew) -> DataFrame:
     """`registered_parent`: the parent path where a folder row has it, else null."""
     known = registered.select(F.col("folder_path").alias("parent_path"), F.col("folder_path").alias("registered_parent"))
-    return lookup(folders, known, ["parent_path"], "left", spread="folder_path", **skew)
+    return lookup(folders, known, ["parent_path"], "left", spread="folder_path", measure=False, **skew)
 
 
 def removed_candidates(

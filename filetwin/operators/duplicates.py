@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.paths import path_key
 from ..functions.text import STATUS, human_size, iso_time, short_path, thousands
+from ..session import materialize
 from .skew import key_counts, lookup
 
 CONTENT = ["hash_value", "size"]
@@ -52,17 +53,22 @@ def unordered_sets(
     min_size: int = 0,
     include_empty: bool = False,
     case_insensitive: bool = True,
+    with_algorithm: bool = False,
 ) -> DataFrame:
     """One row per set: `n` rows counted, `files` after dropping equal paths.
 
     Two aggregations and no join: first by (content, path key), then by content.
     """
     eligible = eligible_files(files, min_size, include_empty)
+    first_name = [F.min("hash_algorithm").alias("hash_algorithm")] if with_algorithm else []
     if case_insensitive:
-        paths = eligible.groupBy(*CONTENT, path_key("path").alias("_key")).agg(F.count(F.lit(1)).alias("c"))
-        sets = paths.groupBy(*CONTENT).agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("files"))
+        paths = eligible.groupBy(*CONTENT, path_key("path").alias("_key")).agg(
+            F.count(F.lit(1)).alias("c"), *first_name
+        )
+        sets = paths.groupBy(*CONTENT).agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("files"), *first_name)
     else:
-        sets = key_counts(eligible, CONTENT).withColumn("files", F.col("n"))
+        counted = eligible.groupBy(*CONTENT).agg(F.count(F.lit(1)).alias("n"), *first_name)
+        sets = counted.withColumn("files", F.col("n"))
     return sets.where(F.col("n") >= min_count)
 
 
@@ -99,21 +105,27 @@ def duplicate_members(
     include_empty: bool = False,
     case_insensitive: bool = True,
     keep: list[str] | None = None,
+    sets: DataFrame | None = None,
     **skew,
 ) -> DataFrame:
     """One row per (set, path): hash_value, size, n, path and the columns in `keep`.
 
     The sets are joined back to the files with hot contents salted by path key; grouping by the
-    same salt then drops equal paths without another shuffle.
+    same salt then drops equal paths without another shuffle. `sets` may hand over the sets with
+    further columns for the members to carry.
     """
     keep = ["root_path"] if keep is None else keep
-    counts = content_counts(files, min_size, include_empty)
-    groups = counts.where(F.col("n") >= min_count)
+    if sets is None:
+        counts = content_counts(files, min_size, include_empty)
+        sets = counts.where(F.col("n") >= min_count)
+    else:
+        counts = sets
+    carried = [name for name in sets.columns if name not in CONTENT]
     eligible = eligible_files(files, min_size, include_empty).select(
         *CONTENT, "path", *keep, _same_path_key(case_insensitive).alias("_key")
     )
-    members = lookup(eligible, groups, CONTENT, "inner", spread="_key", counts=counts, keep_salt=True, **skew)
-    return _distinct_paths(members, keep, case_insensitive, [*CONTENT, "n"])
+    members = lookup(eligible, sets, CONTENT, "inner", spread="_key", counts=counts, keep_salt=True, **skew)
+    return _distinct_paths(members, keep, case_insensitive, [*CONTENT, *carried])
 
 
 def files_by_hash(
@@ -233,42 +245,45 @@ def number_sets(sets: DataFrame) -> DataFrame:
 
 def numbered_sets(files: DataFrame, min_count: int = 2, min_size: int = 0, **skew) -> DataFrame:
     """The detail report, one row per (set, path), sets numbered from 1 in report order."""
-    sets = number_sets(unordered_sets(files, min_count, min_size)).select(
-        *CONTENT,
+    sets = materialize(unordered_sets(files, min_count, min_size), "duplicate-sets")
+    numbered = number_sets(sets).select(*CONTENT, "n", "set_no", "files")
+    members = duplicate_members(files, min_size=min_size, keep=[], sets=numbered, **skew)
+    return members.select(
         "set_no",
         "files",
         human_size("size").alias("size_text"),
         F.substring("hash_value", 1, 16).alias("short_hash"),
-    )
-    members = duplicate_members(files, min_count, min_size, keep=[])
-    joined = lookup(members, sets, CONTENT, "inner", spread="path", **skew)
-    return joined.select("set_no", "files", "size_text", "short_hash", "path").orderBy("set_no", "path")
+        "path",
+    ).orderBy("set_no", "path")
 
 
-def _json_parts(members: DataFrame, sets: DataFrame, part_files: int, **skew) -> DataFrame:
+def _json_parts(
+    files: DataFrame,
+    min_count: int,
+    min_size: int,
+    part_files: int,
+    keep: tuple[str, ...] = (),
+    carry: tuple[str, ...] = (),
+    **skew,
+) -> DataFrame:
     """Members with the number of parts of their set and the part they are in.
 
     A part holds about `part_files` paths: a set is cut by the path's MD5, so parts are even and
     the same in every run.
     """
-    counted = lookup(
-        members,
-        sets.select(*CONTENT, "files", F.ceil(F.col("files") / part_files).cast("bigint").alias("parts")),
-        CONTENT,
-        "inner",
-        spread="path",
-        **skew,
-    )
+    parts = F.ceil(F.col("files") / part_files).cast("bigint").alias("parts")
+    sets = unordered_sets(files, min_count, min_size, with_algorithm=bool(carry))
+    sets = sets.select(*CONTENT, "n", "files", *carry, parts)
+    members = duplicate_members(files, min_size=min_size, keep=list(keep), sets=sets, **skew)
     digest = F.conv(F.substring(F.md5(F.col("path").cast("binary")), 1, 8), 16, 10).cast("bigint")
-    return counted.withColumn("part", digest % F.col("parts"))
+    return members.withColumn("part", digest % F.col("parts"))
 
 
 def duplicates_json(
     files: DataFrame, min_count: int = 2, min_size: int = 0, part_files: int = 10_000, **skew
 ) -> DataFrame:
     """JSON documents of the sets; a set of more than `part_files` paths spans several parts."""
-    members = duplicate_members(files, min_count, min_size, keep=[])
-    parts = _json_parts(members, unordered_sets(files, min_count, min_size), part_files, **skew)
+    parts = _json_parts(files, min_count, min_size, part_files, **skew)
     documents = parts.groupBy(*CONTENT, "files", "parts", "part").agg(
         F.sort_array(F.collect_list(F.struct("path", "size"))).alias("_files")
     )
@@ -285,16 +300,15 @@ def duplicates_json_full(
     files: DataFrame, min_count: int = 2, min_size: int = 0, part_files: int = 10_000, **skew
 ) -> DataFrame:
     """Like `duplicates_json` with algorithm, file times and counts per set."""
-    times = ["mtime", "first_scanned_at", "last_scanned_at"]
-    members = duplicate_members(files, min_count, min_size, keep=["hash_algorithm", *times])
-    parts = _json_parts(members, unordered_sets(files, min_count, min_size), part_files, **skew)
+    times = ("mtime", "first_scanned_at", "last_scanned_at")
+    parts = _json_parts(files, min_count, min_size, part_files, keep=times, carry=("hash_algorithm",), **skew)
     entry = F.struct("path", *[iso_time(name).alias(name) for name in times])
-    documents = parts.groupBy(*CONTENT, "files", "parts", "part").agg(
-        F.min("hash_algorithm").alias("algorithm"), F.sort_array(F.collect_list(entry)).alias("_files")
+    documents = parts.groupBy(*CONTENT, "files", "hash_algorithm", "parts", "part").agg(
+        F.sort_array(F.collect_list(entry)).alias("_files")
     )
     body = F.struct(
         F.col("hash_value").alias("hash"),
-        F.col("algorithm"),
+        F.col("hash_algorithm").alias("algorithm"),
         F.col("size").alias("size_bytes"),
         F.col("files").alias("file_count"),
         F.col("_files").alias("files"),

@@ -40,7 +40,7 @@ def orphan_folders(folders: DataFrame, **skew) -> DataFrame:
     """Folders whose non-null parent is missing."""
     named = folders.where(F.col("parent_path").isNotNull()).select("folder_path", "parent_path", "root_path")
     known = folders.select(F.col("folder_path").alias("parent_path"))
-    return lookup(named, known, ["parent_path"], "left_anti", spread="folder_path", **skew)
+    return lookup(named, known, ["parent_path"], "left_anti", spread="folder_path", measure=False, **skew)
 
 
 def removed_cascade_violations(files: DataFrame, folders: DataFrame, **skew) -> DataFrame:
@@ -285,13 +285,13 @@ def integrity_summary(report: DataFrame) -> DataFrame:
 
 def repair_orphan_files(files: DataFrame, folders: DataFrame, **skew) -> DataFrame:
     """`files` without those whose folder is missing."""
-    return lookup(files, _folder_names(folders), ["folder_path"], "left_semi", spread="path", **skew)
+    return lookup(files, _folder_names(folders), ["folder_path"], "left_semi", spread="path", measure=False, **skew)
 
 
 def repair_orphan_folders(folders: DataFrame, **skew) -> DataFrame:
     """`folders` with missing parents set to null."""
     known = folders.select(F.col("folder_path").alias("parent_path"), F.lit(True).alias("_known"))
-    joined = lookup(folders, known, ["parent_path"], "left", spread="folder_path", **skew)
+    joined = lookup(folders, known, ["parent_path"], "left", spread="folder_path", measure=False, **skew)
     return joined.withColumn("parent_path", F.when(F.col("_known"), F.col("parent_path"))).select(*folders.columns)
 
 
@@ -331,7 +331,7 @@ def constraint_violations(
     negative = lambda name: F.col(name) < 0
     not_flag = lambda name: ~F.col(name).isin(0, 1)
     parents = folders.select("folder_path", F.col("root_path").alias("folder_root"))
-    placed = lookup(files, parents, ["folder_path"], "left", spread="path", **skew)
+    placed = lookup(files, parents, ["folder_path"], "left", spread="path", measure=False, **skew)
     rules = [
         (
             "files",

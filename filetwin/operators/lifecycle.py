@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schemas import DEFAULT_ALGORITHM
+from ..session import materialize
 from .duplicates import CONTENT
 from .mutate import folders_below
-from .skew import lookup
+from .skew import key_counts, lookup
 
 
 def detect_removed(
@@ -21,7 +22,15 @@ def detect_removed(
     roots = (listing if listed_roots is None else listed_roots).select("root_path").distinct()
     seen = listing.select(key).distinct().withColumn("_seen", F.lit(True))
     marked = catalog.join(seen, key, "left")
-    marked = lookup(marked, roots.withColumn("_covered", F.lit(True)), ["root_path"], "left", spread=key, **skew)
+    marked = lookup(
+        marked,
+        roots.withColumn("_covered", F.lit(True)),
+        ["root_path"],
+        "left",
+        spread=key,
+        counts=key_counts(catalog, ["root_path"]),
+        **skew,
+    )
     lost = F.col("_seen").isNull() & F.col("_covered").isNotNull() & (F.col("removed") == 0)
     return marked.withColumns(
         {
@@ -33,9 +42,8 @@ def detect_removed(
 
 def cascade_removed(folders: DataFrame, files: DataFrame, now: int, **skew) -> tuple[DataFrame, DataFrame]:
     """Everything below a removed folder marked removed: (folders, files)."""
-    gone = folders_below(folders, folders.where(F.col("removed") == 1), **skew).select(
-        "folder_path", F.lit(True).alias("_gone")
-    )
+    below = materialize(folders_below(folders, folders.where(F.col("removed") == 1), **skew), "removed-folders")
+    gone = below.select("folder_path", F.lit(True).alias("_gone"))
 
     def applied(df: DataFrame, joined: DataFrame) -> DataFrame:
         hit = F.coalesce("_gone", F.lit(False)) & (F.col("removed") == 0)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.paths import ancestors
+from ..session import materialize
 from .integrity import root_statistics
 from .skew import fits_broadcast, lookup
 
@@ -240,7 +241,8 @@ def purge_removed(
     folder_rule = wanted if kind != "files" else F.lit(False)
 
     marked = folders.withColumn("_own", folder_rule)
-    doomed = folders_below(folders, marked.where("_own"), **skew).select("folder_path", F.lit(True).alias("_below"))
+    below = materialize(folders_below(folders, marked.where("_own"), **skew), "purged-folders")
+    doomed = below.select("folder_path", F.lit(True).alias("_below"))
     folder_marks = marked.join(doomed, "folder_path", "left")
     file_marks = lookup(
         files.withColumn("_own", file_rule), doomed, ["folder_path"], "left", spread="path", **skew

@@ -10,10 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.paths import ancestors
+from ..functions.paths import ancestors, parent_of
 from ..session import materialize
 from .duplicates import CONTENT
-from .skew import key_counts, lookup
+from .skew import lookup
 
 # Four lanes of 28 bits: a lane's sum over 2^35 files of one folder still fits a long.
 LANE_BITS = 28
@@ -50,16 +50,17 @@ def _reach(holders: DataFrame, scope: str) -> DataFrame:
     return holders.select(F.col("folder_path").alias("holder"), above).withColumnRenamed("_above", "folder_path")
 
 
-def folder_signatures(files: DataFrame, scope: str = "subtree") -> DataFrame:
+def folder_signatures(files: DataFrame, scope: str = "subtree", **skew) -> DataFrame:
     """Per folder of fully hashed live files: number, bytes and the summed lanes of its contents.
 
     Files are summed per folder first; only those rows are repeated for the ancestors. In subtree
-    scope a folder whose parent holds nothing else is left out, so a chain shows as its topmost
-    folder.
+    scope a folder that holds all files of its parent is left out, so a chain of folders shows as
+    its topmost one.
     """
     live = files.where(F.col("removed") == 0)
     hashed = F.col("hash_value").isNotNull() & F.col("error_status").isNull()
-    direct = (
+    sums = ["files", "bytes", "_unhashed", *LANES]
+    whole = (
         live.groupBy("folder_path", "root_path")
         .agg(
             F.count(F.lit(1)).alias("files"),
@@ -69,28 +70,24 @@ def folder_signatures(files: DataFrame, scope: str = "subtree") -> DataFrame:
         )
         .select("folder_path", "root_path", "files", "bytes", "_unhashed", *_masked(LANES))
     )
-    if _scope(scope) == "direct":
-        whole = direct
-    else:
-        chain = direct.withColumn("_chain", ancestors("folder_path", "root_path"))
-        placed = chain.select(
-            F.posexplode("_chain").alias("_pos", "_top"), "_chain", "files", "bytes", "_unhashed", *LANES
-        ).withColumn("_child", F.get("_chain", F.col("_pos") + 1))
-        whole = (
-            placed.groupBy(F.col("_top").alias("folder_path"))
-            .agg(
-                *[F.sum(name).alias(name) for name in ("files", "bytes", "_unhashed", *LANES)],
-                F.count_if(F.col("_child").isNull()).alias("_own"),
-                F.min("_child").alias("_first"),
-                F.max("_child").alias("_last"),
-            )
-            .select("folder_path", "files", "bytes", "_unhashed", *_masked(LANES), "_own", "_first", "_last")
+    if _scope(scope) == "subtree":
+        whole = materialize(
+            whole.select(F.explode(ancestors("folder_path", "root_path")).alias("folder_path"), *sums)
+            .groupBy("folder_path")
+            .agg(*[F.sum(name).alias(name) for name in sums])
+            .select("folder_path", "files", "bytes", "_unhashed", *_masked(LANES)),
+            "subtree-sums",
         )
-        # The only child of a folder without files of its own has the same content as that folder.
-        sole = whole.where((F.col("_own") == 0) & (F.col("_first") == F.col("_last"))).select(
-            F.col("_first").alias("folder_path")
+        parents = whole.select(F.col("folder_path").alias("_parent"), "files")
+        whole = lookup(
+            whole.withColumn("_parent", parent_of("folder_path")),
+            parents,
+            ["_parent", "files"],
+            "left_anti",
+            spread="folder_path",
+            measure=False,
+            **skew,
         )
-        whole = whole.join(sole, "folder_path", "left_anti")
     return whole.where(F.col("_unhashed") == 0).select("folder_path", "files", "bytes", *LANES)
 
 
@@ -115,7 +112,7 @@ def duplicate_folders(files: DataFrame, scope: str = "subtree", verify: bool = T
     combine before the shuffle; only files of candidate folders are read for it.
     """
     signature = ["files", "bytes", *LANES]
-    signed = materialize(folder_signatures(files, scope), "signatures")
+    signed = materialize(folder_signatures(files, scope, **skew), "signatures")
     groups = signed.groupBy(*signature).agg(
         F.count(F.lit(1)).alias("copies"), F.min("folder_path").alias("group_folder")
     )
@@ -139,14 +136,11 @@ def duplicate_folders(files: DataFrame, scope: str = "subtree", verify: bool = T
         ),
         "folder-reach",
     )
-    held = live.select(F.col("folder_path").alias("holder"), *CONTENT)
-    per_holder = held.groupBy("holder", *CONTENT).agg(F.count(F.lit(1)).alias("k"))
+    held = live.select(F.col("folder_path").alias("holder"), "path", *CONTENT)
     contents = (
-        lookup(
-            per_holder, reach, ["holder"], "inner", spread="hash_value", counts=key_counts(held, ["holder"]), **skew
-        )
+        lookup(held, reach, ["holder"], "inner", spread="path", **skew)
         .groupBy("group_folder", "copies", "folder_path", *CONTENT)
-        .agg(F.sum("k").alias("k"))
+        .agg(F.count(F.lit(1)).alias("k"))
     )
     _check_groups(contents)
     return members
@@ -413,14 +407,14 @@ def folder_differences(files: DataFrame, pairs: DataFrame, scope: str = "direct"
         reach = sides.withColumn("holder", F.col("folder_path"))
     else:
         reach = lookup(_reach(holders, scope), sides, ["folder_path"], "inner", spread="holder", **skew)
-    rows = lookup(
-        live.withColumnRenamed("folder_path", "holder").select("holder", "path", *CONTENT, "mtime"),
-        reach,
-        ["holder"],
-        "inner",
-        spread="path",
-        **skew,
-    ).withColumn("name", F.substring(F.col("path"), F.length("folder_path") + 2, F.length("path")))
+    held = live.select(F.col("folder_path").alias("holder"), "path", *CONTENT, "mtime")
+    below = F.substring(F.col("path"), F.length("folder_path") + 2, F.length("path"))
+    rows = materialize(
+        lookup(held, reach, ["holder"], "inner", spread="path", **skew)
+        .withColumn("name", below)
+        .drop("path", "holder", "folder_path"),
+        "compared-folders",
+    )
     pair = ["left_folder", "right_folder"]
     on_left, on_right = F.col("side") == "L", F.col("side") == "R"
     text, number = F.lit(None).cast("string"), F.lit(None).cast("bigint")

@@ -5,6 +5,10 @@ whose result is at most HOT_KEYS rows whatever the size of the data, which is wh
 broadcast them; any other key has fewer than 1/HOT_KEYS of all rows. The rows of a hot key are
 spread over salts and the other side's rows for it are repeated once per salt. Without hot keys the
 join is an ordinary one.
+
+Whether the other side is broadcast instead is decided by its size. Catalyst's estimate of a
+filtered or grouped table is far above its true size, so such a side is written first and its
+measured size counts: a large table is not shuffled only because a small one was overrated.
 """
 
 from __future__ import annotations
@@ -12,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 HOT_KEYS = 1000
 MAX_SALTS = 1000
 HOT_ROWS = 1_000_000
@@ -33,8 +39,9 @@ def key_counts(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
 
 
-def hot_keys(counts: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFrame | None:
+def hot_keys(counts: DataFrame, keys: list[str], hot_rows: int | None = None) -> DataFrame | None:
     """The hot keys with the number of salts each gets (`_salts`), or None when there are none."""
+    hot_rows = hot_rows or HOT_ROWS
     found = counts.where(F.col("n") >= hot_rows)
     for key in keys:
         found = found.where(F.col(key).isNotNull())
@@ -56,19 +63,25 @@ def lookup(
     spread: str | Column = "path",
     counts: DataFrame | None = None,
     keep_salt: bool = False,
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = None,
     force_salt: bool = False,
+    measure: bool = True,
 ) -> DataFrame:
     """`big` joined to `small` on `keys` (`inner`, `left`, `left_semi` or `left_anti`).
 
-    When Spark will broadcast `small`, `big` is not shuffled and no key can be hot. Beyond that
-    size the hot keys of `big` are salted by `spread`. `counts` may hand over existing rows per key
+    When Spark will broadcast `small`, `big` is not shuffled and no key can be hot; `measure=False`
+    takes the estimate of `small` as its size, for plain tables. Beyond that size the hot keys of
+    `big` are salted by `spread`. `counts` may hand over existing rows per key
     (columns `keys` and `n`) of `big` or of a superset of it. With `keep_salt` the result has the
     column `_salt`, a function of the keys and `spread`, so that a later grouping by keys, `_salt`
     and `spread` needs no further shuffle.
     """
     hot = None
-    if force_salt or not fits_broadcast(small):
+    fits = not force_salt and fits_broadcast(small)
+    if not fits and not force_salt and measure:
+        small = materialize(small, "join-side")
+        fits = fits_broadcast(small)
+    if not fits:
         hot = hot_keys(counts if counts is not None else key_counts(big, keys), keys, hot_rows)
     if hot is None:
         joined = big.join(small, keys, how)

@@ -15,7 +15,7 @@ from ..operators import integrity as check
 from ..operators import lifecycle as life
 from ..operators import mutate as change
 from ..operators import similarity as sim
-from ..session import fresh_dir
+from ..session import fresh_dir, materialize
 from ..sources import fingerprint, listing, tables
 from ..sources import samples as s
 from ..sources.samples import NOW
@@ -1164,7 +1164,7 @@ def _moved_catalog(spark, sf_dir):
     )
 )
 def moved_files(spark, sf_dir):
-    return life.moved_files(_moved_catalog(spark, sf_dir))
+    return life.moved_files(materialize(_moved_catalog(spark, sf_dir), "moved-catalog"))
 
 
 @query(docs("select hash_value, size, n, (size * (n - 1))::bigint as reclaimable from g"))

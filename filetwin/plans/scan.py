@@ -62,7 +62,7 @@ def scan_folders(catalog: Catalog, files: DataFrame, now: int) -> DataFrame:
 def in_active_folders(listing: DataFrame, folders: DataFrame, **skew) -> DataFrame:
     """Listed files whose direct parent is a registered folder that is not removed."""
     active = folders.where(F.col("removed") == 0).select("folder_path")
-    return lookup(listing, active, ["folder_path"], "left_semi", spread="path", **skew)
+    return lookup(listing, active, ["folder_path"], "left_semi", spread="path", measure=False, **skew)
 
 
 def scan_files(

@@ -107,3 +107,9 @@ def test_stale_scans(spark):
         schemas.SCANS,
     )
     assert rows(check.stale_scans(scans, 100_000), "scan_id", "age") == [(1, 99_900)]
+
+
+def test_sample_is_cut_before_the_shuffle(damaged):
+    _, folders, files = damaged
+    plan = check.violation_sample(files, folders)._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan

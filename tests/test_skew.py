@@ -60,3 +60,19 @@ def test_broadcast_depends_on_the_estimate(spark):
         assert not skew.fits_broadcast(small)
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_an_overrated_side_is_measured_and_broadcast(spark, tables):
+    big, small = tables
+    overrated = small.join(small.select(F.col("key").alias("k2")), F.col("key") == F.col("k2")).groupBy("key").agg(F.max("value").alias("value"))
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "3000")
+        assert not skew.fits_broadcast(overrated)
+        joined = skew.lookup(big, overrated, ["key"])
+        plan = joined._jdf.queryExecution().optimizedPlan().toString()
+        assert "Aggregate" not in plan
+        assert "BroadcastHashJoin" in joined._jdf.queryExecution().sparkPlan().toString()
+        assert rows(joined) == rows(big.join(small, ["key"]))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
