@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..schemas import ALGORITHMS, SCAN_MODES
 from .skew import key_counts, lookup
 
-# Check names, severities and issue texts of the report.
+# Names of the checks, severities and texts of the issues.
 FOREIGN_KEYS = "foreign_key_integrity"
 TIMESTAMPS = "timestamp_validity"
 CASCADE = "removed_flag_cascade"
@@ -20,6 +20,15 @@ STATISTICS = "statistics_accuracy"
 ALGORITHM = "hash_algorithm_consistency"
 CHECKS = [FOREIGN_KEYS, TIMESTAMPS, CASCADE, STATISTICS, ALGORITHM]
 ERROR, WARNING, PASS = "error", "warning", "pass"
+ORPHAN_FILES_TEXT = "%d files reference non-existent folders"
+ORPHAN_FOLDERS_TEXT = "%d folders reference non-existent parent folders"
+FUTURE_TEXT = "%d files have future timestamps"
+INVERTED_TEXT = "%d files have created_at > updated_at"
+VIOLATION_TEXT = "Folder %s removed but child file %s not marked removed"
+MORE_VIOLATIONS_TEXT = "...and %d more inconsistencies"
+STATISTICS_TEXT = "Statistics mismatch - Expected: %d folders, %d files; Actual: %d folders, %d files"
+ALGORITHMS_TEXT = "Multiple hash algorithms detected: "
+ALGORITHM_ENTRY_TEXT = "%s (%d files)"
 SAMPLE_ROWS = 3
 
 
@@ -127,9 +136,7 @@ def _first_violations(files: DataFrame, folders: DataFrame, **skew) -> DataFrame
     """
     found = removed_cascade_violations(files, folders, **skew)
     place = F.row_number().over(Window.partitionBy("root_path").orderBy("path"))
-    text = F.format_string(
-        "Folder %s removed but child file %s not marked removed", F.col("folder_path"), F.col("path")
-    )
+    text = F.format_string(VIOLATION_TEXT, F.col("folder_path"), F.col("path"))
     return (
         found.withColumn("issue_no", place)
         .where(F.col("issue_no") <= SAMPLE_ROWS)
@@ -138,7 +145,7 @@ def _first_violations(files: DataFrame, folders: DataFrame, **skew) -> DataFrame
 
 
 def _more_violations(n: Column) -> Column:
-    return F.format_string("...and %d more inconsistencies", n - SAMPLE_ROWS)
+    return F.format_string(MORE_VIOLATIONS_TEXT, n - SAMPLE_ROWS)
 
 
 def violation_sample(files: DataFrame, folders: DataFrame, **skew) -> DataFrame:
@@ -178,7 +185,7 @@ def root_profile(folders: DataFrame, files: DataFrame, now: int, live_only: bool
         F.sum(F.when(F.col("folder_removed") == 1, F.col("live"))).alias("violations"),
     )
     # A root has one entry per algorithm name, so this list stays short.
-    named = F.when(F.col("hash_algorithm").isNotNull(), F.format_string("%s (%d files)", "hash_algorithm", "n"))
+    named = F.when(F.col("hash_algorithm").isNotNull(), F.format_string(ALGORITHM_ENTRY_TEXT, "hash_algorithm", "n"))
     of_files = per_algorithm.groupBy("root_path").agg(
         F.sum("live" if live_only else "n").alias("actual_files"),
         *[F.sum(name).alias(name) for name in ("future", "inverted", "orphans", "violations")],
@@ -225,17 +232,17 @@ def integrity_issues(
 
     wrong = (F.col("stored_folders") != F.col("actual_folders")) | (F.col("stored_files") != F.col("actual_files"))
     mismatch = F.format_string(
-        "Statistics mismatch - Expected: %d folders, %d files; Actual: %d folders, %d files",
+        STATISTICS_TEXT,
         *[F.col(c) for c in ("stored_folders", "stored_files", "actual_folders", "actual_files")],
     )
-    mixed = F.concat(F.lit("Multiple hash algorithms detected: "), F.array_join("algorithms", " "))
+    mixed = F.concat(F.lit(ALGORITHMS_TEXT), F.array_join("algorithms", " "))
     one = F.lit(1)
     more = F.col("violations")
     found = F.array(
-        counted(FOREIGN_KEYS, ERROR, 1, "orphans", "%d files reference non-existent folders"),
-        counted(FOREIGN_KEYS, ERROR, 2, "orphan_folders", "%d folders reference non-existent parent folders"),
-        counted(TIMESTAMPS, WARNING, 1, "future", "%d files have future timestamps"),
-        counted(TIMESTAMPS, WARNING, 2, "inverted", "%d files have created_at > updated_at"),
+        counted(FOREIGN_KEYS, ERROR, 1, "orphans", ORPHAN_FILES_TEXT),
+        counted(FOREIGN_KEYS, ERROR, 2, "orphan_folders", ORPHAN_FOLDERS_TEXT),
+        counted(TIMESTAMPS, WARNING, 1, "future", FUTURE_TEXT),
+        counted(TIMESTAMPS, WARNING, 2, "inverted", INVERTED_TEXT),
         issue(CASCADE, ERROR, SAMPLE_ROWS + 1, more > SAMPLE_ROWS, _more_violations(more), one),
         issue(STATISTICS, WARNING, 1, F.coalesce(wrong, F.lit(False)), mismatch, one),
         issue(ALGORITHM, WARNING, 1, F.coalesce(F.size("algorithms") > 1, F.lit(False)), mixed, one),

@@ -42,51 +42,60 @@ def _scope(scope: str) -> str:
     return scope
 
 
-def _reach(holders: DataFrame, scope: str) -> DataFrame:
-    """(holder, folder_path): the folders whose contents include the files lying in `holder`."""
-    if scope == "direct":
-        return holders.select(F.col("folder_path").alias("holder"), "folder_path")
+def _reach(holders: DataFrame) -> DataFrame:
+    """(holder, folder_path): a folder with files and each folder whose subtree it lies in."""
     above = F.explode(ancestors("folder_path", "root_path")).alias("_above")
     return holders.select(F.col("folder_path").alias("holder"), above).withColumnRenamed("_above", "folder_path")
 
 
-def folder_signatures(files: DataFrame, scope: str = "subtree", **skew) -> DataFrame:
-    """Per folder of fully hashed live files: number, bytes and the summed lanes of its contents.
+SUMS = ["files", "bytes", "_unhashed", *LANES]
 
-    Files are summed per folder first; only those rows are repeated for the ancestors. In subtree
-    scope a folder that holds all files of its parent is left out, so a chain of folders shows as
-    its topmost one.
-    """
-    live = files.where(F.col("removed") == 0)
+
+def folder_sums(files: DataFrame) -> DataFrame:
+    """Per folder its live files' number, bytes, unhashed ones and summed lanes, as a written table."""
     hashed = F.col("hash_value").isNotNull() & F.col("error_status").isNull()
-    sums = ["files", "bytes", "_unhashed", *LANES]
-    whole = (
-        live.groupBy("folder_path", "root_path")
+    sums = (
+        files.where(F.col("removed") == 0)
+        .groupBy("folder_path", "root_path")
         .agg(
             F.count(F.lit(1)).alias("files"),
             F.sum("size").alias("bytes"),
             F.count_if(~hashed).alias("_unhashed"),
             *_lanes(),
         )
-        .select("folder_path", "root_path", "files", "bytes", "_unhashed", *_masked(LANES))
     )
+    return materialize(
+        sums.select("folder_path", "root_path", "files", "bytes", "_unhashed", *_masked(LANES)), "folder-sums"
+    )
+
+
+def folder_signatures(sums: DataFrame, scope: str = "subtree", **skew) -> DataFrame:
+    """Signature of each folder whose files are all hashed, from `folder_sums`.
+
+    Only the sums are repeated for the ancestors, not the files. In subtree scope a folder that
+    holds all files of its parent is left out, so a chain of folders shows as its topmost one.
+    """
+    whole = sums
     if _scope(scope) == "subtree":
         whole = materialize(
-            whole.select(F.explode(ancestors("folder_path", "root_path")).alias("folder_path"), *sums)
+            sums.select(F.explode(ancestors("folder_path", "root_path")).alias("folder_path"), *SUMS)
             .groupBy("folder_path")
-            .agg(*[F.sum(name).alias(name) for name in sums])
+            .agg(*[F.sum(name).alias(name) for name in SUMS])
             .select("folder_path", "files", "bytes", "_unhashed", *_masked(LANES)),
             "subtree-sums",
         )
         parents = whole.select(F.col("folder_path").alias("_parent"), "files")
-        whole = lookup(
-            whole.withColumn("_parent", parent_of("folder_path")),
-            parents,
-            ["_parent", "files"],
-            "left_anti",
-            spread="folder_path",
-            measure=False,
-            **skew,
+        whole = materialize(
+            lookup(
+                whole.withColumn("_parent", parent_of("folder_path")),
+                parents,
+                ["_parent", "files"],
+                "left_anti",
+                spread="folder_path",
+                measure=False,
+                **skew,
+            ),
+            "topmost-folders",
         )
     return whole.where(F.col("_unhashed") == 0).select("folder_path", "files", "bytes", *LANES)
 
@@ -112,7 +121,8 @@ def duplicate_folders(files: DataFrame, scope: str = "subtree", verify: bool = T
     combine before the shuffle; only files of candidate folders are read for it.
     """
     signature = ["files", "bytes", *LANES]
-    signed = materialize(folder_signatures(files, scope, **skew), "signatures")
+    sums = folder_sums(files)
+    signed = folder_signatures(sums, scope, **skew)
     groups = signed.groupBy(*signature).agg(
         F.count(F.lit(1)).alias("copies"), F.min("folder_path").alias("group_folder")
     )
@@ -123,19 +133,14 @@ def duplicate_folders(files: DataFrame, scope: str = "subtree", verify: bool = T
     if not verify:
         return members
     members = materialize(members, "folder-groups")
+    grouped = members.select("folder_path", "group_folder", "copies")
+    if scope == "direct":
+        reach = grouped.withColumn("holder", F.col("folder_path"))
+    else:
+        reach = materialize(
+            lookup(_reach(sums), grouped, ["folder_path"], "inner", spread="holder", **skew), "folder-reach"
+        )
     live = files.where(F.col("removed") == 0)
-    holders = live.select("folder_path", "root_path").distinct()
-    reach = materialize(
-        lookup(
-            _reach(holders, scope),
-            members.select("folder_path", "group_folder", "copies"),
-            ["folder_path"],
-            "inner",
-            spread="holder",
-            **skew,
-        ),
-        "folder-reach",
-    )
     held = live.select(F.col("folder_path").alias("holder"), "path", *CONTENT)
     contents = (
         lookup(held, reach, ["holder"], "inner", spread="path", **skew)
@@ -392,7 +397,6 @@ def folder_differences(files: DataFrame, pairs: DataFrame, scope: str = "direct"
     both with unequal times. Both come from aggregates per pair, not from a join of the folders.
     """
     live = files.where(F.col("removed") == 0)
-    holders = live.select("folder_path", "root_path").distinct()
     wanted = pairs.where(F.col("left_folder") != F.col("right_folder")).select("left_folder", "right_folder")
     sides = wanted.select(
         "*",
@@ -406,7 +410,8 @@ def folder_differences(files: DataFrame, pairs: DataFrame, scope: str = "direct"
     if _scope(scope) == "direct":
         reach = sides.withColumn("holder", F.col("folder_path"))
     else:
-        reach = lookup(_reach(holders, scope), sides, ["folder_path"], "inner", spread="holder", **skew)
+        holders = live.select("folder_path", "root_path").distinct()
+        reach = lookup(_reach(holders), sides, ["folder_path"], "inner", spread="holder", **skew)
     held = live.select(F.col("folder_path").alias("holder"), "path", *CONTENT, "mtime")
     below = F.substring(F.col("path"), F.length("folder_path") + 2, F.length("path"))
     rows = materialize(

@@ -324,8 +324,10 @@ def document_tree(spark: SparkSession, sf_dir: str) -> str:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _trees or not path_exists(spark, _trees[key]):
         target = fresh_dir(spark, "document-tree")
-        table(spark, sf_dir, "documents").select(
+        texts = table(spark, sf_dir, "documents").select(
             "source", "lang", (F.col("doc_id") % 4).alias("b"), F.col("text").alias("value")
-        ).write.partitionBy("source", "lang", "b").option("maxRecordsPerFile", 1).text(target)
+        )
+        # Creating files is the slow part, so it gets all cores whatever the input's row groups.
+        texts.repartition(spark.sparkContext.defaultParallelism).write.partitionBy("source", "lang", "b").option("maxRecordsPerFile", 1).text(target)
         _trees[key] = target
     return _trees[key]
