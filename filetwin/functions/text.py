@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -73,5 +75,10 @@ def iso_time(seconds) -> Column:
     return F.concat(F.replace(utc_text(seconds), F.lit(" "), F.lit("T")), F.lit("Z"))
 
 
+def utc_midnight(date: str) -> int:
+    """Epoch seconds at which a `YYYY-MM-DD` day begins in UTC, for cut-off parameters."""
+    return int(datetime.strptime(date, "%Y-%m-%d").replace(tzinfo=timezone.utc).timestamp())
+
+
 def scan_time_text(seconds) -> Column:
     return F.coalesce(F.concat(utc_text(seconds), F.lit(" UTC")), F.lit(NEVER_SCANNED))

@@ -9,7 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import iso_time
 from ..schemas import ALGORITHMS, SCAN_MODES
+from ..session import materialize
 from .skew import key_counts, lookup
 
 # Names of the checks, severities and texts of the issues.
@@ -265,7 +267,11 @@ def integrity_report(
 
     A root without issues passes all five checks.
     """
-    issues = integrity_issues(roots, folders, files, now, live_only)
+    return report_of(roots, integrity_issues(roots, folders, files, now, live_only))
+
+
+def report_of(roots: DataFrame, issues: DataFrame) -> DataFrame:
+    """`integrity_report` from issues already found."""
     found = issues.groupBy("root_path", "check").agg(
         F.count(F.lit(1)).alias("issues"),
         F.count_if(F.col("severity") == ERROR).alias("errors"),
@@ -290,6 +296,41 @@ def integrity_summary(report: DataFrame) -> DataFrame:
     )
 
 
+def integrity_json(
+    roots: DataFrame, folders: DataFrame, files: DataFrame, now: int, live_only: bool = True
+) -> DataFrame:
+    """One JSON document per root: the checks in order with their issues, and totals.
+
+    A root has at most ten issues, so a document stays small.
+    """
+    issues = materialize(integrity_issues(roots, folders, files, now, live_only), "issues")
+    entry = F.struct("issue_no", "description", "severity")
+    listed = issues.groupBy("root_path", "check").agg(F.sort_array(F.collect_list(entry)).alias("_issues"))
+    details = F.transform(
+        F.coalesce("_issues", F.array().cast("array<struct<issue_no:int,description:string,severity:string>>")),
+        lambda i: F.struct(i["description"].alias("description"), i["severity"].alias("severity")),
+    )
+    checks = (
+        report_of(roots, issues)
+        .join(listed, ["root_path", "check"], "left")
+        .select(
+            "root_path",
+            "issues",
+            F.array_position(F.array(*[F.lit(c) for c in CHECKS]), F.col("check")).alias("_place"),
+            F.struct(F.col("check").alias("name"), "status", details.alias("issues")).alias("_check"),
+        )
+    )
+    whole = checks.groupBy("root_path").agg(
+        F.count(F.lit(1)).alias("checks_run"),
+        F.sum("issues").alias("issues_found"),
+        F.sort_array(F.collect_list(F.struct("_place", "_check")))["_check"].alias("checks"),
+    )
+    body = F.struct(
+        "root_path", "checks_run", "issues_found", "checks", iso_time(F.lit(now).cast("bigint")).alias("scan_timestamp")
+    )
+    return whole.select("root_path", F.to_json(body).alias("document"))
+
+
 def repair_orphan_files(files: DataFrame, folders: DataFrame, **skew) -> DataFrame:
     """`files` without those whose folder is missing."""
     return lookup(files, _folder_names(folders), ["folder_path"], "left_semi", spread="path", measure=False, **skew)

@@ -851,6 +851,25 @@ def integrity_summary(spark, sf_dir):
     return check.integrity_summary(check.integrity_report(*_dirty(spark, sf_dir), NOW))
 
 
+_JSON_ISSUES = f"""
+  select root_path, "check" as c, string_agg('{{"description":"' || description || '","severity":"' || severity || '"}}', ','
+    order by issue_no) as listed from ({_ISSUES}) group by 1, 2"""
+
+
+@query(
+    docs(
+        f"""select root_path, '{{"root_path":"' || root_path || '","checks_run":5,"issues_found":' || sum(issues) || ',"checks":['
+              || string_agg('{{"name":"' || "check" || '","status":"' || status || '","issues":[' || coalesce(listed, '') || ']}}',
+                   ',' order by list_position({check.CHECKS}, "check"))
+              || '],"scan_timestamp":"' || {utc_text(str(NOW), "%Y-%m-%dT%H:%M:%SZ")} || '"}}' as document
+            from ({_REPORT}) left join (select root_path, c as "check", listed from ({_JSON_ISSUES})) using (root_path, "check")
+            group by root_path"""
+    )
+)
+def integrity_json(spark, sf_dir):
+    return check.integrity_json(*_dirty(spark, sf_dir), NOW)
+
+
 @query(docs(f"select {FILE_COLUMNS} from df where folder_path in (select folder_path from dfo)"))
 def repair_orphan_files(spark, sf_dir):
     _, folders, files = _dirty(spark, sf_dir)
@@ -964,6 +983,17 @@ def clean_path(spark, sf_dir):
     return s.messy_paths(spark, sf_dir).select("doc_id", paths.clean_path("messy").alias("clean"))
 
 
+@query(
+    f"""select doc_id, upper(letter) || ':' || clean as stored from (
+          select doc_id, clean, (['c', 'D', 'z'])[doc_id % 3 + 1] as letter from ({_CLEAN}) where starts_with(messy, '/'))"""
+)
+def storage_path(spark, sf_dir):
+    letter = F.element_at(F.array(F.lit("c"), F.lit("D"), F.lit("z")), (F.col("doc_id") % 3 + 1).cast("int"))
+    rooted = s.messy_paths(spark, sf_dir).where(F.col("messy").startswith("/"))
+    drive = F.concat(letter, F.lit(":"), paths.clean_path("messy"), F.lit("/./"))
+    return rooted.select("doc_id", paths.storage_path(drive).alias("stored"))
+
+
 @query(f"select doc_id, lower(clean) as path_key from ({_CLEAN})")
 def path_key(spark, sf_dir):
     return s.messy_paths(spark, sf_dir).select("doc_id", paths.path_key("messy").alias("path_key"))

@@ -103,3 +103,7 @@ def test_time_text_does_not_depend_on_session_zone(spark):
         assert rows(df.select(text.utc_text("t"))) == [("2024-03-31 02:00:00",)]
     finally:
         spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_cut_off_is_utc_midnight():
+    assert text.utc_midnight("2025-01-01") == 1735689600
