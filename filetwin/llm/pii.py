@@ -192,11 +192,9 @@ def disclosing_terms(
         .groupBy("entity")
         .agg(F.count(F.lit(1)).alias("n_entity"))
     )
-    together = materialize(together, "pii-pairs")
-    wanted = together.select("term").distinct()
+    # All terms are counted before any join: tasks' counts are far fewer rows than the words.
     terms = (
         docs.select(F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))).alias("term"))
-        .join(wanted, "term", "left_semi")
         .groupBy("term")
         .agg(F.count(F.lit(1)).alias("n_term"))
     )
