@@ -7,8 +7,9 @@ are fewer). Documents link when |A and B| / |A or B| >= percent / 100, computed
 2. Tiles. Linked sets share one of their first |A| - ceil(percent |A| / 100) + 1 shingles in any common
    order. The order puts shingles last that are frequent in some task's rows, then goes by hash. A tile
    is such a shingle and a size band: sizes that may link differ by one band at most.
-3. Hubs. Each member of a tile is held against the smallest id of its band and of the band below. A group
-   of N near copies costs N comparisons here, not N squared. What links is one component from now on.
+3. Hubs. Each member of a tile is paired with the smallest id of its band and of the band below, so a group
+   of N near copies gives some N pairs, not N squared. The most promising pair of each member is settled
+   first. What links is one component from now on; other pairs are settled if their ends are still apart.
 4. Leftovers. Tiles with members of several components are cut into blocks of at most BLOCK members and
    pairs of blocks are dealt out; members of different components are compared by bitmap. First the most
    promising pair of two components of a tile is settled, then, with the components that result, all that
@@ -49,15 +50,19 @@ class Shingler:
         self.width = width
         self.hashes = WordHashes(lower=True)
 
-    def __call__(self, text: str | None) -> np.ndarray:
-        """The sorted distinct shingle hashes of a text."""
+    def runs(self, text: str | None) -> np.ndarray:
+        """The shingle hashes of a text as they come."""
         words = words_of(text)
         if not words:
             return np.zeros(0, np.uint64)
         hashes = self.hashes.of(words)
         if len(words) < self.width:
             return mix(rolling(hashes, len(words)) + np.uint64(len(words)))
-        return np.unique(rolling(hashes, self.width))
+        return rolling(hashes, self.width)
+
+    def __call__(self, text: str | None) -> np.ndarray:
+        """The sorted distinct shingle hashes of a text."""
+        return np.unique(self.runs(text))
 
 
 def bitmap(values: np.ndarray) -> np.ndarray:
@@ -99,7 +104,7 @@ def _frequent(docs: DataFrame, width: int) -> np.ndarray:
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                values = shingles(text)
+                values = shingles.runs(text)
                 digest = hash(values.tobytes())
                 if len(values) and digest not in seen:
                     seen.add(digest)
@@ -170,24 +175,38 @@ def _passing(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             n_a, n_b, marks_a, marks_b = (batch.column(c).to_pylist() for c in ("n_a", "n_b", "marks_a", "marks_b"))
-            keep = []
+            keep, share = [], []
             for x, y, p, q in zip(n_a, n_b, marks_a, marks_b, strict=True):
                 bound = overlap_bound(np.frombuffer(p, np.uint64), x, np.frombuffer(q, np.uint64), y)
                 keep.append((100 + percent) * bound >= percent * (x + y))
-            return batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                share.append(bound / (x + y))
+            table = batch.select(["a", "b"]).append_column("share", pa.array(share, pa.float64()))
+            return table.filter(pa.array(keep, pa.bool_()))
 
         return step
 
-    return arrow_map(joined.select("a", "b", "n_a", "n_b", "marks_a", "marks_b"), make, "a long, b long")
+    return arrow_map(joined.select("a", "b", "n_a", "n_b", "marks_a", "marks_b"), make, "a long, b long, share double")
+
+
+class _Texts:
+    """Texts of documents that occur in pairs, fetched once each into the shared folder."""
+
+    def __init__(self, docs: DataFrame) -> None:
+        self.docs = docs.select(F.col("doc_id").cast("long"), "text")
+        self.table: DataFrame | None = None
 
+    def of(self, pairs: DataFrame) -> DataFrame:
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+        if self.table is not None:
+            wanted = wanted.join(self.table.select("doc_id"), "doc_id", "left_anti")
+        wanted = materialize(wanted, "jaccard-candidates")
+        fetched = materialize(self.docs.join(wanted, "doc_id", "left_semi").distinct(), "jaccard-texts")
+        self.table = fetched if self.table is None else self.table.unionByName(fetched)
+        return self.table
 
-def _linked(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+
+def _linked(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """Pairs whose sets do reach the similarity."""
-    wanted = materialize(
-        pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "jaccard-candidates"
-    )
-    texts = docs.select(F.col("doc_id").cast("long"), "text").join(wanted, "doc_id", "left_semi").distinct()
-    texts = materialize(texts, "jaccard-texts")
     side = lambda end: texts.select(F.col("doc_id").alias(end), F.col("text").alias(f"text_{end}"))
 
     def make():
@@ -210,42 +229,61 @@ def _linked(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Data
 
         return step
 
-    joined = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b")
+    joined = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b")
     return materialize(arrow_map(joined, make, "a long, b long").distinct(), "jaccard-links")
 
 
 def _leftover_pairs(members: DataFrame, labels: DataFrame, nodes: DataFrame, percent: int, first_only: bool):
     """Pairs of different components in one tile that their bitmaps allow."""
-    labelled = members.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn(
-        "component", F.coalesce("component", "doc_id")
+    labelled = members.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
+        "token",
+        "doc_id",
+        F.coalesce("component", "doc_id").alias("component"),
+        "band",
+        # A tile of a band holds the band's own members and, to compare with them, those of the band below.
+        F.explode(F.array("band", F.col("band") + 1)).alias("tile"),
     )
+    mark = F.xxhash64("doc_id", "band")
     open_tiles = (
-        labelled.groupBy("token")
-        .agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("low"), F.max("component").alias("high"))
-        .where((F.col("low") != F.col("high")) & (F.col("size") >= 3))
-        .select("token", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+        labelled.groupBy("token", "tile")
+        .agg(
+            F.count(F.lit(1)).alias("size"),
+            F.min("component").alias("low"),
+            F.max("component").alias("high"),
+            F.max("band").alias("top"),
+            F.bit_xor(mark).alias("x"),
+            F.sum(mark.cast("decimal(38,0)")).alias("y"),
+        )
+        # Two members have met already, one of them being the hub.
+        .where((F.col("low") != F.col("high")) & (F.col("size") >= 3) & (F.col("top") == F.col("tile")))
+        # A passage gives many tiles with the same members; one of them will do.
+        .groupBy("tile", "size", "x", "y")
+        .agg(F.min("token").alias("token"))
+        .select("token", "tile", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
     )
     block = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     rows = (
-        labelled.join(open_tiles, "token")
+        labelled.join(open_tiles, ["token", "tile"])
         .withColumn("block", block)
         .withColumn("other", other)
-        .select(
-            "token", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "doc_id", "component"
-        )
+        .withColumn("own", (F.col("band") == F.col("tile")).cast("int"))
+        .withColumn("p", F.least("block", "other"))
+        .withColumn("q", F.greatest("block", "other"))
         .join(nodes.select("doc_id", "n", "marks"), "doc_id")
-        .select("token", "p", "q", "block", "doc_id", "component", "n", "marks")
-        .repartition("token", "p", "q")
-        .sortWithinPartitions("token", "p", "q", "n")
+        .select("token", "tile", "p", "q", "block", "own", "doc_id", "component", "n", "marks")
+        .repartition("token", "tile", "p", "q")
+        .sortWithinPartitions("token", "tile", "p", "q", "n")
     )
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in key_groups(batches, 3):
+        for group in key_groups(batches, 4):
             if group.num_rows < 2:
                 continue
             p, q = group.column("p")[0].as_py(), group.column("q")[0].as_py()
-            block, ids, component, n = (group.column(c).to_numpy() for c in ("block", "doc_id", "component", "n"))
+            block, own, ids, component, n = (
+                group.column(c).to_numpy() for c in ("block", "own", "doc_id", "component", "n")
+            )
             if component.min() == component.max():
                 continue
             marks = [np.frombuffer(m, np.uint64) for m in group.column("marks").to_pylist()]
@@ -256,7 +294,7 @@ def _leftover_pairs(members: DataFrame, labels: DataFrame, nodes: DataFrame, per
             out_b: list[int] = []
             for i in range(len(ids)):
                 near = np.arange(i + 1, upto[i])
-                near = near[component[near] != component[i]]
+                near = near[(component[near] != component[i]) & (own[near] | own[i] > 0)]
                 if p != q:
                     near = near[block[near] != block[i]]
                 by_width: dict[int, list[int]] = {}
@@ -264,11 +302,11 @@ def _leftover_pairs(members: DataFrame, labels: DataFrame, nodes: DataFrame, per
                     by_width.setdefault(len(marks[j]), []).append(j)
                 for words, places in by_width.items():
                     words = min(words, len(marks[i]))
-                    own = _folded(marks[i], words)
+                    mine = _folded(marks[i], words)
                     for begin in range(0, len(places), 256):
                         part = places[begin : begin + 256]
                         table = np.stack([_folded(marks[j], words) for j in part])
-                        bound = (n[i] + n[part] - np.bitwise_count(table ^ own).sum(axis=1)) // 2
+                        bound = (n[i] + n[part] - np.bitwise_count(table ^ mine).sum(axis=1)) // 2
                         good = (100 + percent) * bound >= percent * (n[i] + n[part])
                         for j, b in zip(np.asarray(part)[good].tolist(), bound[good].tolist(), strict=True):
                             x, y = sorted((int(ids[i]), int(ids[j])))
@@ -313,21 +351,47 @@ def _components(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, D
         .distinct()
     )
     checked = materialize(_passing(pairs, nodes, percent), "jaccard-pairs")
-    edges = ties.unionByName(_linked(checked, docs, width, percent))
+    texts = _Texts(docs)
+    held = texts.of(checked)
+
+    # Each node's most promising hub first; other hubs only where that leaves two components.
+    nearest = checked.groupBy("b").agg(F.max(F.struct("share", "a"))["a"].alias("a"))
+    edges = ties.unionByName(_linked(nearest, held, width, percent))
     labels = materialize(connected(edges), "jaccard-labels")
+    others = materialize(_apart(checked, labels).join(nearest, ["a", "b"], "left_anti"), "jaccard-pairs")
+    edges, labels = _joined_by(others, held, edges, labels, width, percent)
+
     for first_only in (True, False):
         left = _leftover_pairs(members, labels, nodes, percent, first_only)
-        left = materialize(left.join(checked, ["a", "b"], "left_anti"), "jaccard-pairs")
+        left = materialize(left.join(checked.select("a", "b"), ["a", "b"], "left_anti"), "jaccard-pairs")
         if left.isEmpty():
             break
-        checked = checked.unionByName(left)
-        found = _linked(left, docs, width, percent)
-        if not found.isEmpty():
-            edges = edges.unionByName(found)
-            labels = materialize(connected(edges), "jaccard-labels")
+        checked = checked.select("a", "b").unionByName(left)
+        edges, labels = _joined_by(left, texts.of(left), edges, labels, width, percent)
     return rows, labels
 
 
+def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs whose ends are in different components."""
+    of = lambda end: labels.select(F.col("node").alias(end), F.col("component").alias(f"c_{end}"))
+    component = lambda end: F.coalesce(f"c_{end}", end)
+    return (
+        pairs.select("a", "b").join(of("a"), "a", "left").join(of("b"), "b", "left")
+        .where(component("a") != component("b")).select("a", "b")
+    )
+
+
+def _joined_by(pairs: DataFrame, texts: DataFrame, edges: DataFrame, labels: DataFrame, width: int, percent: int):
+    """Edges and labels with the links among `pairs`."""
+    if pairs.isEmpty():
+        return edges, labels
+    found = _linked(pairs, texts, width, percent)
+    if found.isEmpty():
+        return edges, labels
+    edges = edges.unionByName(found)
+    return edges, materialize(connected(edges), "jaccard-labels")
+
+
 def keep_first_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """One row of each component: that of the smallest `doc_id`. Rows without a `doc_id` all stay."""
     rows, labels = _components(docs.select("doc_id", "text"), width, percent)
