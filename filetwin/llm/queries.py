@@ -5,12 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chat import chat_windows, conversation_digests
+from .class_lm import score_texts
 from .common import crc_mod, documents
 from .decontaminate import find_leaks
 from .jaccard import jaccard_components
 from .language import predict_language, train_language_model
+from .multi_index import search
 from .pack import pack
 from .pii import find_pii
+from .suffix_dedup import drop_repeated_strings
+from .window_dedup import drop_repeated_windows
 
 
 def tokenizer_path() -> str:
@@ -19,6 +24,21 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 50 == 0)
+
+
+def op2_superkmer_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drop_repeated_windows(documents(spark, sf_dir)).drop("kept")
+
+
+def op3_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    probe = "</s>[INST] ok [/INST]"
+    added = spark.createDataFrame([(-7, 0, "user", probe), (-7, 1, "assistant", probe)], told.schema)
+    return conversation_digests(chat_windows(told.unionByName(added)))
+
+
 def op4_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(documents(spark, sf_dir))
 
@@ -27,6 +47,14 @@ def op5_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(documents(spark, sf_dir))
 
 
+def op6_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(documents(spark, sf_dir), crc_mod("doc_id", 7) == 2)
+
+
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drop_repeated_strings(documents(spark, sf_dir)).drop("kept")
+
+
 def op8_hierarchical_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), tokenizer_path())
 
@@ -45,7 +73,18 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op4_sanitise, op5_jaccard_components, op8_hierarchical_pack, op9_language, op10_decontaminate)
+    for f in (
+        op1_multi_index,
+        op2_superkmer_dedup,
+        op3_chat_windows,
+        op4_sanitise,
+        op5_jaccard_components,
+        op6_class_lm,
+        op7_suffix_dedup,
+        op8_hierarchical_pack,
+        op9_language,
+        op10_decontaminate,
+    )
 }
 
 SQL: dict[str, str] = {}
