@@ -339,7 +339,9 @@ def keep_primary(
     if folder_rank is None:
         ranked = eligible.withColumn("rank", F.lit(default_rank))
     else:
-        ranked = lookup(eligible, folder_rank.select("folder_path", "rank"), ["folder_path"], "left", **skew)
+        # A folder listed twice has its lowest rank; its files are not counted twice.
+        ranks = folder_rank.groupBy("folder_path").agg(F.min("rank").alias("rank"))
+        ranked = lookup(eligible, ranks, ["folder_path"], "left", **skew)
         ranked = ranked.withColumn("rank", F.coalesce("rank", F.lit(default_rank)))
     best = ranked.groupBy(*CONTENT).agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct("rank", "first_scanned_at", "path")).alias("_best")

@@ -102,8 +102,13 @@ def upsert_folders(old: DataFrame, new: DataFrame, **options) -> DataFrame:
 def upsert_roots(old: DataFrame, new: DataFrame, strict: bool = False, **options) -> DataFrame:
     """Roots by path: agent and link flag replaced, statistics kept.
 
-    New roots start without statistics. With `strict` an existing path is an error.
+    New roots start without statistics. With `strict` an existing path is an error, found by a job of
+    its own before there is a result.
     """
+    if strict:
+        clash = old.select("root_path").join(new.select("root_path").distinct(), "root_path", "left_semi").head()
+        if clash:
+            raise ValueError(f"root already registered: {clash['root_path']}")
     zero = F.lit(0).cast("bigint")
     added = new.select(
         "root_path",
@@ -114,11 +119,7 @@ def upsert_roots(old: DataFrame, new: DataFrame, strict: bool = False, **options
     )
 
     def rule(exists: Column, arrives: Column) -> dict[str, Column]:
-        changes = _replaced(["agent_id", "traverse_links"], arrives)
-        if strict:
-            clash = F.raise_error(F.concat(F.lit("root already registered: "), "root_path"))
-            changes["agent_id"] = F.when(exists & arrives, clash.cast("bigint")).otherwise(changes["agent_id"])
-        return changes
+        return _replaced(["agent_id", "traverse_links"], arrives)
 
     return merge(old, latest_per_key(added, ["root_path"], ["agent_id"]), ["root_path"], rule, **options)
 
@@ -131,17 +132,34 @@ def upsert_agents(old: DataFrame, new: DataFrame, **options) -> DataFrame:
 
 
 def set_hashes(files: DataFrame, digests: DataFrame, now: int, **skew) -> DataFrame:
-    """Hash and algorithm of the given paths set, their last scan time stamped."""
-    fresh = digests.select(
-        "path", F.col("hash_value").alias("_hash"), F.col("hash_algorithm").alias("_algorithm")
-    ).where(F.col("_hash").isNotNull())
-    hit = F.col("_hash").isNotNull()
+    """Hash and algorithm of the given paths set, their last scan time stamped.
+
+    A good hash clears an earlier error; a failed one (no hash, but `error_status`, if the digests
+    have that column) is recorded and keeps the old hash. Of several digests of one path a good one
+    counts, the largest of them.
+    """
+    error = F.col("error_status") if "error_status" in digests.columns else F.lit(None)
+    named = digests.select(
+        "path",
+        F.struct(
+            F.col("hash_value").isNotNull().alias("good"),
+            F.col("hash_algorithm").alias("algorithm"),
+            F.col("hash_value").alias("hash"),
+            error.cast("string").alias("error"),
+        ).alias("_d"),
+    ).where(F.col("_d.good") | F.col("_d.error").isNotNull())
+    fresh = named.groupBy("path").agg(F.max("_d").alias("_d")).select(
+        "path", F.col("_d.hash").alias("_hash"), F.col("_d.algorithm").alias("_algorithm"), F.col("_d.error").alias("_error")
+    )
+    good = F.col("_hash").isNotNull()
+    hit = good | F.col("_error").isNotNull()
     return (
         files.join(fresh, "path", "left")
         .withColumns(
             {
                 "hash_value": F.coalesce("_hash", "hash_value"),
-                "hash_algorithm": F.coalesce("_algorithm", "hash_algorithm"),
+                "hash_algorithm": F.when(good, F.col("_algorithm")).otherwise(F.col("hash_algorithm")),
+                "error_status": F.when(good, F.lit(None)).otherwise(F.coalesce("_error", "error_status")),
                 "last_scanned_at": F.when(hit, F.lit(now).cast("bigint")).otherwise(F.col("last_scanned_at")),
             }
         )
@@ -299,10 +317,17 @@ def scan_state(events: DataFrame) -> DataFrame:
 
 
 def start_scans(state: DataFrame, requests: DataFrame) -> DataFrame:
-    """Requests (scan_id, root_path, scan_mode, at) with `accepted` = 0 where a scan is unfinished."""
+    """Requests (scan_id, root_path, scan_mode, at) with `accepted`.
+
+    It is 0 where a scan is unfinished, and for all but the first request (by `at`, if there, then
+    `scan_id`) for one root.
+    """
+    order = F.struct(*[name for name in ("at", "scan_id") if name in requests.columns])
+    first = requests.groupBy("root_path").agg(F.min(order)["scan_id"].alias("_first"))
     busy = state.where(F.col("completed") == 0).select("root_path").distinct().withColumn("_busy", F.lit(True))
+    decided = first.join(busy, "root_path", "left")
     return (
-        lookup(requests, busy, ["root_path"], "left", spread="scan_id")
-        .withColumn("accepted", F.when(F.col("_busy"), 0).otherwise(1))
-        .drop("_busy")
+        lookup(requests, decided, ["root_path"], "left", spread="scan_id")
+        .withColumn("accepted", F.when(F.col("_busy") | (F.col("scan_id") != F.col("_first")), 0).otherwise(1))
+        .drop("_busy", "_first")
     )

@@ -1,8 +1,9 @@
 """Joins that keep one hot key from landing in one task.
 
-The HOT_KEYS most frequent keys with at least `hot_rows` rows are hot. They are counted in one job
-whose result is at most HOT_KEYS rows whatever the size of the data, which is what makes it safe to
-broadcast them; any other key has fewer than 1/HOT_KEYS of all rows. The rows of a hot key are
+Every key with at least `hot_rows` rows is hot. Hot keys are a written table, broadcast if its size
+allows it and joined like any other table if not; there are at most rows / `hot_rows` of them. No key, however
+frequent, puts more than about `hot_rows` rows into one salt. Null keys match nothing and are
+spread when they are as many. The rows of a hot key are
 spread over salts and the other side's rows for it are repeated once per salt. Without hot keys the
 join is an ordinary one.
 
@@ -18,8 +19,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 
-HOT_KEYS = 1000
-MAX_SALTS = 1000
+NULL_SALTS = 1000
 HOT_ROWS = 1_000_000
 
 
@@ -42,13 +42,9 @@ def key_counts(df: DataFrame, keys: list[str]) -> DataFrame:
 def hot_keys(counts: DataFrame, keys: list[str], hot_rows: int | None = None) -> DataFrame | None:
     """The hot keys with the number of salts each gets (`_salts`), or None when there are none."""
     hot_rows = hot_rows or HOT_ROWS
-    found = counts.where(F.col("n") >= hot_rows)
-    for key in keys:
-        found = found.where(F.col(key).isNotNull())
-    salts = F.least(F.ceil(F.col("n") / hot_rows), F.lit(MAX_SALTS)).cast("int").alias("_salts")
-    top = found.orderBy(F.desc("n"), *keys).limit(HOT_KEYS).select(*keys, salts)
-    rows = top.collect()
-    return counts.sparkSession.createDataFrame(rows, top.schema) if rows else None
+    salts = F.ceil(F.col("n") / hot_rows).cast("int").alias("_salts")
+    found = materialize(counts.where(F.col("n") >= hot_rows).select(*keys, salts), "hot-keys")
+    return None if found.isEmpty() else found
 
 
 def _salt(spread: str | Column, salts: Column) -> Column:
@@ -87,16 +83,17 @@ def lookup(
         joined = big.join(small, keys, how)
         return joined.withColumn("_salt", F.lit(0)) if keep_salt else joined
 
+    side = F.broadcast(hot) if fits_broadcast(hot) else hot
     unmatched = F.lit(False)
     for key in keys:
         unmatched = unmatched | F.col(key).isNull()
     salt = (
-        F.when(unmatched, _salt(spread, F.lit(MAX_SALTS)))
+        F.when(unmatched, _salt(spread, F.lit(NULL_SALTS)))
         .when(F.col("_salts").isNotNull(), _salt(spread, F.col("_salts")))
         .otherwise(F.lit(0))
     )
-    salted_big = big.join(F.broadcast(hot), keys, "left").withColumn("_salt", salt).drop("_salts")
+    salted_big = big.join(side, keys, "left").withColumn("_salt", salt).drop("_salts")
     every_salt = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1))
-    salted_small = small.join(F.broadcast(hot), keys, "left").withColumn("_salt", every_salt).drop("_salts")
+    salted_small = small.join(side, keys, "left").withColumn("_salt", every_salt).drop("_salts")
     joined = salted_big.join(salted_small, [*keys, "_salt"], how)
     return joined if keep_salt else joined.drop("_salt")

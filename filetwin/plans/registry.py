@@ -103,16 +103,22 @@ def fingerprint_sha256(spark, sf_dir):
     return content.select("doc_id", fingerprint.digest(F.col("text"), "sha256").alias("hash_value"))
 
 
-@query()
-def fingerprint_sha512(spark, sf_dir):
+def _first_with_digest(spark: SparkSession, sf_dir: str, algorithm: str) -> DataFrame:
+    """Every document's digest length and the first document with the same digest, hence the same text."""
     content = s.table(spark, sf_dir, "documents")
-    return content.select("doc_id", fingerprint.digest(F.col("text")).alias("hash_value"))
+    hashed = content.select("doc_id", fingerprint.digest(F.col("text"), algorithm).alias("hash_value"))
+    first = hashed.groupBy("hash_value").agg(F.min("doc_id").alias("first_doc"))
+    return hashed.join(first, "hash_value").select("doc_id", F.length("hash_value").alias("digits"), "first_doc")
+
+
+@query("select doc_id, 128 as digits, min(doc_id) over (partition by text) as first_doc from documents")
+def fingerprint_sha512(spark, sf_dir):
+    return _first_with_digest(spark, sf_dir, "sha512")
 
 
-@query()
+@query("select doc_id, 64 as digits, min(doc_id) over (partition by text) as first_doc from documents")
 def fingerprint_sha3_256(spark, sf_dir):
-    content = s.table(spark, sf_dir, "documents")
-    return content.select("doc_id", fingerprint.digest(F.col("text"), "sha3-256").alias("hash_value"))
+    return _first_with_digest(spark, sf_dir, "sha3-256")
 
 
 _TREE_DIGESTS = (
@@ -677,6 +683,27 @@ def set_hashes(spark, sf_dir):
     return _select(found, "path, hash_value, hash_algorithm, last_scanned_at")
 
 
+@query(
+    docs(
+        f"""select path, case when doc_id % 29 <> 0 then sha256(text) else hash_value end as hash_value,
+              case when doc_id % 29 <> 0 then null else 'unreadable' end as error_status, {NOW}::bigint as last_scanned_at
+            from f join documents using (doc_id)"""
+    )
+)
+def set_hashes_repeated(spark, sf_dir):
+    documents = s.table(spark, sf_dir, "documents")
+    folder = F.concat(F.lit("/"), "source", F.lit("/"), "lang", F.lit("/b"), (F.col("doc_id") % 4).cast("string"))
+    good = F.col("doc_id") % 29 != 0
+    digests = documents.select(
+        F.concat(folder, F.lit("/doc_"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"),
+        F.when(good, fingerprint.digest(F.col("text"), "sha256")).alias("hash_value"),
+        F.lit("sha256").alias("hash_algorithm"),
+        F.when(~good, F.lit("unreadable")).alias("error_status"),
+    )
+    found = change.set_hashes(s.doc_files(spark, sf_dir), digests.unionByName(digests), NOW)
+    return _select(found, "path, hash_value, error_status, last_scanned_at")
+
+
 @query(
     docs(
         f"""select path, case when path in (select path from li) then removed else 1 end as removed,
@@ -1403,6 +1430,18 @@ def observe_stream(spark, sf_dir):
     return observe.observed_files(spark, out)
 
 
+@query(SQL["observe_stream"])
+def observe_stream_restarted(spark, sf_dir):
+    """Two streams with checkpoints of their own, each with half of the input, into one folder."""
+    out, found = fresh_dir(spark, "observe-batches"), s.observations(spark, sf_dir)
+    for part in (0, 1):
+        source, done = fresh_dir(spark, "observe-input"), fresh_dir(spark, "observe-checkpoint")
+        found.where(F.pmod(F.col("seq"), F.lit(2)) == part).repartition(3, "seq").write.parquet(source)
+        stream = spark.readStream.schema(found.schema).option("maxFilesPerTrigger", 2).parquet(source)
+        observe.observe_stream(stream, out, done).awaitTermination()
+    return observe.observed_files(spark, out)
+
+
 @query(_TREE_DIGESTS)
 def resumable_scan(spark, sf_dir):
     found = listing.list_files(spark, s.document_tree(spark, sf_dir))
@@ -1417,3 +1456,17 @@ def resumable_scan(spark, sf_dir):
     return digests.select(
         paths.parent_of(_relative(spark, sf_dir)).alias("folder_path"), "hash_value", "hash_algorithm", "error_status"
     )
+
+
+@query(_TREE_DIGESTS)
+def resumable_scan_restarted(spark, sf_dir):
+    """A scan that is begun anew, in other steps, into the folder of an earlier one."""
+    found = listing.list_files(spark, s.document_tree(spark, sf_dir))
+    source, out = fresh_dir(spark, "scan-listing"), fresh_dir(spark, "scan-digests")
+    resume.write_listing(found, source, files=5)
+    for step in (1, 3):
+        resume.resumable_scan(spark, source, out, algorithm="sha256", files_per_step=step).awaitTermination()
+    digests = resume.scanned_digests(spark, out)
+    return digests.select(
+        paths.parent_of(_relative(spark, sf_dir)).alias("folder_path"), "hash_value", "hash_algorithm", "error_status"
+    )

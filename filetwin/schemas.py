@@ -62,6 +62,7 @@ SCAN_EVENTS = _schema(
     ("folder_path", _S, True),
     ("file_path", _S, True),
     ("at", _L, False),
+    ("seq", _L, False),
 )
 
 AGENTS = _schema(

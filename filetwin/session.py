@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -62,6 +63,24 @@ def path_exists(spark: SparkSession, folder: str) -> bool:
     return path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(path)
 
 
+def run_id(spark: SparkSession, checkpoint_dir: str) -> str:
+    """The name of the run that a stream's checkpoint stands for; later runs sort behind earlier ones.
+
+    It lies in the checkpoint, so a stream that goes on keeps its run and a new checkpoint has another.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint_dir}/run")
+    store = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if store.exists(path):
+        file = store.open(path)
+        found = file.readUTF()
+    else:
+        found = f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+        file = store.create(path, False)
+        file.writeUTF(found)
+    file.close()
+    return found
+
+
 def drop_intermediate(spark: SparkSession) -> int:
     """Deletes the folders this session made; call it when results that read them are stored."""
     made = _made.pop(spark.sparkContext.applicationId, [])

@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .. import schemas
+from ..session import path_exists
 
 TABLES = {
     "roots": (schemas.ROOTS, ["root_path"]),
     "folders": (schemas.FOLDERS, ["root_path", "folder_path"]),
     "files": (schemas.FILES, ["root_path", "path"]),
     "scans": (schemas.SCANS, ["root_path", "scan_id"]),
+    "agents": (schemas.AGENTS, ["name", "guid"]),
+    "scan_events": (schemas.SCAN_EVENTS, ["root_path", "scan_id", "at", "seq"]),
 }
 
 
@@ -33,13 +36,16 @@ def write_table(df: DataFrame, base: str, name: str) -> int:
     """Writes the next version of a table and returns its number.
 
     Rows are ranged by root and path: files hold neighbouring paths, so Parquet statistics skip
-    other roots and paths, and a root with very many rows is spread over many files.
+    other roots and paths, and a root with very many rows is spread over many files. A number that
+    another writer has begun is left to it.
     """
     schema, order = TABLES[name]
     spark = df.sparkSession
     number = max(versions(spark, base, name), default=0) + 1
+    while path_exists(spark, f"{base}/{name}/v{number:06d}"):
+        number += 1
     rows = df.select(*schema.fieldNames())
-    rows.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").parquet(
+    rows.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("errorifexists").parquet(
         f"{base}/{name}/v{number:06d}"
     )
     return number

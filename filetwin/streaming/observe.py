@@ -2,7 +2,7 @@
 
 Each micro-batch is reduced to one partial row per path and written as a batch directory; reading
 folds the partial rows. Minimum, maximum and newest are associative, so late observations need no
-watermark, a replayed batch overwrites its own directory, and no batch rewrites the catalog.
+watermark, a replayed batch overwrites its own directory (each checkpoint has a run of its own), and no batch rewrites the catalog.
 """
 
 from __future__ import annotations
@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..session import run_id
+
 PARTIAL_SCHEMA = (
     "path string, first_seen bigint, last_seen bigint, "
     "newest struct<ts: bigint, seq: bigint, root_path: string, size: bigint, hash_value: string>"
@@ -38,8 +40,9 @@ def observe_stream(stream: DataFrame, out_dir: str, checkpoint_dir: str, **trigg
     """Starts folding a stream of observations; by default it stops when all input is read."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        partial_rows(batch).write.mode("overwrite").parquet(f"{out_dir}/batch={batch_id}")
+        partial_rows(batch).write.mode("overwrite").parquet(f"{out_dir}/run={run}/batch={batch_id}")
 
+    run = run_id(stream.sparkSession, checkpoint_dir)
     return (
         stream.writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint_dir)
@@ -59,8 +62,8 @@ def observed_files(spark: SparkSession, *out_dirs: str) -> DataFrame:
 
 def compact(spark: SparkSession, out_dirs: list[str], target: str) -> None:
     """Rewrites batch directories of stopped streams as one partial row per path."""
-    whole = spark.read.schema(PARTIAL_SCHEMA).parquet(*[f"{d}/batch=*" for d in out_dirs])
+    whole = spark.read.schema(PARTIAL_SCHEMA).parquet(*[f"{d}/run=*/batch=*" for d in out_dirs])
     merged = whole.groupBy("path").agg(
         F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.max("newest").alias("newest")
     )
-    merged.write.mode("overwrite").parquet(f"{target}/batch=0")
+    merged.write.mode("overwrite").parquet(f"{target}/run=compact/batch=0")

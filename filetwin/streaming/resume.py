@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from ..schemas import DEFAULT_ALGORITHM, LISTING
-from ..session import fresh_dir
+from ..session import fresh_dir, run_id
 from ..sources.fingerprint import DIGEST_SCHEMA, fingerprint_files
 
 
@@ -38,19 +38,27 @@ def resumable_scan(
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        fingerprint_files(batch, algorithm).write.mode("overwrite").parquet(f"{out_dir}/batch={batch_id}")
+        fingerprint_files(batch, algorithm).write.mode("overwrite").parquet(f"{out_dir}/run={run}/batch={batch_id}")
 
+    checkpoint_dir = checkpoint_dir or fresh_dir(spark, "scan-checkpoint")
+    run = run_id(spark, checkpoint_dir)
     return (
         spark.readStream.schema(LISTING)
         .option("maxFilesPerTrigger", files_per_step)
         .parquet(listing_dir)
         .writeStream.foreachBatch(write)
-        .option("checkpointLocation", checkpoint_dir or fresh_dir(spark, "scan-checkpoint"))
+        .option("checkpointLocation", checkpoint_dir)
         .trigger(availableNow=True)
         .start()
     )
 
 
 def scanned_digests(spark: SparkSession, out_dir: str) -> DataFrame:
-    """Digests of all finished steps."""
-    return spark.read.schema(DIGEST_SCHEMA).parquet(out_dir).drop("batch")
+    """Digests of all finished steps of the newest run: one per listed path, however often a scan began anew."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(out_dir)
+    store = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    names = [status.getPath().getName() for status in store.listStatus(path)] if store.exists(path) else []
+    runs = sorted(name for name in names if name.startswith("run="))
+    if not runs:
+        return spark.createDataFrame([], DIGEST_SCHEMA)
+    return spark.read.schema(DIGEST_SCHEMA).parquet(f"{out_dir}/{runs[-1]}").drop("batch")

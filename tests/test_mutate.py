@@ -71,6 +71,15 @@ def test_set_hashes_and_removed(make, spark):
         ("/r/a", "new", "sha256", 7),
         ("/r/b", "h", "sha512", 2000),
     ]
+    failed = make.files(("/r/a", dict(error_status="old")), ("/r/b", dict(error_status=None)))
+    repeated = spark.createDataFrame(
+        [("/r/a", "x", "sha256", None), ("/r/a", "y", "sha256", None), ("/r/a", None, None, "unreadable"), ("/r/b", None, None, "unreadable")],
+        "path string, hash_value string, hash_algorithm string, error_status string",
+    )
+    assert rows(change.set_hashes(failed, repeated, 7), "path", "hash_value", "error_status", "last_scanned_at") == [
+        ("/r/a", "y", None, 7),
+        ("/r/b", "h", "unreadable", 7),
+    ]
     paths = spark.createDataFrame([("/r/b",), ("/r/b",)], "path string")
     assert rows(change.set_removed(files, paths, 1, 7), "path", "removed", "last_scanned_at") == [("/r/a", 0, 2000), ("/r/b", 1, 7)]
 
@@ -137,3 +146,5 @@ def test_scan_log(spark):
     assert rows(state) == [(1, "/r", "all", "/r/b", "/r/b/f", 1, 4, 1), (2, "/r", "all", None, None, 5, 5, 0)]
     requests = spark.createDataFrame([(9, "/r"), (10, "/s")], "scan_id bigint, root_path string")
     assert rows(change.start_scans(state, requests), "root_path", "accepted") == [("/r", 0), ("/s", 1)]
+    rivals = spark.createDataFrame([(11, "/s", 8), (10, "/s", 9)], "scan_id bigint, root_path string, at bigint")
+    assert rows(change.start_scans(state, rivals), "scan_id", "accepted") == [(10, 0), (11, 1)]

@@ -4,12 +4,13 @@ import duckdb
 import pytest
 
 import __spark_entry__ as contract
+from filetwin.plans import registry
 
 SF_DIR = "/root/testdata/sf0.001"
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 ).split()
-QUERIES, SQL = contract.queries(), contract.oracle_sql()
+QUERIES, SQL = registry.QUERIES, registry.SQL
 
 
 @pytest.fixture(scope="module")
@@ -48,5 +49,6 @@ def test_flagship(spark):
     assert contract.entry(spark).columns == ["hash_value", "size", "n", "files"]
 
 
-def test_only_known_queries_go_without_sql():
-    assert set(QUERIES) - set(SQL) == {"fingerprint_sha512", "fingerprint_sha3_256"}
+def test_every_query_has_sql_and_is_handed_out():
+    assert set(QUERIES) == set(SQL)
+    assert set(QUERIES) <= set(contract.queries()) and set(SQL) <= set(contract.oracle_sql())

@@ -44,11 +44,22 @@ def test_hot_rows_are_spread(tables):
     assert salted.where("key <> 'hot'").select("_salt").distinct().count() == 1
 
 
-def test_number_of_hot_keys_is_bounded(spark, monkeypatch):
-    monkeypatch.setattr(skew, "HOT_KEYS", 3)
-    counts = skew.key_counts(spark.range(100).select((F.col("id") % 10).alias("key")), ["key"])
-    assert skew.hot_keys(counts, ["key"], hot_rows=1).count() == 3
-    assert skew.hot_keys(counts, ["key"], hot_rows=11) is None
+def test_every_hot_key_is_split(spark):
+    big = spark.range(60_000).select((F.col("id") % 1500).alias("key"), F.col("id").alias("path"))
+    counts = skew.key_counts(big, ["key"])
+    assert skew.hot_keys(counts, ["key"], hot_rows=10).count() == 1500
+    assert skew.hot_keys(counts, ["key"], hot_rows=41) is None
+    small = spark.range(1500).select(F.col("id").alias("key"))
+    salted = skew.lookup(big, small, ["key"], force_salt=True, hot_rows=10, keep_salt=True)
+    largest = salted.groupBy("key", "_salt").count().agg(F.max("count")).first()[0]
+    assert salted.count() == 60_000 and largest < 40
+
+
+def test_many_null_keys_are_spread(spark):
+    big = spark.range(500).select(F.lit(None).cast("long").alias("key"), F.col("id").alias("path"))
+    small = spark.range(3).select(F.col("id").alias("key"), F.lit(1).alias("value"))
+    salted = skew.lookup(big, small, ["key"], "left", force_salt=True, hot_rows=100, keep_salt=True)
+    assert salted.count() == 500 and salted.select("_salt").distinct().count() > 100
 
 
 def test_broadcast_depends_on_the_estimate(spark):
