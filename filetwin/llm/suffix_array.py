@@ -24,21 +24,24 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
 
 def _smaller(text: np.ndarray) -> np.ndarray:
     """Which suffixes are smaller than the next one."""
-    step = np.sign(text[1:] - text[:-1])
+    step = np.sign(text[1:].astype(np.int32) - text[:-1])
     place = np.where(step != 0, np.arange(len(step)), len(step))
     nearest = np.minimum.accumulate(place[::-1])[::-1]
     return np.append(np.append(step, 1)[nearest] > 0, True)
 
 
 def _induced(text: np.ndarray) -> np.ndarray:
-    symbols, dense = np.unique(text, return_inverse=True)
-    if len(symbols) == len(text):
-        return np.argsort(dense, kind="stable")
-    if len(symbols) > WIDE:
+    used = np.bincount(text) > 0  # names and bytes are small numbers
+    n_symbols = int(used.sum())
+    dense = (np.cumsum(used) - 1)[text]
+    if n_symbols == len(text):
+        return np.argsort(dense)
+    if n_symbols > WIDE:
         return _doubled(dense)
+    dense = dense.astype(np.uint16)  # stable sorts of 16-bit keys take linear time
     small = _smaller(dense)
     lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
-    ends = np.cumsum(np.bincount(dense, minlength=len(symbols)))
+    ends = np.cumsum(np.bincount(dense, minlength=n_symbols))
     rough = _induce(dense, small, lms[np.argsort(dense[lms], kind="stable")], ends)
     is_lms = np.zeros(len(dense), bool)
     is_lms[lms] = True
@@ -112,8 +115,10 @@ def _doubled(text: np.ndarray) -> np.ndarray:
     rank, step = text.astype(np.int64), 1
     while True:
         after = np.append(rank[step:] + 1, np.zeros(min(step, len(rank)), np.int64))
-        order = np.lexsort((after, rank))
-        change = (rank[order][1:] != rank[order][:-1]) | (after[order][1:] != after[order][:-1])
+        both = rank * (len(rank) + 1) + after
+        order = np.argsort(both)
+        both = both[order]
+        change = both[1:] != both[:-1]
         rank = np.empty(len(text), np.int64)
         rank[order] = np.append(0, np.cumsum(change))
         if rank[order[-1]] == len(text) - 1:
@@ -121,11 +126,17 @@ def _doubled(text: np.ndarray) -> np.ndarray:
         step *= 2
 
 
-def permuted_common_prefixes(text: np.ndarray, order: np.ndarray, limit: int) -> np.ndarray:
-    """For each start, in the text's order, the longest prefix shared with a neighbour in `order`, up to `limit`."""
+def permuted_common_prefixes(text: np.ndarray, order: np.ndarray, limit: int, wanted: np.ndarray | None = None) -> np.ndarray:
+    """For each start, in the text's order, the longest prefix shared with a neighbour in `order`, up to `limit`.
+
+    With `wanted`, a mask of starts, only pairs of neighbours that are both wanted are compared.
+    """
     padded = np.append(text.astype(np.int64), np.full(limit + 4, -1))  # symbols below 2 ** 15
     four = sum((padded[k : len(padded) - 3 + k] & 0xFFFF) << (16 * k) for k in range(4))
     a, b = order[:-1], order[1:]
+    if wanted is not None:
+        pairs = wanted[a] & wanted[b]
+        a, b = a[pairs], b[pairs]
     common = np.zeros(len(a), np.int64)
     active = np.arange(len(a))
     for table, step in ((four, 4), (padded, 1)):  # by fours, then what is left singly

@@ -81,7 +81,9 @@ def _verdicts(batches: Iterable[pa.RecordBatch], length: int) -> Iterator[pa.Rec
     def sort_shard() -> pa.RecordBatch | None:
         nonlocal shard, held
         line = np.concatenate([np.append(data.astype(np.int16) + 1, np.int16(0)) for _, data, _ in shard])
-        repeated = permuted_common_prefixes(line, suffix_array(line), length) >= length
+        # Only starts with `length` bytes before their segment's end can repeat, and so can only their like.
+        starts = np.concatenate([np.arange(len(data) + 1) <= len(data) - length for _, data, _ in shard])
+        repeated = permuted_common_prefixes(line, suffix_array(line), length, starts) >= length
         out, at = [], 0
         for seg, data, whole in shard:
             flags = repeated[at : at + len(data) - length + 1]
