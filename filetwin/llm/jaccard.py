@@ -11,9 +11,9 @@ are fewer). Documents link when |A and B| / |A or B| >= percent / 100, computed
    of N near copies gives some N pairs, not N squared. The most promising pair of each member is settled
    first. What links is one component from now on; other pairs are settled if their ends are still apart.
 4. Leftovers. Tiles with members of several components are cut into blocks of at most BLOCK members and
-   pairs of blocks are dealt out; members of different components are compared by bitmap. First the most
-   promising pair of two components of a tile is settled, then, with the components that result, all that
-   are left. No pair of a tile that could join two components stays unseen, so components are exact.
+   pairs of blocks are dealt out; members of different components are compared by bitmap. Of two components
+   with more than FEW promising pairs in a tile, the best pair is settled first, and then, with the components
+   that result, all that are left. No pair that could join two components stays unseen: components are exact.
 5. Bitmaps have four bits an element or more. Each bit that differs stands for an element that only one
    set has, so bit counts bound the overlap from above. Pairs that pass have their sorted arrays
    intersected, rebuilt from the texts.
@@ -40,6 +40,7 @@ from .components import connected
 
 MAX_FREQUENT = 200_000
 BLOCK = 1024
+FEW = 4
 _LOCAL_FREQUENT = 4
 _FREQUENT = 16
 _COUNTED_AT_ONCE = 4_000_000
@@ -233,8 +234,12 @@ def _linked(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Dat
     return materialize(arrow_map(joined, make, "a long, b long").distinct(), "jaccard-links")
 
 
-def _leftover_pairs(members: DataFrame, labels: DataFrame, nodes: DataFrame, percent: int, first_only: bool):
-    """Pairs of different components in one tile that their bitmaps allow."""
+def _leftover_pairs(members: DataFrame, labels: DataFrame, nodes: DataFrame, percent: int, few: int | None):
+    """Pairs of different components in one tile that their bitmaps allow: `a`, `b`, `token`, `more`.
+
+    Where two components of a tile have more than `few` such pairs, only the most promising one is given,
+    with `more` set.
+    """
     labelled = members.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
         "token",
         "doc_id",
@@ -289,9 +294,9 @@ def _leftover_pairs(members: DataFrame, labels: DataFrame, nodes: DataFrame, per
             marks = [np.frombuffer(m, np.uint64) for m in group.column("marks").to_pylist()]
             # Within a group sizes ascend, so a row's candidates are the next rows of up to its size's share.
             upto = np.searchsorted(n * percent, n * 100, side="right")
+            token = int(group.column("token")[0].as_py())
             best: dict[tuple[int, int], tuple[int, int, int]] = {}
-            out_a: list[int] = []
-            out_b: list[int] = []
+            found: dict[tuple[int, int], list[tuple[int, int]]] = {}
             for i in range(len(ids)):
                 near = np.arange(i + 1, upto[i])
                 near = near[(component[near] != component[i]) & (own[near] | own[i] > 0)]
@@ -310,19 +315,23 @@ def _leftover_pairs(members: DataFrame, labels: DataFrame, nodes: DataFrame, per
                         good = (100 + percent) * bound >= percent * (n[i] + n[part])
                         for j, b in zip(np.asarray(part)[good].tolist(), bound[good].tolist(), strict=True):
                             x, y = sorted((int(ids[i]), int(ids[j])))
-                            if first_only:
-                                key = tuple(sorted((int(component[i]), int(component[j]))))
-                                best[key] = max(best.get(key, (-1, 0, 0)), (int(b), x, y))
-                            else:
-                                out_a.append(x)
-                                out_b.append(y)
-            for _, x, y in best.values():
-                out_a.append(x)
-                out_b.append(y)
-            if out_a:
-                yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
-
-    return rows.mapInArrow(run, "a long, b long").distinct()
+                            key = tuple(sorted((int(component[i]), int(component[j]))))
+                            best[key] = max(best.get(key, (-1, 0, 0)), (int(b), x, y))
+                            own_pairs = found.setdefault(key, [])
+                            if few is None or len(own_pairs) <= few:
+                                own_pairs.append((x, y))
+            out = []
+            for key, own_pairs in found.items():
+                more = few is not None and len(own_pairs) > few
+                out.extend((x, y, token, more) for x, y in ([best[key][1:]] if more else own_pairs))
+            if out:
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_())
+                columns = list(zip(*out, strict=True))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["a", "b", "token", "more"]
+                )
+
+    return rows.mapInArrow(run, "a long, b long, token long, more boolean")
 
 
 def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -361,13 +370,17 @@ def _components(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, D
     others = materialize(_apart(checked, labels).join(nearest, ["a", "b"], "left_anti"), "jaccard-pairs")
     edges, labels = _joined_by(others, held, edges, labels, width, percent)
 
-    for first_only in (True, False):
-        left = _leftover_pairs(members, labels, nodes, percent, first_only)
-        left = materialize(left.join(checked.select("a", "b"), ["a", "b"], "left_anti"), "jaccard-pairs")
-        if left.isEmpty():
+    for few in (FEW, None):
+        left = materialize(_leftover_pairs(members, labels, nodes, percent, few), "jaccard-pairs")
+        new = left.select("a", "b").distinct().join(checked.select("a", "b"), ["a", "b"], "left_anti")
+        new = materialize(new, "jaccard-pairs")
+        checked = checked.select("a", "b").unionByName(new)
+        edges, labels = _joined_by(new, texts.of(new), edges, labels, width, percent)
+        # Only tiles that held back pairs are looked at again, with the components as they are now.
+        again = left.where("more").select("token").distinct()
+        if again.isEmpty():
             break
-        checked = checked.select("a", "b").unionByName(left)
-        edges, labels = _joined_by(left, texts.of(left), edges, labels, width, percent)
+        members = members.join(again, "token", "left_semi")
     return rows, labels
 
 
