@@ -5,8 +5,11 @@ are fewer). Documents link when |A and B| / |A or B| >= percent / 100, computed
 
 1. Sets. Rows of one task with equal sets are tied to the first of them, which alone is a node.
 2. Tiles. Linked sets share one of their first |A| - ceil(percent |A| / 100) + 1 shingles in any common
-   order. The order puts shingles last that are frequent in some task's rows, then goes by hash. A tile
-   is such a shingle and a size band: sizes that may link differ by one band at most.
+   order. The order puts first those of the lowest COUNTED part of all hashes that only one set has, puts
+   last those frequent in some task's rows, and goes by hash otherwise. So sets post their counted shingles
+   and, once shingles of a single set are gone, drop as many of their last as they posted too many: a set
+   without near copies mostly keeps none. A tile is a shingle that is left and a size band: sizes that may
+   link differ by one band at most.
 3. Hubs. Each member of a tile is paired with the smallest id of its band and of the band below, so a group
    of N near copies gives some N pairs, not N squared. The most promising pair of each member is settled
    first. What links is one component from now on; other pairs are settled if their ends are still apart.
@@ -39,6 +42,7 @@ from .common import WordHashes, arrow_map, key_groups, mix, rolling, words_of
 from .components import connected
 
 MAX_FREQUENT = 200_000
+COUNTED = 0.28
 BLOCK = 1024
 FEW = 4
 _LOCAL_FREQUENT = 4
@@ -126,10 +130,12 @@ def _frequent(docs: DataFrame, width: int) -> np.ndarray:
 
 
 def _prepared(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Per row: its set's size, the row it is tied to, and for nodes bitmap and prefix."""
+    """Per row: its set's size, the row it is tied to, and for nodes bitmap, prefix and its surplus."""
     frequent = docs.sparkSession.sparkContext.broadcast(_frequent(docs, width))
-    names = ["doc_id", "n", "tied_to", "marks", "tokens"]
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
+    names = ["doc_id", "n", "tied_to", "marks", "tokens", "spare"]
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.int64())
+    # Below half of the range, so that signed and unsigned order agree for counted shingles.
+    counted = np.uint64(int(COUNTED * 2**64))
 
     def make():
         shingles, first, known = Shingler(width), {}, frequent.value
@@ -140,29 +146,50 @@ def _prepared(docs: DataFrame, width: int, percent: int) -> DataFrame:
                 values = shingles(text)
                 n = len(values)
                 if not n or doc_id is None:
-                    rows.append((doc_id, n, None, None, None))
+                    rows.append((doc_id, n, None, None, None, None))
                     continue
                 digest = (n, int(values.sum()), int(np.bitwise_xor.reduce(mix(values))))
                 node = first.setdefault(digest, doc_id)
                 if node != doc_id:
-                    rows.append((doc_id, n, node, None, None))
+                    rows.append((doc_id, n, node, None, None, None))
                     continue
                 length = n - (percent * n + 99) // 100 + 1
                 if len(known):
                     often = known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
-                    values_in_order = np.concatenate((values[~often], values[often]))
+                    seldom = values[~often]
+                    values_in_order = np.concatenate((seldom, values[often]))
                 else:
-                    values_in_order = values
-                prefix = values_in_order[:length].view(np.int64)
-                rows.append((doc_id, n, None, bitmap(values).tobytes(), prefix))
+                    seldom = values_in_order = values
+                spare = max(0, int(np.searchsorted(seldom, counted)) - length)
+                prefix = values_in_order[: length + spare].view(np.int64)
+                rows.append((doc_id, n, None, bitmap(values).tobytes(), prefix, spare))
             columns = list(zip(*rows, strict=True))
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
         return step
 
     source = docs.select(F.col("doc_id").cast("long"), "text")
-    found = arrow_map(source, make, "doc_id long, n long, tied_to long, marks binary, tokens array<long>")
-    return materialize(found, "jaccard-sets")
+    schema = "doc_id long, n long, tied_to long, marks binary, tokens array<long>, spare long"
+    return materialize(arrow_map(source, make, schema), "jaccard-sets")
+
+
+def _members(rows: DataFrame, percent: int) -> DataFrame:
+    """The tiles' members: `token`, `doc_id`, `band`."""
+    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(100 / percent)) + 1e-9) if percent < 100 else F.col("n")
+    postings = rows.select(F.explode("tokens").alias("token"), "doc_id", band.cast("int").alias("band"))
+    shared = postings.groupBy("token").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= 2).select("token")
+    # Rows that share a `doc_id` can't be told apart here; their surplus stays, which is never wrong.
+    spare = (
+        rows.where(F.col("marks").isNotNull()).groupBy("doc_id")
+        .agg(F.when(F.count(F.lit(1)) == 1, F.max("spare")).otherwise(0).alias("spare"))
+    )
+    # A row that posted a surplus posted counted shingles alone; those that are shared go by hash.
+    kept = F.slice(F.sort_array("tokens"), F.lit(1), F.greatest(F.lit(0), F.size("tokens") - F.col("spare")).cast("int"))
+    return (
+        postings.join(shared, "token", "left_semi")
+        .groupBy("doc_id", "band").agg(F.collect_set("token").alias("tokens"))
+        .join(spare, "doc_id").select(F.explode(kept).alias("token"), "doc_id", "band")
+    )
 
 
 def _passing(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -346,10 +373,7 @@ def _components(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, D
     rows = _prepared(docs, width, percent)
     nodes = rows.where(F.col("marks").isNotNull()).select("doc_id", "n", "marks")
     ties = rows.where(F.col("tied_to").isNotNull()).select(F.col("doc_id").alias("a"), F.col("tied_to").alias("b"))
-    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(100 / percent)) + 1e-9) if percent < 100 else F.col("n")
-    postings = rows.select(F.explode("tokens").alias("token"), "doc_id", band.cast("int").alias("band"))
-    shared = postings.groupBy("token").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= 2).select("token")
-    members = materialize(postings.join(shared, "token", "left_semi"), "jaccard-members")
+    members = materialize(_members(rows, percent), "jaccard-members")
 
     hubs = members.groupBy("token", "band").agg(F.min("doc_id").alias("hub"))
     pairs = (
