@@ -17,7 +17,7 @@ are fewer). Documents link when |A and B| / |A or B| >= percent / 100, computed
    pairs of blocks are dealt out; members of different components are compared by bitmap. Of two components
    with more than FEW promising pairs in a tile, the best pair is settled first, and then, with the components
    that result, all that are left. No pair that could join two components stays unseen: components are exact.
-5. Bitmaps have four bits an element or more. Each bit that differs stands for an element that only one
+5. Bitmaps have two bits an element or more. Each bit that differs stands for an element that only one
    set has, so bit counts bound the overlap from above. Pairs that pass have their sorted arrays
    intersected, rebuilt from the texts.
 
@@ -72,7 +72,7 @@ class Shingler:
 
 def bitmap(values: np.ndarray) -> np.ndarray:
     """Bit marks of hashed elements, in 64-bit words; the length is a power of two."""
-    bits = max(64, 1 << (4 * len(values) - 1).bit_length())
+    bits = max(64, 1 << (2 * len(values) - 1).bit_length())
     marks = np.zeros(bits, bool)
     marks[values & np.uint64(bits - 1)] = True
     return np.packbits(marks, bitorder="little").view(np.uint64)
