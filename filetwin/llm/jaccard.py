@@ -44,7 +44,7 @@ from .components import connected
 MAX_FREQUENT = 200_000
 COUNTED = 0.28
 BLOCK = 1024
-FEW = 4
+FEW = 32
 _LOCAL_FREQUENT = 4
 _FREQUENT = 16
 _COUNTED_AT_ONCE = 4_000_000
@@ -234,10 +234,14 @@ class _Texts:
 
 
 def _linked(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Pairs whose sets do reach the similarity."""
-    side = lambda end: texts.select(F.col("doc_id").alias(end), F.col("text").alias(f"text_{end}"))
+    """Pairs whose sets do reach the similarity: each pair meets the texts of its two ends in one task."""
+    ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("doc_id"))
+    met = (
+        ends.join(texts, "doc_id").select("a", "b", "doc_id", "text")
+        .repartition("a", "b").sortWithinPartitions("a", "b", "doc_id")
+    )
 
-    def make():
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, last = Shingler(width), {}
 
         def of(text: str) -> np.ndarray:
@@ -247,18 +251,19 @@ def _linked(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Dat
                 last[text] = shingles(text)
             return last[text]
 
-        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            keep = []
-            for x, y in zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist(), strict=True):
-                p, q = of(x), of(y)
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                keep.append((100 + percent) * both >= percent * (len(p) + len(q)) and both > 0)
-            return batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        def similar(x: np.ndarray, y: np.ndarray) -> bool:
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            return both > 0 and (100 + percent) * both >= percent * (len(x) + len(y))
 
-        return step
+        for group in key_groups(batches, 2):
+            a, b = group.column("a")[0].as_py(), group.column("b")[0].as_py()
+            of_a, of_b = [], []
+            for doc_id, text in zip(group.column("doc_id").to_pylist(), group.column("text").to_pylist(), strict=True):
+                (of_a if doc_id == a else of_b).append(of(text))
+            if any(similar(x, y) for x in of_a for y in of_b):
+                yield pa.RecordBatch.from_pydict({"a": pa.array([a], pa.int64()), "b": pa.array([b], pa.int64())})
 
-    joined = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b")
-    return materialize(arrow_map(joined, make, "a long, b long").distinct(), "jaccard-links")
+    return materialize(met.mapInArrow(run, "a long, b long"), "jaccard-links")
 
 
 def _leftover_pairs(members: DataFrame, labels: DataFrame, nodes: DataFrame, percent: int, few: int | None):
