@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import WordHashes, arrow_map, key_groups, mix, rolling, words_of
+from .common import arrow_map, key_groups, mix, rolling
 from .components import connected
 
 MAX_FREQUENT = 200_000
@@ -50,19 +50,44 @@ _FREQUENT = 16
 _COUNTED_AT_ONCE = 4_000_000
 
 
+_SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
+_BYTE = mix(np.arange(1, 257, dtype=np.uint64))
+_BYTE[65:91] = _BYTE[97:123]
+_SHORT = 1024
+
+
+def _places(count: int) -> np.ndarray:
+    return mix(np.arange(1000, 1000 + count, dtype=np.uint64))
+
+
+_PLACE = _places(_SHORT)
+
+
+def word_hashes(text: str | None) -> np.ndarray:
+    """A 64-bit hash of each word, A-Z lower-cased: its bytes' marks, weighted by their places in the word."""
+    raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
+    inside = np.flatnonzero(~_SPACE[raw])
+    if not len(inside):
+        return np.zeros(0, np.uint64)
+    starts = np.flatnonzero(np.diff(inside, prepend=-2) > 1)
+    lengths = np.diff(starts, append=len(inside))
+    place = np.arange(len(inside)) - np.repeat(starts, lengths)
+    longest = int(lengths.max())
+    weights = (_PLACE if longest <= _SHORT else _places(longest))[place]
+    return mix(np.add.reduceat(_BYTE[raw[inside]] * weights, starts) + lengths.astype(np.uint64))
+
+
 class Shingler:
     def __init__(self, width: int) -> None:
         self.width = width
-        self.hashes = WordHashes(lower=True)
 
     def runs(self, text: str | None) -> np.ndarray:
         """The shingle hashes of a text as they come."""
-        words = words_of(text)
-        if not words:
-            return np.zeros(0, np.uint64)
-        hashes = self.hashes.of(words)
-        if len(words) < self.width:
-            return mix(rolling(hashes, len(words)) + np.uint64(len(words)))
+        hashes = word_hashes(text)
+        if not len(hashes):
+            return hashes
+        if len(hashes) < self.width:
+            return mix(rolling(hashes, len(hashes)) + np.uint64(len(hashes)))
         return rolling(hashes, self.width)
 
     def __call__(self, text: str | None) -> np.ndarray:
