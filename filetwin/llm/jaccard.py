@@ -44,7 +44,7 @@ from .components import connected
 MAX_FREQUENT = 200_000
 COUNTED = 0.28
 BLOCK = 1024
-FEW = 32
+FEW = 4
 _LOCAL_FREQUENT = 4
 _FREQUENT = 16
 _COUNTED_AT_ONCE = 4_000_000
