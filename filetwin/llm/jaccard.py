@@ -34,6 +34,8 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -154,55 +156,106 @@ def _frequent(docs: DataFrame, width: int) -> np.ndarray:
     return np.sort(np.array([r[0] for r in top.select("token").collect()], np.int64).view(np.uint64))
 
 
+_DOC = "struct<n: long, tied_to: long, marks: binary, sure: array<long>, spare: long>"
+
+
 def _prepared(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Per row: its set's size, the row it is tied to, and for nodes bitmap, prefix and its surplus."""
+    """Rows of documents and the postings that others share, in one table: `key`, `doc_id`, `band`, `doc`.
+
+    A document's `doc` has its set's size, the row it is tied to, and for nodes the bitmap, the surplus and
+    the `sure` shingles of its prefix, which are known to be frequent. Rows without `doc` are postings of the
+    others: `key` is the shingle; they are dealt by it and stay if their neighbours by shingle have it too.
+    No frequent shingle is dealt, so none brings many rows to a task.
+    """
     frequent = docs.sparkSession.sparkContext.broadcast(_frequent(docs, width))
-    names = ["doc_id", "n", "tied_to", "marks", "tokens", "spare"]
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.int64())
+    doc_type = pa.struct(
+        {"n": pa.int64(), "tied_to": pa.int64(), "marks": pa.binary(), "sure": pa.list_(pa.int64()), "spare": pa.int64()}
+    )
     # Below half of the range, so that signed and unsigned order agree for counted shingles.
     counted = np.uint64(int(COUNTED * 2**64))
 
     def make():
         shingles, first, known = Shingler(width), {}, frequent.value
+        task, done = TaskContext.get().partitionId() << 32, 0
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            nonlocal done
+            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            rows, posted, owners, bands = [], [], [], []
+            for doc_id, text in zip(ids, texts, strict=True):
                 values = shingles(text)
                 n = len(values)
                 if not n or doc_id is None:
-                    rows.append((doc_id, n, None, None, None, None))
+                    rows.append({"n": n})
                     continue
                 digest = (n, int(values.sum()), int(np.bitwise_xor.reduce(mix(values))))
                 node = first.setdefault(digest, doc_id)
                 if node != doc_id:
-                    rows.append((doc_id, n, node, None, None, None))
+                    rows.append({"n": n, "tied_to": node})
                     continue
                 length = n - (percent * n + 99) // 100 + 1
+                often = values[:0]
                 if len(known):
-                    often = known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
-                    seldom = values[~often]
-                    values_in_order = np.concatenate((seldom, values[often]))
+                    found = known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
+                    values_left, often = values[~found], values[found]
                 else:
-                    seldom = values_in_order = values
-                spare = max(0, int(np.searchsorted(seldom, counted)) - length)
-                prefix = values_in_order[: length + spare].view(np.int64)
-                rows.append((doc_id, n, None, bitmap(values).tobytes(), prefix, spare))
-            columns = list(zip(*rows, strict=True))
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+                    values_left = values
+                spare = max(0, int(np.searchsorted(values_left, counted)) - length)
+                prefix = values_left[: length + spare]
+                sure = often[: max(0, length - len(prefix))].view(np.int64)
+                rows.append({"n": n, "marks": bitmap(values).tobytes(), "sure": sure, "spare": spare})
+                posted.append(prefix.view(np.int64))
+                owners.append(np.full(len(prefix), doc_id, np.int64))
+                bands.append(np.full(len(prefix), _band(n, percent), np.int32))
+            # A document's own row goes to any task, the same one whenever it is computed.
+            own = mix(np.arange(task + done, task + done + len(ids), dtype=np.uint64)).view(np.int64)
+            done += len(ids)
+            count = sum(map(len, posted))
+            columns = [
+                pa.array(np.concatenate((own, *posted))),
+                pa.concat_arrays([pa.array(ids, pa.int64()), pa.array(np.concatenate((own[:0], *owners)))]),
+                pa.concat_arrays([pa.nulls(len(ids), pa.int32()), pa.array(np.concatenate((np.zeros(0, np.int32), *bands)))]),
+                pa.concat_arrays([pa.array(rows, doc_type), pa.nulls(count, doc_type)]),
+            ]
+            return pa.RecordBatch.from_arrays(columns, ["key", "doc_id", "band", "doc"])
 
         return step
 
+    def shared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        before: int | None = None
+
+        def kept(table: pa.Table, after: int | None) -> pa.Table:
+            key = table.column("key").to_numpy()
+            same = key[1:] == key[:-1]
+            first, last = key[0] == before, key[-1] == after
+            return table.filter(pa.array(np.append(first, same) | np.append(same, last)))
+
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            posting = pc.is_valid(table.column("band"))
+            yield from table.filter(pc.invert(posting)).to_batches()
+            table = table.filter(posting)
+            if not table.num_rows:
+                continue
+            if held is not None:
+                yield from kept(held, table.column("key")[0].as_py()).to_batches()
+                before = held.column("key")[-1].as_py()
+            held = table
+        if held is not None:
+            yield from kept(held, None).to_batches()
+
     source = docs.select(F.col("doc_id").cast("long"), "text")
-    schema = "doc_id long, n long, tied_to long, marks binary, tokens array<long>, spare long"
-    return materialize(arrow_map(source, make, schema), "jaccard-sets")
+    schema = f"key long, doc_id long, band int, doc {_DOC}"
+    dealt = arrow_map(source, make, schema).repartition("key").sortWithinPartitions("key")
+    return materialize(dealt.mapInArrow(shared, schema), "jaccard-sets")
 
 
-def _members(rows: DataFrame, percent: int) -> DataFrame:
+def _members(prepared: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     """The tiles' members: `token`, `doc_id`, `band`."""
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(100 / percent)) + 1e-9) if percent < 100 else F.col("n")
-    postings = rows.select(F.explode("tokens").alias("token"), "doc_id", band.cast("int").alias("band"))
-    shared = postings.groupBy("token").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= 2).select("token")
+    sure = rows.where(F.size("sure") > 0).select(F.explode("sure").alias("token"), "doc_id", band.cast("int").alias("band"))
+    postings = prepared.where(F.col("band").isNotNull()).select(F.col("key").alias("token"), "doc_id", "band")
     # Rows that share a `doc_id` can't be told apart here; their surplus stays, which is never wrong.
     spare = (
         rows.where(F.col("marks").isNotNull()).groupBy("doc_id")
@@ -211,9 +264,9 @@ def _members(rows: DataFrame, percent: int) -> DataFrame:
     # A row that posted a surplus posted counted shingles alone; those that are shared go by hash.
     kept = F.slice(F.sort_array("tokens"), F.lit(1), F.greatest(F.lit(0), F.size("tokens") - F.col("spare")).cast("int"))
     return (
-        postings.join(shared, "token", "left_semi")
-        .groupBy("doc_id", "band").agg(F.collect_set("token").alias("tokens"))
+        postings.groupBy("doc_id", "band").agg(F.collect_set("token").alias("tokens"))
         .join(spare, "doc_id").select(F.explode(kept).alias("token"), "doc_id", "band")
+        .unionByName(sure)
     )
 
 
@@ -244,16 +297,25 @@ def _passing(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 class _Texts:
     """Texts of documents that occur in pairs, fetched once each into the shared folder."""
 
-    def __init__(self, docs: DataFrame) -> None:
+    def __init__(self, docs: DataFrame, nodes: DataFrame) -> None:
         self.docs = docs.select(F.col("doc_id").cast("long"), "text")
         self.table: DataFrame | None = None
+        repeated = nodes.groupBy("doc_id").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("doc_id")
+        self.repeated = materialize(repeated, "jaccard-repeated")
+        self.any_repeated = not self.repeated.isEmpty()
 
     def of(self, pairs: DataFrame) -> DataFrame:
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
         if self.table is not None:
             wanted = wanted.join(self.table.select("doc_id"), "doc_id", "left_anti")
         wanted = materialize(wanted, "jaccard-candidates")
-        fetched = materialize(self.docs.join(wanted, "doc_id", "left_semi").distinct(), "jaccard-texts")
+        found = self.docs.join(wanted, "doc_id", "left_semi")
+        if self.any_repeated:
+            # Only rows that share a `doc_id` can be equal.
+            found = found.join(self.repeated, "doc_id", "left_anti").unionByName(
+                found.join(self.repeated, "doc_id", "left_semi").distinct()
+            )
+        fetched = materialize(found, "jaccard-texts")
         self.table = fetched if self.table is None else self.table.unionByName(fetched)
         return self.table
 
@@ -298,13 +360,14 @@ def _leftover_pairs(members: DataFrame, labels: DataFrame, nodes: DataFrame, per
     with `more` set.
     """
     labelled = members.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
-        "token",
-        "doc_id",
-        F.coalesce("component", "doc_id").alias("component"),
-        "band",
-        # A tile of a band holds the band's own members and, to compare with them, those of the band below.
-        F.explode(F.array("band", F.col("band") + 1)).alias("tile"),
+        "token", "doc_id", F.coalesce("component", "doc_id").alias("component"), "band"
     )
+    # Most shingles have members of one component only, and are done with.
+    ends = labelled.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    open_tokens = ends.where(F.col("low") != F.col("high")).select("token")
+    labelled = materialize(labelled.join(open_tokens, "token", "left_semi"), "jaccard-open")
+    # A tile of a band holds the band's own members and, to compare with them, those of the band below.
+    labelled = labelled.withColumn("tile", F.explode(F.array("band", F.col("band") + 1)))
     mark = F.xxhash64("doc_id", "band")
     open_tiles = (
         labelled.groupBy("token", "tile")
@@ -400,10 +463,11 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
 
 
 def _components(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    rows = _prepared(docs, width, percent)
+    prepared = _prepared(docs, width, percent)
+    rows = prepared.where(F.col("doc").isNotNull()).select("doc_id", "doc.*")
     nodes = rows.where(F.col("marks").isNotNull()).select("doc_id", "n", "marks")
     ties = rows.where(F.col("tied_to").isNotNull()).select(F.col("doc_id").alias("a"), F.col("tied_to").alias("b"))
-    members = materialize(_members(rows, percent), "jaccard-members")
+    members = materialize(_members(prepared, rows, percent), "jaccard-members")
 
     hubs = members.groupBy("token", "band").agg(F.min("doc_id").alias("hub"))
     pairs = (
@@ -414,7 +478,7 @@ def _components(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, D
         .distinct()
     )
     checked = materialize(_passing(pairs, nodes, percent), "jaccard-pairs")
-    texts = _Texts(docs)
+    texts = _Texts(docs, nodes)
     held = texts.of(checked)
 
     # Each node's most promising hub first; other hubs only where that leaves two components.
