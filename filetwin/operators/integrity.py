@@ -6,6 +6,9 @@ Checks run for all roots at once. Orphans and cascade violations are found folde
 
 from __future__ import annotations
 
+from functools import reduce
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -372,6 +375,58 @@ def repair_statistics(roots: DataFrame, folders: DataFrame, files: DataFrame, li
     return kept.join(stats, "root_path").select(*roots.columns)
 
 
+class Repaired(NamedTuple):
+    """A catalog after all repairs, and per root and check the number of rows mended."""
+
+    roots: DataFrame
+    folders: DataFrame
+    files: DataFrame
+    fixed: DataFrame
+
+
+def repair_all(
+    roots: DataFrame, folders: DataFrame, files: DataFrame, now: int, live_only: bool = True, **skew
+) -> Repaired:
+    """All repairs in the order of the checks, each on what the one before has left.
+
+    `fixed` has `root_path`, `check`, `fixed` and the root's `issues_fixed`. Deleted files, unset parents and
+    newly marked files are told by comparing counts per root before and after, so no repair is joined twice. A
+    file with a future time counts once, and once more if its clamped times are still in the wrong order.
+    Mixed algorithms are reported, never repaired.
+    """
+    kept = materialize(repair_orphan_files(files, folders, **skew), "repair-files")
+    new_folders = materialize(repair_orphan_folders(folders, **skew), "repair-folders")
+    mended = repair_removed_cascade(repair_timestamps(kept, now), new_folders, now, **skew)
+    mended = materialize(mended, "repair-files")
+    new_roots = repair_statistics(roots, new_folders, mended, live_only)
+
+    limit = F.lit(now).cast("bigint")
+    still_inverted = F.least("first_scanned_at", limit) > F.least("last_scanned_at", limit)
+    times = F.when(_in_future(now), 1).otherwise(0) + F.when(still_inverted, 1).otherwise(0)
+    live = F.when(F.col("removed") == 0, 1).otherwise(0)
+    named = F.when(F.col("parent_path").isNotNull(), 1).otherwise(0)
+    tally = lambda rows, check, n: rows.select("root_path", F.lit(check).alias("check"), n.alias("n"))
+    parts = [
+        tally(files, FOREIGN_KEYS, F.lit(1)),
+        tally(kept, FOREIGN_KEYS, F.lit(-1)),
+        tally(folders, FOREIGN_KEYS, named),
+        tally(new_folders, FOREIGN_KEYS, -named),
+        tally(kept, TIMESTAMPS, times),
+        tally(kept, CASCADE, live),
+        tally(mended, CASCADE, -live),
+        tally(statistics_mismatch(roots, new_folders, mended, live_only), STATISTICS, F.lit(1)),
+    ]
+    counted = reduce(DataFrame.unionByName, parts).groupBy("root_path").agg(
+        *[F.sum(F.when(F.col("check") == name, F.col("n")).otherwise(0)).alias(name) for name in CHECKS]
+    )
+    each = [F.struct(F.lit(c).alias("check"), F.coalesce(c, F.lit(0)).cast("long").alias("fixed")) for c in CHECKS]
+    total = sum((F.coalesce(c, F.lit(0)) for c in CHECKS), F.lit(0)).cast("long")
+    fixed = roots.select("root_path").join(counted, "root_path", "left").select(
+        "root_path", total.alias("issues_fixed"), F.inline(F.array(*each))
+    )
+    return Repaired(new_roots, new_folders, mended, fixed)
+
+
 def constraint_violations(
     roots: DataFrame, folders: DataFrame, files: DataFrame, scans: DataFrame, **skew
 ) -> DataFrame:

@@ -947,6 +947,80 @@ def repair_statistics(spark, sf_dir):
     return _select(check.repair_statistics(*_dirty(spark, sf_dir)), ROOT_COLUMNS)
 
 
+_REPAIRED = ", ".join(
+    (
+    "kept as (select * from df where folder_path in (select folder_path from dfo))",
+    f"""mended as (select kept.* replace (
+          case when hit then 1 else removed end as removed,
+          (case when hit then {NOW} else greatest(least(last_scanned_at, {NOW}), least(first_scanned_at, {NOW})) end)::bigint
+            as last_scanned_at,
+          least(first_scanned_at, {NOW})::bigint as first_scanned_at)
+        from (select *, removed = 0 and folder_path in (select folder_path from dfo where removed = 1) as hit from kept) kept)""",
+    """recounted as (select root_path,
+          (select count(*) from dfo where removed = 0 and dfo.root_path = dr.root_path) as folder_count,
+          (select count(*) from mended where removed = 0 and mended.root_path = dr.root_path) as file_count,
+          (select coalesce(sum(size), 0)::bigint from mended where removed = 0 and mended.root_path = dr.root_path) as total_size
+        from dr)""",
+    )
+)
+
+
+def _repaired(spark, sf_dir):
+    return check.repair_all(*_dirty(spark, sf_dir), NOW)
+
+
+@query(docs(f"select {FILE_COLUMNS} from mended", _REPAIRED))
+def repair_all_files(spark, sf_dir):
+    return _select(_repaired(spark, sf_dir).files, FILE_COLUMNS)
+
+
+@query(
+    docs(
+        """select folder_path, case when parent_path in (select folder_path from dfo) then parent_path end as parent_path,
+             root_path from dfo"""
+    )
+)
+def repair_all_folders(spark, sf_dir):
+    return _select(_repaired(spark, sf_dir).folders, "folder_path, parent_path, root_path")
+
+
+@query(
+    docs(
+        """select dr.root_path, dr.agent_id, dr.traverse_links, dr.last_scan_date, r.folder_count, r.file_count, r.total_size
+           from dr join recounted r using (root_path)""",
+        _REPAIRED,
+    )
+)
+def repair_all_roots(spark, sf_dir):
+    return _select(_repaired(spark, sf_dir).roots, ROOT_COLUMNS)
+
+
+@query(
+    docs(
+        f"""select root_path, "check", coalesce(n, 0)::bigint as fixed,
+              sum(coalesce(n, 0)) over (partition by root_path)::bigint as issues_fixed
+            from (select root_path, unnest({check.CHECKS}) as "check" from dr) left join (
+              select root_path, "check", sum(n) as n from (
+                select root_path, '{check.FOREIGN_KEYS}' as "check", 1 as n from df
+                  where folder_path not in (select folder_path from dfo)
+                union all select root_path, '{check.FOREIGN_KEYS}', 1 from dfo
+                  where parent_path is not null and parent_path not in (select folder_path from dfo)
+                union all select root_path, '{check.TIMESTAMPS}', 1 from kept
+                  where first_scanned_at > {NOW} or last_scanned_at > {NOW}
+                union all select root_path, '{check.TIMESTAMPS}', 1 from kept
+                  where least(first_scanned_at, {NOW}) > least(last_scanned_at, {NOW})
+                union all select root_path, '{check.CASCADE}', 1 from kept
+                  where removed = 0 and folder_path in (select folder_path from dfo where removed = 1)
+                union all select root_path, '{check.STATISTICS}', 1 from dr join recounted r using (root_path)
+                  where dr.folder_count <> r.folder_count or dr.file_count <> r.file_count)
+              group by all) using (root_path, "check")""",
+        _REPAIRED,
+    )
+)
+def repair_all_report(spark, sf_dir):
+    return _repaired(spark, sf_dir).fixed
+
+
 # --- scalar functions ------------------------------------------------------------------------
 
 _GROWN = "(octet_length(encode(text))::bigint << ((doc_id % 5) * 10)::integer)"

@@ -113,3 +113,19 @@ def test_sample_is_cut_before_the_shuffle(damaged):
     _, folders, files = damaged
     plan = check.violation_sample(files, folders)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
+
+
+@pytest.mark.parametrize("skew", SALTED)
+def test_repair_run_counts_what_it_mends(damaged, skew):
+    done = check.repair_all(*damaged, NOW, **skew)
+    got = {(r.root_path, r.check): r.fixed for r in done.fixed.collect()}
+    assert len(got) == 15
+    assert got[("/r", check.FOREIGN_KEYS)] == 2
+    assert got[("/r", check.TIMESTAMPS)] == 2
+    assert got[("/r", check.CASCADE)] == 5
+    assert got[("/ok", check.STATISTICS)] == 1
+    assert all(n == 0 for (root, name), n in got.items() if root == "/empty" or name == check.ALGORITHM)
+    left = check.integrity_report(done.roots, done.folders, done.files, NOW)
+    assert {r.check for r in left.where("issues > 0").collect()} == {check.ALGORITHM}
+    again = check.repair_all(done.roots, done.folders, done.files, NOW, **skew)
+    assert {r.issues_fixed for r in again.fixed.collect()} == {0}
