@@ -1085,14 +1085,15 @@ def clean_path(spark, sf_dir):
 
 
 @query(
-    f"""select doc_id, upper(letter) || ':' || clean as stored from (
-          select doc_id, clean, (['c', 'D', 'z'])[doc_id % 3 + 1] as letter from ({_CLEAN}) where starts_with(messy, '/'))"""
+    f"""select doc_id, case when starts_with(messy, '/') then upper(letter) || ':' || clean else clean end as stored from (
+          select doc_id, clean, messy, (['c', 'D', 'z'])[doc_id % 3 + 1] as letter from ({_CLEAN}))"""
 )
 def storage_path(spark, sf_dir):
     letter = F.element_at(F.array(F.lit("c"), F.lit("D"), F.lit("z")), (F.col("doc_id") % 3 + 1).cast("int"))
-    rooted = s.messy_paths(spark, sf_dir).where(F.col("messy").startswith("/"))
+    # Relative paths have no drive letter and are stored clean.
     drive = F.concat(letter, F.lit(":"), paths.clean_path("messy"), F.lit("/./"))
-    return rooted.select("doc_id", paths.storage_path(drive).alias("stored"))
+    given = F.when(F.col("messy").startswith("/"), drive).otherwise(F.col("messy"))
+    return s.messy_paths(spark, sf_dir).select("doc_id", paths.storage_path(given).alias("stored"))
 
 
 @query(f"select doc_id, lower(clean) as path_key from ({_CLEAN})")
