@@ -332,10 +332,14 @@ def keep_primary(
     """In each set one primary copy, the others marked for deletion.
 
     The primary has the lowest rank of its folder (`folder_rank`: folder_path, rank), then the
-    oldest first sight, then the first path. It is found with a minimum per content, which
-    combines before the shuffle, not by ranking a whole set in one task.
+    oldest first sight, then the first path. Files are counted first, so that only repeated
+    contents go on; the primary is then a minimum per content, which combines before the shuffle,
+    not a ranking of a whole set in one task.
     """
     eligible = eligible_files(files).select("path", *CONTENT, "folder_path", "first_scanned_at")
+    counts = key_counts(eligible, CONTENT)
+    repeated = counts.where(F.col("n") >= 2).drop("n")
+    eligible = lookup(eligible, repeated, CONTENT, "left_semi", spread="path", counts=counts, **skew)
     if folder_rank is None:
         ranked = eligible.withColumn("rank", F.lit(default_rank))
     else:
@@ -343,10 +347,8 @@ def keep_primary(
         ranks = folder_rank.groupBy("folder_path").agg(F.min("rank").alias("rank"))
         ranked = lookup(eligible, ranks, ["folder_path"], "left", **skew)
         ranked = ranked.withColumn("rank", F.coalesce("rank", F.lit(default_rank)))
-    best = ranked.groupBy(*CONTENT).agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct("rank", "first_scanned_at", "path")).alias("_best")
-    )
-    primaries = best.where(F.col("n") >= 2).select(*CONTENT, F.col("_best.path").alias("primary_path"))
+    best = ranked.groupBy(*CONTENT).agg(F.min(F.struct("rank", "first_scanned_at", "path")).alias("_best"))
+    primaries = best.select(*CONTENT, F.col("_best.path").alias("primary_path"))
     members = lookup(eligible, primaries, CONTENT, "inner", spread="path", **skew)
     is_primary = F.col("path") == F.col("primary_path")
     return members.select(
