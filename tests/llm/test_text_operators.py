@@ -264,3 +264,14 @@ def test_empty_tables_give_empty_results(spark, empty):
         score_texts(empty, F.lit(False)),
     ):
         assert found.count() == 0
+
+
+def test_components_with_repeated_and_missing_ids(spark):
+    long = " ".join(f"w{i}" for i in range(60))
+    near = long.replace("w59", "other")
+    rows = [(2, long), (2, long), (2, "far off from all of these others here"), (5, near), (9, None), (None, long), (7, " ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_components(docs).collect())
+    assert got == Counter(
+        {(2, 56, 2): 2, (2, 4, 2): 1, (5, 56, 2): 1, (9, 0, 9): 1, (None, 56, None): 1, (7, 0, 7): 1}
+    )
