@@ -1,15 +1,22 @@
-"""A class-based bigram language model (Brown et al.) with exchange clustering.
+"""A class-based bigram language model (Brown et al.) with exchange clustering of all words.
+
+Every training word is in one of `classes` classes; the end of a text is a class of its own and starts the
+next. The `head` most frequent words only give the start: they are exchanged one by one, starting from
+classes by rank, until none moves, while all others count by shape (length, digits, punctuation). Then all
+words are exchanged in rounds. A round counts each word's left and right classes over all bigrams, and tasks
+move words to the class that raises the class bigrams' likelihood most, as if the word moved alone. After
+the first round, a word may move every other round, so that words do not swap places for ever. Rounds end
+when words that hold less than SETTLED of the tokens move, when the likelihood no longer rises (the better
+classes stay), or after ROUNDS.
 
-The `head` most frequent words are put into `classes` classes by exchange: starting from classes by rank,
-each word in turn moves to the class that raises the class bigrams' likelihood most. All other words belong
-to shape classes (length, digits, punctuation); the end of a text is a class of its own and starts the next.
 A text's probability is the product of class transitions and word emissions: transitions interpolate class
-bigrams with class frequencies by Witten and Bell's weights, emissions are relative frequencies within
-the class, with one count more per word of a shape class and one for all unseen words.
+bigrams with class frequencies by Witten and Bell's weights, emissions are relative frequencies within the
+class, with one count more per word and one for all unseen words. An unseen word is taken for one of the
+class that has most words of its shape seen once.
 
-Counts cover all training texts. Word counts and bigrams of head words and shapes are summed in the tasks
-and then by key. The DICTIONARY most frequent words go to all tasks (bounded); words beyond it are joined
-to the full table of counts, so nothing is cut off. Exchange sees at most (head + shapes + 1) squared counts.
+Counts cover all training texts. The DICTIONARY most frequent words go to all tasks with their classes
+(bounded); words beyond it are known by 59 bits of hash and their shape, and their counts and classes are
+joined, in training as in scoring, so nothing is cut off.
 
 Null texts are empty: one end token. Without training texts every count is 0 and the model's transitions
 and emissions are uniform. Rows that share a `doc_id` are scored one by one; rows without one are not
@@ -25,20 +32,27 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import arrow_map, ascii_lower, words_of
+from .common import arrow_map, ascii_lower, mix, words_of
+from .superkmers import whole_keys
 
 DICTIONARY = 200_000
 SHAPES = 12
+ROUNDS = 8
+SETTLED = 0.01
 _FLUSH = 500_000
+_LINE = 2_000_000
+_CELLS = 1 << 25
+_KIND = (1 << 16) - 1
 
 
 def shape(word: str) -> int:
-    """A class for words that have none of their own."""
+    """The kind of a word that has no class yet."""
     size = 0 if len(word) <= 4 else 1 if len(word) <= 9 else 2
     kind = 3 if any(c.isdigit() for c in word) else 0 if word.isalpha() else 1 if word[:-1].isalpha() else 2
     return size * 4 + kind
@@ -68,57 +82,61 @@ def _counts(training: DataFrame) -> DataFrame:
     return training.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-class Symbols(dict):
-    """Word to symbol: its rank among head words, or `head` plus its shape."""
+def rare_id(word: str) -> int:
+    """A negative id for a lower-cased word beyond the dictionary; the last four bits are its shape."""
+    value = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
+    return ((value | 1 << 63) & ~15 | shape(word)) - (1 << 64)
+
 
-    def __init__(self, ranks: dict[str, int], head: int) -> None:
+class Ids(dict):
+    """Word to its rank in the dictionary, or to a negative id."""
+
+    def __init__(self, ranks: dict[str, int]) -> None:
         super().__init__()
-        self.ranks, self.head = ranks, head
+        self.ranks = ranks
 
     def __missing__(self, word: str) -> int:
-        if len(self) >= 2 * _FLUSH:
+        if len(self) >= _FLUSH:
             self.clear()
         low = ascii_lower(word)
-        rank = self.ranks.get(low, self.head)
-        value = self[word] = rank if rank < self.head else self.head + shape(low)
+        rank = self.ranks.get(low)
+        value = self[word] = rare_id(low) if rank is None else rank
         return value
 
+    def of(self, words: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
-def _bigrams(training: DataFrame, ranks, head: int) -> DataFrame:
-    size = head + SHAPES + 1
+
+def _bigrams(training: DataFrame, ranks) -> DataFrame:
+    """Bigrams (`a`, `b`, `n`) by id, counted within tasks only; the end's id is the dictionary's size."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        symbols, held, n = Symbols(ranks.value, head), [np.array([size - 1])], 0
-        totals = np.zeros(size * size, np.int64)
+        ids, end = Ids(ranks.value), np.array([len(ranks.value)])
+        held, n = [end], 0
 
-        def add() -> None:
+        def counted() -> pa.RecordBatch:
             line = np.concatenate(held)
-            codes = line[:-1] * size + line[1:]
-            seen, counts = np.unique(codes, return_counts=True)
-            totals[seen] += counts
+            order = np.lexsort((line[1:], line[:-1]))
+            a, b = line[:-1][order], line[1:][order]
+            first = np.concatenate(([0], np.flatnonzero((a[1:] != a[:-1]) | (b[1:] != b[:-1])) + 1))
+            counts = np.diff(np.concatenate((first, [len(a)])))
             held[:] = [line[-1:]]
+            return pa.RecordBatch.from_arrays([pa.array(a[first]), pa.array(b[first]), pa.array(counts)], ["a", "b", "n"])
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                words = words_of(text)
-                held.append(np.fromiter(map(symbols.__getitem__, words), np.int64, len(words)))
-                held.append(np.array([size - 1]))
-                n += len(words) + 1
-                if n >= 1_000_000:
-                    add()
+                held += [ids.of(words_of(text)), end]
+                n += len(held[-2]) + 1
+                if n >= _LINE:
+                    yield counted()
                     n = 0
-        add()
-        found = np.flatnonzero(totals)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array((found // size).astype(np.int32)), pa.array((found % size).astype(np.int32)), pa.array(totals[found])],
-            ["a", "b", "n"],
-        )
+        if n:
+            yield counted()
 
-    parts = training.select("text").mapInArrow(run, "a int, b int, n long")
-    return parts.groupBy("a", "b").agg(F.sum("n").alias("n"))
+    return training.select("text").mapInArrow(run, "a long, b long, n long")
 
 
-def exchange(bigrams: np.ndarray, head: int, classes: int, sweeps: int = 4) -> np.ndarray:
+def exchange(bigrams: np.ndarray, head: int, classes: int) -> np.ndarray:
     """The class of each symbol; symbols beyond `head` keep classes of their own."""
     size = len(bigrams)
     extra = size - head
@@ -131,7 +149,8 @@ def exchange(bigrams: np.ndarray, head: int, classes: int, sweeps: int = 4) -> n
     weight = bigrams.sum(axis=1)
     mass = member.T @ weight
     f = lambda x: x * np.log(np.maximum(x, 1))
-    for _ in range(sweeps):
+    moved = 1
+    while moved:
         moved = 0
         for w in range(head):
             out, into, own = bigrams[w] @ member, bigrams[:, w] @ member, bigrams[w, w]
@@ -161,25 +180,251 @@ def exchange(bigrams: np.ndarray, head: int, classes: int, sweeps: int = 4) -> n
             pairs[new, new] += own
             mass[new] += weight[w]
             moved += new != old
-        if not moved:
-            break
     return of
 
 
-def _cluster(bigrams: DataFrame, head: int, classes: int) -> np.ndarray:
+def _start(bigrams: DataFrame, shapes, head: int, classes: int) -> np.ndarray:
+    """The classes of the `head` most frequent words, exchanged among themselves."""
     size = head + SHAPES + 1
 
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        symbol = np.concatenate((np.arange(head), head + shapes.value[head:], [size - 1])).astype(np.int64)
+        of = lambda ids: np.where(ids < 0, head + (ids & 15), symbol[np.maximum(ids, 0)])
+        totals = np.zeros(size * size, np.int64)
+        for batch in batches:
+            a, b, n = (c.to_numpy() for c in batch.columns)
+            np.add.at(totals, of(a) * size + of(b), n)
+        found = np.flatnonzero(totals)
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (found // size, found % size, totals[found])], ["a", "b", "n"])
+
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         table = np.zeros((size, size))
         table[rows["a"], rows["b"]] = rows["n"]
         return pd.DataFrame({"symbol": np.arange(size), "class": exchange(table, head, classes)})
 
-    # One bounded group: size squared counts, however large the corpus.
-    found = bigrams.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(run, "symbol int, class int").collect()
+    # One bounded group, as a start for all words: size squared counts, however large the corpus.
+    rows = bigrams.mapInArrow(count, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
     of = np.arange(size)
-    for symbol, number in found:
+    for symbol, number in rows.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(run, "symbol int, class int").collect():
         of[symbol] = number
-    return of
+    return of[:head]
+
+
+def _packed(word: np.ndarray, kind: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    """A row for each word: its cells, each a count above the 16 bits of the cell's kind."""
+    order = np.lexsort((kind, word))
+    word, kind, n = word[order], kind[order], n[order]
+    first = np.flatnonzero(np.concatenate(([True], (word[1:] != word[:-1]) | (kind[1:] != kind[:-1]))))
+    word, cells = word[first], np.add.reduceat(n, first) << 16 | kind[first]
+    row = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
+    lists = pa.ListArray.from_arrays(pa.array(np.concatenate((row, [len(word)])), pa.int32()), pa.array(cells))
+    return pa.RecordBatch.from_arrays([pa.array(word[row]), lists], ["word", "cells"])
+
+
+def _pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: list[list[np.ndarray]] = []
+    for batch in batches:
+        held.append([c.to_numpy() for c in batch.columns])
+        if sum(len(h[0]) for h in held) >= _FLUSH:
+            yield _packed(*(np.concatenate(c) for c in zip(*held, strict=True)))
+            held = []
+    if held and sum(len(h[0]) for h in held):
+        yield _packed(*(np.concatenate(c) for c in zip(*held, strict=True)))
+
+
+def _vectors(bigrams: DataFrame, table: DataFrame, known: np.ndarray, total: int) -> DataFrame:
+    """Per word its `class` and `cells`: kinds are classes on the right, then on the left, then the word itself.
+
+    `table` has the class of every word, `known` that of the dictionary's words and the end.
+    """
+    shared = table.sparkSession.sparkContext.broadcast(known)
+    width, mark, self_ = 2 * total + 2, 2 * total, 2 * total + 1
+    dense = min(len(known), _CELLS // width)
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = shared.value.astype(np.int64)
+        totals = np.zeros(dense * width, np.int32)
+        held: list[tuple] = []
+        size = 0
+        for batch in batches:
+            a, b, n = (c.to_numpy() for c in batch.columns)
+            right, left, same = b >= 0, a >= 0, a == b
+            for word, kind, times in (
+                (a[right], of[b[right]], n[right]),
+                (b[left], total + of[a[left]], n[left]),
+                (a[same], np.full(int(same.sum()), self_), n[same]),
+            ):
+                near = (word >= 0) & (word < dense)
+                np.add.at(totals, word[near] * width + kind[near], times[near].astype(np.int32))
+                held.append((word[~near], kind[~near], times[~near]))
+                size += len(held[-1][0])
+            if size >= _LINE:
+                yield _packed(*(np.concatenate(c) for c in zip(*held, strict=True)))
+                held, size = [], 0
+        if size:
+            yield _packed(*(np.concatenate(c) for c in zip(*held, strict=True)))
+        found = np.flatnonzero(totals)
+        for begin in range(0, len(found), _LINE):
+            part = found[begin : begin + _LINE]
+            yield _packed(part // width, part % width, totals[part].astype(np.int64))
+
+    def merge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in whole_keys(batches, 20_000):
+            rows = rows.combine_chunks()
+            lists = rows.column("cells").chunk(0)
+            cells = lists.flatten().to_numpy()
+            word = np.repeat(rows.column("word").to_numpy(), lists.value_lengths().to_numpy())
+            out = _packed(word, cells & _KIND, cells >> 16)
+            lists = out.column(1)
+            cells = lists.flatten().to_numpy()
+            marked = (cells & _KIND) == mark  # every word has one mark
+            number = pa.array(((cells[marked] >> 16) - 1).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([out.column(0), number, lists], ["word", "class", "cells"])
+
+    rare = lambda side: table.where(F.col("word") < 0).select(F.col("word").alias(side), "class")
+    kinds = "word long, cells array<long>"
+    long = lambda c: c.cast("long").alias("kind")
+    rows = bigrams.mapInArrow(count, kinds)
+    for met in (
+        bigrams.where("b < 0").join(rare("b"), "b").select(F.col("a").alias("word"), long(F.col("class")), "n"),
+        bigrams.where("a < 0").join(rare("a"), "a").select(F.col("b").alias("word"), long(F.col("class") + total), "n"),
+    ):
+        rows = rows.unionByName(met.mapInArrow(_pack, kinds))
+    marks = table.select("word", F.array((F.col("class") + 1).cast("long") * (1 << 16) + mark).alias("cells"))
+    rows = rows.unionByName(marks).repartition("word").sortWithinPartitions("word")
+    return materialize(rows.mapInArrow(merge, "word long, class int, cells array<long>"), "lm-vectors")
+
+
+def _unpacked(lists: pa.ListArray, total: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counts of classes on the right and on the left, and of the word beside itself."""
+    cells, lengths = lists.flatten().to_numpy(), lists.value_lengths().to_numpy()
+    table = np.zeros((len(lists), 2 * total + 2))
+    table[np.repeat(np.arange(len(lists)), lengths), cells & _KIND] = cells >> 16
+    return table[:, :total], table[:, total : 2 * total], table[:, 2 * total + 1]
+
+
+def _class_pairs(vectors: DataFrame, total: int) -> np.ndarray:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((total, total))
+        for batch in batches:
+            np.add.at(sums, batch.column("class").to_numpy(), _unpacked(batch.column("cells"), total)[0])
+        g, h = np.nonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(h), pa.array(sums[g, h].astype(np.int64))], ["g", "h", "n"])
+
+    pairs = np.zeros((total, total))
+    for g, h, n in vectors.mapInArrow(run, "g long, h long, n long").groupBy("g", "h").agg(F.sum("n")).collect():
+        pairs[g, h] = n
+    return pairs
+
+
+def _f(x: np.ndarray) -> np.ndarray:
+    return x * np.log(np.maximum(x, 1))
+
+
+def gains(pairs: np.ndarray, out: np.ndarray, into: np.ndarray, own: np.ndarray, old: np.ndarray) -> np.ndarray:
+    """For each word, taken out of its class `old`, what the likelihood gains when it joins each class."""
+    many, total = out.shape
+    row, d = np.arange(many), np.arange(total)
+    weight = out.sum(axis=1, keepdims=True)
+    out, into = out.copy(), into.copy()
+    out[row, old] -= own
+    into[row, old] -= own
+    gain = np.zeros((many, total))
+    for table, here, there in ((pairs.T, out, into), (pairs, into, out)):
+        w, j = np.nonzero(here)
+        if not len(w):
+            continue
+        n, e = here[w, j], np.arange(len(w))
+        base = table[j]  # without the word: its old class's row and column are lower
+        base[e, old[w]] -= n
+        at = np.flatnonzero(j == old[w])
+        base[at] -= there[w[at]]
+        base[at, old[w[at]]] -= own[w[at]]
+        first = np.flatnonzero(np.concatenate(([True], w[1:] != w[:-1])))
+        gain[w[first]] += np.add.reduceat(_f(base + n[:, None]) - _f(base), first, axis=0)
+    both = np.broadcast_to(pairs[d, d], gain.shape).copy()
+    both[row, old] -= out[row, old] + into[row, old] + own
+    gain += _f(both + out + into + own[:, None]) - _f(both + out) - _f(both + into) + _f(both)
+    mass = np.broadcast_to(pairs.sum(axis=1), gain.shape).copy()
+    mass[row, old] -= weight[:, 0]
+    return gain - 2 * (_f(mass + weight) - _f(mass))
+
+
+def _moved(vectors: DataFrame, pairs: np.ndarray, shapes, classes: int, turn: int) -> DataFrame:
+    """Per word `n`, `shape`, its `class` after this round and whether it `moved`."""
+    total = len(pairs)
+    model = vectors.sparkSession.sparkContext.broadcast(pairs)
+
+    def make():
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            word, old = batch.column("word").to_numpy(), batch.column("class").to_numpy()
+            new, n = old.copy(), np.zeros(len(old), np.int64)
+            turns = (mix(word.astype(np.uint64)) >> np.uint64(40)).astype(np.int64) % 2 == turn % 2
+            free = (old != total - 1) & ((old >= classes) | turns)
+            for begin in range(0, len(word), 512):
+                part = slice(begin, begin + 512)
+                out, into, own = _unpacked(batch.column("cells").slice(begin, 512), total)
+                n[part] = out.sum(axis=1)
+                at = np.flatnonzero(free[part])
+                if not len(at):
+                    continue
+                gain = gains(model.value, out[at], into[at], own[at], old[part][at])
+                best = gain[:, :classes].argmax(axis=1)
+                rows, now = np.arange(len(at)), old[part][at]
+                better = (gain[rows, best] > gain[rows, now] + 1e-9) | (now >= classes)
+                new[begin + at[better]] = best[better]
+            kinds = np.where(word < 0, word & 15, np.append(shapes.value, 0)[np.maximum(word, 0)])
+            return pa.RecordBatch.from_arrays(
+                [pa.array(word), pa.array(n), pa.array(kinds.astype(np.int32)), pa.array(new), pa.array(new != old)],
+                ["word", "n", "shape", "class", "moved"],
+            )
+
+        return step
+
+    found = arrow_map(vectors, make, "word long, n long, shape int, class int, moved boolean")
+    return materialize(found, "lm-classes")
+
+
+def cluster(
+    bigrams: DataFrame, counts: DataFrame, ranks, shapes, head: int, classes: int, ends: int
+) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+    """Every word's class as a table, the classes of the dictionary's words and the end, and the class bigrams."""
+    spark, size = bigrams.sparkSession, len(shapes.value)
+    total = classes + SHAPES + 1
+    start = spark.sparkContext.broadcast(_start(bigrams, shapes, head, classes))
+
+    def make():
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            word = Ids(ranks.value).of(batch.column(0).to_pylist())
+            kind = np.where(word < 0, word & 15, shapes.value[np.maximum(word, 0)])
+            number = classes + kind
+            number[(word >= 0) & (word < head)] = start.value[word[(word >= 0) & (word < head)]]
+            columns = [pa.array(word), batch.column(1), pa.array(kind, pa.int32()), pa.array(number, pa.int32())]
+            return pa.RecordBatch.from_arrays([*columns, pa.array(np.ones(len(word), bool))], ["word", "n", "shape", "class", "moved"])
+
+        return step
+
+    kinds = "word long, n long, shape int, class int, moved boolean"
+    table = arrow_map(counts.select("word", "n"), make, kinds)
+    table = materialize(table.unionByName(spark.createDataFrame([(size, ends, 0, total - 1, False)], kinds)), "lm-classes")
+    kept, share = None, 1.0
+    for turn in range(ROUNDS + 1):
+        known = np.zeros(size + 1, np.int16)
+        found = table.where("word >= 0").select("word", "class").toArrow()
+        known[found.column(0).to_numpy()] = found.column(1).to_numpy()
+        vectors = _vectors(bigrams, table, known, total)
+        pairs = _class_pairs(vectors, total)
+        value = _f(pairs).sum() - 2 * _f(pairs.sum(axis=1)).sum()
+        if turn > 1 and value <= kept[0]:
+            break
+        kept = (value, table, known, pairs)
+        if turn == ROUNDS or share < SETTLED:
+            break
+        table = _moved(vectors, pairs, shapes, classes, turn)
+        moved, n = table.agg(F.sum(F.when(F.col("moved"), F.col("n")).otherwise(0)), F.sum("n")).first()
+        share = moved / max(1, n) if turn else 1.0
+    left = np.append(np.arange(classes), total - 1)  # no word has a shape for its class any more
+    return kept[1], np.minimum(kept[2], classes), kept[3][np.ix_(left, left)]
 
 
 def score_texts(docs: DataFrame, held_out: Column, head: int = 1000, classes: int = 40) -> DataFrame:
@@ -195,16 +440,14 @@ def score_texts(docs: DataFrame, held_out: Column, head: int = 1000, classes: in
     train_tokens, distinct = n_words + ends, n_distinct + (1 if ends else 0)
     top = counts.orderBy(F.desc("n"), "word").limit(DICTIONARY).collect()
     head = min(head, len(top))
+    classes = max(1, min(classes, head))
     ranks = spark.sparkContext.broadcast({r["word"]: k for k, r in enumerate(top)})
     top_counts = np.array([r["n"] for r in top], np.int64)
-    bigrams = materialize(_bigrams(training, ranks, head), "lm-bigrams")
-    of = _cluster(bigrams, head, classes)
-    number = int(of.max()) + 1
-    pairs = np.zeros((number, number))
-    table = spark.createDataFrame([(k, int(c)) for k, c in enumerate(of)], "symbol int, class int")
-    side = lambda name: table.select(F.col("symbol").alias(name), F.col("class").alias(f"c{name}"))
-    for g, h, n in bigrams.join(side("a"), "a").join(side("b"), "b").groupBy("ca", "cb").agg(F.sum("n")).collect():
-        pairs[g, h] = n
+    shapes = spark.sparkContext.broadcast(np.array([shape(r["word"]) for r in top], np.int64))
+    bigrams = materialize(_bigrams(training, ranks), "lm-bigrams")
+    table, known, pairs = cluster(bigrams, counts, ranks, shapes, head, classes, ends)
+    words = table.where(F.col("class") < classes)
+    number = classes + 1
 
     outgoing, incoming, kinds = pairs.sum(axis=1), pairs.sum(axis=0), (pairs > 0).sum(axis=1)
     flat = (incoming + 1) / (incoming.sum() + number)
@@ -212,64 +455,45 @@ def score_texts(docs: DataFrame, held_out: Column, head: int = 1000, classes: in
     moves = share[:, None] * np.divide(pairs, outgoing[:, None], out=np.zeros_like(pairs), where=outgoing[:, None] > 0)
     moves = np.log10(moves + (1 - share)[:, None] * flat[None])
 
-    def shapes():
-        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found = [shape(w) for w in batch.column(0).to_pylist()]
-            return pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), batch.column(1)], ["shape", "n"])
-
-        return step
-
-    head_words = spark.createDataFrame([(r["word"],) for r in top[:head]], "word string")
-    rare = arrow_map(counts.join(head_words, "word", "left_anti"), shapes, "shape int, n long")
-    shape_n, shape_v = np.zeros(SHAPES), np.zeros(SHAPES)
-    for k, n, v in rare.groupBy("shape").agg(F.sum("n"), F.count(F.lit(1))).collect():
-        shape_n[k], shape_v[k] = n, v
-    in_class = np.bincount(of[:head], weights=top_counts[:head], minlength=number) if head else np.zeros(number)
-    head_emission = np.log10(top_counts[:head] / in_class[of[:head]]) if head else np.zeros(0)
-    shape_total = np.log10(shape_n + shape_v + 1)
+    in_class, single, of_shape = np.ones(number), np.zeros((SHAPES, classes)), np.zeros((SHAPES, classes))
+    once = F.sum((F.col("n") == 1).cast("long"))
+    for s, c, n, v, ones in words.groupBy("shape", "class").agg(F.sum("n"), F.count(F.lit(1)), once).collect():
+        in_class[c] += n + v
+        of_shape[s, c], single[s, c] = v, ones
+    # The class of unseen words, by shape: most words seen once, else most words, of the shape or of all.
+    evidence = np.where(single.any(axis=1)[:, None], single, np.where(of_shape.any(axis=1)[:, None], of_shape, of_shape.sum(axis=0)))
+    unseen = evidence.argmax(axis=1)
+    class_total = np.log10(in_class)
     base_total = math.log10(train_tokens + distinct + 1)
-    model = spark.sparkContext.broadcast((of, moves, head_emission, shape_total, top_counts))
-    size = head + SHAPES + 1
+    model = spark.sparkContext.broadcast((known.astype(np.int64), moves, class_total, top_counts))
     end_base = math.log10(ends + 1) - base_total
 
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, moves, head_emission, shape_total, top_counts = model.value
-        known = ranks.value
-        symbols, row = Symbols(known, head), TaskContext.get().partitionId() << 40
-        places: dict[str, int] = {}
-
-        def place(word: str) -> int:
-            value = known.get(ascii_lower(word), -1)
-            if len(places) >= _FLUSH:
-                places.clear()
-            places[word] = value
-            return value
-
-        log_counts = np.log10(top_counts + 1.0) if len(top_counts) else np.zeros(1)
+        of, moves, class_total, top_counts = model.value
+        ids, row = Ids(ranks.value), TaskContext.get().partitionId() << 40
+        log_counts = np.log10(np.append(top_counts, 0) + 1.0)
+        emission = log_counts - class_total[of]
+        emission[-1] = 0  # the end is all of its class
+        end = np.array([len(of) - 1])
+        pair = pa.struct([("a", pa.int64()), ("b", pa.int64()), ("times", pa.int64())])
         for batch in batches:
             rows = []
             for text in batch.column("text").to_pylist():
-                words = words_of(text)
-                at = np.array([places[w] if w in places else place(w) for w in words], np.int64)
-                line = np.concatenate(
-                    ([size - 1], np.fromiter(map(symbols.__getitem__, words), np.int64, len(words)), [size - 1])
-                )
-                group = of[line]
-                total = float(moves[group[:-1], group[1:]].sum())
-                inside = line[1:-1]
-                top_words = inside < head
-                total += float(head_emission[inside[top_words]].sum())
-                total -= float(shape_total[inside[~top_words] - head].sum())
-                middle = ~top_words & (at >= 0)
-                total += float(log_counts[at[middle]].sum())
-                in_dictionary = at >= 0
-                base = float(log_counts[at[in_dictionary]].sum()) - base_total * len(words) + end_base
-                rest = Counter(ascii_lower(words[k]) for k in np.flatnonzero(~in_dictionary))
-                known_tokens = int(in_dictionary.sum()) + (1 if ends else 0)
-                rows.append((row, len(words) + 1, known_tokens, base, total, list(rest), list(rest.values())))
+                inside = ids.of(words_of(text))
+                line = np.concatenate((end, inside, end))
+                # Classes of dictionary words; words beyond it keep their negative ids.
+                group = np.where(line < 0, line, of[np.maximum(line, 0)])
+                a, b = group[:-1], group[1:]
+                sure = (a >= 0) & (b >= 0)
+                inner = inside[inside >= 0]
+                total = float(moves[a[sure], b[sure]].sum()) + float(emission[inner].sum())
+                base = float(log_counts[inner].sum()) - base_total * len(inside) + end_base
+                open_ = Counter(zip(a[~sure].tolist(), b[~sure].tolist(), strict=True))
+                rest = [{"a": x, "b": y, "times": n} for (x, y), n in open_.items()]
+                rows.append((row, len(inside) + 1, len(inner) + (1 if ends else 0), base, total, rest))
                 row += 1
-            names = ("row", "n_tokens", "n_in", "base", "total", "rest", "times")
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.int64()))
+            names = ("row", "n_tokens", "n_in", "base", "total", "rest")
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pair))
             columns = list(zip(*rows, strict=True)) or [[]] * len(names)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("held_out"), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))],
@@ -280,31 +504,51 @@ def score_texts(docs: DataFrame, held_out: Column, head: int = 1000, classes: in
         docs.select("doc_id", "held_out", "text").mapInArrow(
             score,
             "doc_id long, held_out boolean, row long, n_tokens long, n_in long, base double, total double, "
-            "rest array<string>, times array<long>",
+            "rest array<struct<a:bigint,b:bigint,times:bigint>>",
         ),
         "lm-scored",
     )
-    # Words beyond the dictionary: their counts come from the full table, 0 where there is none.
-    rest = (
-        scored.select("row", F.explode(F.arrays_zip("rest", "times")).alias("r"))
-        .select("row", F.col("r.rest").alias("word"), F.col("r.times").alias("times"))
-        .join(counts, "word", "left")
-        .groupBy("row")
-        .agg(
-            F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 1)).alias("more"),
-            F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("seen"),
+    # Bigrams with words beyond the dictionary: their classes and counts come from the full table. Ids of rows
+    # stand in for keys that need no join; they are never negative.
+    rare = words.where("word < 0").select("word", F.col("class").cast("long").alias("class"), "n")
+    guess = lambda c: F.element_at(F.array(*[F.lit(int(x)) for x in unseen]), c.bitwiseAND(F.lit(15)).cast("int") + 1).cast("long")
+    rest = scored.select("row", F.explode("rest").alias("r")).select("row", "r.*")
+    for side in ("a", "b"):
+        near = rare.select(F.col("word").alias("_key"), F.col("class").alias("_class"), F.col("n").alias(f"n{side}"))
+        own = F.col(side) < 0
+        rest = (
+            rest.withColumn("_key", F.when(own, F.col(side)).otherwise(F.col("row")))
+            .join(near, "_key", "left")
+            .withColumn(f"c{side}", F.when(own, F.coalesce("_class", guess(F.col(side)))).otherwise(F.col(side)))
+            .drop("_key", "_class")
         )
-    )
-    more = F.coalesce("more", F.lit(0.0))
-    result = scored.drop("rest", "times").join(rest, "row", "left")
-    value = F.col("total") + more
+
+    def weigh():
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            _, moves, class_total, _ = model.value
+            row, b, times, a_of, b_of = (batch.column(c).to_numpy() for c in ("row", "b", "times", "ca", "cb"))
+            n = batch.column("nb").fill_null(0).to_numpy()
+            beyond = b < 0  # each word is the second of one bigram
+            logs = np.where(beyond, np.log10(n + 1.0), 0.0)
+            value = moves[a_of, b_of] + logs - np.where(beyond, class_total[b_of], 0.0)
+            seen = np.where(beyond & (n > 0), times, 0)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(x) for x in (row, times * value, times * logs, seen)], ["row", "more", "base_more", "seen"]
+            )
+
+        return step
+
+    rest = arrow_map(rest.select("row", "b", "times", "ca", "cb", "nb"), weigh, "row long, more double, base_more double, seen long")
+    rest = rest.groupBy("row").agg(*[F.sum(c).alias(c) for c in ("more", "base_more", "seen")])
+    result = scored.drop("rest").join(rest, "row", "left")
+    value = F.col("total") + F.coalesce("more", F.lit(0.0))
     return result.select(
         "doc_id",
         "held_out",
         "n_tokens",
         (F.col("n_in") + F.coalesce("seen", F.lit(0))).alias("n_known"),
         F.lit(train_tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + more).alias("base_score"),
+        (F.col("base") + F.coalesce("base_more", F.lit(0.0))).alias("base_score"),
         value.alias("score"),
         F.pow(F.lit(10.0), -value / F.col("n_tokens")).alias("perplexity"),
     )

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from filetwin.llm import jaccard, queries, suffix_array
+from filetwin.llm import class_lm, jaccard, queries, suffix_array
 from filetwin.llm.class_lm import score_texts
 from filetwin.llm.common import crc_mod
 from filetwin.llm.decontaminate import closest, drop_leaks, find_leaks
@@ -275,3 +275,31 @@ def test_components_with_repeated_and_missing_ids(spark):
     assert got == Counter(
         {(2, 56, 2): 2, (2, 4, 2): 1, (5, 56, 2): 1, (9, 0, 9): 1, (None, 56, None): 1, (7, 0, 7): 1}
     )
+
+
+def test_exchange_reaches_words_beyond_the_head_and_the_dictionary(spark, monkeypatch):
+    dice = random.Random(8)
+    nouns, verbs = ([f"{c}{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(120)] for c in "nv")
+    rows = [(k, " ".join(dice.choice(side) for _ in range(20) for side in (nouns, verbs))) for k in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(class_lm, "DICTIONARY", 60)
+    found = score_texts(docs, F.col("doc_id") % 7 == 2, head=40, classes=2).collect()
+    # Two classes that take turns: a word costs one choice among 120, as all words have one shape.
+    assert all(r.perplexity < 150 for r in found)
+
+
+def test_gains_are_differences_of_the_likelihood():
+    dice = np.random.default_rng(2)
+    counts, of = dice.integers(0, 4, (12, 12)), dice.integers(0, 3, 12)
+
+    def value(of):
+        pairs = np.zeros((3, 3))
+        np.add.at(pairs, (of[:, None], of[None]), counts)
+        left, right = pairs.sum(axis=1), np.array([counts.sum(axis=1)[of == c].sum() for c in range(3)])
+        return class_lm._f(pairs).sum() - class_lm._f(left).sum() - class_lm._f(right).sum(), pairs
+
+    member = np.eye(3)[of]
+    got = class_lm.gains(value(of)[1], counts @ member, counts.T @ member, np.diag(counts).astype(float), of)
+    for w in range(12):
+        values = [value(np.where(np.arange(12) == w, c, of))[0] for c in range(3)]
+        assert got[w] - got[w, of[w]] == pytest.approx(np.array(values) - values[of[w]])
