@@ -1,16 +1,18 @@
 """Personal data: patterned spans, and terms that disclose them, in DataFrame functions only.
 
 Base spans of four kinds are found by pattern, each kind on its own. They are the protected entities.
-Words close to an entity (CONTEXT characters on either side) are candidate terms. How strongly a term t
+All words of a document outside its base spans are candidate terms of its entities. How strongly a term t
 reveals an entity e is its pointwise mutual information as a share of the entity's information,
 
     disclosure = log2(p(e, t) / (p(e) p(t))) / -log2 p(e) = 1 + log2(c(e, t) / c(t)) / log2(N / c(e)),
 
 with document counts c over the whole corpus: 1 for a term that occurs only near e, 0 for an independent
 one. Terms with `remove_at` or more are removed, terms with `generalise_at` or more are replaced by their
-class (a number, a name, a word). Pairs seen in fewer than `min_support` documents are no evidence.
+class (a number, a name, a word), wherever they occur outside base spans, in documents without base spans,
+too. Pairs seen in fewer than `min_support` documents are no evidence, so an entity of fewer documents has no
+terms; `left_out` counts these entities.
 
-Documents without base spans are never changed. Null texts count as empty, empty ones have no spans.
+Null texts count as empty, empty ones have no spans.
 Several rows of one `doc_id` are judged one by one. Offsets are code points, ends are exclusive. Where
 spans of different kinds overlap, the redacted text has one mark for their union, of the first kind.
 
@@ -25,10 +27,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.skew import lookup
 from ..session import materialize
 
 KINDS = ("email", "ip", "card", "phone")
-CONTEXT = 60
 
 #: Java patterns that match what the plain patterns of the contract match. A possible start inside a run
 #: is skipped, as a match would have begun at the run's start; \G keeps starts right behind a match.
@@ -42,7 +44,8 @@ PATTERNS = {
 _NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 _BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})"
 _WORD = r"[\p{L}\p{N}]+"
-_SPAN = "array<struct<kind:string,start:bigint,end:bigint,value:string,before:string,after:string>>"
+_NO_WORD = r"[^\p{L}\p{N}]+"
+_SPAN = "array<struct<kind:string,start:bigint,end:bigint,value:string>>"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -72,7 +75,7 @@ def sums_before(lengths: Column) -> Column:
 
 
 def matches(text: Column, pattern: str, kind: str) -> Column:
-    """Spans of all matches, with the text around them up to the next match on either side."""
+    """Spans of all matches."""
     length = lambda s: F.length(s).cast("long")
 
     def of(found: Column) -> Column:
@@ -87,8 +90,6 @@ def matches(text: Column, pattern: str, kind: str) -> Column:
                         (F.get(before, i) + length(F.get(pieces, i))).alias("start"),
                         (F.get(before, i) + length(F.get(pieces, i)) + length(m)).alias("end"),
                         m.alias("value"),
-                        F.substring(F.get(pieces, i), -CONTEXT, CONTEXT).alias("before"),
-                        F.substring(F.get(pieces, i + 1), 1, CONTEXT).alias("after"),
                     ),
                 ),
             )
@@ -146,59 +147,71 @@ def _entity(span: Column) -> Column:
     return F.concat(span["kind"], F.lit(":"), value)
 
 
-def _terms(span: Column) -> Column:
-    """Words around a span: (word, start, end). Words that the context's edge may cut are left out."""
-    edge = lambda s, pattern: F.when(F.length(s) == CONTEXT, F.regexp_replace(s, pattern, "")).otherwise(s)
-    before, after = edge(span["before"], "^" + _WORD), edge(span["after"], _WORD + "$")
-
-    def of(text: Column, offset: Column) -> Column:
-        return F.transform(
-            matches(text, _WORD, "term"),
-            lambda m: F.struct(
-                m["value"].alias("word"), (m["start"] + offset).alias("start"), (m["end"] + offset).alias("end")
-            ),
-        )
-
-    return F.concat(
-        let(before, lambda t: of(t, span["start"] - F.length(t))), let(after, lambda t: of(t, span["end"]))
+def _words(text: Column, spans: Column) -> Column:
+    """All words outside base spans: (word, start, end)."""
+    touches = lambda m: F.exists(spans, lambda s: (s["start"] < m["end"]) & (s["end"] > m["start"]))
+    return F.transform(
+        F.filter(matches(text, _WORD, "term"), lambda m: ~touches(m)),
+        lambda m: F.struct(m["value"].alias("word"), m["start"].alias("start"), m["end"].alias("end")),
     )
 
 
 def _with_spans(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("_text", F.coalesce(F.col("text"), F.lit(""))).withColumn("_spans", base_spans(F.col("_text")))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    id_and_text = F.concat_ws("\u0001", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), text)
+    key = F.unhex(F.substring(F.sha2(id_and_text, 256), 1, 32))
+    return docs.withColumn("_text", text).withColumn("_spans", base_spans(F.col("_text"))).withColumn("_key", key)
+
+
+def _lower(words: Column) -> Column:
+    return F.array_distinct(F.transform(words, F.lower))
+
+
+def _hits(found: DataFrame) -> DataFrame:
+    return materialize(found.where(F.size("_spans") > 0).select("_key", "_text", "_spans"), "pii-hits")
+
+
+def _entities(hits: DataFrame) -> DataFrame:
+    """`_key` and `entity`, once for each document that has the entity."""
+    spans = hits.select("_key", F.explode("_spans").alias("span"))
+    return spans.select("_key", _entity(F.col("span")).alias("entity")).distinct()
+
+
+def left_out(docs: DataFrame, min_support: int = 2) -> DataFrame:
+    """Per kind, the number of `entities` and of those `left_out`: too few documents to tell their terms."""
+    counted = _entities(_hits(_with_spans(docs.select("doc_id", "text")))).groupBy("entity").count()
+    return counted.groupBy(F.substring_index("entity", ":", 1).alias("kind")).agg(
+        F.count(F.lit(1)).alias("entities"), F.sum((F.col("count") < min_support).cast("long")).alias("left_out")
+    )
 
 
 def disclosing_terms(
-    docs: DataFrame,
+    found: DataFrame,
     hits: DataFrame,
     generalise_at: float = 0.75,
     remove_at: float = 0.95,
     min_support: int = 2,
-) -> DataFrame:
-    """Per row of `hits` (`_key`) its disclosing terms, as an array of spans `terms`."""
-    near = materialize(
-        hits.select("_key", F.explode("_spans").alias("span"))
-        .select("_key", _entity(F.col("span")).alias("entity"), F.explode(_terms(F.col("span"))).alias("t"))
-        .select("_key", "entity", F.lower("t.word").alias("term"), "t.word", "t.start", "t.end"),
-        "pii-near",
+) -> tuple[DataFrame, DataFrame]:
+    """The terms that disclose an entity, each with whether it is to be `removed`, and all terms' counts, both written."""
+    words = materialize(
+        hits.select("_key", F.explode(_lower(_words(F.col("_text"), F.col("_spans"))["word"])).alias("term")).distinct(),
+        "pii-words",
     )
+    owners = materialize(_entities(hits), "pii-entities")
+    entities = owners.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")).where(F.col("n_entity") >= min_support)
+    # Pairs are counted for whole documents; entities below the support can have no pair above it.
     together = (
-        near.select("_key", "entity", "term").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both"))
-    ).where(F.col("n_both") >= min_support)
-    entities = (
-        hits.select("_key", F.explode("_spans").alias("span"))
-        .select("_key", _entity(F.col("span")).alias("entity"))
-        .distinct()
-        .groupBy("entity")
-        .agg(F.count(F.lit(1)).alias("n_entity"))
+        owners.join(entities, "entity", "left_semi")
+        .join(words, "_key")
+        .groupBy("entity", "term")
+        .agg(F.count(F.lit(1)).alias("n_both"))
+        .where(F.col("n_both") >= min_support)
     )
     # All terms are counted before any join: tasks' counts are far fewer rows than the words.
-    terms = (
-        docs.select(F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))).alias("term"))
-        .groupBy("term")
-        .agg(F.count(F.lit(1)).alias("n_term"))
-    )
-    total = docs.count()
+    plain = found.where(F.size("_spans") == 0).select(F.explode(_lower(F.split("_text", _NO_WORD))).alias("term"))
+    terms = plain.unionByName(words.select("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
+    terms = materialize(terms, "pii-terms")
+    total = found.count()
     information = F.log2(F.lit(float(total)) / F.col("n_entity"))
     disclosure = F.when(
         information > 0, 1 + F.log2(F.least(F.col("n_both") / F.col("n_term"), F.lit(1.0))) / information
@@ -208,34 +221,33 @@ def disclosing_terms(
         .join(terms, "term")
         .withColumn("disclosure", disclosure)
         .where(F.col("disclosure") >= generalise_at)
-        .select("entity", "term", "disclosure")
-    )
-    return (
-        near.join(telling, ["entity", "term"])
-        .groupBy("_key", "start", "end", "word")
-        .agg(F.max("disclosure").alias("disclosure"))
-        .groupBy("_key")
-        .agg(
-            F.sort_array(
-                F.collect_list(
-                    F.struct("start", "end", "word", (F.col("disclosure") >= remove_at).alias("removed"))
-                )
-            ).alias("terms")
-        )
+        .groupBy("term")
+        .agg((F.max("disclosure") >= remove_at).alias("removed"))
     )
+    return materialize(telling, "pii-telling"), terms
 
 
-def _hits(found: DataFrame, *columns: str) -> DataFrame:
-    key = F.sha2(F.concat_ws("\u0001", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("_text")), 256)
-    return materialize(found.where(F.size("_spans") > 0).select(*columns, "_text", "_spans", key.alias("_key")), "pii-hits")
-
-
-def _kept_terms(hits: DataFrame, terms: DataFrame) -> DataFrame:
-    """`hits` with the terms (`_terms`) that overlap no base span."""
-    touches = lambda t: F.exists("_spans", lambda s: (s["start"] < t["end"]) & (s["end"] > t["start"]))
+def _with_terms(docs: DataFrame, **thresholds) -> DataFrame:
+    """`docs` with `_spans` and every occurrence of a disclosing term outside of them (`_terms`)."""
+    found = _with_spans(docs)
+    telling, counts = disclosing_terms(found, _hits(found), **thresholds)
+    words = found.select("_key", F.explode(_lower(F.split("_text", _NO_WORD))).alias("term"))
+    # A term is in as many documents as it likes; `lookup` spreads the frequent ones.
+    counts = counts.withColumnRenamed("n_term", "n")
+    met = lookup(words, telling, ["term"], spread="_key", counts=counts, measure=False)
+    marked = materialize(
+        met.groupBy("_key").agg(F.map_from_entries(F.collect_set(F.struct("term", "removed"))).alias("_telling")), "pii-marked"
+    )
+    removed = lambda word: F.col("_telling")[F.lower(word)]
+    terms = F.transform(
+        F.filter(_words(F.col("_text"), F.col("_spans")), lambda m: removed(m["word"]).isNotNull()),
+        lambda m: F.struct(
+            m["start"].alias("start"), m["end"].alias("end"), m["word"].alias("word"), removed(m["word"]).alias("removed")
+        ),
+    )
     empty = F.array().cast("array<struct<start:bigint,end:bigint,word:string,removed:boolean>>")
-    return hits.join(terms, "_key", "left").withColumn(
-        "_terms", F.filter(F.coalesce("terms", empty), lambda t: ~touches(t))
+    return found.join(marked, "_key", "left").withColumn(
+        "_terms", F.when(F.col("_telling").isNotNull(), terms).otherwise(empty)
     )
 
 
@@ -244,27 +256,19 @@ def find_pii(docs: DataFrame, **thresholds) -> DataFrame:
 
     Columns: `doc_id`, `n_email`, `n_ip`, `n_card`, `n_phone`, `n_term`, `base_sha256`, `spans`.
     """
-    docs = docs.select("doc_id", "text")
-    found = _with_spans(docs)
-    hits = _hits(found, "doc_id")
-    kept = _kept_terms(hits, disclosing_terms(docs, hits, **thresholds))
-    none = found.where(F.size("_spans") == 0).select("doc_id", "_spans").withColumn("_terms", F.lit(None).cast("string"))
+    found = _with_terms(docs.select("doc_id", "text"), **thresholds)
     count = lambda kind: F.size(F.filter("_spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = spans_text(F.col("_spans"))
     extra = spans_text(
         F.transform("_terms", lambda t: F.struct(F.lit("term").alias("kind"), t["start"].alias("start"), t["end"].alias("end")))
     )
-    counts = [count(kind) for kind in KINDS]
-    sha = F.sha2(base, 256).alias("base_sha256")
-    with_terms = kept.select(
+    return found.select(
         "doc_id",
-        *counts,
+        *[count(kind) for kind in KINDS],
         F.size("_terms").cast("long").alias("n_term"),
-        sha,
-        F.when(F.size("_terms") > 0, F.concat_ws(",", base, extra)).otherwise(base).alias("spans"),
+        F.sha2(base, 256).alias("base_sha256"),
+        F.concat_ws(",", F.when(F.size("_spans") > 0, base), F.when(F.size("_terms") > 0, extra)).alias("spans"),
     )
-    plain = none.select("doc_id", *counts, F.lit(0).cast("long").alias("n_term"), sha, base.alias("spans"))
-    return plain.unionByName(with_terms)
 
 
 def _redacted(text: Column, spans: Column, terms: Column) -> Column:
@@ -302,13 +306,14 @@ def _redacted(text: Column, spans: Column, terms: Column) -> Column:
 def redact(docs: DataFrame, **thresholds) -> DataFrame:
     """`docs` with personal data marked in `text` (and `n_chars`, if present, counted again).
 
-    Rows without base spans stay as they are. The columns stay the same.
+    Rows without base spans and disclosing terms stay as they are. The columns stay the same.
     """
-    found = _with_spans(docs)
-    hits = _hits(found, *docs.columns)
-    kept = _kept_terms(hits, disclosing_terms(docs.select("doc_id", "text"), hits, **thresholds))
-    clean = _redacted(F.col("_text"), F.col("_spans"), F.col("_terms"))
-    changed = kept.withColumn("text", clean)
+    found = _with_terms(docs, **thresholds)
+    touched = (F.size("_spans") > 0) | (F.size("_terms") > 0)
+    changed = found.withColumn("_touched", touched).withColumn(
+        "text", F.when(F.col("_touched"), _redacted(F.col("_text"), F.col("_spans"), F.col("_terms"))).otherwise(F.col("text"))
+    )
     if "n_chars" in docs.columns:
-        changed = changed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return found.where(F.size("_spans") == 0).select(*docs.columns).unionByName(changed.select(*docs.columns))
+        counted = F.length("text").cast(docs.schema["n_chars"].dataType)
+        changed = changed.withColumn("n_chars", F.when(F.col("_touched"), counted).otherwise(F.col("n_chars")))
+    return changed.select(*docs.columns)

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from filetwin.llm import class_lm, jaccard, queries, suffix_array
+from filetwin.llm import class_lm, jaccard, pii, queries, suffix_array
 from filetwin.llm.class_lm import score_texts
 from filetwin.llm.common import crc_mod
 from filetwin.llm.decontaminate import closest, drop_leaks, find_leaks
@@ -303,3 +303,15 @@ def test_gains_are_differences_of_the_likelihood():
     for w in range(12):
         values = [value(np.where(np.arange(12) == w, c, of))[0] for c in range(3)]
         assert got[w] - got[w, of[w]] == pytest.approx(np.array(values) - values[of[w]])
+
+
+def test_disclosing_terms_go_everywhere(spark):
+    far = "the other words " * 40
+    rows = [(k, f"x@y.org {far} Zanzibar") for k in range(3)] + [(10 + k, far) for k in range(30)]
+    rows += [(50, "the Zanzibar words"), (51, None), (52, "once@only.org solitary")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.n_term, r.spans) for r in pii.find_pii(docs).collect()}
+    assert got[0][0] == 1 and got[50] == (1, "term:4:12") and got[10] == got[51] == (0, "") and got[52][0] == 0
+    left = {r.doc_id: r.text for r in redact(docs).collect()}
+    assert left[0] == f"[EMAIL] {far} [NAME]" and left[50] == "the [NAME] words" and left[10] == far and left[51] is None
+    assert [tuple(r) for r in pii.left_out(docs).collect()] == [("email", 2, 1)]
