@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import sql
+from .centroids import cluster
 from .chat import chat_windows, conversation_digests
 from .class_lm import score_texts
 from .common import crc_mod, documents
 from .decontaminate import find_leaks
 from .jaccard import jaccard_components
 from .language import predict_language, train_language_model
+from .manifest import tampered_documents
 from .multi_index import search
 from .pack import pack
 from .pii import find_pii
@@ -71,6 +74,14 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tampered_documents(documents(spark, sf_dir))
+
+
+def op12_vantage_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -84,7 +95,12 @@ QUERIES = {
         op8_hierarchical_pack,
         op9_language,
         op10_decontaminate,
+        op11_merkle_manifest,
+        op12_vantage_clusters,
     )
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op11_merkle_manifest": sql.MERKLE_MANIFEST,
+    "op12_vantage_clusters": sql.CENTROIDS,
+}
