@@ -18,6 +18,7 @@ from .multi_index import search
 from .pack import pack
 from .pii import find_pii
 from .suffix_dedup import drop_repeated_strings
+from .toxicity import score_toxicity, train_toxicity
 from .window_dedup import drop_repeated_windows
 
 
@@ -82,6 +83,14 @@ def op12_vantage_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    held_out = crc_mod("doc_id", 5) == 0
+    return score_toxicity(docs, train_toxicity(docs, labels, ~held_out), "doc_id").select(
+        "doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", "predicted"
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -97,6 +106,7 @@ QUERIES = {
         op10_decontaminate,
         op11_merkle_manifest,
         op12_vantage_clusters,
+        op13_toxicity,
     )
 }
 
