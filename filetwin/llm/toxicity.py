@@ -1,7 +1,7 @@
 """Toxicity of texts: subword-bag embeddings averaged into a linear softmax.
 
 A word is a run of letters and digits, lower-cased. Its features are the word itself and its character n-grams
-of 3 to 5 characters, blanks at its ends included, hashed to BUCKETS embedding rows; its vector is the
+of 3 and 4 characters, blanks at its ends included, hashed to BUCKETS embedding rows; its vector is the
 mean of theirs, so a misspelling that no training text holds still shares most n-grams with the word it stands
 for. The vectors of up to `span` consecutive words are averaged and go through a linear softmax over two
 classes. A text is as toxic as its worst such window: the average of a whole long text would drown a
@@ -99,7 +99,7 @@ class Subwords:
         features, owners = [(whole >> np.uint64(20)).astype(np.uint32)], [np.arange(len(starts))]
         rolled = codes * np.uint32(0x9E3779B1)
         clean = np.ones(len(codes), bool)
-        for size in range(2, 6):
+        for size in range(2, 5):
             if len(codes) < size:
                 break
             rolled = (rolled[:-1] * np.uint32(0x27D4EB2F)) ^ (codes[size - 1 :] * np.uint32(0x85EBCA6B))
@@ -141,6 +141,8 @@ class Scorer:
         subwords = Subwords()
 
         def score(text: str | None) -> float:
+            if not self.slope:
+                return self.prior if next(subwords.blocks(text), None) is not None else 0.0
             parts = []
             for block in subwords.blocks(text):
                 features, owners, words = subwords.features(block)
@@ -148,8 +150,6 @@ class Scorer:
                 parts.append(sums / np.bincount(owners, minlength=len(words)))
             if not parts:
                 return 0.0
-            if not self.slope:
-                return self.prior
             logit = _worst(np.concatenate(parts), self.span)[1] + self.bias
             return float(_sigmoid(self.slope * logit + self.offset))
 
@@ -209,11 +209,16 @@ class _Texts:
         shift = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         return self.features[self.starts[words][owner] + shift], owner
 
-    def word_scores(self, rows: np.ndarray, table: np.ndarray) -> list[np.ndarray]:
-        """For each of these texts, the score of each of its words."""
+    def word_scores(self, rows: np.ndarray, table: np.ndarray, kept: np.ndarray | None = None) -> list[np.ndarray]:
+        """For each of these texts, the score of each of its words, from all features or the `kept` ones."""
         used, places = np.unique(np.concatenate([self.texts[row] for row in rows]), return_inverse=True)
         features, owner = self.features_of(used)
-        scores = np.bincount(owner, table[features], len(used)) / self.sizes[used]
+        sizes = self.sizes[used]
+        if kept is not None:
+            some = kept[features]
+            features, owner = features[some], owner[some]
+            sizes = np.maximum(np.bincount(owner, minlength=len(used)), 1)
+        scores = np.bincount(owner, table[features], len(used)) / sizes
         return np.split(scores[places], np.cumsum([len(self.texts[row]) for row in rows])[:-1])
 
 
@@ -248,6 +253,7 @@ def fit(
     warm: int = 2,
     epochs: int = 6,
     rate: float = 0.5,
+    drop: float = 0.5,
     batch: int = 64,
     max_words: int = 1536,
     seed: int = 1,
@@ -276,7 +282,9 @@ def fit(
         for begin in range(0, len(order), batch):
             chosen = order[begin : begin + batch]
             direction = weights[:, 1] - weights[:, 0]
-            scores = data.word_scores(chosen, vectors @ direction)
+            # Words are told from a part of their features, so that no single n-gram stands for a word.
+            kept = rng.random(BUCKETS) >= drop
+            scores = data.word_scores(chosen, vectors @ direction, kept)
             ids, errors, total = [], [], 0.0
             for row, words in zip(chosen, scores, strict=True):
                 own = data.texts[row]
@@ -291,8 +299,11 @@ def fit(
                 total += error
             # All words of a window share its error: first per word, then per feature.
             used, places = np.unique(np.concatenate(ids), return_inverse=True)
-            pull = np.bincount(places, np.concatenate(errors)) / data.sizes[used]
+            pull = np.bincount(places, np.concatenate(errors))
             features, owner = data.features_of(used)
+            some = kept[features]
+            features, owner = features[some], owner[some]
+            pull /= np.maximum(np.bincount(owner, minlength=len(used)), 1)
             touched, places = np.unique(features, return_inverse=True)
             gradient = np.bincount(places, pull[owner])
             mean = gradient @ vectors[touched]
@@ -370,7 +381,7 @@ def train_toxicity(
 def score_toxicity(docs: DataFrame, model: ToxicityModel, *keep: str) -> DataFrame:
     """The columns `keep` of `docs`, then `score` and `predicted`; only `text` is looked at."""
     shared = docs.sparkSession.sparkContext.broadcast(model.scorer())
-    schema = docs.select(*keep).schema.add("score", "double").add("predicted", "int")
+    schema = docs.select(*keep).schema.add("score", "double").add("predicted", "integer")
 
     def make():
         score = shared.value.function()
