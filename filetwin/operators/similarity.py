@@ -236,9 +236,9 @@ def _large_places(shared: DataFrame, **skew) -> DataFrame:
 
 
 def shape_pairs(tokens: DataFrame, threshold: int, **skew) -> DataFrame:
-    """Pairs of shapes that can reach the threshold: x (not larger), y, nx, ny, cx, cy.
+    """Pairs of shapes (or of classes of them) that can reach the threshold: x (not larger), y, nx, ny, cx, cy.
 
-    `tokens`: shape, n (contents), copies, key, one row per content of a shape. Contents are
+    `tokens`: shape, n (contents), copies, key, one row per content that more than one holds. Contents are
     ordered from rare to frequent. Two sets of sizes nx <= ny at the threshold share at least
     o = ceil(t (nx + ny) / (100 + t)) contents, so their first shared one is at most at place
     nx - o + 1 and ny - o + 1; the smaller set needs only its index prefix, the larger its probe
@@ -288,6 +288,103 @@ def shape_pairs(tokens: DataFrame, threshold: int, **skew) -> DataFrame:
     return met.where(~F.coalesce(hopeless, F.lit(False))).select("x", "y", "nx", "ny", "cx", "cy").distinct()
 
 
+def _met(direct: DataFrame, shapes: DataFrame, **skew) -> DataFrame:
+    """Contents that two folders can have in common of which neither lies in the other.
+
+    A content whose holders have one parent and one shape is otherwise found only in folders above all of them.
+    """
+    shape_of = shapes.select("folder_path", F.col("group_folder").alias("_shape"))
+    held = lookup(direct.drop("k"), shape_of, ["folder_path"], "inner", spread="hash_value", **skew)
+    place = F.struct(F.coalesce(parent_of("folder_path"), F.lit("")), "_shape")
+    ends = held.groupBy(*CONTENT).agg(F.min(place).alias("lo"), F.max(place).alias("hi"))
+    return ends.where(F.col("lo") != F.col("hi")).select(*CONTENT)
+
+
+def folder_classes(
+    contents: DataFrame, verify: bool = True, direct: DataFrame | None = None, **skew
+) -> tuple[DataFrame, DataFrame]:
+    """Shapes folded into classes, and the shared contents of each class, as written tables.
+
+    A content that only one shape holds cannot be common to two. Shapes with the same number of contents and the same
+    set of contents that occur in two shapes or more are therefore as similar to every other folder as each other:
+    they are a class, named by its first folder. Any two shapes of a class have just these shared
+    contents in common. A shape without shared contents is a class of its own. With the `direct` contents, those of
+    whole subtrees being `contents`, a content that only folders within each other share does not count as shared.
+
+    Members: folder_path, shape, copies (folders of the shape), class_folder, other_folder (the first one of another shape), folders and
+    shapes (of the class), squares (sum of squared copies), contents, shared (numbers of contents). Contents: class_folder, n, folders, hash_value, size, key.
+    """
+    shapes = folder_shapes(contents, verify, **skew)
+    named = shapes.where(F.col("folder_path") == F.col("group_folder")).select(
+        "folder_path", F.col("contents").alias("n"), "copies"
+    )
+    held = materialize(
+        lookup(contents.drop("k"), named, ["folder_path"], "inner", spread="hash_value", **skew).select(
+            F.col("folder_path").alias("shape"), "n", "copies", *CONTENT, F.xxhash64(*CONTENT).alias("key")
+        ),
+        "shape-contents",
+    )
+    frequency = held.groupBy(*CONTENT).agg(F.count(F.lit(1)).alias("n"))
+    common = frequency.where(F.col("n") >= 2).select(*CONTENT)
+    if direct is not None:
+        common = common.join(_met(direct, shapes, **skew), CONTENT, "left_semi")
+    shared = materialize(
+        lookup(held, common, CONTENT, "left_semi", spread="shape", counts=frequency, **skew), "shared-contents"
+    )
+    sums = shared.groupBy("shape").agg(F.count(F.lit(1)).alias("shared"), *_lanes())
+    none = F.col("shared").isNull()
+    signed = materialize(
+        named.select(F.col("folder_path").alias("shape"), F.col("n").alias("contents"), "copies")
+        .join(sums.select("shape", "shared", *_masked(LANES)), "shape", "left")
+        .withColumn("alone", F.when(none, F.col("shape")).otherwise(""))
+        .fillna(0, ["shared", *LANES]),
+        "shape-signatures",
+    )
+    signature = ["contents", "shared", "alone", *LANES]
+    classes = signed.groupBy(*signature).agg(
+        F.min("shape").alias("class_folder"),
+        F.count(F.lit(1)).alias("shapes"),
+        F.sum("copies").alias("folders"),
+        F.sum(F.col("copies") * F.col("copies")).alias("squares"),
+    )
+    folded = materialize(
+        lookup(signed, classes, signature, "inner", spread="shape", **skew).select(
+            "shape", "class_folder", "folders", "shapes", "squares", "contents", "shared"
+        ),
+        "classes",
+    )
+    if verify:
+        several = folded.where(F.col("shapes") >= 2).select("shape", F.col("class_folder").alias("group_folder"), "shapes")
+        checked = lookup(shared.drop("copies"), several, ["shape"], "inner", spread="key", **skew)
+        _check_groups(checked.withColumnRenamed("shapes", "copies").withColumn("k", F.lit(1)))
+    other = folded.where(F.col("shape") != F.col("class_folder")).groupBy("class_folder")
+    other = other.agg(F.min("shape").alias("other_folder"))
+    members = materialize(
+        lookup(
+            shapes.select("folder_path", F.col("group_folder").alias("shape"), "copies"),
+            lookup(folded, other, ["class_folder"], "left", spread="shape", **skew),
+            ["shape"],
+            "inner",
+            spread="folder_path",
+            **skew,
+        ),
+        "class-members",
+    )
+    first = folded.where(F.col("shape") == F.col("class_folder")).select("shape", "folders")
+    tokens = materialize(
+        lookup(shared.drop("copies"), first, ["shape"], "inner", spread="key", **skew).withColumnRenamed(
+            "shape", "class_folder"
+        ),
+        "class-contents",
+    )
+    return members, tokens
+
+
+def _scoped_contents(files: DataFrame, scope: str, include_empty: bool) -> tuple[DataFrame, DataFrame | None]:
+    contents = materialize(folder_contents(files, scope, include_empty), "folder-contents")
+    return contents, folder_contents(files, "direct", include_empty) if scope == "subtree" else None
+
+
 def similar_folders(
     files: DataFrame,
     threshold: int = 50,
@@ -298,76 +395,101 @@ def similar_folders(
 ) -> DataFrame:
     """Folders whose common ÷ distinct contents reach `threshold` percent.
 
-    Folders with equal content sets are one shape, so a row is a pair of shapes, named by their
-    first folders, with the number of folder pairs it stands for; a shape of several folders is
-    also a row with itself. In subtree scope pairs of a folder and its own ancestor are left out.
-    `folder_shapes` lists the folders of each shape.
+    Folders that are equally similar to all others are one class (see `folder_classes`), so a row is a pair of
+    classes, named by their first folders, with the number of folder pairs it stands for. A class is a row with
+    itself for its folders with equal contents, and another for those that differ in contents nobody else holds,
+    which is named by its first folder and the first one with other contents. So a million folders around a common
+    core are two rows. In subtree scope pairs of a folder and its own
+    ancestor are left out. `similar_members` lists the folders of each class.
     """
     if not 1 <= threshold <= 100:
         raise ValueError("threshold is a percentage from 1 to 100")
-    contents = materialize(folder_contents(files, scope, include_empty), "folder-contents")
-    shapes = folder_shapes(contents, verify, **skew)
-    named = shapes.where(F.col("folder_path") == F.col("group_folder")).select(
-        "folder_path", F.col("contents").alias("n"), "copies"
-    )
-    held = materialize(
-        lookup(contents.drop("k"), named, ["folder_path"], "inner", spread="hash_value", **skew).select(
-            F.col("folder_path").alias("shape"), "n", "copies", *CONTENT, F.xxhash64(*CONTENT).alias("key")
-        ),
-        "shape-contents",
-    )
-    pairs = materialize(shape_pairs(held.select("shape", "n", "copies", "key"), threshold, **skew), "shape-pairs")
+    contents, direct = _scoped_contents(files, scope, include_empty)
+    members, tokens = folder_classes(contents, verify, direct, **skew)
+    keys = tokens.select(F.col("class_folder").alias("shape"), "n", F.col("folders").alias("copies"), "key")
+    pairs = materialize(shape_pairs(keys, threshold, **skew), "class-pairs")
 
-    # Only shapes with a possible partner are compared content by content.
-    involved = pairs.select(F.explode(F.array("x", "y")).alias("shape")).distinct()
+    # Only classes with a possible partner are compared content by content.
+    involved = pairs.select(F.explode(F.array("x", "y")).alias("class_folder")).distinct()
     compared = materialize(
-        lookup(held, involved, ["shape"], "left_semi", spread="key", **skew), "compared-contents"
+        lookup(tokens, involved, ["class_folder"], "left_semi", spread="key", **skew), "compared-contents"
     )
-    smaller = compared.select(F.col("shape").alias("x"), *CONTENT)
-    larger = compared.select(F.col("shape").alias("y"), *CONTENT)
+    smaller = compared.select(F.col("class_folder").alias("x"), *CONTENT)
+    larger = compared.select(F.col("class_folder").alias("y"), *CONTENT)
     listed = lookup(pairs, smaller, ["x"], "inner", spread="y", **skew)
     x_first = F.col("x") < F.col("y")
+    enough = F.col("common") * 100 >= F.col("distinct_contents") * threshold
     across = (
         lookup(listed, larger, ["y", *CONTENT], "left_semi", spread="x", **skew)
         .groupBy("x", "y", "nx", "ny", "cx", "cy")
         .agg(F.count(F.lit(1)).alias("common"))
         .withColumn("distinct_contents", F.col("nx") + F.col("ny") - F.col("common"))
-        .where(F.col("common") * 100 >= F.col("distinct_contents") * threshold)
+        .where(enough)
         .select(
             F.least("x", "y").alias("left_folder"),
             F.greatest("x", "y").alias("right_folder"),
+            F.lit(False).alias("_same"),
             "common",
             "distinct_contents",
             F.when(x_first, F.col("cx")).otherwise(F.col("cy")).alias("left_copies"),
             F.when(x_first, F.col("cy")).otherwise(F.col("cx")).alias("right_copies"),
             (F.col("cx") * F.col("cy")).alias("folder_pairs"),
+            F.lit(None).cast("string").alias("_other"),
         )
     )
-    copies = F.col("copies")
-    within = named.where(copies >= 2).select(
-        F.col("folder_path").alias("left_folder"),
-        F.col("folder_path").alias("right_folder"),
-        F.col("n").alias("common"),
-        F.col("n").alias("distinct_contents"),
-        copies.alias("left_copies"),
-        copies.alias("right_copies"),
-        F.floor(copies * (copies - 1) / 2).alias("folder_pairs"),
-    )
-    found = across.unionByName(within)
+    classes = members.where(F.col("folder_path") == F.col("class_folder"))
+    folders, n = F.col("folders"), F.col("contents")
+
+    def within(same: bool, common: Column, distinct: Column, pairs: str) -> DataFrame:
+        return (
+            classes.select(
+                F.col("class_folder").alias("left_folder"),
+                F.col("class_folder").alias("right_folder"),
+                F.lit(same).alias("_same"),
+                common.alias("common"),
+                distinct.alias("distinct_contents"),
+                folders.alias("left_copies"),
+                folders.alias("right_copies"),
+                F.expr(f"({pairs}) div 2").alias("folder_pairs"),
+                (F.lit(None).cast("string") if same else F.col("other_folder")).alias("_other"),
+            )
+            .where(F.col("folder_pairs") > 0)
+            .where(enough)
+        )
+
+    equal = within(True, n, n, "squares - folders")
+    unequal = within(False, F.col("shared"), 2 * n - F.col("shared"), "folders * folders - squares")
+    found = across.unionByName(equal).unionByName(unequal.where(F.col("common") > 0))
     if scope == "subtree":
-        related = _related_shapes(files, shapes, **skew)
+        related = _related_classes(files, members, **skew)
         found = (
-            found.join(related, ["left_folder", "right_folder"], "left")
+            found.join(related, ["left_folder", "right_folder", "_same"], "left")
             .withColumn("folder_pairs", F.col("folder_pairs") - F.coalesce("_related", F.lit(0)))
             .where(F.col("folder_pairs") > 0)
             .drop("_related")
         )
     percent = F.round(F.col("common") * 100 / F.col("distinct_contents"), 2)
+    found = found.withColumn("right_folder", F.coalesce("_other", "right_folder")).drop("_same", "_other")
     return found.withColumn("similarity", percent)
 
 
-def _related_shapes(files: DataFrame, shapes: DataFrame, **skew) -> DataFrame:
-    """Per pair of shapes the number of (folder, own ancestor) pairs between them."""
+def similar_members(
+    files: DataFrame, scope: str = "direct", include_empty: bool = True, verify: bool = True, **skew
+) -> DataFrame:
+    """The folders behind the names and numbers of `similar_folders`.
+
+    class_folder (the name of the class), folder_path, shape_folder (the first folder with the same contents), copies (folders of
+    that shape), folders (of the class), contents, shared (those that other shapes hold as well).
+    """
+    contents, direct = _scoped_contents(files, scope, include_empty)
+    members, _ = folder_classes(contents, verify, direct, **skew)
+    return members.select(
+        "class_folder", "folder_path", F.col("shape").alias("shape_folder"), "copies", "folders", "contents", "shared"
+    )
+
+
+def _related_classes(files: DataFrame, members: DataFrame, **skew) -> DataFrame:
+    """Per pair of classes the number of (folder, own ancestor) pairs between them, those of one shape apart."""
     holders = files.where(F.col("removed") == 0).select("folder_path", "root_path").distinct()
     tree = (
         holders.select("root_path", F.explode(ancestors("folder_path", "root_path")).alias("folder_path"))
@@ -375,8 +497,10 @@ def _related_shapes(files: DataFrame, shapes: DataFrame, **skew) -> DataFrame:
         .select("folder_path", F.explode(ancestors("folder_path", "root_path")).alias("_above"))
         .where(F.col("_above") != F.col("folder_path"))
     )
-    lower = shapes.select("folder_path", F.col("group_folder").alias("_a"))
-    upper = shapes.select(F.col("folder_path").alias("_above"), F.col("group_folder").alias("_b"))
+    lower = members.select("folder_path", F.col("class_folder").alias("_a"), F.col("shape").alias("_shape_a"))
+    upper = members.select(
+        F.col("folder_path").alias("_above"), F.col("class_folder").alias("_b"), F.col("shape").alias("_shape_b")
+    )
     both = lookup(
         lookup(tree, lower, ["folder_path"], "inner", spread="_above", **skew),
         upper,
@@ -385,9 +509,11 @@ def _related_shapes(files: DataFrame, shapes: DataFrame, **skew) -> DataFrame:
         spread="folder_path",
         **skew,
     )
-    return both.groupBy(F.least("_a", "_b").alias("left_folder"), F.greatest("_a", "_b").alias("right_folder")).agg(
-        F.count(F.lit(1)).alias("_related")
-    )
+    return both.groupBy(
+        F.least("_a", "_b").alias("left_folder"),
+        F.greatest("_a", "_b").alias("right_folder"),
+        (F.col("_shape_a") == F.col("_shape_b")).alias("_same"),
+    ).agg(F.count(F.lit(1)).alias("_related"))
 
 
 def folder_differences(files: DataFrame, pairs: DataFrame, scope: str = "direct", **skew) -> DataFrame:

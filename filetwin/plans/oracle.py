@@ -85,16 +85,30 @@ sh as (
   from oc group by 1),
 shapes as (select shape, min(folder_path) as name, count(*) as copies, any_value(contents) as contents from sh group by 1),
 named as (select s.name, s.copies, s.contents, c.hash_value, c.size from shapes s join oc c on c.folder_path = s.name),
+ct as (select hash_value, size from named group by 1, 2 having count(*) >= 2),
+cs as (
+  select n.name, any_value(n.copies) as copies, any_value(n.contents) as contents, count(ct.hash_value) as shared,
+    coalesce(string_agg(ct.hash_value || ':' || ct.size, ',' order by ct.hash_value, ct.size), n.name) as core
+  from named n left join ct using (hash_value, size) group by n.name),
+cl as (
+  select min(name) as class, sum(copies)::bigint as folders, sum(copies * copies)::bigint as squares, contents,
+    any_value(shared) as shared, list_sort(list(name))[2] as other from cs group by contents, core),
+cc as (
+  select c.class, c.folders, c.contents, n.hash_value, n.size
+  from cl c join named n on n.name = c.class join ct using (hash_value, size)),
 co as (
-  select a.name as left_folder, b.name as right_folder, count(*) as common,
-    any_value(a.copies) as left_copies, any_value(b.copies) as right_copies,
+  select a.class as left_folder, b.class as right_folder, count(*) as common,
+    any_value(a.folders) as left_copies, any_value(b.folders) as right_copies,
     any_value(a.contents) + any_value(b.contents) - count(*) as distinct_contents
-  from named a join named b using (hash_value, size) where a.name < b.name group by 1, 2),
+  from cc a join cc b using (hash_value, size) where a.class < b.class group by 1, 2),
 sim as (
   select left_folder, right_folder, common, distinct_contents, left_copies, right_copies,
     left_copies * right_copies as folder_pairs from co
   union all
-  select name, name, contents, contents, copies, copies, copies * (copies - 1) // 2 from shapes where copies >= 2)"""
+  select class, class, contents, contents, folders, folders, (squares - folders) // 2 from cl where squares > folders
+  union all
+  select class, other, shared, 2 * contents - shared, folders, folders, (folders * folders - squares) // 2
+  from cl where folders * folders > squares and shared > 0)"""
 
 # Observations and the scan log derived from `events`.
 EVENT_TABLES = """

@@ -1176,6 +1176,76 @@ def similar_folders_30(spark, sf_dir):
     return sim.similar_folders(s.order_files(spark, sf_dir), threshold=30)
 
 
+# Folder by folder: every two folders are compared, then counted per pair of classes.
+_SUBTREE_TABLES = """
+  rt as (
+    select folder_path as folder, hash_value, size from oc
+    union
+    select root_path, hash_value, size from o),
+  fs as (
+    select folder, string_agg(hash_value || ':' || size, ',' order by hash_value, size) as shape, count(*) as n from rt group by 1),
+  nm as (select shape, min(folder) as name, count(*) as copies, any_value(n) as n from fs group by 1),
+  sc as (select name, hash_value, size from nm join rt on folder = name),
+  two as (
+    select hash_value, size from sc group by 1, 2 having count(*) >= 2
+    intersect
+    select hash_value, size from oc join fs on folder = folder_path
+    group by 1, 2 having count(distinct shape || regexp_replace(folder_path, '/[^/]*$', '')) >= 2),
+  core as (
+    select nm.name, any_value(shape) as shape, any_value(copies) as copies, any_value(n) as n, count(two.size) as shared,
+      coalesce(string_agg(two.hash_value || ':' || two.size, ',' order by two.hash_value, two.size), nm.name) as core
+    from nm join sc using (name) left join two using (hash_value, size) group by nm.name),
+  mem as (
+    select folder, name, copies, core.n, shared, min(folder) over (partition by core.n, core) as class,
+      count(*) over (partition by core.n, core) as folders
+    from fs join core using (shape)),
+  ot as (select class, min(name) as other from mem where name <> class group by 1),
+  pr as (
+    select a.folder as lo, b.folder as hi, count(*) as common
+    from rt a join rt b using (hash_value, size) where a.folder < b.folder and not starts_with(b.folder, a.folder || '/')
+    group by 1, 2)"""
+
+
+@query(
+    orders(
+        """select least(x.class, y.class) as left_folder,
+             case when x.class = y.class and common < x.n then other else greatest(x.class, y.class) end as right_folder, common,
+             x.n + y.n - common as distinct_contents,
+             case when x.class <= y.class then x.folders else y.folders end as left_copies,
+             case when x.class <= y.class then y.folders else x.folders end as right_copies,
+             count(*) as folder_pairs, round(common * 100 / (x.n + y.n - common), 2) as similarity
+           from pr join mem x on x.folder = lo join mem y on y.folder = hi left join ot on ot.class = x.class
+           where common * 100 >= (x.n + y.n - common) * 50
+           group by all""",
+        _SUBTREE_TABLES,
+    )
+)
+def similar_folders_subtree(spark, sf_dir):
+    return sim.similar_folders(s.order_files(spark, sf_dir), scope="subtree")
+
+
+@query(
+    orders(
+        """select class as class_folder, folder as folder_path, name as shape_folder, copies, folders, n as contents, shared
+           from mem""",
+        _SUBTREE_TABLES,
+    )
+)
+def similar_members(spark, sf_dir):
+    return sim.similar_members(s.order_files(spark, sf_dir), "subtree")
+
+
+@query(
+    orders(
+        """select folder_path, min(folder_path) over (partition by shape) as group_folder,
+             count(*) over (partition by shape) as copies, contents
+           from sh"""
+    )
+)
+def folder_shapes(spark, sf_dir):
+    return sim.folder_shapes(sim.folder_contents(s.order_files(spark, sf_dir)))
+
+
 _DIFFERENCE_TABLES = f"""
   pr as (select left_folder, right_folder from ({_SIMILAR.format(threshold=50)}) where left_folder <> right_folder),
   lc as (select left_folder, right_folder, hash_value, size from pr join oc on folder_path = left_folder),

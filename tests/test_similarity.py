@@ -57,23 +57,48 @@ def _expected_pairs(specs, threshold, scope):
     return held, found
 
 
+def _classes(specs, scope):
+    """The class of each folder and how many of its contents are shared.
+
+    A class is named by its first folder: as many contents, and the same shared ones. Shared: in another set too, and not only in
+    folders that lie within each other.
+    """
+    held = {f: frozenset(c) for f, c in _contents(specs, scope).items()}
+    often = Counter(c for shape in set(held.values()) for c in shape)
+    if scope == "subtree":
+        holders = defaultdict(set)
+        for folder, content in _contents(specs, "direct").items():
+            for c in content:
+                holders[c].add((held[folder], folder.rsplit("/", 1)[0]))
+        often = {c: n if len(holders[c]) > 1 else 0 for c, n in often.items()}
+    key = {}
+    for folder, content in held.items():
+        core = frozenset(c for c in content if often[c] > 1)
+        key[folder] = (len(content), core or frozenset(content))
+    first = {}
+    for folder in sorted(held):
+        first.setdefault(key[folder], folder)
+    return {folder: first[key[folder]] for folder in held}, {f: sum(often[c] > 1 for c in held[f]) for f in held}
+
+
 @pytest.mark.parametrize("scope", ["direct", "subtree"])
 @pytest.mark.parametrize("threshold", [20, 50, 80, 100])
 def test_similar_folders_equal_brute_force(make, monkeypatch, scope, threshold):
     monkeypatch.setattr(sim, "SMALL_SHAPE", 4)
     specs = _random_catalog(threshold)
     held, wanted = _expected_pairs(specs, threshold, scope)
-    shapes = defaultdict(list)
-    for folder, content in held.items():
-        shapes[frozenset(content)].append(folder)
-    name = {f: min(members) for members in shapes.values() for f in members}
-    by_shape = defaultdict(int)
+    name, _ = _classes(specs, scope)
+    by_class, size = defaultdict(int), Counter(name.values())
     for (a, b), (common, whole) in wanted.items():
         left, right = sorted((name[a], name[b]))
-        by_shape[(left, right, common, whole)] += 1
+        if left == right and common < whole:
+            right = min(f for f in name if name[f] == left and held[f] != held[left])
+        by_class[(left, right, common, whole)] += 1
     got = sim.similar_folders(make.files(*specs), threshold, scope).collect()
-    assert {(r.left_folder, r.right_folder, r.common, r.distinct_contents): r.folder_pairs for r in got} == by_shape
+    assert {(r.left_folder, r.right_folder, r.common, r.distinct_contents): r.folder_pairs for r in got} == by_class
+    assert len(got) == len(by_class)
     assert all(r.similarity == round(100 * r.common / r.distinct_contents, 2) for r in got)
+    assert all((r.left_copies, r.right_copies) == (size[name[r.left_folder]], size[name[r.right_folder]]) for r in got)
 
 
 def test_salted_similarity_equals_brute_force(make):
@@ -88,8 +113,50 @@ def test_content_shared_by_most_folders(make):
     for f in range(120):
         specs += [(f"/r/d{f}/own", dict(hash_value=f"own{f}")), (f"/r/d{f}/license", dict(hash_value="license"))]
     specs.append(("/r/only/license", dict(hash_value="license")))
-    got = sim.similar_folders(make.files(*specs), 50).collect()
-    assert len(got) == 120 and {r.right_folder for r in got} == {"/r/only"}
+    got = rows(sim.similar_folders(make.files(*specs), 50), "left_folder", "right_folder", "folder_pairs")
+    assert got == [("/r/d0", "/r/only", 120)]
+
+
+@pytest.mark.parametrize("scope", ["direct", "subtree"])
+def test_rows_do_not_grow_with_folders_around_a_common_core(make, scope):
+    """N folders with a common core and contents of their own, some of them in several copies."""
+    found = {}
+    for folders in (30, 150):
+        specs = []
+        for f in range(folders):
+            for copy in range(1 + (f % 3 == 0)):
+                home = f"/r/d{f}/v{copy}" if scope == "direct" else f"/r/d{f}-v{copy}"
+                specs += [(f"{home}/core{c}", dict(hash_value=f"core{c}", size=9)) for c in range(6)]
+                specs += [(f"{home}/own{c}", dict(hash_value=f"own{f}-{c}", size=9)) for c in range(2)]
+        held, wanted = _expected_pairs(specs, 50, scope)
+        got = sim.similar_folders(make.files(*specs), 50, scope).collect()
+        assert sum(r.folder_pairs for r in got) == len(wanted)
+        found[folders] = len(got)
+    assert found[30] == found[150] == 2
+
+
+@pytest.mark.parametrize("scope", ["direct", "subtree"])
+def test_members_of_classes(make, scope):
+    specs = _random_catalog(11)
+    held, _ = _expected_pairs(specs, 50, scope)
+    sets = {folder: frozenset(content) for folder, content in held.items()}
+    first, (name, shared) = {}, _classes(specs, scope)
+    size = Counter(name.values())
+    for folder in sorted(sets):
+        first.setdefault(sets[folder], folder)
+    copies = Counter(sets.values())
+    wanted = [(name[f], f, first[c], copies[c], size[name[f]], len(c), shared[f]) for f, c in sets.items()]
+    got = sim.similar_members(make.files(*specs), scope)
+    assert got.columns == ["class_folder", "folder_path", "shape_folder", "copies", "folders", "contents", "shared"]
+    assert rows(got) == sorted(wanted, key=lambda t: tuple((x is None, str(x)) for x in t))
+
+
+def test_different_contents_behind_a_class_signature_are_refused(make, monkeypatch):
+    monkeypatch.setattr(sim, "_masked", lambda names: [sim.F.lit(0).cast("long").alias(n) for n in names])
+    specs = [(f"/r/{f}/{c}", dict(hash_value=c)) for f, held in enumerate(("abx", "cdy", "abz", "cdw")) for c in held]
+    contents = sim.folder_contents(make.files(*specs))
+    with pytest.raises(ValueError, match="signature"):
+        sim.folder_classes(contents.withColumn("k", sim.F.lit(1)), verify=True)
 
 
 @pytest.mark.parametrize("scope", ["direct", "subtree"])
