@@ -6,12 +6,13 @@ partial sums, members stay rows, and the JSON documents are cut into parts of bo
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.paths import path_key
 from ..functions.text import STATUS, human_size, iso_time, short_path, thousands
 from ..session import materialize
+from .ordered import numbered
 from .skew import key_counts, lookup
 
 CONTENT = ["hash_value", "size"]
@@ -214,33 +215,12 @@ def reclaimable_total(files: DataFrame, min_count: int = 2) -> DataFrame:
 
 
 def number_sets(sets: DataFrame) -> DataFrame:
-    """Adds `set_no`, the place of each set by (size desc, hash), without sorting in one task.
+    """Adds `set_no`, the place of each set by (size desc, hash), counted over ranges of that order.
 
-    The order is cut into slots (size, first three hash characters) and the slots into bands of
-    sizes (64 per power of two). Offsets are running sums: over the bands, whose number is bounded
-    by 64 * 64, over the slots of a band, and over the sets of a slot.
+    So neither the whole report nor all sets of one size ever lie in one task.
     """
-    slotted = sets.withColumn("_h", F.substring("hash_value", 1, 3)).withColumn(
-        "_band", F.floor(F.log2(F.greatest(F.col("size"), F.lit(1)).cast("double")) * 64).cast("int")
-    )
-    slots = slotted.groupBy("_band", "size", "_h").agg(F.count(F.lit(1)).alias("c"))
-    bands = slots.groupBy("_band").agg(F.sum("c").alias("c"))
-    upper = Window.orderBy(F.desc("_band")).rowsBetween(Window.unboundedPreceding, -1)
-    band_start = bands.select("_band", F.coalesce(F.sum("c").over(upper), F.lit(0)).alias("_band_start"))
-    before = (
-        Window.partitionBy("_band").orderBy(F.desc("size"), "_h").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    slot_start = slots.withColumn("_slot_start", F.coalesce(F.sum("c").over(before), F.lit(0))).join(
-        band_start, "_band"
-    )
-    offsets = slot_start.select("size", "_h", (F.col("_band_start") + F.col("_slot_start")).alias("_start"))
-    place = F.row_number().over(Window.partitionBy("size", "_h").orderBy("hash_value"))
-    return (
-        slotted.withColumn("_place", place)
-        .join(offsets, ["size", "_h"])
-        .withColumn("set_no", F.col("_start") + F.col("_place"))
-        .drop("_h", "_band", "_start", "_place")
-    )
+    order = [F.desc("size"), F.col("hash_value")]
+    return numbered(sets, order, "_place", "numbered-sets").withColumn("set_no", F.col("_place") + 1).drop("_place")
 
 
 def numbered_sets(files: DataFrame, min_count: int = 2, min_size: int = 0, **skew) -> DataFrame:

@@ -9,6 +9,7 @@ from ..schemas import DEFAULT_ALGORITHM
 from ..session import materialize
 from .duplicates import CONTENT
 from .mutate import folders_below
+from .ordered import ranged
 from .skew import key_counts, lookup
 
 
@@ -97,7 +98,8 @@ def moved_files(catalog: DataFrame, include_empty: bool = False, **skew) -> Data
 
     One row per removed file with its best match (earliest later first sight, then path) and the
     number of later live copies, not all pairs: copies are first reduced to the distinct times of
-    each content, and those short time lines are matched with a window.
+    each content. The time lines are cut into ranges of (content, time); what a range needs of the later ones is one row
+    for the content that goes on there, so a content with any number of times is spread over tasks.
     """
     floor = 0 if include_empty else 1
     hashed = catalog.where(F.col("hash_value").isNotNull() & F.col("error_status").isNull() & (F.col("size") >= floor))
@@ -107,25 +109,33 @@ def moved_files(catalog: DataFrame, include_empty: bool = False, **skew) -> Data
         F.count_if(live).alias("_live"),
         F.count_if(~live).alias("_gone"),
     )
-    later = (
-        Window.partitionBy(*CONTENT).orderBy(F.desc("first_scanned_at")).rowsBetween(Window.unboundedPreceding, -1)
-    )
     is_live = F.col("_live") > 0
     target = F.when(is_live, F.struct(F.col("first_scanned_at").alias("at"), F.col("_path").alias("to_path")))
+    lines = ranged(times.withColumn("_target", target), [*CONTENT, "first_scanned_at"], "time-lines")
+
+    own = Window.partitionBy("_part", *CONTENT).orderBy(F.desc("_at")).rowsBetween(Window.unboundedPreceding, -1)
+    within = lines.withColumns(
+        {"_own_next": F.last("_target", ignorenulls=True).over(own), "_own_later": F.sum("_live").over(own)}
+    )
+    later = Window.partitionBy(*CONTENT).orderBy(F.desc("_part")).rowsBetween(Window.unboundedPreceding, -1)
+    parts = lines.groupBy("_part", *CONTENT).agg(F.min("_target").alias("_first"), F.sum("_live").alias("_n"))
+    carried = parts.select(
+        "_part",
+        *CONTENT,
+        F.last("_first", ignorenulls=True).over(later).alias("_next"),
+        F.sum("_n").over(later).alias("_later"),
+    ).where(F.col("_later").isNotNull())
+    # Only the last content of a range can go on in a later one: at most a row per range.
     matches = (
-        times.withColumns(
-            {
-                "_next": F.last(target, ignorenulls=True).over(later),
-                "later_copies": F.sum("_live").over(later),
-            }
-        )
+        within.join(F.broadcast(carried), ["_part", *CONTENT], "left")
+        .withColumn("_next", F.coalesce("_own_next", "_next"))
         .where((F.col("_gone") > 0) & F.col("_next").isNotNull())
         .select(
             *CONTENT,
             "first_scanned_at",
             F.col("_next.to_path").alias("to_path"),
             F.col("_next.at").alias("moved_at"),
-            "later_copies",
+            (F.coalesce("_own_later", F.lit(0)) + F.coalesce("_later", F.lit(0))).alias("later_copies"),
         )
     )
     gone = hashed.where(~live).select(F.col("path").alias("from_path"), *CONTENT, "first_scanned_at")
