@@ -128,6 +128,73 @@ def test_unfinished_version_is_not_read(spark, make, tmp_path):
     assert tables.versions(spark, base, "files") == [1]
 
 
+def _stored(base, name):
+    return {
+        os.path.join(d, f): os.stat(os.path.join(d, f)).st_mtime_ns
+        for d, _, names in os.walk(f"{base}/{name}")
+        for f in names
+        if f.endswith(".parquet")
+    }
+
+
+def test_change_of_one_root_leaves_other_buckets_untouched(spark, make, tmp_path):
+    base = str(tmp_path / "catalog")
+    files = make.files(*[f"/r{k}/{f}" for k in range(30) for f in "ab"])
+    tables.write_table(files, base, "files")
+    before = _stored(base, "files")
+    (bucket,) = tables.buckets_of(files.where("root_path = '/r7'"), "files")
+    same = [r[0] for r in rows(files.where(tables.bucket_of("files") == bucket).select("root_path").distinct())]
+    tables.replace_roots(make.files("/r7/new"), base, "files", ["/r7"])
+    after = _stored(base, "files")
+    others = {p for p in before if f"/bucket={bucket}/" not in p}
+    assert len(others) > 5 and all(after[p] == before[p] for p in others)
+    assert {p for p in after if p not in before} == {p for p in after if f"/bucket={bucket}/" in p}
+    wanted = {f"/r{k}/{f}" for k in range(30) for f in "ab"} - {"/r7/a", "/r7/b"} | {"/r7/new"}
+    assert {r[0] for r in rows(tables.read_table(spark, base, "files"), "path")} == wanted
+    assert rows(tables.read_table(spark, base, "files", roots=["/r7"]), "path") == [("/r7/new",)]
+    assert tables.versions(spark, base, "files") == [1]
+
+    for gone in same:
+        tables.replace_roots(make.files().limit(0) if gone == "/r7" else make.files(f"{gone}/x").limit(0), base, "files", [gone])
+    left = tables.read_table(spark, base, "files")
+    assert left.where(F.col("root_path").isin(same)).count() == 0 and left.count() == 60 - 2 * len(same)
+    assert not any(f"/bucket={bucket}/" in p for p in _stored(base, "files"))
+
+
+def test_reading_a_root_skips_other_buckets(spark, make, tmp_path):
+    base = str(tmp_path / "catalog")
+    tables.write_table(make.files(*[f"/r{k}/a" for k in range(30)]), base, "files")
+    found = tables.read_table(spark, base, "files", roots=["/r3", "/r4"])
+    assert rows(found, "path") == [("/r3/a",), ("/r4/a",)]
+    assert "PartitionFilters: [bucket" in found._jdf.queryExecution().toString()
+    assert tables.read_table(spark, base, "files", roots=[]).count() == 0
+
+
+def test_interrupted_change_is_finished(spark, make, tmp_path, monkeypatch):
+    base = str(tmp_path / "catalog")
+    tables.write_table(make.files("/r/a", "/s/a"), base, "files")
+    finish = tables._finish
+    monkeypatch.setattr(tables, "_finish", lambda *a: None)
+    tables.replace_roots(make.files("/r/b"), base, "files", ["/r"])
+    assert rows(tables.read_table(spark, base, "files"), "path") == [("/r/a",), ("/s/a",)]
+    monkeypatch.setattr(tables, "_finish", finish)
+    # As after a driver lost half-way: the bucket is gone.
+    (bucket,) = tables.buckets_of(make.files("/r/a"), "files")
+    for f in list(_stored(base, "files")):
+        if f"/bucket={bucket}/" in f:
+            os.remove(f)
+    assert rows(tables.read_table(spark, base, "files"), "path") == [("/r/b",), ("/s/a",)]
+    assert rows(tables.read_table(spark, base, "files"), "path") == [("/r/b",), ("/s/a",)]
+
+
+def test_writers_claim_numbers(spark, make, tmp_path, monkeypatch):
+    base = str(tmp_path / "catalog")
+    monkeypatch.setattr(tables, "path_exists", lambda *a: False)
+    os.makedirs(f"{base}/files/v000001")
+    open(f"{base}/files/v000001/_claim", "w").close()
+    assert tables.write_table(make.files("/r/a"), base, "files") == 2
+
+
 def test_table_filters_reach_the_scan(spark, make, tmp_path):
     base = str(tmp_path / "catalog")
     tables.write_table(make.files("/r/a", "/r/b"), base, "files")

@@ -1,7 +1,9 @@
+import os
+
 from pyspark.sql import functions as F
 
 from filetwin import schemas
-from filetwin.sources import listing
+from filetwin.sources import listing, tables
 from filetwin.streaming import observe, resume
 
 from .conftest import rows
@@ -72,3 +74,63 @@ def test_interrupted_scan_goes_on(spark, tmp_path):
     restarted = str(tmp_path / "fresh")
     resume.resumable_scan(spark, f"{listed}/part=*", restarted).awaitTermination()
     assert resume.scanned_digests(spark, restarted).count() == 6
+
+
+def _catalog(spark, source, base, done):
+    stream = spark.readStream.schema(schemas.OBSERVATIONS).option("maxFilesPerTrigger", 1).parquet(source)
+    observe.observe_catalog(stream, base, done, algorithm="sha256").awaitTermination()
+
+
+COLUMNS = ["path", "size", "mtime", "hash_value", "hash_algorithm", "first_scanned_at", "last_scanned_at", "removed", "folder_path"]
+
+
+def test_observations_reach_the_catalog(spark, make, tmp_path):
+    source, base, done = (str(tmp_path / name) for name in ("in", "catalog", "done"))
+    old = make.files(
+        ("/r/x/a", dict(first_scanned_at=50, last_scanned_at=60, removed=1)),
+        ("/r/x/b", dict(first_scanned_at=50, last_scanned_at=500, removed=1)),
+        ("/q/c", dict(first_scanned_at=1, last_scanned_at=2)),
+    )
+    tables.write_table(old, base, "files")
+    _write(spark, source, (1, 100, "/r", "/r/x/a", 1, "x"), (2, 300, "/r", "/r/x/a", 3, None), (3, 20, "/r", "/r/x/b", 7, "late"))
+    _catalog(spark, source, base, done)
+    _write(spark, source, (4, 400, "/s", "/s/new", 5, "n"), (5, 40, "/r", "/r/x/a", 9, "older"))
+    _catalog(spark, source, base, done)
+    wanted = [
+        ("/q/c", 10, 100, "h", "sha512", 1, 2, 0, "/q"),
+        ("/r/x/a", 3, 300, None, None, 40, 300, 0, "/r/x"),
+        ("/r/x/b", 10, 100, "h", "sha512", 20, 500, 1, "/r/x"),
+        ("/s/new", 5, 400, "n", "sha256", 400, 400, 0, "/s"),
+    ]
+    assert rows(tables.read_table(spark, base, "files"), *COLUMNS) == wanted
+    assert tables.table_note(spark, base, "files")["batch"] == 1
+    # A new checkpoint reads all of it again: nothing changes.
+    _catalog(spark, source, base, str(tmp_path / "another"))
+    assert rows(tables.read_table(spark, base, "files"), *COLUMNS) == wanted
+
+
+def test_replayed_batch_is_applied_once(spark, tmp_path, monkeypatch):
+    source, base, done = (str(tmp_path / name) for name in ("in", "catalog", "done"))
+    _write(spark, source, (1, 100, "/r", "/r/a", 1, "x"))
+    _catalog(spark, source, base, done)
+    # The batch was written, but its end never reached the checkpoint.
+    os.remove(f"{done}/commits/0")
+    os.remove(f"{done}/commits/.0.crc")
+    calls, plain = [], tables.replace_buckets
+    monkeypatch.setattr(tables, "replace_buckets", lambda *a: (calls.append(a), plain(*a)))
+    _catalog(spark, source, base, done)
+    assert calls == [] and tables.read_table(spark, base, "files").count() == 1
+    _write(spark, source, (2, 200, "/r", "/r/b", 1, "x"))
+    _catalog(spark, source, base, done)
+    assert len(calls) == 1 and tables.read_table(spark, base, "files").count() == 2
+
+
+def test_observed_rows_take_what_is_told(spark):
+    told = spark.createDataFrame(
+        [(1, 5, "/r", "/r/a", 1, "x", 3, "sha3-256", None), (2, 6, "/r", "/r/b", None, None, None, None, "denied"), (3, None, "/r", None, 1, "", 0, "", "")],
+        "seq long, ts long, root_path string, path string, size long, hash_value string, mtime long, hash_algorithm string, error_status string",
+    )
+    assert rows(observe.observed_rows(told), "path", "size", "mtime", "hash_algorithm", "error_status") == [
+        ("/r/a", 1, 3, "sha3-256", None),
+        ("/r/b", 0, 6, None, "denied"),
+    ]
