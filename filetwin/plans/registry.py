@@ -225,12 +225,64 @@ def duplicates_json_parts(spark, sf_dir):
     return dup.duplicates_json(s.doc_files(spark, sf_dir), part_files=2)
 
 
-@query(docs(f"select {FILE_COLUMNS} from f where removed = 0"))
+_TABLE_COLUMNS = {
+    "files": FILE_COLUMNS,
+    "folders": FOLDER_COLUMNS,
+    "roots": ROOT_COLUMNS,
+    "scans": "scan_id, root_path, scan_mode, current_folder_path, last_processed_file, started_at, updated_at, completed",
+    "agents": "id, name, guid, enabled, updated, status",
+    "scan_events": 'scan_id, root_path, scan_mode, event, folder_path, file_path, "at", seq',
+}
+
+
+def _row_texts(sources: dict[str, str]) -> str:
+    """SQL for all rows of several tables as (name, text of the columns)."""
+    texts = {
+        name: " || '|' || ".join(f"coalesce(({c.strip()})::varchar, '-')" for c in columns.split(","))
+        for name, columns in _TABLE_COLUMNS.items()
+    }
+    return " union all ".join(f"select '{name}' as name, {texts[name]} as content from ({sources[name]})" for name in sources)
+
+
+@query(
+    oracle.on(
+        oracle.DOC_TABLES + "," + oracle.EVENT_TABLES,
+        _row_texts(
+            {
+                "files": "select * from f where removed = 0 or root_path <> '/src7'",
+                "folders": "select * from fo where root_path <> '/src3'",
+                "roots": "select * from r",
+                "scans": "select * from sc",
+                "agents": """select c_custkey as id, c_name as name, md5(c_name) as guid, (c_custkey % 4 <> 0)::int as enabled,
+                    1704067200 + c_custkey as updated, c_custkey % 15 as status from customer""",
+                "scan_events": "select *, tm as \"at\" from ev",
+            }
+        ),
+    )
+)
 def catalog_tables(spark, sf_dir):
+    """All six tables written and read again, two of them after a change of one root."""
     base = fresh_dir(spark, "catalog")
-    tables.write_table(s.doc_files(spark, sf_dir), base, "files")
-    tables.write_table(tables.read_table(spark, base, "files").where("removed = 0"), base, "files")
-    return _select(tables.read_table(spark, base, "files"), FILE_COLUMNS)
+    events_ = s.scan_events(spark, sf_dir)
+    contents = {
+        "files": s.doc_files(spark, sf_dir),
+        "folders": s.doc_folders(spark, sf_dir),
+        "roots": s.doc_roots(spark, sf_dir),
+        "scans": change.scan_state(events_),
+        "agents": s.agents(spark, sf_dir),
+        "scan_events": events_,
+    }
+    for name, rows in contents.items():
+        tables.write_table(rows, base, name)
+    kept = tables.read_table(spark, base, "files", roots=["/src7"]).where("removed = 0")
+    tables.replace_roots(kept, base, "files", ["/src7"])
+    tables.replace_roots(tables.read_table(spark, base, "folders").limit(0), base, "folders", ["/src3"])
+    whole = None
+    for name, columns in _TABLE_COLUMNS.items():
+        texts = [F.coalesce(F.col(c.strip().strip('"')).cast("string"), F.lit("-")) for c in columns.split(",")]
+        part = tables.read_table(spark, base, name).select(F.lit(name).alias("name"), F.concat_ws("|", *texts).alias("content"))
+        whole = part if whole is None else whole.unionByName(part)
+    return whole
 
 
 # --- filters and look-ups --------------------------------------------------------------------
@@ -1587,6 +1639,60 @@ def observe_stream_restarted(spark, sf_dir):
     return observe.observed_files(spark, out)
 
 
+_KNOWN = """
+  old as (
+    select path, min(ts) - 1000 as first, case when length(path) % 2 = 0 then max(ts) + 100000000 else min(ts) - 500 end as last
+    from ob where seq % 3 = 0 and path is not null group by path),
+  nw as (
+    select path, min(ts) as first, max(ts) as last, arg_max(size, row(ts, seq)) as size,
+      arg_max(hash_value, row(ts, seq)) as hash_value, arg_max(root_path, row(ts, seq)) as root_path
+    from ob where seq % 3 <> 0 and path is not null group by path),
+  bo as (
+    select coalesce(old.path, nw.path) as path, old.first as of, old.last as ol, nw.first as nf, nw.last as nl, size, hash_value,
+      nw.path is not null and (old.path is null or nw.last >= old.last) as newer
+    from old full join nw on old.path = nw.path)"""
+
+
+@query(
+    events(
+        """select path, case when newer then size else 1 end::bigint as size, case when newer then nl else 7 end::bigint as mtime,
+             case when newer then hash_value end as hash_value, case when newer then 'sha256' end as hash_algorithm,
+             case when not newer then 'denied' end as error_status, least(of, nf)::bigint as first_scanned_at,
+             (case when newer then nl else ol end)::bigint as last_scanned_at, case when newer then 0 else 1 end as removed,
+             regexp_replace(path, '/[^/]*$', '') as folder_path, '/' || split_part(path, '/', 2) as root_path
+           from bo""",
+        _KNOWN,
+    )
+)
+def observed_catalog(spark, sf_dir):
+    """Two thirds of the observations streamed into a catalog of removed files, with a restart half-way."""
+    base, source, done = [fresh_dir(spark, f"observed-{part}") for part in ("catalog", "input", "checkpoint")]
+    told = s.observations(spark, sf_dir).where("path is not null")
+    seq = F.col("seq")
+    newer = F.length("path") % 2 == 0
+    known = told.where(seq % 3 == 0).groupBy("path").agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"), F.first("root_path").alias("root_path"))
+    old = known.select(
+        "path",
+        F.lit(1).cast("bigint").alias("size"),
+        F.lit(7).cast("bigint").alias("mtime"),
+        F.lit(None).cast("string").alias("hash_value"),
+        F.lit(None).cast("string").alias("hash_algorithm"),
+        F.lit("denied").alias("error_status"),
+        (F.col("lo") - 1000).alias("first_scanned_at"),
+        F.when(newer, F.col("hi") + 100_000_000).otherwise(F.col("lo") - 500).alias("last_scanned_at"),
+        F.lit(1).alias("removed"),
+        paths.parent_of("path").alias("folder_path"),
+        "root_path",
+    )
+    tables.write_table(old, base, "files")
+    for part in (0, 1):
+        rows = told.where((seq % 3 != 0) & (F.pmod(F.xxhash64("seq"), F.lit(2)) == part))
+        rows.repartition(2, "seq").write.mode("append").parquet(source)
+        stream = spark.readStream.schema(told.schema).option("maxFilesPerTrigger", 2).parquet(source)
+        observe.observe_catalog(stream, base, done, algorithm="sha256").awaitTermination()
+    return _select(tables.read_table(spark, base, "files"), FILE_COLUMNS)
+
+
 @query(_TREE_DIGESTS)
 def resumable_scan(spark, sf_dir):
     found = listing.list_files(spark, s.document_tree(spark, sf_dir))
