@@ -94,3 +94,16 @@ def ancestors(path, top) -> Column:
     )
     named = F.transform(prefixes, lambda p: F.when(p == "", F.lit("/")).otherwise(p))
     return F.when(inside, named).otherwise(F.array().cast("array<string>"))
+
+
+def tree_key(path, root) -> Column:
+    """A text by whose order a folder comes directly before all that lies below it in its root.
+
+    The slash sorts before any character of a name; `subtree_end` of a folder is beyond the keys below it.
+    """
+    plain = lambda p: F.replace(_c(p), F.lit("/"), F.lit("\0"))
+    return F.concat(plain(root), F.lit("\1"), plain(path))
+
+
+def subtree_end(key) -> Column:
+    return F.concat(_c(key), F.lit("\1"))

@@ -41,9 +41,17 @@ def detect_removed(
     ).select(*catalog.columns)
 
 
-def cascade_removed(folders: DataFrame, files: DataFrame, now: int, **skew) -> tuple[DataFrame, DataFrame]:
-    """Everything below a removed folder marked removed: (folders, files)."""
-    below = materialize(folders_below(folders, folders.where(F.col("removed") == 1), **skew), "removed-folders")
+def cascade_removed(
+    folders: DataFrame, files: DataFrame, now: int, root_path: str | None = None, **skew
+) -> tuple[DataFrame, DataFrame]:
+    """Everything below a removed folder marked removed: (folders, files).
+
+    With `root_path` only the rows of that root, which are also the only ones read.
+    """
+    if root_path is not None:
+        own = F.col("root_path") == root_path
+        folders, files = folders.where(own), files.where(own)
+    below = materialize(folders_below(folders, folders.where(F.col("removed") == 1)), "removed-folders")
     gone = below.select("folder_path", F.lit(True).alias("_gone"))
 
     def applied(df: DataFrame, joined: DataFrame) -> DataFrame:

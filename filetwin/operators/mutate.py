@@ -8,9 +8,10 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.paths import ancestors
+from ..functions.paths import subtree_end, tree_key
 from ..session import materialize
 from .integrity import root_statistics
+from .ordered import running_max
 from .skew import fits_broadcast, lookup
 
 
@@ -214,19 +215,19 @@ def deleted_statistics(roots: DataFrame, doomed: DataFrame) -> DataFrame:
     )
 
 
-def folders_below(folders: DataFrame, tops: DataFrame, **skew) -> DataFrame:
-    """Folders at or below any path in `tops` (folder_path): folder_path, root_path.
+def folders_below(folders: DataFrame, tops: DataFrame) -> DataFrame:
+    """Folders at or below one of `tops` (folder_path, root_path) in the same root: folder_path, root_path.
 
-    Each folder is compared through its ancestors, so neither `/a/docs2` nor recursion comes in.
+    Folders and tops are sorted together so that a subtree is a run of rows. A folder lies below a top when the furthest end of
+    the tops before it is behind it, which is a running maximum over ranges: one row per folder, however deep, and neither
+    recursion nor `/a/docs2` comes in.
     """
-    exploded = folders.select(
-        "folder_path", "root_path", F.explode(ancestors("folder_path", "root_path")).alias("top")
-    )
-    wanted = tops.select(F.col("folder_path").alias("top")).distinct()
-    return (
-        lookup(exploded, wanted, ["top"], "left_semi", spread="folder_path", **skew)
-        .select("folder_path", "root_path")
-        .distinct()
+    rows = folders.select("folder_path", "root_path", tree_key("folder_path", "root_path").alias("key"))
+    ends = tops.select(tree_key("folder_path", "root_path").alias("key")).distinct()
+    both = ends.withColumn("end", subtree_end("key")).unionByName(rows, allowMissingColumns=True)
+    reached = running_max(both, ["key", F.col("end").asc_nulls_last()], "end", "reach", "subtrees")
+    return reached.where(F.col("folder_path").isNotNull() & (F.col("reach") > F.col("key"))).select(
+        "folder_path", "root_path"
     )
 
 
@@ -246,25 +247,42 @@ def purge_removed(
 ) -> Purge:
     """Removed rows deleted: `files`, `folders` or `all`, with `before` those last seen earlier.
 
-    Deleting a folder deletes everything below it, live or not; `counts` has those rows apart.
+    Deleting a folder deletes everything below it, live or not; `counts` has those rows apart. With `root_path` the
+    other roots' rows are handed on as they are and only that root's are looked at.
     """
     if kind not in ("files", "folders", "all"):
         raise ValueError(f"unknown kind to purge: {kind}")
-    wanted = F.col("removed") == 1
     if root_path is not None:
-        wanted = wanted & (F.col("root_path") == root_path)
+        own = F.col("root_path").eqNullSafe(F.lit(root_path))
+        done = purge_root(folders, files, root_path, kind, before, **skew)
+        return Purge(
+            folders.where(~own).unionByName(done.folders), files.where(~own).unionByName(done.files), done.counts
+        )
+    return _purged(folders, files, kind, before, **skew)
+
+
+def purge_root(
+    folders: DataFrame, files: DataFrame, root_path: str, kind: str = "all", before: int | None = None, **skew
+) -> Purge:
+    """`purge_removed` of one root, giving that root's rows only, as `sources.tables.replace_roots` stores them."""
+    own = F.col("root_path") == root_path
+    return _purged(folders.where(own), files.where(own), kind, before, **skew)
+
+
+def _purged(folders: DataFrame, files: DataFrame, kind: str, before: int | None, **skew) -> Purge:
+    wanted = F.col("removed") == 1
     if before is not None:
         wanted = wanted & (F.col("last_scanned_at") < before)
-    file_rule = wanted if kind != "folders" else F.lit(False)
-    folder_rule = wanted if kind != "files" else F.lit(False)
-
-    marked = folders.withColumn("_own", folder_rule)
-    below = materialize(folders_below(folders, marked.where("_own"), **skew), "purged-folders")
-    doomed = below.select("folder_path", F.lit(True).alias("_below"))
-    folder_marks = marked.join(doomed, "folder_path", "left")
-    file_marks = lookup(
-        files.withColumn("_own", file_rule), doomed, ["folder_path"], "left", spread="path", **skew
-    )
+    file_marks = files.withColumn("_own", wanted if kind != "folders" else F.lit(False))
+    folder_marks = folders.withColumn("_own", wanted if kind != "files" else F.lit(False))
+    if kind == "files":
+        # Nothing lies below a file.
+        file_marks, folder_marks = [df.withColumn("_below", F.lit(False)) for df in (file_marks, folder_marks)]
+    else:
+        below = materialize(folders_below(folders, folders.where(wanted)), "purged-folders")
+        doomed = below.select("folder_path", F.lit(True).alias("_below"))
+        folder_marks = folder_marks.join(doomed, "folder_path", "left")
+        file_marks = lookup(file_marks, doomed, ["folder_path"], "left", spread="path", **skew)
     fate = F.when(F.col("_own"), "purged").when(F.col("_below"), "cascaded").otherwise("kept")
     folder_fate = folder_marks.withColumn("_fate", fate)
     file_fate = file_marks.withColumn("_fate", fate)

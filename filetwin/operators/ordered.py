@@ -53,3 +53,17 @@ def running_sum(df: DataFrame, order: list[str | Column], value: str, name: str,
         .withColumn(name, F.col("_start") + F.col("_own"))
         .drop(_PART, _AT, "_start", "_own")
     )
+
+
+def running_max(df: DataFrame, order: list[str | Column], value: str, name: str, label: str = "running") -> DataFrame:
+    """`df` with the largest `value` among each row and all rows before it in the given order; null where there is none."""
+    rows = ranged(df, order, label)
+    earlier = Window.orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy(_PART).agg(F.max(value).alias("_n")).select(_PART, F.max("_n").over(earlier).alias("_start"))
+    within = Window.partitionBy(_PART).orderBy(_AT).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return (
+        rows.withColumn("_own", F.max(value).over(within))
+        .join(F.broadcast(starts), _PART)
+        .withColumn(name, F.greatest("_start", "_own"))
+        .drop(_PART, _AT, "_start", "_own")
+    )

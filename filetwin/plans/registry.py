@@ -837,6 +837,69 @@ def purge_removed(spark, sf_dir):
     return change.purge_removed(folders, files, before=NOW).counts
 
 
+_PURGED_ROOT = """select * from ({purge}
+  select 'file' as kind, path, '' as fate from pf where root_path <> '/src1' or not (own or below)
+  union all select 'folder', folder_path, '' from pd where root_path <> '/src1' or not (own or below)
+  union all select 'counts', '/src1', (select count(*) filter (own) || '/' || count(*) filter (below and not own) from pf where root_path = '/src1')
+    || '/' || count(*) filter (own) || '/' || count(*) filter (below and not own) from pd where root_path = '/src1')"""
+
+
+def _purge_rows(purge: change.Purge) -> DataFrame:
+    """What is left of both tables, and the counts, as (kind, path, fate)."""
+    counted = F.concat_ws("/", "purged_files", "cascaded_files", "purged_folders", "cascaded_folders")
+    blank = F.lit("")
+    return (
+        purge.files.select(F.lit("file").alias("kind"), "path", blank.alias("fate"))
+        .unionByName(purge.folders.select(F.lit("folder").alias("kind"), F.col("folder_path").alias("path"), blank.alias("fate")))
+        .unionByName(purge.counts.select(F.lit("counts").alias("kind"), F.col("root_path").alias("path"), counted.alias("fate")))
+    )
+
+
+@query(docs(_PURGED_ROOT.format(purge=_PURGE.format(before=NOW))))
+def purge_removed_root(spark, sf_dir):
+    folders, files = s.dirty_folders(spark, sf_dir), s.dirty_files(spark, sf_dir)
+    return _purge_rows(change.purge_removed(folders, files, root_path="/src1", before=NOW))
+
+
+_PURGED_KIND = """
+  select 'file' as kind, path, '' as fate from {files}
+  union all select 'folder', folder_path, '' from {folders}
+  union all
+  select 'counts', root_path, count(*) filter (k = 'f' and own) || '/' || count(*) filter (k = 'f' and not own) || '/'
+    || count(*) filter (k = 'd' and own) || '/' || count(*) filter (k = 'd' and not own) from ({counted}) group by root_path"""
+
+
+@query(
+    docs(
+        _PURGED_KIND.format(
+            files="df where removed = 0",
+            folders="dfo",
+            counted="select root_path, 'f' as k, true as own from df where removed = 1",
+        )
+    )
+)
+def purge_removed_files(spark, sf_dir):
+    folders, files = s.dirty_folders(spark, sf_dir), s.dirty_files(spark, sf_dir)
+    return _purge_rows(change.purge_removed(folders, files, kind="files"))
+
+
+@query(
+    docs(
+        "select * from ("
+        + _PURGE.format(before=NOW)
+        + _PURGED_KIND.format(
+            files="pf where not below",
+            folders="pd where not (own or below)",
+            counted="select root_path, 'f' as k, false as own from pf where below union all select root_path, 'd', own from pd where own or below",
+        )
+        + ")"
+    )
+)
+def purge_removed_folders(spark, sf_dir):
+    folders, files = s.dirty_folders(spark, sf_dir), s.dirty_files(spark, sf_dir)
+    return _purge_rows(change.purge_removed(folders, files, kind="folders", before=NOW))
+
+
 @query(docs(f"select path, folder_path from ({_PURGE.format(before=BEFORE)} select * from pf where not own and not below)"))
 def purged_files(spark, sf_dir):
     folders, files = s.dirty_folders(spark, sf_dir), s.dirty_files(spark, sf_dir)

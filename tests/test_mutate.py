@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -128,6 +130,50 @@ def test_purge_kinds_and_cutoff(make):
         change.purge_removed(folders, files, "everything")
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_folders_below_equal_brute_force(spark, make, seed):
+    dice = random.Random(seed)
+    names = ["a", "a0", "a b", "b", "ä", "-", "a.x"]
+    paths = {f"/r{dice.randrange(2)}" + "".join(f"/{dice.choice(names)}" for _ in range(dice.randrange(5))) for _ in range(300)}
+    folders = make.folders(*sorted(paths))
+    tops = folders.where(F.pmod(F.xxhash64("folder_path", F.lit(seed)), F.lit(9)) == 0)
+    chosen = [r.folder_path for r in tops.collect()]
+    wanted = [(p, "/" + p.split("/")[1]) for p in sorted(paths) if any(p == t or p.startswith(t + "/") for t in chosen)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    found = rows(change.folders_below(folders, tops))
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert chosen and found == sorted(wanted)
+
+
+def test_nested_roots_keep_to_themselves(make):
+    folders = make.folders(
+        ("/r", dict(root_path="/r", removed=1)), ("/r/s", dict(root_path="/r/s")), ("/r/s/x", dict(root_path="/r/s"))
+    )
+    assert rows(change.folders_below(folders, folders.where("removed = 1")), "folder_path") == [("/r",)]
+
+
+@pytest.mark.parametrize("kind", ["all", "files", "folders"])
+def test_purge_of_a_root_reads_only_that_root(spark, make, tmp_path, kind):
+    folders = make.folders("/r", ("/r/x", dict(removed=1)), "/r/x/y", "/s", ("/s/x", dict(removed=1)))
+    files = make.files("/r/x/y/a", ("/r/b", dict(removed=1)), "/r/c", "/s/x/a", ("/s/b", dict(removed=1)))
+    for name, df in (("folders", folders), ("files", files)):
+        df.write.parquet(str(tmp_path / name))
+    folders, files = [spark.read.parquet(str(tmp_path / name)) for name in ("folders", "files")]
+    purge = change.purge_removed(folders, files, kind, root_path="/r")
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    for df in (purge.counts, *change.purge_root(folders, files, "/r", kind)):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        leaves = [k for k, line in enumerate(plan.splitlines()) if "Relation [" in line and "root_path" in line and "first_scanned" in line]
+        lines = plan.splitlines()
+        assert leaves and all("(root_path" in lines[k - 1] and "= /r)" in lines[k - 1] for k in leaves), plan
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    left = {"all": ["/r/c"], "files": ["/r/c", "/r/x/y/a"], "folders": ["/r/b", "/r/c"]}[kind]
+    assert rows(purge.files, "path") == sorted([(p,) for p in left] + [("/s/b",), ("/s/x/a",)])
+    assert rows(change.purge_root(folders, files, "/r", kind).files, "path") == [(p,) for p in left]
+    kept = ["/r", "/r/x", "/r/x/y"] if kind == "files" else ["/r"]
+    assert rows(purge.folders, "folder_path") == [(p,) for p in kept + ["/s", "/s/x"]]
+
+
 def test_scan_log(spark):
     event = lambda scan, root, kind, at, folder=None: (scan, root, "all", kind, folder, folder and folder + "/f", at, at)
     log = spark.createDataFrame(
