@@ -5,11 +5,12 @@ Files are reduced to one row per folder before anything is repeated for the fold
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.paths import ancestors, depth_of, parent_of
 from ..functions.text import STATUS
+from ..session import materialize
 from .skew import lookup
 
 
@@ -84,6 +85,83 @@ def folder_states(folders: DataFrame, files: DataFrame) -> DataFrame:
     )
 
 
+def settle_folders(folders: DataFrame, files: DataFrame, missing: DataFrame | None = None, **skew) -> DataFrame:
+    """The folder life cycle carried through the whole tree at once: folder_path, children, old_status, new_status.
+
+    `folders`: folder_path, parent_path, root_path, status; `files`: folder_path, status; `missing`: folder_path of folders that a
+    listing did not find. Missing folders go from Scanning, Progressing and Synced to Missing, from Deleting to Deleted. A
+    scanned folder without children is synced, one with children progresses; a progressing folder is synced when all
+    its children are, those included that become so here. A folder marked for deletion without children is ready for it.
+
+    Levels are not walked. What can never become synced blocks the scanned and progressing folders above it up to
+    the first folder in another state, which its parents see as it is. So each folder that directly holds
+    something blocking is repeated for its ancestors once, whatever it holds and however many levels there are.
+    """
+    status = F.col("status")
+
+    def among(*labels: str) -> Column:
+        return status.isin(*[STATUS[label] for label in labels])
+
+    told = folders.select("folder_path", "parent_path", "root_path", "status", status.alias("old_status"))
+    if missing is not None:
+        gone = missing.select("folder_path").distinct().withColumn("_gone", F.lit(True))
+        told = told.join(gone, "folder_path", "left").withColumn(
+            "status",
+            F.when(F.col("_gone") & among("Scanning", "Progressing", "Synced"), STATUS["Missing"])
+            .when(F.col("_gone") & among("Deleting"), STATUS["Deleted"])
+            .otherwise(status),
+        )
+    moving = among("Scanning", "Progressing")
+
+    per_parent = told.where(F.col("parent_path").isNotNull()).groupBy(F.col("parent_path").alias("folder_path"))
+    per_folder = files.groupBy("folder_path")
+    counted = per_parent.agg(F.count(F.lit(1)).alias("n"), F.max(~moving & ~among("Synced")).alias("stuck")).unionByName(
+        per_folder.agg(F.count(F.lit(1)).alias("n"), F.max(~among("Synced")).alias("stuck"))
+    )
+    held = counted.groupBy("folder_path").agg(F.sum("n").alias("children"), F.max("stuck").alias("_stuck"))
+    known = materialize(
+        told.join(held, "folder_path", "left").select(
+            "folder_path",
+            "parent_path",
+            "root_path",
+            "old_status",
+            "status",
+            F.coalesce("children", F.lit(0).cast("bigint")).alias("children"),
+            F.coalesce("_stuck", F.lit(False)).alias("_stuck"),
+        ),
+        "folder-states",
+    )
+    # A progressing folder without children stays as it is, so it blocks its parent.
+    idle = known.where(among("Progressing") & (F.col("children") == 0)).select(F.col("parent_path").alias("folder_path"))
+    blockers = known.where(F.col("_stuck")).select("folder_path").unionByName(idle.where("folder_path is not null"))
+    blockers = lookup(
+        known.select("folder_path", "root_path"), blockers.distinct(), ["folder_path"], "left_semi", spread="root_path", **skew
+    )
+    above = blockers.select(
+        F.col("folder_path").alias("_from"),
+        F.posexplode(ancestors("folder_path", "root_path")).alias("_depth", "folder_path"),
+    )
+    states = known.select("folder_path", moving.alias("_moving"))
+    path = lookup(above, states, ["folder_path"], "inner", spread="_from", **skew)
+    # The deepest ancestor in another state hides the blocker from all above it.
+    hidden = path.groupBy("_from").agg(F.max(F.when(~F.col("_moving"), F.col("_depth"))).alias("_hidden"))
+    blocked = lookup(path, hidden, ["_from"], "inner", spread="folder_path", **skew)
+    blocked = blocked.where(F.col("_hidden").isNull() | (F.col("_depth") > F.col("_hidden")))
+    blocked = blocked.select("folder_path").distinct().withColumn("_blocked", F.lit(True))
+
+    has = F.col("children") > 0
+    return known.join(blocked, "folder_path", "left").select(
+        "folder_path",
+        "children",
+        "old_status",
+        F.when(moving & F.col("_blocked"), STATUS["Progressing"])
+        .when(among("Scanning") | (among("Progressing") & has), STATUS["Synced"])
+        .when(among("Marked for Deletion") & ~has, STATUS["Ready for Deletion"])
+        .otherwise(status)
+        .alias("new_status"),
+    )
+
+
 LABELS = ["owner", "purpose", "policy"]
 
 

@@ -1628,6 +1628,74 @@ def folder_states(spark, sf_dir):
     return tree.folder_states(*s.folder_rows_with_status(spark, sf_dir))
 
 
+_DEEP = """
+  fd as (
+    select folder_path, parent_path, old_status,
+      case when folder_path like '%5/%/b0' and old_status in (5, 6, 7) then 8 when folder_path like '%5/%/b0' and old_status = 11 then 12
+           else old_status end as status
+    from (select folder_path, parent_path,
+            case when folder_path like '%4/%' and folder_path like '%/b0' then 11 when folder_path like '%/b0' then 5
+                 when folder_path like '%/b1' then 7 when folder_path like '%/b2' then 6 when folder_path like '%/b3' and root_path like '%7' then 9
+                 when folder_path like '%/b3' then 6 when folder_path like '%/de' then 7 when folder_path like '%/fr' then 5
+                 when parent_path is null and root_path like '%9' then 5 else 6 end as old_status
+          from fo)),
+  fi as (
+    select folder_path, case when (doc_id % 8 = 2 and lang = 'es') or (doc_id % 4 = 1 and source like '%1') then 6 else 7 end as status
+    from f where not (source like '%7' and doc_id % 4 = 3) and not (source = 'src6' and lang = 'fr')),
+  ch as (
+    select parent_path as folder_path, status not in (5, 6, 7) as stuck from fd where parent_path is not null
+    union all
+    select folder_path, status <> 7 from fi),
+  ag as (select folder_path, count(*) as children, bool_or(stuck) as stuck from ch group by 1),
+  kn as (select fd.*, coalesce(children, 0) as children, coalesce(stuck, false) as stuck from fd left join ag using (folder_path))"""
+
+
+@query(
+    "with recursive " + docs(
+        """select folder_path, children, old_status,
+             case when status in (5, 6) and folder_path in (select folder_path from bl) then 6
+                  when status = 5 or (status = 6 and children > 0) then 7
+                  when status = 9 and children = 0 then 10 else status end as new_status
+           from kn""",
+        _DEEP
+        + """,
+  bl as (
+    select folder_path from kn
+    where status in (5, 6) and (stuck or folder_path in (select parent_path from kn where status = 6 and children = 0))
+    union
+    select p.folder_path from bl join kn x on x.folder_path = bl.folder_path join kn p on p.folder_path = x.parent_path
+    where p.status in (5, 6))""",
+    ).removeprefix("with ")
+)
+def folder_states_deep(spark, sf_dir):
+    """All states of the life cycle over the whole tree, folders that a listing missed included."""
+    path, root = F.col("folder_path"), F.col("root_path")
+    ends = lambda *tails: path.rlike("(" + "|".join(tails) + ")$")
+    status = (
+        F.when(path.rlike("4/.*/b0$"), 11)
+        .when(ends("/b0"), 5)
+        .when(ends("/b1"), 7)
+        .when(ends("/b2"), 6)
+        .when(ends("/b3") & root.endswith("7"), 9)
+        .when(ends("/b3"), 6)
+        .when(ends("/de"), 7)
+        .when(ends("/fr"), 5)
+        .when((path == root) & root.endswith("9"), 5)
+        .otherwise(6)
+    )
+    folders = s.doc_folders(spark, sf_dir).select("folder_path", "parent_path", "root_path", status.alias("status"))
+    documents = s.table(spark, sf_dir, "documents")
+    number, source, lang = F.col("doc_id"), F.col("source"), F.col("lang")
+    waiting = ((number % 8 == 2) & (lang == "es")) | ((number % 4 == 1) & source.endswith("1"))
+    left_out = (source.endswith("7") & (number % 4 == 3)) | ((source == "src6") & (lang == "fr"))
+    files = documents.where(~left_out).select(
+        F.concat(F.lit("/"), "source", F.lit("/"), "lang", F.lit("/b"), (number % 4).cast("string")).alias("folder_path"),
+        F.when(waiting, 6).otherwise(7).alias("status"),
+    )
+    missing = folders.where(path.rlike("5/.*/b0$")).select("folder_path")
+    return tree.settle_folders(folders, files, missing)
+
+
 _LABELS = """
   lb as (
     select folder_path, len(string_split(folder_path, '/')) as depth,

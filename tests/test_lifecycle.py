@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -110,6 +112,50 @@ def test_folder_states(spark):
     ]
 
 
+DEEP = "folder_path string, parent_path string, root_path string, status int"
+
+
+def test_folder_states_settle_in_one_call(spark):
+    folders = spark.createDataFrame([("/r", None, "/r", 6), ("/r/a", "/r", "/r", 5), ("/r/a/b", "/r/a", "/r", 6)], DEEP)
+    files = spark.createDataFrame([("/r/a/b", 7), ("/r/a", 7)], "folder_path string, status int")
+    assert rows(tree.settle_folders(folders, files), "folder_path", "new_status") == [("/r", 7), ("/r/a", 7), ("/r/a/b", 7)]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_settled_states_equal_repeated_steps(spark, seed):
+    dice = random.Random(seed)
+    states, parents = {"/r": 6, "/q": 5}, {"/r": None, "/q": None}
+    for k in range(60):
+        parent = dice.choice(sorted(states))
+        states[f"{parent}/f{k}"] = dice.choice([5, 5, 6, 6, 6, 7, 9, 11, 4] if seed % 2 else [5, 6, 6, 6, 7])
+        parents[f"{parent}/f{k}"] = parent
+    files = [(dice.choice(sorted(states)), 7 if dice.random() < 0.9 else dice.choice([6, 9])) for _ in range(80)]
+    gone = [p for p in states if dice.random() < 0.05]
+    now = {p: {5: 8, 6: 8, 7: 8, 11: 12}.get(s, s) if p in gone else s for p, s in states.items()}
+    children = {p: [now_ for f, now_ in files if f == p] for p in states}
+    while True:
+        after = {}
+        for p, s in now.items():
+            below = children[p] + [now[c] for c in states if parents[c] == p]
+            if s == 5:
+                s = 6 if below else 7
+            elif s == 6 and below and set(below) == {7}:
+                s = 7
+            elif s == 9 and not below:
+                s = 10
+            after[p] = s
+        if after == now:
+            break
+        now = after
+    told = spark.createDataFrame([(p, parents[p], "/" + p.split("/")[1], s) for p, s in states.items()], DEEP)
+    found = tree.settle_folders(
+        told,
+        spark.createDataFrame(files, "folder_path string, status int"),
+        spark.createDataFrame([(p,) for p in gone], "folder_path string"),
+    )
+    assert {r.folder_path: (r.old_status, r.new_status) for r in found.collect()} == {p: (states[p], now[p]) for p in states}
+
+
 @pytest.mark.parametrize("skew", SALTED)
 def test_labels_come_from_the_nearest_folder(make, spark, skew):
     labels = spark.createDataFrame(
