@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.paths import path_key
 from ..functions.text import STATUS, human_size, iso_time, short_path, thousands
 from ..session import materialize
+from .folders import folder_labels, rule_ranks
 from .ordered import numbered
 from .skew import key_counts, lookup
 
@@ -339,6 +340,19 @@ def keep_primary(
     )
 
 
+def keep_primary_by_labels(
+    files: DataFrame,
+    folders: DataFrame,
+    labels: DataFrame,
+    rules: DataFrame,
+    default_rank: int = 1_000_000,
+    **skew,
+) -> DataFrame:
+    """`keep_primary` with ranks from rules over the labels that folders have or inherit (see `rule_ranks`)."""
+    ranks = rule_ranks(folder_labels(folders, labels, **skew), rules, **skew)
+    return keep_primary(files, ranks, default_rank, **skew)
+
+
 def hash_candidates(listing: DataFrame, **skew) -> DataFrame:
     """Files that can have a duplicate at all: their size occurs at least twice."""
     counts = key_counts(listing, ["size"])

@@ -189,3 +189,30 @@ def file_labels(files: DataFrame, labelled_folders: DataFrame, kinds: list[str]
         spread="path",
         **skew,
     )
+
+
+def rule_ranks(labelled_folders: DataFrame, rules: DataFrame, **skew) -> DataFrame:
+    """Rank of each folder by the first rule that its labels meet: folder_path, rank; folders that meet none are left out.
+
+    `rules`: rule_no, owner, purpose, policy, rank. A rule holds for a folder that has all labels the rule names; a null stands for any
+    label or none. The rule with the smallest number wins, of several with one number the one with the smallest rank. Rules are
+    looked up under each of the eight ways to leave labels out, for every distinct combination of labels once.
+    """
+    combinations = labelled_folders.select(*LABELS).distinct()
+    kept = F.explode(F.sequence(F.lit(0), F.lit(2 ** len(LABELS) - 1))).alias("_kept")
+    keys = combinations.select("*", kept)
+    for bit, kind in enumerate(LABELS):
+        keys = keys.withColumn(f"_{kind}", F.when(F.col("_kept").bitwiseAND(1 << bit) != 0, F.col(kind)))
+    keys = keys.drop("_kept").distinct()
+    named = rules.select(*[F.col(kind).alias(f"r_{kind}") for kind in LABELS], F.struct("rule_no", "rank").alias("_rule"))
+    named = named.groupBy(*[f"r_{kind}" for kind in LABELS]).agg(F.min("_rule").alias("_rule"))
+    meets = F.lit(True)
+    for kind in LABELS:
+        meets = meets & F.col(f"_{kind}").eqNullSafe(F.col(f"r_{kind}"))
+    first = keys.join(named, meets).groupBy(*LABELS).agg(F.min("_rule")["rank"].alias("rank"))
+    # A key of its own, as labels may be null; folders of one combination may be any share of all.
+    key = F.to_json(F.array(*LABELS)).alias("_labels")
+    ranks = first.select(key, "rank")
+    return lookup(
+        labelled_folders.select("folder_path", key), ranks, ["_labels"], "inner", spread="folder_path", **skew
+    ).select("folder_path", "rank")

@@ -1713,6 +1713,46 @@ _LABELS = """
     group by 1)"""
 
 
+# The first rule that holds wins; null stands for any label.
+_RULES = [
+    (1, "owner7", "purpose_en", None, 5),
+    (2, None, "purpose_de", "archive", 1),
+    (3, "owner_de", None, None, 4),
+    (4, None, "purpose_fr", None, 1),
+    (5, "owner1", None, "archive", 2),
+    (5, "owner1", None, "archive", 9),
+    (6, None, "purpose_en", "standard", 3),
+    (9, None, None, "archive", 0),
+]
+
+
+def _rule_values() -> str:
+    shown = lambda v: "null" if v is None else f"'{v}'" if isinstance(v, str) else str(v)
+    return ", ".join("(" + ", ".join(map(shown, rule)) + ")" for rule in _RULES)
+
+
+@query(
+    docs(
+        """select path, hash_value, size, first_value(path) over w as primary_path,
+             case when row_number() over w = 1 then 7 else 9 end as status
+           from (select e.*, coalesce(rank, 1000000) as rank from e left join rk using (folder_path)) join g using (hash_value, size)
+           window w as (partition by hash_value, size order by rank, first_scanned_at, path)""",
+        _LABELS
+        + f""",
+  ru(no, owner, purpose, policy, rank) as (values {_rule_values()}),
+  rk as (
+    select fl.folder_path, arg_min(ru.rank, row(no, ru.rank)) as rank
+    from fl join ru on (ru.owner is null or ru.owner = fl.owner) and (ru.purpose is null or ru.purpose = fl.purpose)
+      and (ru.policy is null or ru.policy = fl.policy)
+    group by 1)""",
+    )
+)
+def keep_primary_by_labels(spark, sf_dir):
+    rules = spark.createDataFrame(_RULES, "rule_no int, owner string, purpose string, policy string, rank int")
+    labels = s.folder_label_rows(spark, sf_dir)
+    return dup.keep_primary_by_labels(s.doc_files(spark, sf_dir), s.doc_folders(spark, sf_dir), labels, rules)
+
+
 @query(docs("select * from fl", _LABELS))
 def folder_labels(spark, sf_dir):
     return tree.folder_labels(s.doc_folders(spark, sf_dir), s.folder_label_rows(spark, sf_dir))

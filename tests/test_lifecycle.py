@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from filetwin.operators import catalog as cat
+from filetwin.operators import duplicates as dup
 from filetwin.operators import folders as tree
 from filetwin.operators import lifecycle as life
 from filetwin.operators import mutate as change
@@ -202,3 +203,34 @@ def test_active_scan_is_the_latest_unfinished(spark):
         schemas.SCANS,
     )
     assert rows(cat.active_scan(scans), "scan_id", "current_folder_path") == [(2, "/r/x")]
+
+
+@pytest.mark.parametrize("skew", SALTED)
+def test_first_rule_wins(spark, skew):
+    dice = random.Random(4)
+    pick = lambda *values: dice.choice([None, *values])
+    folders = [(f"/r/{k}", pick("ann", "bob"), pick("work", "x"), pick("keep", "drop")) for k in range(80)]
+    rules = [(k // 2, pick("ann", "bob"), pick("work", "x"), pick("keep", "drop"), dice.randrange(9)) for k in range(10)]
+    rules = [r for r in rules if any(r[1:4])]
+    wanted = []
+    for path, *labels in folders:
+        met = [(r[0], r[4]) for r in rules if all(want is None or want == have for want, have in zip(r[1:4], labels))]
+        if met:
+            wanted.append((path, min(met)[1]))
+    told = spark.createDataFrame(folders, "folder_path string, owner string, purpose string, policy string")
+    ruled = spark.createDataFrame(rules, "rule_no int, owner string, purpose string, policy string, rank int")
+    assert 5 < len(wanted) < 80 and rows(tree.rule_ranks(told, ruled, **skew)) == sorted(wanted)
+    assert tree.rule_ranks(told, ruled.limit(0), **skew).count() == 0
+
+
+def test_primary_follows_inherited_labels(make, spark):
+    files = make.files("/r/a/old/x", ("/r/b/y", dict(first_scanned_at=5)), ("/s/z", dict(first_scanned_at=1)))
+    folders = make.folders("/r", "/r/a", "/r/a/old", "/r/b", "/s")
+    labels = spark.createDataFrame([("/r/a", "ann", None, None)], "folder_path string, owner string, purpose string, policy string")
+    rules = spark.createDataFrame([(1, "ann", None, None, 1)], "rule_no int, owner string, purpose string, policy string, rank int")
+    found = dup.keep_primary_by_labels(files, folders, labels, rules)
+    assert rows(found, "path", "primary_path", "status") == [
+        ("/r/a/old/x", "/r/a/old/x", 7),
+        ("/r/b/y", "/r/a/old/x", 9),
+        ("/s/z", "/r/a/old/x", 9),
+    ]
