@@ -61,34 +61,39 @@ def _relative(spark: SparkSession, sf_dir: str, path: str | Column = "path") ->
     return F.substring(column, len(top) + 1, 1 << 30)
 
 
-_TREE_FOLDER = "'/source=' || source || '/lang=' || lang || '/b=' || (doc_id % 4)"
-
-
-@query(f"select {_TREE_FOLDER} as folder_path, octet_length(encode(text))::bigint + 1 as size from documents")
+# One file per document, some of them empty or hidden.
+_TREE_FILES = f"""
+  select doc_id, source, {s.TREE_FOLDER} as folder_path, {s.TREE_FOLDER} || '/' || {s.TREE_NAME} as path,
+    case when doc_id % 9 = 0 then '' else text || chr(10) end as content,
+    '/source=' || source as top, '/source=' || source || '/lang=' || lang as middle
+  from documents"""
+_TREE_SIZE = "octet_length(encode(content))::bigint"
+_TREE_FOLDERS = """
+  select distinct parent_path, folder_path from (
+    select middle as parent_path, folder_path from t
+    union all select top, middle from t
+    union all select '', top from t
+    union all select null, '' from t)"""
+
+
+@query(f"select folder_path, path, {_TREE_SIZE} as size from ({_TREE_FILES})")
 def list_files(spark, sf_dir):
     found = listing.list_files(spark, s.document_tree(spark, sf_dir))
-    return found.select(_relative(spark, sf_dir, "folder_path").alias("folder_path"), "size")
+    return found.select(
+        _relative(spark, sf_dir, "folder_path").alias("folder_path"), _relative(spark, sf_dir).alias("path"), "size"
+    )
 
 
 @query(
-    f"""with t as (select {_TREE_FOLDER} as folder_path, octet_length(encode(text))::bigint + 1 as size,
-          '/source=' || source as top, '/source=' || source || '/lang=' || lang as middle from documents)
-        select 'file' as kind, folder_path as parent_path, null as folder_path, size from t
+    f"""with t as ({_TREE_FILES})
+        select 'file' as kind, folder_path as parent_path, path, {_TREE_SIZE} as size from t
         union all
-        select distinct 'folder', parent_path, folder_path, null::bigint from (
-          select middle as parent_path, folder_path from t
-          union all select top, middle from t
-          union all select '', top from t
-          union all select null, '' from t)"""
+        select 'folder', parent_path, folder_path, null::bigint from ({_TREE_FOLDERS})"""
 )
 def walk_tree(spark, sf_dir):
-    entries = listing.walk_tree(spark, s.document_tree(spark, sf_dir), hidden=False)
-    folder = F.when(F.col("kind") == "folder", _relative(spark, sf_dir))
+    entries = listing.walk_tree(spark, s.document_tree(spark, sf_dir), split=20)
     return entries.select(
-        "kind",
-        _relative(spark, sf_dir, "parent_path").alias("parent_path"),
-        folder.alias("folder_path"),
-        "size",
+        "kind", _relative(spark, sf_dir, "parent_path").alias("parent_path"), _relative(spark, sf_dir).alias("path"), "size"
     )
 
 
@@ -121,40 +126,72 @@ def fingerprint_sha3_256(spark, sf_dir):
     return _first_with_digest(spark, sf_dir, "sha3-256")
 
 
-_TREE_DIGESTS = (
-    f"select {_TREE_FOLDER} as folder_path, sha256(text || chr(10)) as hash_value, 'sha256' as hash_algorithm, "
-    "null as error_status from documents"
-)
+_TREE_DIGESTS = f"""
+  select path, sha256(content) as hash_value, 'sha256' as hash_algorithm, null as error_status from ({_TREE_FILES})"""
+
+
+def _digest_rows(spark: SparkSession, sf_dir: str, digests: DataFrame) -> DataFrame:
+    return digests.select(_relative(spark, sf_dir).alias("path"), "hash_value", "hash_algorithm", "error_status")
 
 
 @query(_TREE_DIGESTS, name="fingerprint")
 def fingerprint_of_files(spark, sf_dir):
     found = listing.list_files(spark, s.document_tree(spark, sf_dir))
-    digests = fingerprint.fingerprint_files(found, "sha256")
-    return digests.select(
-        paths.parent_of(_relative(spark, sf_dir)).alias("folder_path"), "hash_value", "hash_algorithm", "error_status"
-    )
+    return _digest_rows(spark, sf_dir, fingerprint.fingerprint_files(found, "sha256", task_bytes=1 << 22))
 
 
 @query(_TREE_DIGESTS, name="fingerprint_tree")
-def fingerprint_by_file_source(spark, sf_dir):
-    digests = fingerprint.fingerprint_tree(spark, s.document_tree(spark, sf_dir), "sha256")
-    return digests.select(
-        paths.parent_of(_relative(spark, sf_dir)).alias("folder_path"), "hash_value", "hash_algorithm", "error_status"
-    )
+def fingerprint_of_tree(spark, sf_dir):
+    return _digest_rows(spark, sf_dir, fingerprint.fingerprint_tree(spark, s.document_tree(spark, sf_dir), "sha256"))
 
 
 @query(
-    """with t as (select sha256(text || chr(10)) as h, octet_length(encode(text)) + 1 as size from documents),
-         d as (select h, size, count(*) as n from t group by 1, 2 having count(*) >= 2)
-       select (select 1 + count(distinct source) + count(distinct source || lang)
-                 + count(distinct source || lang || (doc_id % 4)) from documents) as folders,
+    f"""with t as (select sha256(content) as h, {_TREE_SIZE} as size, * from ({_TREE_FILES})),
+         d as (select h, size, count(*) as n from t where size > 0 group by 1, 2 having count(*) >= 2)
+       select (select count(*) from ({_TREE_FOLDERS})) as folders,
          (select count(*) from t) as files, (select sum(size)::bigint from t) as bytes,
          (select count(*) from d) as duplicate_sets, (select coalesce(sum(n), 0)::bigint from d) as duplicate_files"""
 )
 def scan_all(spark, sf_dir):
-    empty = scan.empty_catalog(spark)
-    return scan.scan_all(spark, empty, s.document_tree(spark, sf_dir), NOW, "sha256", hidden=False).summary
+    return scan.scan_all(spark, scan.empty_catalog(spark), s.document_tree(spark, sf_dir), NOW, "sha256").summary
+
+
+@query(
+    f"""with t as (select sha256(content) as h, {_TREE_SIZE} as size, * from ({_TREE_FILES})),
+          fo as ({_TREE_FOLDERS})
+        select 'file' as kind, path, folder_path as parent_path, size, h as hash_value, 'sha256' as hash_algorithm,
+          {NOW}::bigint as first_scanned_at, {NOW}::bigint as last_scanned_at, 0 as removed from t
+        union all
+        select 'folder', folder_path, parent_path, null, null, null, {NOW}::bigint, {NOW}::bigint, 0 from fo
+        union all
+        select 'root', '', (select count(*) from fo) || '/' || (select count(*) from t), (select sum(size)::bigint from t),
+          null, null, null, {NOW}::bigint, null"""
+)
+def scan_all_tables(spark, sf_dir):
+    """The three tables a complete scan gives: the root's row as counts, bytes and scan time."""
+    catalog = scan.scan_all(spark, scan.empty_catalog(spark), s.document_tree(spark, sf_dir), NOW, "sha256").catalog
+    own = lambda name: _relative(spark, sf_dir, name)
+    null = lambda kind: F.lit(None).cast(kind)
+    files = catalog.files.select(
+        F.lit("file").alias("kind"),
+        own("path").alias("path"),
+        own("folder_path").alias("parent_path"),
+        *["size", "hash_value", "hash_algorithm", "first_scanned_at", "last_scanned_at", "removed"],
+    )
+    folders = catalog.folders.select(
+        F.lit("folder"),
+        own("folder_path"),
+        own("parent_path"),
+        *[null("bigint"), null("string"), null("string")],
+        *["first_scanned_at", "last_scanned_at", "removed"],
+    )
+    roots = catalog.roots.select(
+        F.lit("root"),
+        own("root_path"),
+        F.concat_ws("/", "folder_count", "file_count"),
+        *["total_size", null("string"), null("string"), null("bigint"), "last_scan_date", null("int")],
+    )
+    return files.union(folders).union(roots)
 
 
 @query(
@@ -1874,10 +1911,7 @@ def resumable_scan(spark, sf_dir):
         resume.resumable_scan(
             spark, f"{source}/part=*", out, done, algorithm="sha256", files_per_step=1
         ).awaitTermination()
-    digests = resume.scanned_digests(spark, out)
-    return digests.select(
-        paths.parent_of(_relative(spark, sf_dir)).alias("folder_path"), "hash_value", "hash_algorithm", "error_status"
-    )
+    return _digest_rows(spark, sf_dir, resume.scanned_digests(spark, out))
 
 
 @query(_TREE_DIGESTS)
@@ -1888,7 +1922,4 @@ def resumable_scan_restarted(spark, sf_dir):
     resume.write_listing(found, source, files=5)
     for step in (1, 3):
         resume.resumable_scan(spark, source, out, algorithm="sha256", files_per_step=step).awaitTermination()
-    digests = resume.scanned_digests(spark, out)
-    return digests.select(
-        paths.parent_of(_relative(spark, sf_dir)).alias("folder_path"), "hash_value", "hash_algorithm", "error_status"
-    )
+    return _digest_rows(spark, sf_dir, resume.scanned_digests(spark, out))

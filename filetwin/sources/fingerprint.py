@@ -3,16 +3,22 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.ordered import running_sum
 from ..schemas import ALGORITHMS, DEFAULT_ALGORITHM
+from .listing import list_files
+from .stores import store_of
 
 BLOCK_BYTES = 1 << 20
+TASK_BYTES = 1 << 30
+#: What opening a file costs, in bytes read.
+FILE_COST = 1 << 16
 DIGEST_SCHEMA = "path string, hash_value string, hash_algorithm string, error_status string"
 
 _python_names = {"sha256": "sha256", "sha512": "sha512", "sha3-256": "sha3_256"}
@@ -40,11 +46,11 @@ def digest(content: Column, algorithm: str = DEFAULT_ALGORITHM) -> Column:
     return _sha3_256(data)
 
 
-def _digest_paths(algorithm: str):
-    def one(path: str) -> tuple[str | None, str | None]:
+def _digest_paths(algorithm: str, handle: Callable):
+    def one(store, path: str) -> tuple[str | None, str | None]:
         state = hashlib.new(_python_names[algorithm])
         try:
-            with open(path, "rb", buffering=0) as source:
+            with store.open(path) as source:
                 while block := source.read(BLOCK_BYTES):
                     state.update(block)
         except OSError as error:
@@ -52,8 +58,10 @@ def _digest_paths(algorithm: str):
         return state.hexdigest(), None
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store = None
         for batch in batches:
-            found = [one(path) for path in batch["path"]]
+            store = store or (handle(batch["path"].iloc[0]) if len(batch) else None)
+            found = [one(store, path) for path in batch["path"]]
             hashes = [h for h, _ in found]
             yield pd.DataFrame(
                 {
@@ -67,24 +75,37 @@ def _digest_paths(algorithm: str):
     return run
 
 
-def fingerprint_files(listing: DataFrame, algorithm: str = DEFAULT_ALGORITHM, tasks: int | None = None) -> DataFrame:
+def dealt_by_bytes(listing: DataFrame, task_bytes: int = TASK_BYTES) -> DataFrame:
+    """(path), partitioned so that a task has files of about `task_bytes` bytes to read, or one longer file.
+
+    Files are cut into tasks by the running sum of their sizes in the order of a hash, so the long files of a folder
+    are not neighbours; opening a file counts like reading FILE_COST bytes. The number of tasks follows from the bytes.
+    """
+    size = F.coalesce(F.col("size"), F.lit(0)) if "size" in listing.columns else F.lit(0)
+    costs = listing.select("path", (size + FILE_COST).cast("bigint").alias("cost"))
+    placed = running_sum(costs, [F.xxhash64("path"), F.col("path")], "cost", "before", "files-by-bytes")
+    placed = placed.select("path", F.expr(f"before div {task_bytes}").cast("int").alias("task"))
+    tasks = placed.agg(F.max("task")).first()[0]
+    return placed.repartitionById((tasks or 0) + 1, F.col("task")).select("path")
+
+
+def fingerprint_files(
+    listing: DataFrame,
+    algorithm: str = DEFAULT_ALGORITHM,
+    task_bytes: int = TASK_BYTES,
+    handle: Callable = store_of,
+) -> DataFrame:
     """Digest of each listed file: path, hash_value, hash_algorithm, error_status.
 
-    Files are read block by block where the task runs, so size does not matter; a file that cannot
-    be read keeps its row with the error. Paths are spread by hash over many more tasks than cores,
-    so that one task does not get all the long files of a folder.
+    Files are read block by block where the task runs, so size does not matter, and through the handle of their
+    store; a file that cannot be read keeps its row with the error. `listing` has `path` and, for even tasks, `size`.
     """
     check_algorithm(algorithm)
-    tasks = tasks or 4 * listing.sparkSession.sparkContext.defaultParallelism
-    return listing.select("path").repartition(tasks, "path").mapInPandas(_digest_paths(algorithm), DIGEST_SCHEMA)
-
-
-def fingerprint_tree(spark: SparkSession, root: str, algorithm: str = DEFAULT_ALGORITHM) -> DataFrame:
-    """Digests through Spark's own file source, for stores only Spark can read and files below 2 GB."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    return found.select(
-        F.regexp_replace("path", "^file:/*", "/").alias("path"),
-        digest(F.col("content"), algorithm).alias("hash_value"),
-        F.lit(check_algorithm(algorithm)).alias("hash_algorithm"),
-        F.lit(None).cast("string").alias("error_status"),
-    )
+    return dealt_by_bytes(listing, task_bytes).mapInPandas(_digest_paths(algorithm, handle), DIGEST_SCHEMA)
+
+
+def fingerprint_tree(
+    spark: SparkSession, root: str, algorithm: str = DEFAULT_ALGORITHM, handle: Callable = store_of, **walk
+) -> DataFrame:
+    """Digests of all files below `root`, listed by `walk_tree` and read by `fingerprint_files`."""
+    return fingerprint_files(list_files(spark, root, handle=handle, **walk), algorithm, handle=handle)

@@ -2,47 +2,73 @@
 
 from __future__ import annotations
 
+import fnmatch
 import os
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.paths import parent_of
+from ..functions.paths import base_name
 from ..session import fresh_dir
+from .stores import plain_path, store_of
 
 ENTRY_SCHEMA = "kind string, path string, parent_path string, size bigint, mtime bigint, error_status string"
+# Of a folder with very many names, a row stands for a part of them.
+_LEVEL_SCHEMA = ENTRY_SCHEMA + ", part int, parts int"
 BATCH_ROWS = 10_000
+SPLIT_NAMES = 100_000
 FILE, FOLDER, NEXT = "file", "folder", "next"
 
 
-def _entries(path: str, parent: str | None, hidden: bool) -> Iterator[tuple]:
+def _entries(store, path: str, parent: str | None, part: int, parts: int, hidden: bool, split: int) -> Iterator[tuple]:
     """The folder's own row, its files, and its sub-folders as `next` rows.
 
-    An unreadable folder keeps its row with the error; a file that cannot be read is left out.
-    Links are files.
+    A folder of more than `split` names becomes several `next` rows, each for the names of one hash value, whose sizes
+    other tasks look up. An unreadable folder keeps its row with the error; a file that cannot be read is left out.
     """
     try:
-        with os.scandir(path) as found:
-            for entry in found:
-                if not hidden and entry.name[0] in "._":
-                    continue
-                try:
-                    if entry.is_dir(follow_symlinks=False):
-                        yield NEXT, entry.path, path, None, None, None
-                    else:
-                        info = entry.stat(follow_symlinks=False)
-                        yield FILE, entry.path, path, info.st_size, int(info.st_mtime), None
-                except OSError:
-                    continue
-        yield FOLDER, path, parent, None, None, None
+        waiting, names = [], 0
+        for entry in store.entries(path):
+            if not hidden and entry.name[0] in "._":
+                continue
+            if parts > 1 and zlib.crc32(entry.name.encode("utf-8", "surrogateescape")) % parts != part:
+                continue
+            names += 1
+            if parts > 1 or names <= split:
+                waiting.append(entry)
+            if parts > 1 and len(waiting) >= BATCH_ROWS:
+                yield from _rows(waiting, path)
+                waiting = []
+        if parts == 1 and names > split:
+            count = -(-names // split)
+            for k in range(count):
+                yield NEXT, path, parent, None, None, None, k, count
+            return
+        yield from _rows(waiting, path)
+        if part == 0:
+            yield FOLDER, path, parent, None, None, None, 0, 1
     except OSError as error:
-        yield FOLDER, path, parent, None, None, str(error)
+        if part == 0:
+            yield FOLDER, path, parent, None, None, str(error), 0, 1
 
 
-def _list_folders(hidden: bool):
-    names = ["kind", "path", "parent_path", "size", "mtime", "error_status"]
+def _rows(entries: list, path: str) -> Iterator[tuple]:
+    for entry in entries:
+        if entry.is_folder:
+            yield NEXT, entry.path, path, None, None, None, 0, 1
+            continue
+        try:
+            size, mtime = entry.stat()
+        except OSError:
+            continue
+        yield FILE, entry.path, path, size, mtime, None, 0, 1
+
+
+def _list_folders(handle: Callable, hidden: bool, split: int):
+    names = ["kind", "path", "parent_path", "size", "mtime", "error_status", "part", "parts"]
 
     def frame(rows: list[tuple]) -> pd.DataFrame:
         df = pd.DataFrame(rows, columns=names)
@@ -50,9 +76,11 @@ def _list_folders(hidden: bool):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows: list[tuple] = []
+        store = None
         for batch in batches:
-            for path, parent in zip(batch["path"], batch["parent_path"]):
-                for row in _entries(path, parent, hidden):
+            for path, parent, part, parts in batch.itertuples(index=False):
+                store = store or handle(path)
+                for row in _entries(store, path, parent, part, parts, hidden, split):
                     rows.append(row)
                     if len(rows) >= BATCH_ROWS:
                         yield frame(rows)
@@ -70,33 +98,35 @@ def walk_tree(
     traverse_links: bool = False,
     out_dir: str | None = None,
     tasks: int | None = None,
+    handle: Callable = store_of,
+    split: int = SPLIT_NAMES,
 ) -> DataFrame:
     """All folders and files at or below `root`: kind, path, parent_path, size, mtime, error_status, root_path.
 
     The tree is listed level by level; the folders of a level are spread over the executors and
     each level is a written table in the shared folder, so a lost executor costs one task and the
-    driver never holds names. `root` must be a path that all executors see. Empty files, empty
-    folders and hidden names are included (`hidden=False` skips names beginning with '.' or '_').
+    driver never holds names. `root` is a path that all executors see or a URI of a store; tasks list it through the
+    file-system handle that `handle(path)` gives them. A folder with more than `split` names is dealt to several tasks.
+    Empty files, empty folders and hidden names are included (`hidden=False` skips names beginning with '.' or '_').
     """
-    root = os.path.normpath(root)
+    root = plain_path(root)
     out_dir = out_dir or fresh_dir(spark, "walk")
     tasks = tasks or spark.sparkContext.defaultParallelism
     if not traverse_links and os.path.islink(root):
         empty = spark.createDataFrame([], ENTRY_SCHEMA)
         return empty.withColumn("root_path", F.lit(root))
-    frontier = spark.createDataFrame([(root, None)], "path string, parent_path string")
+    frontier = spark.createDataFrame([(root, None, 0, 1)], "path string, parent_path string, part int, parts int")
     level = 0
     while True:
         target = f"{out_dir}/level={level}"
         (
-            frontier.repartition(tasks if level else 1, "path")
-            .mapInPandas(_list_folders(hidden), ENTRY_SCHEMA)
+            frontier.repartition(tasks if level else 1, "path", "part")
+            .mapInPandas(_list_folders(handle, hidden, split), _LEVEL_SCHEMA)
             .write.mode("overwrite")
             .parquet(target)
         )
-        frontier = (
-            spark.read.schema(ENTRY_SCHEMA).parquet(target).where(F.col("kind") == NEXT).select("path", "parent_path")
-        )
+        written = spark.read.schema(_LEVEL_SCHEMA).parquet(target)
+        frontier = written.where(F.col("kind") == NEXT).select("path", "parent_path", "part", "parts")
         if frontier.isEmpty():
             break
         level += 1
@@ -118,22 +148,10 @@ def listed_folders(entries: DataFrame) -> DataFrame:
     )
 
 
-def list_files(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
-    """Files below `root` on any file system Spark reads: path, size, mtime, folder_path, root_path.
+def list_files(spark: SparkSession, root: str, glob: str | None = None, **walk) -> DataFrame:
+    """Every file below `root`, empty and hidden ones included: path, size, mtime, folder_path, root_path.
 
-    Spark lists the files, their bytes are not read. Its file sources leave out empty files and
-    names beginning with '.' or '_', and the driver holds the list of names: use `walk_tree` for
-    complete listings and for very many files.
+    `glob` keeps the files whose name it matches. Listed by `walk_tree`, whose options it takes; no file is opened.
     """
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    path = F.regexp_replace("path", "^file:/*", "/")
-    return reader.load(root).select(
-        path.alias("path"),
-        F.col("length").alias("size"),
-        F.unix_seconds("modificationTime").alias("mtime"),
-        parent_of(path).alias("folder_path"),
-        F.lit(root.rstrip("/")).alias("root_path"),
-    )
-
+    found = listed_files(walk_tree(spark, root, **walk))
+    return found.where(base_name("path").rlike(fnmatch.translate(glob))) if glob else found

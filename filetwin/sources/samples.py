@@ -5,10 +5,12 @@ Everything is a plain projection of the input, so a query on a sample catalog re
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import fresh_dir, path_exists
+from .stores import plain_path, store_of
 
 BASE_TIME = 1704067200
 NOW = 1735689600
@@ -316,18 +318,33 @@ def folder_rows_with_status(spark: SparkSession, sf_dir: str) -> tuple[DataFrame
 _trees: dict[tuple[str, str], str] = {}
 
 
+#: The name of a document's file: some are hidden.
+TREE_NAME = """concat(case when doc_id % 10 = 3 then '.' when doc_id % 10 = 7 then '_' else '' end, 'doc_', doc_id, '.txt')"""
+TREE_FOLDER = "concat('/source=', source, '/lang=', lang, '/b=', doc_id % 4)"
+
+
 def document_tree(spark: SparkSession, sf_dir: str) -> str:
-    """A directory tree with one file per document below source/lang/bucket, written by Spark.
+    """A directory tree with one file per document below source/lang/bucket, some hidden and some empty.
 
-    Written once per session and input; file names are Spark's, contents are the text and a newline.
+    Written by tasks, once per session and input. A file holds the text and a newline, every ninth nothing.
     """
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _trees or not path_exists(spark, _trees[key]):
-        target = fresh_dir(spark, "document-tree")
-        texts = table(spark, sf_dir, "documents").select(
-            "source", "lang", (F.col("doc_id") % 4).alias("b"), F.col("text").alias("value")
+        target = plain_path(fresh_dir(spark, "document-tree"))
+        content = F.when(F.col("doc_id") % 9 == 0, "").otherwise(F.concat("text", F.lit("\n")))
+        files = table(spark, sf_dir, "documents").select(
+            F.concat(F.lit(target), F.expr(TREE_FOLDER), F.lit("/"), F.expr(TREE_NAME)).alias("path"), content.alias("content")
         )
+
+        def write(batches):
+            store = store_of(target)
+            for batch in batches:
+                for path, text in batch.itertuples(index=False):
+                    store.write(path, text.encode())
+                yield pd.DataFrame({"n": [len(batch)]})
+
         # Creating files is the slow part, so it gets all cores whatever the input's row groups.
-        texts.repartition(spark.sparkContext.defaultParallelism).write.partitionBy("source", "lang", "b").option("maxRecordsPerFile", 1).text(target)
+        dealt = files.repartition(spark.sparkContext.defaultParallelism, "path")
+        dealt.mapInPandas(write, "n bigint").agg(F.sum("n")).collect()
         _trees[key] = target
     return _trees[key]

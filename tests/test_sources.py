@@ -66,15 +66,76 @@ def test_linked_root_is_skipped_unless_asked_for(spark, tree):
     assert listing.walk_tree(spark, link, traverse_links=True).count() > 0
 
 
-def test_spark_listing_leaves_out_empty_and_hidden_files(spark, tree):
+def test_files_are_listed_completely(spark, tree):
     names = {os.path.basename(p) for (p,) in rows(listing.list_files(spark, tree), "path")}
-    assert {"file1.txt", "file1_copy.txt", "file2.bin", "file2_copy.bin"} <= names
-    assert "empty.txt" not in names and ".hidden" not in names
-
-
-def test_listing_does_not_read_contents(spark, tree):
-    plan = listing.list_files(spark, tree)._jdf.queryExecution().executedPlan().toString()
-    assert "content" not in plan.split("ReadSchema")[1]
+    assert {"file1.txt", "file1_copy.txt", "file2.bin", "file2_copy.bin", "empty.txt", ".hidden", "link"} <= names
+    globbed = rows(listing.list_files(spark, tree, glob="file?_c*.txt"), "path")
+    assert globbed == [(f"{tree}/dup/deep/file1_copy.txt",)]
+
+
+@pytest.mark.parametrize("split", [1, 3, 7])
+def test_very_large_folders_are_split(spark, tree, split):
+    whole = rows(listing.walk_tree(spark, tree))
+    assert rows(listing.walk_tree(spark, tree, split=split)) == whole
+
+
+def _arrow(path):
+    from pyarrow import fs
+
+    from filetwin.sources.stores import ArrowStore
+
+    return ArrowStore(fs.LocalFileSystem(), "store://box")
+
+
+def test_any_store_is_listed_and_read_through_its_handle(spark, tree):
+    os.remove(f"{tree}/link")  # this handle follows links
+    wanted = rows(listing.list_files(spark, tree), "path", "size", "mtime")
+    root = f"store://box{tree}"
+    found = listing.list_files(spark, root, handle=_arrow, split=3)
+    assert rows(found, "path", "size", "mtime") == [(f"store://box{p}", *rest) for p, *rest in wanted]
+    assert rows(found.select("root_path").distinct()) == [(root,)]
+    digests = {p: h for p, h in rows(fingerprint.fingerprint_tree(spark, root, "sha256", handle=_arrow), "path", "hash_value")}
+    assert digests[f"{root}/dup/file1.txt"] == hashlib.sha256(b"Hello World").hexdigest() and len(digests) == len(wanted)
+
+
+def test_uris_name_their_store(tmp_path):
+    from filetwin.sources.stores import ArrowStore, LocalStore, plain_path, store_of
+
+    (tmp_path / "f").write_text("x")
+    assert isinstance(store_of(str(tmp_path)), LocalStore) and plain_path(f"file://{tmp_path}/") == str(tmp_path)
+    store = store_of(f"file://{tmp_path}")
+    assert isinstance(store, ArrowStore)
+    assert [e.path for e in store.entries(f"file://{tmp_path}")] == [f"file://{tmp_path}/f"]
+    store.write(f"file://{tmp_path}/a/b", b"y")
+    assert store.open(f"file://{tmp_path}/a/b").read() == b"y"
+
+
+def test_hashing_is_dealt_by_bytes(spark, tmp_path):
+    """One long file, many short ones, one that is gone: tasks have about as many bytes each."""
+    sizes = {f"s{k:03d}": 1000 for k in range(200)} | {"long": 3_000_000, "none": 0}
+    for name, size in sizes.items():
+        (tmp_path / name).write_bytes(b"x" * size)
+    listed = spark.createDataFrame(
+        [(str(tmp_path / n), size) for n, size in sizes.items()] + [(str(tmp_path / "gone"), 500)], "path string, size long"
+    )
+    dealt = fingerprint.dealt_by_bytes(listed, 1_000_000).withColumn("task", F.spark_partition_id())
+    tasks = {}
+    for path, task in rows(dealt, "path", "task"):
+        tasks.setdefault(task, []).append(sizes.get(os.path.basename(path), 500) + fingerprint.FILE_COST)
+    # An even share, one file more, and the long one in a task nearly its own.
+    assert len(tasks) > 12 and max(sum(t) - max(t) for t in tasks.values()) <= 1_000_000
+    found = {os.path.basename(r.path): r for r in fingerprint.fingerprint_files(listed, "sha256", 1_000_000).collect()}
+    assert len(found) == 203 and found["long"].hash_value == hashlib.sha256(b"x" * 3_000_000).hexdigest()
+    assert found["gone"].hash_value is None and "No such file" in found["gone"].error_status
+    assert fingerprint.fingerprint_files(listed.limit(0)).collect() == []
+
+
+def test_tree_digests_record_errors(spark, tree, monkeypatch):
+    os.remove(f"{tree}/dup/file1.txt")
+    os.symlink(f"{tree}/nowhere", f"{tree}/dup/file1.txt")
+    found = {r.path: r for r in fingerprint.fingerprint_tree(spark, f"{tree}/dup").collect()}
+    assert found[f"{tree}/dup/file1.txt"].hash_value is None and "No such file" in found[f"{tree}/dup/file1.txt"].error_status
+    assert found[f"{tree}/dup/file2.bin"].hash_value is not None
 
 
 @pytest.mark.parametrize("algorithm", ["sha256", "sha512", "sha3-256"])
