@@ -1923,3 +1923,44 @@ def resumable_scan_restarted(spark, sf_dir):
     for step in (1, 3):
         resume.resumable_scan(spark, source, out, algorithm="sha256", files_per_step=step).awaitTermination()
     return _digest_rows(spark, sf_dir, resume.scanned_digests(spark, out))
+
+
+@query(
+    f"""with t as ({_TREE_FILES}),
+          steps as (
+            select 'interrupted' as phase, max(path) filter (doc_id % 2 = 0) as last, count(*) filter (doc_id % 2 = 0) as digests,
+              100 as updated_at, 0 as completed from t
+            union all
+            select 'resumed', max(path) filter (doc_id % 2 = 1), count(*), 200, 0 from t
+            union all
+            select 'completed', max(path) filter (doc_id % 2 = 1), count(*), 300, 1 from t)
+        select phase, 1::bigint as scan_id, 'files' as scan_mode, regexp_replace(last, '/[^/]*$', '') as current_folder_path,
+          last as last_processed_file, 100::bigint as started_at, updated_at::bigint as updated_at, completed, digests
+        from steps"""
+)
+def resumable_scan_log(spark, sf_dir):
+    """What the scan log says of a scan that stops half-way, goes on and is completed."""
+    root = s.document_tree(spark, sf_dir)
+    found = listing.list_files(spark, root)
+    source, out = fresh_dir(spark, "scan-listing"), fresh_dir(spark, "scan-digests")
+    even = F.regexp_extract("path", r"doc_(\d+)", 1).cast("bigint") % 2 == 0
+    phases = []
+
+    def told(phase: str) -> DataFrame:
+        state = change.scan_state(resume.scan_events(spark, out))
+        shown = state.withColumn("digests", F.lit(resume.scanned_digests(spark, out).count()).cast("bigint")).select(
+            F.lit(phase).alias("phase"),
+            "scan_id",
+            "scan_mode",
+            _relative(spark, sf_dir, "current_folder_path").alias("current_folder_path"),
+            _relative(spark, sf_dir, "last_processed_file").alias("last_processed_file"),
+            *["started_at", "updated_at", "completed", "digests"],
+        )
+        return materialize(shown, "scan-log")
+
+    for phase, part, at in (("interrupted", even, 100), ("resumed", ~even, 200)):
+        resume.write_listing(found.where(part), f"{source}/part={at}", files=1)
+        resume.logged_scan(spark, f"{source}/part=*", out, root, at, algorithm="sha256").awaitTermination()
+        phases.append(told(phase))
+    resume.complete_scan(spark, out, root, 300)
+    return phases[0].unionByName(phases[1]).unionByName(told("completed"))

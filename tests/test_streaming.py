@@ -3,6 +3,7 @@ import os
 from pyspark.sql import functions as F
 
 from filetwin import schemas
+from filetwin.operators.mutate import scan_state
 from filetwin.sources import listing, tables
 from filetwin.streaming import observe, resume
 
@@ -134,3 +135,32 @@ def test_observed_rows_take_what_is_told(spark):
         ("/r/a", 1, 3, "sha3-256", None),
         ("/r/b", 0, 6, None, "denied"),
     ]
+
+
+def test_logged_scan_goes_on_from_its_log(spark, tmp_path):
+    top = tmp_path / "top"
+    (top / "sub").mkdir(parents=True)
+    for name in ("a", "b", "sub/c", "sub/d"):
+        (top / name).write_text(name)
+    root, listed, out = str(top), str(tmp_path / "listing"), str(tmp_path / "out")
+    found = listing.list_files(spark, root)
+    state = lambda: rows(
+        scan_state(resume.scan_events(spark, out)), "scan_id", "last_processed_file", "started_at", "updated_at", "completed"
+    )
+    assert state() == [] and not resume.complete_scan(spark, out, root, 1)
+    resume.write_listing(found.where(~F.col("path").contains("sub")), f"{listed}/part=0", files=1)
+    resume.logged_scan(spark, f"{listed}/part=*", out, root, 10).awaitTermination()
+    assert state() == [(1, f"{root}/b", 10, 10, 0)]
+    for name in ("a", "b"):
+        os.remove(top / name)  # not read again
+    resume.write_listing(found.where(F.col("path").contains("sub")), f"{listed}/part=1", files=1)
+    resume.logged_scan(spark, f"{listed}/part=*", out, root, 20).awaitTermination()
+    assert state() == [(1, f"{root}/sub/d", 10, 20, 0)]
+    assert resume.scanned_digests(spark, out).where("error_status is null").count() == 4
+    assert resume.complete_scan(spark, out, root, 30) and not resume.complete_scan(spark, out, root, 31)
+    assert state() == [(1, f"{root}/sub/d", 10, 30, 1)]
+    # The next scan of the root is a new one; a restart clears it.
+    resume.logged_scan(spark, f"{listed}/part=*", out, root, 40).awaitTermination()
+    resume.logged_scan(spark, f"{listed}/part=*", out, root, 50, restart=True).awaitTermination()
+    assert state() == [(1, f"{root}/sub/d", 10, 30, 1), (3, f"{root}/sub/d", 50, 50, 0)]
+    assert resume.scanned_digests(spark, out).where("error_status is not null").count() == 2
