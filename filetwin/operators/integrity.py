@@ -33,7 +33,9 @@ VIOLATION_TEXT = "Folder %s removed but child file %s not marked removed"
 MORE_VIOLATIONS_TEXT = "...and %d more inconsistencies"
 STATISTICS_TEXT = "Statistics mismatch - Expected: %d folders, %d files; Actual: %d folders, %d files"
 ALGORITHMS_TEXT = "Multiple hash algorithms detected: "
+MORE_ALGORITHMS_TEXT = "...and %d more"
 ALGORITHM_ENTRY_TEXT = "%s (%d files)"
+ALGORITHM_ENTRIES = 10
 SAMPLE_ROWS = 3
 
 
@@ -133,13 +135,12 @@ def inconsistent_timestamps(files: DataFrame) -> DataFrame:
     return files.where(_inverted()).groupBy("root_path").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _first_violations(files: DataFrame, folders: DataFrame, **skew) -> DataFrame:
-    """The first violations of each root by path.
+def _first_violations(found: DataFrame) -> DataFrame:
+    """The first of the `removed_cascade_violations` of each root by path.
 
     `row_number() <= 3` is cut down in each map task before the shuffle (window group limit), so a
     root with very many violations costs three rows per task.
     """
-    found = removed_cascade_violations(files, folders, **skew)
     place = F.row_number().over(Window.partitionBy("root_path").orderBy("path"))
     text = F.format_string(VIOLATION_TEXT, F.col("folder_path"), F.col("path"))
     return (
@@ -155,16 +156,16 @@ def _more_violations(n: Column) -> Column:
 
 def violation_sample(files: DataFrame, folders: DataFrame, **skew) -> DataFrame:
     """Per root the first cascade violations by path and one row counting the others."""
+    found = materialize(removed_cascade_violations(files, folders, **skew), "violations")
     rest = (
-        removed_cascade_violations(files, folders, **skew)
-        .groupBy("root_path")
+        found.groupBy("root_path")
         .agg(F.count(F.lit(1)).alias("n"))
         .where(F.col("n") > SAMPLE_ROWS)
         .select(
             "root_path", F.lit(SAMPLE_ROWS + 1).alias("issue_no"), _more_violations(F.col("n")).alias("description")
         )
     )
-    return _first_violations(files, folders, **skew).unionByName(rest)
+    return _first_violations(found).unionByName(rest)
 
 
 def root_profile(folders: DataFrame, files: DataFrame, now: int, live_only: bool = True) -> DataFrame:
@@ -189,13 +190,28 @@ def root_profile(folders: DataFrame, files: DataFrame, now: int, live_only: bool
         F.sum(F.when(F.col("folder_removed").isNull(), F.col("n"))).alias("orphans"),
         F.sum(F.when(F.col("folder_removed") == 1, F.col("live"))).alias("violations"),
     )
-    # A root has one entry per algorithm name, so this list stays short.
-    named = F.when(F.col("hash_algorithm").isNotNull(), F.format_string(ALGORITHM_ENTRY_TEXT, "hash_algorithm", "n"))
+    # Names are free text, so a damaged catalog has any number of them: only the most frequent are spelt out.
+    place = F.row_number().over(Window.partitionBy("root_path").orderBy(F.desc("n"), "hash_algorithm"))
+    entries = (
+        per_algorithm.where(F.col("hash_algorithm").isNotNull())
+        .withColumn("_place", place)
+        .where(F.col("_place") <= ALGORITHM_ENTRIES)
+        .groupBy("root_path")
+        .agg(F.sort_array(F.collect_list(F.format_string(ALGORITHM_ENTRY_TEXT, "hash_algorithm", "n"))).alias("_names"))
+    )
     of_files = per_algorithm.groupBy("root_path").agg(
         F.sum("live" if live_only else "n").alias("actual_files"),
         *[F.sum(name).alias(name) for name in ("future", "inverted", "orphans", "violations")],
-        F.sort_array(F.collect_list(named)).alias("algorithms"),
+        F.count("hash_algorithm").alias("_named"),
+    )
+    others = F.col("_named") - F.size("_names")
+    of_files = of_files.join(entries, "root_path", "left").withColumn(
+        "algorithms",
+        F.when(F.col("_names").isNull(), F.array().cast("array<string>"))
+        .when(others > 0, F.concat("_names", F.array(F.format_string(MORE_ALGORITHMS_TEXT, others))))
+        .otherwise(F.col("_names")),
     )
+    of_files = of_files.drop("_named", "_names")
     counted = (F.col("removed") == 0) if live_only else F.lit(True)
     lost = orphan_folders(folders).groupBy("root_path").agg(F.count(F.lit(1)).alias("orphan_folders"))
     of_folders = (
@@ -252,7 +268,7 @@ def integrity_issues(
         issue(STATISTICS, WARNING, 1, F.coalesce(wrong, F.lit(False)), mismatch, one),
         issue(ALGORITHM, WARNING, 1, F.coalesce(F.size("algorithms") > 1, F.lit(False)), mixed, one),
     )
-    sample = _first_violations(files, folders).select(
+    sample = _first_violations(removed_cascade_violations(files, folders)).select(
         "root_path",
         F.lit(CASCADE).alias("check"),
         F.lit(ERROR).alias("severity"),

@@ -233,6 +233,72 @@ def scan_files(spark, sf_dir):
     return _select(scan.scan_files(old, found, digests, NOW), FILE_COLUMNS)
 
 
+_OLD_TREE = f"""
+  t as (select sha256(content) as h, {_TREE_SIZE} as size, * from ({_TREE_FILES})),
+  was as (
+    select path, 'changed' as h, 1 as removed from t where doc_id % 5 = 0
+    union all select path, 'other', 0 from t where doc_id % 5 = 1
+    union all select path, 'kept', doc_id % 2 from t where doc_id % 5 = 2
+    union all select path, null, 0 from t where doc_id % 5 = 3
+    union all select folder_path || '/gone' || doc_id, 'gone', 0 from t where doc_id % 10 = 0)"""
+
+
+def _older_catalog(spark, sf_dir) -> change.Catalog:
+    """The document tree as an older scan may have left it, by document: changed size, other algorithm, untouched, failed, unknown."""
+    top = s.document_tree(spark, sf_dir)
+    found = materialize(listing.list_files(spark, top), "older-listing")
+    number = F.regexp_extract("path", r"doc_(\d+)", 1).cast("bigint")
+    case = number % 5
+    time = F.lit(1000).cast("bigint")
+    files = found.where(case < 4).select(
+        "path",
+        F.when(case == 0, F.col("size") + 1).otherwise(F.col("size")).alias("size"),
+        "mtime",
+        F.when(case == 0, "changed").when(case == 1, "other").when(case == 2, "kept").alias("hash_value"),
+        F.when(case == 1, "sha512").when(case != 3, "sha256").alias("hash_algorithm"),
+        F.when(case == 3, "denied").alias("error_status"),
+        time.alias("first_scanned_at"),
+        time.alias("last_scanned_at"),
+        F.when(case == 0, 1).when(case == 2, number % 2).otherwise(0).cast("int").alias("removed"),
+        "folder_path",
+        "root_path",
+    )
+    gone = files.where(number % 10 == 0).withColumns(
+        {
+            "path": F.concat("folder_path", F.lit("/gone"), number.cast("string")),
+            "hash_value": F.lit("gone"),
+            "removed": F.lit(0),
+        }
+    )
+    return scan.empty_catalog(spark)._replace(files=files.unionByName(gone))
+
+
+@query(
+    f"""with {_OLD_TREE}
+        select coalesce(t.path, was.path) as path, case when t.path is null or was.h = 'kept' then was.h else t.h end as hash_value,
+          'sha256' as hash_algorithm, (case when was.path is null then {NOW} else 1000 end)::bigint as first_scanned_at,
+          {NOW}::bigint as last_scanned_at, case when t.path is null then 1 else 0 end as removed
+        from t full join was on t.path = was.path"""
+)
+def rescan(spark, sf_dir):
+    found = scan.rescan(spark, _older_catalog(spark, sf_dir), s.document_tree(spark, sf_dir), NOW, "sha256")
+    files = found.catalog.files.select(
+        _relative(spark, sf_dir).alias("path"), "hash_value", "hash_algorithm", "first_scanned_at", "last_scanned_at", "removed"
+    )
+    return files
+
+
+@query(
+    f"""with {_OLD_TREE}
+        select (select count(*) from t) as listed,
+          (select count(*) from t left join was using (path) where was.h is distinct from 'kept') as hashed,
+          (select count(*) from was where h = 'gone') as removed,
+          (select count(*) from was join t using (path) where was.removed = 1) as restored"""
+)
+def rescan_summary(spark, sf_dir):
+    return scan.rescan(spark, _older_catalog(spark, sf_dir), s.document_tree(spark, sf_dir), NOW, "sha256").summary
+
+
 _JSON_FILE = """'{"path":"' || path || '","size":' || size || '}'"""
 
 
@@ -731,6 +797,21 @@ def upsert_roots(spark, sf_dir):
     return _select(change.upsert_roots(s.dirty_roots(spark, sf_dir), known.unionByName(fresh)), ROOT_COLUMNS)
 
 
+@query(
+    docs(
+        """select * from dr union all
+           select '/new' || root_path, 7::bigint, 0, null::bigint, 0::bigint, 0::bigint, 0::bigint from r"""
+    )
+)
+def upsert_roots_strict(spark, sf_dir):
+    fresh = s.doc_roots(spark, sf_dir).select(
+        F.concat(F.lit("/new"), "root_path").alias("root_path"),
+        F.lit(7).cast("bigint").alias("agent_id"),
+        F.lit(0).alias("traverse_links"),
+    )
+    return _select(change.upsert_roots(s.dirty_roots(spark, sf_dir), fresh, strict=True), ROOT_COLUMNS)
+
+
 @query(
     f"""with a as ({_AGENTS}),
           n as (select * replace (1 - enabled as enabled, updated + 86400 as updated, 7 as status) from a where id % 3 = 0

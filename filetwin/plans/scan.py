@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from ..operators.duplicates import duplicate_counts, hash_candidates
 from ..operators.folders import folder_tree
+from ..operators.lifecycle import detect_removed, rehash_candidates, restored_files
 from ..operators.mutate import Catalog, refresh_roots, upsert_files, upsert_folders, upsert_roots
 from ..operators.skew import lookup
 from ..schemas import DEFAULT_ALGORITHM, FILES, FOLDERS, ROOTS, SCANS
-from ..session import fresh_dir
+from ..session import fresh_dir, materialize
 from ..sources.fingerprint import fingerprint_files
 from ..sources.listing import listed_files, listed_folders, walk_tree
 
@@ -84,6 +85,57 @@ class Scan(NamedTuple):
     summary: DataFrame
 
 
+def rescan(
+    spark: SparkSession,
+    catalog: Catalog,
+    root: str,
+    now: int,
+    algorithm: str = DEFAULT_ALGORITHM,
+    **walk,
+) -> Scan:
+    """A later scan of a tree that reads only what changed.
+
+    Hashed are new files and those without a hash, with an error, hashed by another algorithm, or with another size or time than
+    the catalog has; all others keep their hash. Files and folders that are no longer listed are marked removed, removed ones that
+    are listed again are live. The summary counts listed, hashed, removed and restored files.
+    """
+    entries = walk_tree(spark, root, **walk)
+    tops = entries.select("root_path").distinct()
+    listing = listed_files(entries)
+    known = catalog.files.join(F.broadcast(tops), "root_path", "left_semi")
+    again = rehash_candidates(known, listing, algorithm).select("path")
+    new = listing.select("path").join(known.select("path"), "path", "left_anti")
+    to_hash = listing.join(again.unionByName(new), "path", "left_semi")
+    digests = materialize(fingerprint_files(to_hash, algorithm), "digests")
+
+    kept = known.select("path", "hash_value", "hash_algorithm", "error_status").join(digests, "path", "left_anti")
+    stamped = stamped_files(listing, digests.unionByName(kept), now)
+    restored = materialize(restored_files(known, listing), "restored-files")
+    files = detect_removed(upsert_files(catalog.files, stamped), listing, now, listed_roots=tops)
+    files = materialize(files, "rescanned-files")
+    found = listed_folders(entries)
+    folders = upsert_folders(catalog.folders, stamped_folders(found, now))
+    folders = detect_removed(folders, found, now, key="folder_path", listed_roots=tops)
+    roots = upsert_roots(
+        catalog.roots,
+        tops.join(catalog.roots.select("root_path"), "root_path", "left_anti").select(
+            "root_path", F.lit(None).cast("bigint").alias("agent_id"), F.lit(0).alias("traverse_links")
+        ),
+    )
+    refreshed = refresh_roots(roots.join(tops, "root_path", "left_semi"), folders, files, now)
+    roots = roots.join(tops, "root_path", "left_anti").unionByName(refreshed)
+    lost = known.where(F.col("removed") == 0).join(listing, "path", "left_anti")
+    counts = [
+        df.agg(F.count(F.lit(1)).alias(name))
+        for name, df in (("listed", listing), ("hashed", digests), ("removed", lost), ("restored", restored))
+    ]
+    both = counts[0]
+    for count in counts[1:]:
+        both = both.unionByName(count, allowMissingColumns=True)
+    summary = both.agg(*[F.max(name).alias(name) for name in both.columns])
+    return Scan(Catalog(roots, folders, files, catalog.scans), summary)
+
+
 def scan_all(
     spark: SparkSession,
     catalog: Catalog,

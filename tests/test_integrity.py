@@ -129,3 +129,11 @@ def test_repair_run_counts_what_it_mends(damaged, skew):
     assert {r.check for r in left.where("issues > 0").collect()} == {check.ALGORITHM}
     again = check.repair_all(done.roots, done.folders, done.files, NOW, **skew)
     assert {r.issues_fixed for r in again.fixed.collect()} == {0}
+
+
+def test_only_the_most_frequent_algorithm_names_are_spelt_out(make):
+    specs = [(f"/r/{k}-{n}", dict(hash_algorithm=f"name{k:02d}")) for k in range(30) for n in range(1 + (k < 3))]
+    profile = check.root_profile(make.folders("/r"), make.files(*specs), NOW).first()
+    assert len(profile.algorithms) == check.ALGORITHM_ENTRIES + 1
+    assert sum("name" in a for a in profile.algorithms) == 10 and profile.algorithms[-1] == "...and 20 more"
+    assert all(any(f"name0{k}" in a for a in profile.algorithms) for k in range(3))

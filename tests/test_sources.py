@@ -320,3 +320,32 @@ def test_scan_files_needs_registered_folders(spark, make):
     assert rows(scan.scan_files(catalog, found, digests, 5, "/r"), "path", "hash_value") == [("/r/a", "h")]
     with pytest.raises(ValueError, match="no folders"):
         scan.scan_files(catalog, found, digests, 5, "/other")
+
+
+def test_rescan_reads_only_what_changed(spark, tree):
+    first = scan.scan_all(spark, scan.empty_catalog(spark), tree, now=1000)
+    catalog = scan.Catalog(*[materialize(df, "rescan") for df in first.catalog])
+    # A hash that only an untouched file can keep.
+    marked = catalog.files.withColumn("hash_value", F.concat(F.lit("old "), "hash_value"))
+    with open(f"{tree}/dup/file1.txt", "w") as changed:
+        changed.write("other text")
+    os.remove(f"{tree}/dup/deep/file1_copy.txt")
+    os.rmdir(f"{tree}/dup/deep")
+    with open(f"{tree}/new", "w") as new:
+        new.write("n")
+    second = scan.rescan(spark, catalog._replace(files=materialize(marked, "rescan")), tree, 2000)
+    # A link to a folder cannot be read, so it is tried again each time.
+    assert rows(second.summary) == [(9, 3, 1, 0)]
+    found = {os.path.basename(r.path): r for r in second.catalog.files.collect()}
+    assert found["file1.txt"].hash_value == hashlib.sha512(b"other text").hexdigest()
+    assert found["new"].first_scanned_at == 2000 and found["file2.bin"].hash_value.startswith("old ")
+    assert {n for n, r in found.items() if r.removed} == {"file1_copy.txt"}
+    assert rows(second.catalog.folders.where("removed = 1"), "folder_path") == [(f"{tree}/dup/deep",)]
+    assert rows(second.catalog.roots, "folder_count", "file_count", "last_scan_date") == [(3, 9, 2000)]
+    with open(f"{tree}/dup/file1.txt", "a"):
+        pass
+    os.makedirs(f"{tree}/dup/deep")
+    with open(f"{tree}/dup/deep/file1_copy.txt", "w") as back:
+        back.write("x")
+    third = scan.rescan(spark, scan.Catalog(*[materialize(df, "rescan") for df in second.catalog]), tree, 3000)
+    assert third.summary.first().restored == 1 and third.catalog.files.where("removed = 1").count() == 0
