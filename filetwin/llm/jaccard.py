@@ -17,9 +17,10 @@ are fewer). Documents link when |A and B| / |A or B| >= percent / 100, computed
    pairs of blocks are dealt out; members of different components are compared by bitmap. Of two components
    with more than FEW promising pairs in a tile, the best pair is settled first, and then, with the components
    that result, all that are left. No pair that could join two components stays unseen: components are exact.
-5. Bitmaps have two bits an element or more. Each bit that differs stands for an element that only one
-   set has, so bit counts bound the overlap from above. Pairs that pass have their sorted arrays
-   intersected, rebuilt from the texts.
+5. Bitmaps have two bits an element or more; a bit tells whether an odd number of elements hash to it. Common
+   elements cancel out in the difference of two bitmaps, and each bit that differs stands for an element that
+   only one set has, so bit counts bound the overlap from above, and closely: only elements in which the sets differ can hide
+   one another. Pairs that pass have their sorted arrays intersected, rebuilt from the texts.
 
 `frequent` shingles only steer the order: they are a bounded list (MAX_FREQUENT) and leaving some out
 changes cost, not results. Shingles are compared by 64-bit hashes. Null or blank texts have no shingles and
@@ -39,8 +40,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.skew import lookup
 from ..session import materialize
-from .common import arrow_map, key_groups, mix, rolling
+from .common import arrow_map, key_groups, mix, rolling, tidy
 from .components import connected
 
 MAX_FREQUENT = 200_000
@@ -49,7 +51,8 @@ BLOCK = 1024
 FEW = 4
 _LOCAL_FREQUENT = 4
 _FREQUENT = 16
-_COUNTED_AT_ONCE = 4_000_000
+_COUNTED_AT_ONCE = 2_000_000
+_SETS_AT_ONCE = 100_000
 
 
 _SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
@@ -98,17 +101,16 @@ class Shingler:
 
 
 def bitmap(values: np.ndarray) -> np.ndarray:
-    """Bit marks of hashed elements, in 64-bit words; the length is a power of two."""
+    """The parity of hashed elements per bit, in 64-bit words; the length is a power of two."""
     bits = max(64, 1 << (2 * len(values) - 1).bit_length())
-    marks = np.zeros(bits, bool)
-    marks[values & np.uint64(bits - 1)] = True
-    return np.packbits(marks, bitorder="little").view(np.uint64)
+    odd = np.bincount((values & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view(np.uint64)
 
 
 def _folded(marks: np.ndarray, words: int) -> np.ndarray:
     while len(marks) > words:
         half = len(marks) // 2
-        marks = marks[:half] | marks[half:]
+        marks = marks[:half] ^ marks[half:]
     return marks
 
 
@@ -139,6 +141,8 @@ def _frequent(docs: DataFrame, width: int) -> np.ndarray:
                 values = shingles.runs(text)
                 digest = hash(values.tobytes())
                 if len(values) and digest not in seen:
+                    if len(seen) >= _SETS_AT_ONCE:
+                        seen.clear()
                     seen.add(digest)
                     held.append(values)
                     size += len(values)
@@ -148,7 +152,7 @@ def _frequent(docs: DataFrame, width: int) -> np.ndarray:
         if held:
             yield counts()
 
-    local = docs.select("text").mapInArrow(run, "token long, n long")
+    local = docs.select("text").mapInArrow(tidy(run), "token long, n long")
     top = (
         local.groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= _FREQUENT)
         .orderBy(F.desc("n"), "token").limit(MAX_FREQUENT)
@@ -189,6 +193,8 @@ def _prepared(docs: DataFrame, width: int, percent: int) -> DataFrame:
                     rows.append({"n": n})
                     continue
                 digest = (n, int(values.sum()), int(np.bitwise_xor.reduce(mix(values))))
+                if len(first) >= _SETS_AT_ONCE:
+                    first.clear()  # later rows with an equal set meet the earlier ones in the tiles
                 node = first.setdefault(digest, doc_id)
                 if node != doc_id:
                     rows.append({"n": n, "tied_to": node})
@@ -248,7 +254,7 @@ def _prepared(docs: DataFrame, width: int, percent: int) -> DataFrame:
     source = docs.select(F.col("doc_id").cast("long"), "text")
     schema = f"key long, doc_id long, band int, doc {_DOC}"
     dealt = arrow_map(source, make, schema).repartition("key").sortWithinPartitions("key")
-    return materialize(dealt.mapInArrow(shared, schema), "jaccard-sets")
+    return materialize(dealt.mapInArrow(tidy(shared), schema), "jaccard-sets")
 
 
 def _members(prepared: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
@@ -350,7 +356,7 @@ def _linked(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Dat
             if any(similar(x, y) for x in of_a for y in of_b):
                 yield pa.RecordBatch.from_pydict({"a": pa.array([a], pa.int64()), "b": pa.array([b], pa.int64())})
 
-    return materialize(met.mapInArrow(run, "a long, b long"), "jaccard-links")
+    return materialize(met.mapInArrow(tidy(run), "a long, b long"), "jaccard-links")
 
 
 def _leftover_pairs(members: DataFrame, labels: DataFrame, nodes: DataFrame, percent: int, few: int | None):
@@ -451,7 +457,7 @@ def _leftover_pairs(members: DataFrame, labels: DataFrame, nodes: DataFrame, per
                     [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["a", "b", "token", "more"]
                 )
 
-    return rows.mapInArrow(run, "a long, b long, token long, more boolean")
+    return rows.mapInArrow(tidy(run), "a long, b long, token long, more boolean")
 
 
 def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -524,9 +530,23 @@ def _joined_by(pairs: DataFrame, texts: DataFrame, edges: DataFrame, labels: Dat
 
 
 def keep_first_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """One row of each component: that of the smallest `doc_id`. Rows without a `doc_id` all stay."""
-    rows, labels = _components(docs.select("doc_id", "text"), width, percent)
-    others = labels.where(F.col("node") != F.col("component")).select(F.col("node").alias("_other"))
-    kept = docs.join(others, F.col("doc_id").cast("long") == F.col("_other"), "left_anti")
-    known = kept.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"])
-    return known.unionByName(kept.where(F.col("doc_id").isNull()))
+    """One row of each component: that of the smallest `doc_id`.
+
+    Rows without a `doc_id` all stay. Rows that share a `doc_id` are judged by their own texts: of equal texts one row stays, the
+    smallest by its other columns, and of different ones those that nothing kept is linked with.
+    """
+    text = F.xxhash64("text")
+    ids = docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count(F.lit(1)).alias("_rows"), F.min(text).alias("_first"))
+    repeated = materialize(ids.where(F.col("_rows") > 1).select("doc_id", "_first"), "jaccard-repeated")
+    number = F.col("doc_id").cast("long")
+    # Further texts of an id get numbers of their own, behind all usual ids.
+    own = F.shiftrightunsigned(F.xxhash64("doc_id", text, F.lit("row")), 2).bitwiseOR(F.lit(1 << 62))
+    node = F.when(F.col("_first").isNull() | (F.col("_first") == text), number).otherwise(own)
+    keyed = lookup(docs, repeated, ["doc_id"], "left", spread="text", measure=False).withColumn("_node", node)
+
+    _, labels = _components(keyed.select(F.col("_node").alias("doc_id"), "text"), width, percent)
+    others = labels.where(F.col("node") != F.col("component")).select(F.col("node").alias("_node"))
+    kept = keyed.join(others, "_node", "left_anti")
+    alone, several = kept.where(F.col("_first").isNull()), kept.where(F.col("_first").isNotNull())
+    one = several.groupBy("_node").agg(F.min(F.struct(*[F.col(c) for c in docs.columns])).alias("_row")).select("_row.*")
+    return alone.select(*docs.columns).unionByName(one)

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import arrow_map
+from .common import arrow_map, tidy
 
 DIMS = 1 << 16
 _BLANK = 32
@@ -115,7 +115,7 @@ def _frequencies(training: DataFrame) -> np.ndarray:
         seen = np.flatnonzero(totals)
         yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(totals[seen])], ["feature", "n"])
 
-    parts = training.select("text").mapInArrow(run, "feature int, n long")
+    parts = training.select("text").mapInArrow(tidy(run), "feature int, n long")
     totals = np.zeros(DIMS + 1, np.int64)
     for feature, n in parts.groupBy("feature").agg(F.sum("n")).collect():  # at most DIMS + 1 rows
         totals[feature] = n
@@ -261,7 +261,10 @@ def predict_language(docs: DataFrame, model: LanguageModel, *keep: str) -> DataF
 
 
 def keep_known_language(docs: DataFrame, model: LanguageModel, min_score: float = 0.3) -> DataFrame:
-    """The rows, unchanged, whose language is recognised with at least `min_score`."""
+    """The rows, unchanged, whose language is recognised with at least `min_score`.
+
+    Without a single labelled training row no language can be told apart; then all rows whose text has letters stay.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     place = docs.columns.index("text")
 
@@ -269,7 +272,10 @@ def keep_known_language(docs: DataFrame, model: LanguageModel, min_score: float
         grams = Grams()
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found = (shared.value.predict(grams(t)) for t in batch.column(place).to_pylist())
+            texts = batch.column(place).to_pylist()
+            if not shared.value.labels:
+                return batch.filter(pa.array([grams(t) is not None for t in texts], pa.bool_()))
+            found = (shared.value.predict(grams(t)) for t in texts)
             return batch.filter(pa.array([name != "und" and score >= min_score for name, score in found], pa.bool_()))
 
         return step
