@@ -33,7 +33,7 @@ def op1_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_superkmer_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return drop_repeated_windows(documents(spark, sf_dir)).drop("kept")
+    return drop_repeated_windows(documents(spark, sf_dir), with_text=False)
 
 
 def op3_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -86,10 +86,15 @@ def repeated_minimisers(docs: DataFrame, cut: Callable, repeated: Column) -> np.
 
     rows = docs.select("doc_id", "text").mapInArrow(run, "key long, lo long, hi long, n long")
     again = rows.groupBy("key").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n")).where(repeated)
+    return bitmap_of(again)
+
+
+def bitmap_of(keys: DataFrame) -> np.ndarray:
+    """The bits of the column `key`: BITS bits, whatever the number of keys."""
     bit = F.col("key").bitwiseAND(F.lit(BITS - 1))
     one = F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(F.lit(63)).cast("int"))
     words = (
-        again.select(F.call_function("shiftright", bit, F.lit(6)).alias("word"), one.alias("bits"))
+        keys.select(F.call_function("shiftright", bit, F.lit(6)).alias("word"), one.alias("bits"))
         .groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
     )
     out = np.zeros(BITS // 64, np.int64)  # at most BITS / 64 rows were fetched

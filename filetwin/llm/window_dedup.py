@@ -7,11 +7,14 @@ document with a smaller id, too. Windows are judged on the input.
 2. A segment travels to its minimiser's bucket as one packed string (six bytes of hash a word). A task sends
    equal segments once, with the smallest and largest id that has them, so copies don't pile up.
 3. In a bucket, sorting the windows gives each window's smallest document exactly, whatever segment it is in.
-4. The verdicts are joined to the segments' occurrences and the flagged windows to the documents.
+4. Bitmaps of fixed size say which segments have a repeated window and then which documents lose words. Only these
+   segments' occurrences are joined to the verdicts, and only these documents' texts to their flagged windows;
+   all others are answered where they are read.
 
 Words are compared by 48-bit hashes, windows by all their words' hashes. Null texts have no words. Rows of one
-`doc_id` are the same document for the comparison and rows of their own for the result; rows without a
-`doc_id` neither lose words nor make others lose any.
+`doc_id` are the same document for the comparison and rows of their own for the result, told apart by their id and a
+64-bit hash of the text; rows without a `doc_id` neither lose words nor make others lose any. An empty table gives no
+rows, and columns other than `doc_id` and `text` are not looked at.
 """
 
 from __future__ import annotations
@@ -25,8 +28,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .common import WordHashes, arrow_map, mix, rolling, words_of
-from .superkmers import bytes_of, known, repeated_minimisers, segments, whole_keys
+from .superkmers import bitmap_of, bytes_of, known, repeated_minimisers, segments, whole_keys
 
 RUN = 3
 _HELD = 300_000
@@ -81,8 +85,8 @@ def _verdicts(batches: Iterable[pa.RecordBatch], width: int) -> Iterator[pa.Reco
             )
 
 
-def drop_repeated_windows(docs: DataFrame, width: int = 13) -> DataFrame:
-    """Per row of `docs`: `doc_id`, `n_words`, `n_removed`, `kept_sha256`, `kept` (the text that is left)."""
+def drop_repeated_windows(docs: DataFrame, width: int = 13, with_text: bool = True) -> DataFrame:
+    """Per row of `docs`: `doc_id`, `n_words`, `n_removed`, `kept_sha256`, and `with_text` `kept`, the text that is left."""
     docs = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("doc_id", "text").alias("row"))
     named = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     cut = _cutter(width)
@@ -123,13 +127,15 @@ def drop_repeated_windows(docs: DataFrame, width: int = 13) -> DataFrame:
         if held:
             yield flush()
 
-    verdicts = (
+    verdicts = materialize(
         named.select("doc_id", "text")
         .mapInArrow(send, "key long, seg long, lo long, hi long, packed binary")
         .repartition("key")
         .sortWithinPartitions("key")
-        .mapInArrow(lambda batches: _verdicts(batches, width), "seg long, low long, mins array<long>")
+        .mapInArrow(lambda batches: _verdicts(batches, width), "seg long, low long, mins array<long>"),
+        "window-verdicts",
     )
+    repeating = docs.sparkSession.sparkContext.broadcast(bitmap_of(verdicts.select(F.col("seg").alias("key"))))
 
     def occurrences(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = cut()
@@ -140,9 +146,10 @@ def drop_repeated_windows(docs: DataFrame, width: int = 13) -> DataFrame:
             if out:
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
                 columns = list(zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays(
+                found = pa.RecordBatch.from_arrays(
                     [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["seg", "doc_id", "row", "start", "count"]
                 )
+                yield found.filter(pa.array(known(repeating.value, found.column("seg").to_numpy().view(np.uint64))))
 
     placed = named.select("doc_id", "row", "text").mapInArrow(
         occurrences, "seg long, doc_id long, row long, start int, count int"
@@ -157,21 +164,55 @@ def drop_repeated_windows(docs: DataFrame, width: int = 13) -> DataFrame:
     every = F.when(F.col("low") < F.col("doc_id"), shift(F.col("count")) - 1).otherwise(0)
     flags = (
         placed.join(verdicts, "seg")
-        .select("row", "start", F.when(F.col("mins").isNull(), every).otherwise(some).alias("mask"))
+        .select("doc_id", "row", "start", F.when(F.col("mins").isNull(), every).otherwise(some).alias("mask"))
         .where(F.col("mask") != 0)
-        .groupBy("row")
+        .groupBy("doc_id", "row")
         .agg(F.collect_set(F.struct("start", "mask")).alias("flags"))
     )
+    flags = materialize(flags, "window-flags")
+    flagged = docs.sparkSession.sparkContext.broadcast(bitmap_of(flags.select(F.col("row").alias("key"))))
+    names = ["doc_id", "n_words", "n_removed", "kept_sha256"] + ["kept"] * with_text
+    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text
+
+    def answered(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
+        columns = list(zip(*rows, strict=True)) or [[]] * 5
+        return pa.RecordBatch.from_arrays(
+            [pa.array(c, k) for c, k, _ in zip(columns, kinds, names, strict=False)], names
+        )
+
+    def answer(doc_id: int | None, words: list[str], kept: list[str]) -> tuple:
+        left = " ".join(kept)
+        digest = hashlib.sha256(left.encode("utf-8", "surrogatepass")).hexdigest()
+        return doc_id, len(words), len(words) - len(kept), digest, left
+
+    def whole():
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            hit = known(flagged.value, batch.column("row").to_numpy().view(np.uint64))
+            ids, texts = (batch.column(c).to_pylist() for c in ("doc_id", "text"))
+            out = []
+            for k in np.flatnonzero(~hit):
+                words = words_of(texts[k])
+                out.append(answer(ids[k], words, words))
+            return answered(out)
 
-    def make():
+        return step
+
+    def touched():
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            return batch.filter(pa.array(known(flagged.value, batch.column("row").to_numpy().view(np.uint64))))
+
+        return step
+
+    def reduced():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             out = []
-            for doc_id, text, flagged in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+            for doc_id, text, flagged_ in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
                 words = words_of(text)
                 kept = words
-                if flagged:
+                if flagged_:
                     edge = np.zeros(len(words) + 1, np.int64)
-                    for flag in flagged:
+                    for flag in flagged_:
                         start, mask = flag["start"], flag["mask"]
                         while mask:
                             low = mask & -mask
@@ -181,15 +222,11 @@ def drop_repeated_windows(docs: DataFrame, width: int = 13) -> DataFrame:
                             mask ^= low
                     free = np.cumsum(edge[:-1]) == 0
                     kept = [words[k] for k in np.flatnonzero(free)]
-                left = " ".join(kept)
-                digest = hashlib.sha256(left.encode("utf-8", "surrogatepass")).hexdigest()
-                out.append((doc_id, len(words), len(words) - len(kept), digest, left))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            names = ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"]
-            columns = list(zip(*out, strict=True)) or [[]] * 5
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+                out.append(answer(doc_id, words, kept))
+            return answered(out)
 
         return step
 
-    joined = docs.join(flags, "row", "left").select("doc_id", "text", "flags")
-    return arrow_map(joined, make, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
+    rows = docs.select("doc_id", "row", "text")
+    joined = arrow_map(rows, touched, rows.schema).join(flags, ["doc_id", "row"], "left").select("doc_id", "text", "flags")
+    return arrow_map(rows, whole, schema).unionByName(arrow_map(joined, reduced, schema))
