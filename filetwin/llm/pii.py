@@ -74,8 +74,9 @@ def sums_before(lengths: Column) -> Column:
     return F.when(F.size(lengths) > 0, let(lengths, of)).otherwise(F.array().cast("array<bigint>"))
 
 
-def matches(text: Column, pattern: str, kind: str) -> Column:
+def matches(text: Column, pattern: str | Column, kind: str) -> Column:
     """Spans of all matches."""
+    pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
     length = lambda s: F.length(s).cast("long")
 
     def of(found: Column) -> Column:
@@ -96,7 +97,7 @@ def matches(text: Column, pattern: str, kind: str) -> Column:
 
         return F.when(F.size(found) > 0, let(F.split(text, pattern, -1), spans)).otherwise(F.array().cast(_SPAN))
 
-    return let(F.regexp_extract_all(text, F.lit(pattern), 0), of)
+    return let(F.regexp_extract_all(text, pattern, 0), of)
 
 
 def _luhn(digits: Column) -> Column:
@@ -227,28 +228,44 @@ def disclosing_terms(
     return materialize(telling, "pii-telling"), terms
 
 
+def _any_of(words: Column) -> Column:
+    """A pattern for these words as whole words, null if there are none; words are letters and digits only."""
+    return F.when(
+        F.size(words) > 0,
+        F.concat(F.lit(r"(?<![\p{L}\p{N}])(?:"), F.array_join(words, "|"), F.lit(r")(?![\p{L}\p{N}])")),
+    )
+
+
 def _with_terms(docs: DataFrame, **thresholds) -> DataFrame:
-    """`docs` with `_spans` and every occurrence of a disclosing term outside of them (`_terms`)."""
+    """`docs` with `_spans` and every occurrence of a disclosing term outside of them (`_terms`).
+
+    A document's distinct words meet the terms as rows. Those that disclose something come back as a pattern of its own for each
+    document, so no other word ever gets offsets.
+    """
     found = _with_spans(docs)
     telling, counts = disclosing_terms(found, _hits(found), **thresholds)
-    words = found.select("_key", F.explode(_lower(F.split("_text", _NO_WORD))).alias("term"))
+    words = found.select("_key", F.explode(F.array_distinct(F.split("_text", _NO_WORD))).alias("word"))
+    words = words.withColumn("term", F.lower("word"))
     # A term is in as many documents as it likes; `lookup` spreads the frequent ones.
     counts = counts.withColumnRenamed("n_term", "n")
     met = lookup(words, telling, ["term"], spread="_key", counts=counts, measure=False)
+    chosen = lambda removed: _any_of(F.collect_set(F.when(F.col("removed") == removed, F.col("word"))))
     marked = materialize(
-        met.groupBy("_key").agg(F.map_from_entries(F.collect_set(F.struct("term", "removed"))).alias("_telling")), "pii-marked"
-    )
-    removed = lambda word: F.col("_telling")[F.lower(word)]
-    terms = F.transform(
-        F.filter(_words(F.col("_text"), F.col("_spans")), lambda m: removed(m["word"]).isNotNull()),
-        lambda m: F.struct(
-            m["start"].alias("start"), m["end"].alias("end"), m["word"].alias("word"), removed(m["word"]).alias("removed")
-        ),
-    )
-    empty = F.array().cast("array<struct<start:bigint,end:bigint,word:string,removed:boolean>>")
-    return found.join(marked, "_key", "left").withColumn(
-        "_terms", F.when(F.col("_telling").isNotNull(), terms).otherwise(empty)
+        met.groupBy("_key").agg(chosen(True).alias("_removed"), chosen(False).alias("_general")), "pii-marked"
     )
+    empty = F.array().cast(_SPAN)
+
+    def occurrences(pattern: str) -> Column:
+        return F.when(F.col(pattern).isNotNull(), matches(F.col("_text"), F.col(pattern), pattern)).otherwise(empty)
+
+    def term(m: Column) -> Column:
+        return F.struct(
+            m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("word"), (m["kind"] == "_removed").alias("removed")
+        )
+
+    free = lambda m: ~F.exists("_spans", lambda s: (s["start"] < m["end"]) & (s["end"] > m["start"]))
+    terms = F.transform(F.filter(F.concat(occurrences("_removed"), occurrences("_general")), free), term)
+    return found.join(marked, "_key", "left").withColumn("_terms", F.sort_array(terms))
 
 
 def find_pii(docs: DataFrame, **thresholds) -> DataFrame:
