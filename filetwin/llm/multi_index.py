@@ -6,10 +6,12 @@ rows. A query walks pairs of centroids by the sum of their distances, with a hea
 lists, until the cells it has met hold `visit` of all rows (at least `min_visit` rows). Rows of those cells
 are reranked by the exact cosine.
 
-Cells are cut into blocks of about BLOCK rows, so copies of one vector don't meet in one task; queries go
-to every block of their cells and are streamed past a block's rows. The number of centroids follows the
-number of rows; the table of cell sizes is bounded by MAX_CENTROIDS squared.
+Cells are cut into blocks of about BLOCK rows, so copies of one vector don't meet in one task, and blocks are dealt to
+groups of about GROUP rows. A query goes once to every group that holds rows of its cells, with its list of cells, and is
+streamed past the group's rows; rows of other cells are not looked at. The number of centroids follows the number of
+rows; the table of cell sizes is bounded by MAX_CENTROIDS squared.
 
+Components are scaled by a power of two before they are multiplied, so large and small finite vectors keep their exact cosines.
 Vectors that are null, zero, not finite, or not of the most frequent length take no part. Rows that share a
 `vec_id` are never each other's neighbours and count once, with the best score. Ties go to the smaller id.
 """
@@ -29,6 +31,7 @@ from ..session import materialize
 from .common import arrow_map
 
 BLOCK = 4096
+GROUP = 32_768
 MAX_CENTROIDS = 1024
 ROWS_PER_CELL = 20
 SAMPLE_BYTES = 64 << 20
@@ -54,6 +57,12 @@ def _unit(matrix: np.ndarray) -> np.ndarray:
     return scaled / np.sqrt((scaled * scaled).sum(axis=1, keepdims=True))
 
 
+def _scaled(matrix: np.ndarray) -> np.ndarray:
+    """Rows times powers of two that bring their largest component near 1: no product overflows, no digit changes."""
+    _, exponent = np.frexp(np.abs(matrix).max(axis=1, keepdims=True))
+    return np.ldexp(matrix, -exponent)
+
+
 def _kmeans(points: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     dice = np.random.default_rng(3)
     distinct = np.unique(points, axis=0)
@@ -90,10 +99,23 @@ def nearest_cells(first: np.ndarray, second: np.ndarray, sizes: np.ndarray, want
     return out
 
 
-def _best(queries, query_ids, rows, row_ids, k):
-    """The k best rows of a block for each query: exact cosines, ties to smaller ids."""
+def _group(cell, block, groups: int):
+    """The group of a block of a cell, alike for columns and arrays: a cell's blocks go to different groups."""
+    return (cell * 7919 + block) % groups
+
+
+def _best(queries, query_ids, cells, rows, row_ids, row_cells, k):
+    """The k best rows of a group for each query among those of its cells: exact cosines, ties to smaller ids."""
     near = _unit(queries) @ _unit(rows).T
     near[query_ids[:, None] == row_ids[None]] = -np.inf
+    there, place = np.unique(row_cells, return_inverse=True)
+    visited = np.zeros((len(queries), len(there)), bool)
+    for q, own in enumerate(cells):
+        found = np.searchsorted(there, own)
+        found[found == len(there)] = 0
+        visited[q, found[there[found] == own]] = True
+    near[~visited[:, place]] = -np.inf
+    queries, rows = _scaled(queries), _scaled(rows)
     lengths = np.sqrt((rows * rows).sum(axis=1))
     for q in range(len(queries)):
         line = near[q]
@@ -147,51 +169,68 @@ def search(
     shared = spark.sparkContext.broadcast(sizes)
     wanted = max(min_visit, math.ceil(visit * total))
 
+    groups = max(1, math.ceil(total / GROUP))
+
     def probe():
         first, second = books.value
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             unit = _unit(_matrix(batch.column("vector")))
             a, b = _distances(unit[:, :half], first), _distances(unit[:, half:], second)
-            cells = [nearest_cells(a[q], b[q], shared.value, wanted) for q in range(len(unit))]
-            return batch.append_column("cells", pa.array(cells, pa.list_(pa.int32())))
+            source, homes, lists = [], [], []
+            for q in range(len(unit)):
+                cells = np.array(nearest_cells(a[q], b[q], shared.value, wanted), np.int64)
+                # All blocks of all cells, and then the cells of each group.
+                blocks = -(-shared.value[cells] // BLOCK)
+                block = np.arange(blocks.sum()) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+                cells = np.repeat(cells, blocks)
+                pairs = np.unique(np.stack((_group(cells, block, groups), cells), axis=1), axis=0)
+                starts = np.flatnonzero(np.diff(pairs[:, 0], prepend=-1))
+                for home, own in zip(pairs[starts, 0].tolist(), np.split(pairs[:, 1], starts[1:]), strict=True):
+                    source.append(q)
+                    homes.append(home)
+                    lists.append(own)
+            sent = batch.take(pa.array(source, pa.int64()))
+            sent = sent.append_column("group", pa.array(homes, pa.int64()))
+            return sent.append_column("cells", pa.array(lists, pa.list_(pa.int64())))
 
         return step
 
     asked = rows.where(is_query)
-    probes = arrow_map(asked, probe, "vec_id long, vector array<double>, cells array<int>")
-    blocks = counts.select("cell", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
+    sent = arrow_map(asked, probe, "vec_id long, vector array<double>, group long, cells array<long>")
+    sent = sent.withColumn("asks", F.lit(1))
+    blocks = counts.select("cell", F.ceil(F.col("count") / BLOCK).cast("long").alias("blocks"))
+    block = F.pmod(F.xxhash64("vec_id"), F.col("blocks"))
     stored = index.join(blocks, "cell").select(
-        "cell", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int").alias("block"), F.lit(0).alias("asks"), "vec_id", "vector"
-    )
-    sent = (
-        probes.select(F.explode("cells").alias("cell"), "vec_id", "vector")
-        .join(blocks, "cell")
-        .select("cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("asks"), "vec_id", "vector")
+        "vec_id",
+        "vector",
+        _group(F.col("cell").cast("long"), block, groups).alias("group"),
+        F.array(F.col("cell").cast("long")).alias("cells"),
+        F.lit(0).alias("asks"),
     )
 
     def rerank(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, ids, parts = None, [], []
+        key, held = None, []
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cell, block, asks, vec = (batch.column(c).to_numpy() for c in ("cell", "block", "asks", "vec_id"))
-            matrix = _matrix(batch.column("vector"))
-            change = np.flatnonzero((cell[1:] != cell[:-1]) | (block[1:] != block[:-1]) | (asks[1:] != asks[:-1])) + 1
-            edges = [0, *change.tolist(), len(cell)]
+            keys, asks, vec = (batch.column(c).to_numpy() for c in ("group", "asks", "vec_id"))
+            matrix, cells = _matrix(batch.column("vector")), batch.column("cells")
+            change = np.flatnonzero((keys[1:] != keys[:-1]) | (asks[1:] != asks[:-1])) + 1
+            edges = [0, *change.tolist(), len(keys)]
             out = []
             for begin, end in zip(edges, edges[1:], strict=False):
-                if key != (cell[begin], block[begin]):
-                    key, ids, parts = (cell[begin], block[begin]), [], []
+                if key != keys[begin]:
+                    key, held = keys[begin], []
+                own = cells.slice(begin, end - begin)
                 if not asks[begin]:
-                    ids.append(vec[begin:end])
-                    parts.append(matrix[begin:end])
-                elif ids:
-                    held, held_ids = np.concatenate(parts), np.concatenate(ids)
-                    ids, parts = [held_ids], [held]
-                    for at in range(begin, end, 512):
-                        upto = min(end, at + 512)
-                        out.extend(_best(matrix[at:upto], vec[at:upto], held, held_ids, k))
+                    held.append((matrix[begin:end], vec[begin:end], own.flatten().to_numpy()))
+                elif held:
+                    held = [tuple(np.concatenate(parts) for parts in zip(*held, strict=True))]
+                    for at in range(begin, end, 256):
+                        upto = min(end, at + 256)
+                        lists = [np.asarray(c) for c in cells.slice(at, upto - at).to_pylist()]
+                        out.extend(_best(matrix[at:upto], vec[at:upto], lists, *held[0], k))
             if out:
                 columns = list(zip(*out, strict=True))
                 kinds = (pa.int64(), pa.int64(), pa.float64())
@@ -201,8 +240,8 @@ def search(
 
     found = (
         stored.unionByName(sent)
-        .repartition("cell", "block")
-        .sortWithinPartitions("cell", "block", "asks")
+        .repartition("group")
+        .sortWithinPartitions("group", "asks")
         .mapInArrow(rerank, "query_id long, vec_id long, score double")
         .groupBy("query_id", "vec_id")
         .agg(F.max("score").alias("score"))

@@ -1,10 +1,12 @@
 """Chat windows read back exactly; the index against brute force."""
 
 import hashlib
+import math
 
 import numpy as np
 from pyspark.sql import functions as F
 
+from filetwin.llm import multi_index
 from filetwin.llm.chat import chat_windows, conversation_digests
 from filetwin.llm.multi_index import search
 
@@ -51,3 +53,21 @@ def test_search_finds_the_nearest(spark):
     assert len(got) == 80 and hits >= 0.9 * 400
     assert [got[100][k][0] for k in range(1, 6)] == [101, 102, 103, 104, 105]
     assert search(table.limit(0), F.lit(True)).count() == 0
+
+
+def test_search_spreads_over_groups_and_keeps_large_vectors(spark, monkeypatch):
+    """Cells in several groups and cells of several blocks give what one group gives; sizes don't change cosines."""
+    dice = np.random.default_rng(1)
+    points = dice.normal(size=(3000, 8))
+    points[500:900] = points[500]
+    sizes = 10.0 ** dice.choice([-200, -3, 0, 3, 200], 3000)
+    sizes[500:900] = 1e200
+    table = lambda p: spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(p)], "vec_id long, embedding array<double>")
+    found = lambda t: {(r.query_id, r.rank): (r.vec_id, round(r.score, 9)) for r in search(t, F.col("vec_id") % 50 == 0).collect()}
+    whole = found(table(points))
+    monkeypatch.setattr(multi_index, "BLOCK", 64)
+    monkeypatch.setattr(multi_index, "GROUP", 200)
+    assert len(whole) == 300 and found(table(points)) == whole
+    assert [whole[500, r] for r in range(1, 6)] == [(501 + r, 1.0) for r in range(5)]
+    large = found(table(points * sizes[:, None]))
+    assert all(math.isfinite(score) for _, score in large.values()) and large == whole
