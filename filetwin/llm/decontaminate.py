@@ -13,16 +13,20 @@ read once a block, without a shuffle:
 2. Embedding. Each window takes random walks: step j writes the word under the pointer and moves on by a
    random bit of (j, word). Few edits make few differing positions, since walks meet again.
 3. LSH. Each walk is read at two sampled positions; windows and items of the same length that agree in
-   a walk are candidates. The number of walks is the smallest with which `recall` of copies at the very
-   threshold are found, measured on edited copies of the block's items.
+   a walk are candidates. Each class of lengths has the smallest number of walks with which `recall` of copies at the
+   very threshold are found, measured on edited copies of its own items. For a class that MAX_WALKS are too few for, every
+   window of step 1 is a candidate of the items whose run it has.
 4. Verification. Candidates' edit distance to the closest stretch is computed exactly.
 
-Items below `min_words` words are not searched: passages have five words or more. Null texts and items
-match nothing. Repeated documents and items each give rows; ties take the first position.
+Items so short that no edit is allowed match as whole runs of words. Null texts and items, and items without a word,
+match nothing; items without an `item_id` are not searched. Repeated documents and items each give rows; ties take the
+first position. Texts are searched whole, however long; an empty table or benchmark gives no rows. Columns other
+than `doc_id` and `text` are not looked at.
 """
 
 from __future__ import annotations
 
+import math
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -109,11 +113,16 @@ class Walks:
         return out
 
 
-def choose_walks(items: list[np.ndarray], similarity: float, recall: float) -> int:
-    """Walks needed to find `recall` of copies with as many edits as are allowed."""
+def length_class(n: int) -> int:
+    """Items of one class differ by a quarter in length."""
+    return int(math.log(n) / math.log(1.25) + 1e-9)
+
+
+def choose_walks(items: list[np.ndarray], similarity: float, recall: float, samples: int = 300) -> int | None:
+    """Walks needed to find `recall` of copies of `items` with as many edits as are allowed; None if MAX_WALKS don't do."""
     dice = np.random.default_rng(11)
     originals, copies = [], []
-    for k in dice.integers(0, len(items), 400):
+    for k in dice.integers(0, len(items), samples):
         item = items[k]
         changed = list(item)
         for _ in range(edits_allowed(len(item), similarity)):
@@ -132,7 +141,7 @@ def choose_walks(items: list[np.ndarray], similarity: float, recall: float) -> i
     found = walks.keys(originals) == walks.keys(copies)
     reached = np.logical_or.accumulate(found, axis=1).mean(axis=0)
     enough = np.flatnonzero(reached >= recall)
-    return int(enough[0]) + 1 if len(enough) else MAX_WALKS
+    return int(enough[0]) + 1 if len(enough) else None
 
 
 def closest(item: np.ndarray, region: np.ndarray, limit: int) -> tuple[int, int] | None:
@@ -159,74 +168,110 @@ def closest(item: np.ndarray, region: np.ndarray, limit: int) -> tuple[int, int]
 
 
 class Block:
-    """A bounded part of the benchmark, ready to be searched for."""
+    """A bounded part of the benchmark, ready to be searched for.
+
+    Each length class has as many walks as its own items need for the target recall. Items of a class that misses it with
+    MAX_WALKS are verified wherever the document shares one of their runs at the place it has in the item, without
+    walks. Items too short for any edit are whole runs.
+    """
 
     def __init__(self, rows: list[tuple[int, str]], similarity: float, recall: float, min_words: int) -> None:
         cleaned = Cleaned()
         found = [(i, cleaned.of(text)) for i, text in rows]
-        found = [(i, words) for i, words in found if len(words) >= min_words]
+        found = [(i, words) for i, words in found if len(words) >= max(1, min_words)]
         self.ids = [i for i, _ in found]
         self.items = [words for _, words in found]
         self.similarity = similarity
-        self.runs: dict[int, dict[int, set[tuple[int, int]]]] = {}
-        for words in self.items:
-            n = len(words)
-            q = min(3, n // (edits_allowed(n, similarity) + 1))
-            places = self.runs.setdefault(q, {})
-            for k, run in enumerate(_runs(words, q).tolist()):
-                places.setdefault(run, set()).add((k, n))
+        by_class: dict[int, list[int]] = defaultdict(list)
+        self.whole: dict[int, dict[int, list[int]]] = {}
+        for k, words in enumerate(self.items):
+            if edits_allowed(len(words), similarity):
+                by_class[length_class(len(words))].append(k)
+            else:
+                run = int(_runs(words, len(words))[0])
+                self.whole.setdefault(len(words), {}).setdefault(run, []).append(k)
+        self.walks: dict[int, Walks] = {}
+        self.buckets: dict[tuple[int, int], list[int]] = {}
+        #: Per run length, for each run its places: (place, item's length, the item itself if it goes without walks).
+        self.runs: dict[int, dict[int, set[tuple[int, int, int]]]] = {}
+        for kind, members in by_class.items():
+            items = [self.items[k] for k in members]
+            count = choose_walks(items, similarity, recall)
+            if count is not None:
+                self.walks[kind] = Walks(count)
+                for k, keys in zip(members, self.walks[kind].keys(items).tolist(), strict=True):
+                    for key in keys:
+                        self.buckets.setdefault((kind, key), []).append(k)
+            for k, words in zip(members, items, strict=True):
+                n = len(words)
+                q = min(3, n // (edits_allowed(n, similarity) + 1))
+                places = self.runs.setdefault(q, {})
+                for at, run in enumerate(_runs(words, q).tolist()):
+                    places.setdefault(run, set()).add((at, n, -1 if count is not None else k))
         self.sorted = {q: np.sort(np.fromiter(places, np.uint64, len(places))) for q, places in self.runs.items()}
-        self.walks = Walks(choose_walks(self.items, similarity, recall)) if self.items else None
-        self.buckets: dict[int, list[int]] = {}
-        if self.items:
-            for k, keys in enumerate(self.walks.keys(self.items).tolist()):
-                for key in keys:
-                    self.buckets.setdefault(key, []).append(k)
-
-    def windows(self, words: np.ndarray) -> list[tuple[int, int]]:
-        """Start and length of the document's windows that can match an item."""
-        out: set[tuple[int, int]] = set()
+        self.sorted_whole = {n: np.sort(np.fromiter(runs, np.uint64, len(runs))) for n, runs in self.whole.items()}
+
+    def windows(self, words: np.ndarray) -> list[tuple[int, int, int]]:
+        """Start and length of the document's windows that can match an item, and that item or -1."""
+        out: set[tuple[int, int, int]] = set()
         for q, known in self.sorted.items():
-            if len(words) < q:
-                continue
-            runs = _runs(words, q)
-            near = np.minimum(np.searchsorted(known, runs), len(known) - 1)
-            for p in np.flatnonzero(known[near] == runs).tolist():
-                out.update((p - k, n) for k, n in self.runs[q][int(runs[p])])
+            for p, run in _shared(words, q, known):
+                out.update((p - at, n, k) for at, n, k in self.runs[q][run])
         return sorted(out)
 
     def matches(self, docs: list[np.ndarray]) -> Iterator[tuple[int, int, int, int, int]]:
         """(document's place, item's id, item's words, edits, first word) of each match."""
-        places, windows = [], []
-        for d, words in enumerate(docs):
-            for start, n in self.windows(words):
-                window = words[max(start, 0) : start + n]
-                if start < 0:
-                    window = np.concatenate((np.full(min(-start, n), _PAD), window))
-                if len(window) < n:
-                    window = np.concatenate((window, np.full(n - len(window), _PAD)))
-                places.append((d, start, n))
-                windows.append(window)
-        if not windows:
-            return
         best: dict[tuple[int, int], tuple[int, int]] = {}
-        for begin in range(0, len(windows), 4096):
-            keys = self.walks.keys(windows[begin : begin + 4096]).tolist()
-            for (d, start, n), own in zip(places[begin : begin + 4096], keys, strict=True):
-                for k in {k for key in own for k in self.buckets.get(key, ())}:
-                    item = self.items[k]
-                    if len(item) != n:
-                        continue
-                    limit = edits_allowed(n, self.similarity)
-                    begin_at = max(0, start - limit)
-                    hit = closest(item, docs[d][begin_at : start + n + limit], limit)
-                    if hit:
-                        first = max(0, begin_at + hit[1] - n)
-                        best[d, k] = min(best.get((d, k), (n, first)), (hit[0], first))
+
+        def verify(d: int, start: int, k: int) -> None:
+            item = self.items[k]
+            n, limit = len(item), edits_allowed(len(item), self.similarity)
+            begin_at = max(0, start - limit)
+            hit = closest(item, docs[d][begin_at : start + n + limit], limit)
+            if hit:
+                first = max(0, begin_at + hit[1] - n)
+                best[d, k] = min(best.get((d, k), (n, first)), (hit[0], first))
+
+        waiting: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
+        for d, words in enumerate(docs):
+            for n, known in self.sorted_whole.items():
+                for p, run in _shared(words, n, known):
+                    for k in self.whole[n][run]:
+                        if np.array_equal(words[p : p + n], self.items[k]):
+                            best[d, k] = min(best.get((d, k), (n, p)), (0, p))
+            for start, n, k in self.windows(words):
+                if k >= 0:
+                    verify(d, start, k)
+                else:
+                    waiting[length_class(n)].append((d, start, n))
+        for kind, places in waiting.items():
+            for begin in range(0, len(places), 4096):
+                part = places[begin : begin + 4096]
+                keys = self.walks[kind].keys([_window(docs[d], start, n) for d, start, n in part]).tolist()
+                for (d, start, n), own in zip(part, keys, strict=True):
+                    for k in {k for key in own for k in self.buckets.get((kind, key), ())}:
+                        if len(self.items[k]) == n:
+                            verify(d, start, k)
         for (d, k), (edits, first) in best.items():
             yield d, self.ids[k], len(self.items[k]), edits, first
 
 
+def _window(words: np.ndarray, start: int, n: int) -> np.ndarray:
+    window = words[max(start, 0) : start + n]
+    if start < 0:
+        window = np.concatenate((np.full(min(-start, n), _PAD), window))
+    return np.concatenate((window, np.full(n - len(window), _PAD))) if len(window) < n else window
+
+
+def _shared(words: np.ndarray, q: int, known: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Places and hashes of the runs of `q` words that are known."""
+    if len(words) >= q:
+        runs = _runs(words, q)
+        near = np.minimum(np.searchsorted(known, runs), len(known) - 1)
+        for p in np.flatnonzero(known[near] == runs).tolist():
+            yield p, int(runs[p])
+
+
 def _runs(words: np.ndarray, q: int) -> np.ndarray:
     count = max(0, len(words) - q + 1)
     out = np.zeros(count, np.uint64)
@@ -251,7 +296,7 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
 
 
 def find_leaks(
-    docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, recall: float = 0.95, min_words: int = 5
+    docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, recall: float = 0.95, min_words: int = 1
 ) -> DataFrame:
     """Per document and item that match: `doc_id`, `item_id`, `item_words`, `edits`, `first_word`."""
     spark = docs.sparkSession
@@ -282,7 +327,10 @@ def find_leaks(
 def drop_leaks(
     docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, recall: float = 0.95, min_words: int = 5
 ) -> DataFrame:
-    """The rows, unchanged, that match no item; one pass per block, no shuffle."""
+    """The rows, unchanged, that match no item; one pass per block, no shuffle.
+
+    Items of fewer than `min_words` words do not cost a document: a word or two are in many clean ones.
+    """
     place = docs.columns.index("text")
     for rows in _blocks(benchmark):
         block = docs.sparkSession.sparkContext.broadcast(Block(rows, similarity, recall, min_words))
