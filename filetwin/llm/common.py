@@ -7,15 +7,12 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: ASCII white space that separates words in the queries' contracts.
 WORD = r"[^\x20\x09-\x0D]+"
 
-_MAX_CACHE = 300_000
-
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -55,24 +52,6 @@ def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.Re
     return df.mapInArrow(tidy(run), schema)
 
 
-class WordHashes(dict):
-    """64-bit hashes of words, with A-Z lower-cased on request; a cache that starts anew when it is full."""
-
-    def __init__(self, lower: bool = False) -> None:
-        super().__init__()
-        self.lower = lower
-
-    def __missing__(self, word: str) -> int:
-        if len(self) >= _MAX_CACHE:
-            self.clear()
-        plain = ascii_lower(word) if self.lower else word
-        value = self[word] = xxhash.xxh64_intdigest(plain.encode("utf-8", "surrogatepass"))
-        return value
-
-    def of(self, words: list[str]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
 def words_of(text: str | None) -> list[str]:
     """Words between ASCII white space, unchanged."""
     if not text:

@@ -56,7 +56,8 @@ _SETS_AT_ONCE = 100_000
 
 
 _SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
-_BYTE = mix(np.arange(1, 257, dtype=np.uint64))
+EXACT = mix(np.arange(1, 257, dtype=np.uint64))
+_BYTE = EXACT.copy()
 _BYTE[65:91] = _BYTE[97:123]
 _SHORT = 1024
 
@@ -68,8 +69,8 @@ def _places(count: int) -> np.ndarray:
 _PLACE = _places(_SHORT)
 
 
-def word_hashes(text: str | None) -> np.ndarray:
-    """A 64-bit hash of each word, A-Z lower-cased: its bytes' marks, weighted by their places in the word."""
+def word_hashes(text: str | None, marks: np.ndarray = _BYTE) -> np.ndarray:
+    """A 64-bit hash of each word: its bytes' marks, weighted by their places in the word. A-Z count as a-z, but not with EXACT."""
     raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
     inside = np.flatnonzero(~_SPACE[raw])
     if not len(inside):
@@ -79,7 +80,7 @@ def word_hashes(text: str | None) -> np.ndarray:
     place = np.arange(len(inside)) - np.repeat(starts, lengths)
     longest = int(lengths.max())
     weights = (_PLACE if longest <= _SHORT else _places(longest))[place]
-    return mix(np.add.reduceat(_BYTE[raw[inside]] * weights, starts) + lengths.astype(np.uint64))
+    return mix(np.add.reduceat(marks[raw[inside]] * weights, starts) + lengths.astype(np.uint64))
 
 
 class Shingler:

@@ -29,7 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import WordHashes, arrow_map, mix, rolling, words_of
+from .common import arrow_map, mix, rolling, words_of
+from .jaccard import EXACT, word_hashes
 from .superkmers import bitmap_of, bytes_of, known, repeated_minimisers, segments, whole_keys
 
 RUN = 3
@@ -38,10 +39,8 @@ _HELD = 300_000
 
 def _cutter(width: int):
     def make():
-        hashes = WordHashes()
-
         def of(text: str | None):
-            words = hashes.of(words_of(text)) & np.uint64((1 << 48) - 1)
+            words = word_hashes(text, EXACT) & np.uint64((1 << 48) - 1)
             if len(words) < width:
                 none = np.zeros(0, np.int64)
                 return none, none, none.astype(np.uint64), words
