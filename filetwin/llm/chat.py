@@ -2,11 +2,14 @@
 
 A turn's tokens are its runs of letters and digits, its other marks, and OVERHEAD for the template. Prefix
 sums of a conversation's tokens are taken in two levels (blocks of turn numbers, then turns), so a long
-conversation is not one task's. A turn belongs to the window in whose stride its prefix sum falls: spans
-end where turns end, and a span exceeds the stride by less than one turn. Each window starts with the
-conversation's first system turn, then repeats the turns before its span as far as `history` tokens reach,
-then has its span. Assistant turns are targets in their own window only; repeated ones are masked.
-`over_budget` marks windows that a single long turn carries beyond `budget`.
+conversation is not one task's.
+
+The room of a conversation is the budget less its first system turn and less `history`. The prefix sums are cut into strides of
+that room: the turns that lie within a stride are a window's span, and a turn that crosses a stride's end is a
+window of its own. So spans are whole turns and fit the room, unless one turn alone does not. Each window starts with the
+conversation's first system turn, then repeats the turns before its span as far as `history` tokens and the rest of the
+budget reach, then has its span. Assistant turns are targets in their own window only; repeated ones are masked.
+`over_budget` marks windows in which the system turn and a single turn exceed `budget`; no other window does.
 
 Turns are ordered by turn, role and text; repeated rows are turns of their own. Null texts and roles are
 empty, null turn numbers come first, rows without a `conv_id` are one conversation.
@@ -38,7 +41,8 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, r"(?s)\\(.)", "$1")
 
 
-def _with_prefix_sums(turns: DataFrame) -> DataFrame:
+def _with_prefix_sums(turns: DataFrame, room: int) -> DataFrame:
+    """`turns` with the tokens `before` each, and the `stride`: `room` less the conversation's first system turn."""
     order = ["turn", "role", "text"]
     block = F.floor(F.coalesce("turn", F.lit(0)) / _BLOCK)
     turns = turns.withColumn("_block", F.when(F.col("turn").isNull(), F.lit(None)).otherwise(block))
@@ -48,6 +52,10 @@ def _with_prefix_sums(turns: DataFrame) -> DataFrame:
         F.col("conv_id").alias("_conv"), F.col("_block").alias("_b"), F.coalesce(F.sum("_sum").over(blocks), F.lit(0)).alias("_head")
     )
     inside = Window.partitionBy("conv_id", "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    system = F.when(F.col("role") == "system", F.struct("turn", "text", "tokens"))
+    first = turns.groupBy("conv_id").agg(F.min(system)["tokens"].alias("_system")).withColumnRenamed("conv_id", "_c")
+    stride = F.greatest(F.lit(1), F.lit(room) - F.coalesce("_system", F.lit(0)))
+    heads = heads.join(first, F.col("_conv").eqNullSafe(F.col("_c"))).withColumn("stride", stride).drop("_c", "_system")
     same = F.col("conv_id").eqNullSafe(F.col("_conv")) & F.col("_block").eqNullSafe(F.col("_b"))
     place = Window.partitionBy("conv_id", "_block").orderBy(*order)
     return (
@@ -59,8 +67,10 @@ def _with_prefix_sums(turns: DataFrame) -> DataFrame:
     )
 
 
-def chat_windows(conversations: DataFrame, budget: int = 1024, stride: int = 384, history: int = 128) -> DataFrame:
-    """Windows of `conversations` (`conv_id`, `turn`, `role`, `text`).
+def chat_windows(
+    conversations: DataFrame, budget: int = 1024, stride: int | None = None, history: int = 128
+) -> DataFrame:
+    """Windows of `conversations` (`conv_id`, `turn`, `role`, `text`); a `stride` makes spans shorter than the room.
 
     `conv_id`, `window_id`, `formatted`, `kinds` (per turn: 0 the retained system turn, 1 history, 2 own),
     `loss` (spans `start`, `end` of code points of `formatted` that are learned), `tokens`, `over_budget`.
@@ -68,11 +78,12 @@ def chat_windows(conversations: DataFrame, budget: int = 1024, stride: int = 384
     turns = conversations.select(
         "conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
     ).withColumn("tokens", (F.regexp_count("text", F.lit(_TOKEN)) + OVERHEAD).cast("long"))
-    summed = _with_prefix_sums(turns)
-    window = F.floor(F.col("before") / stride)
+    summed = _with_prefix_sums(turns, budget - history)
+    step = F.col("stride") if stride is None else F.least("stride", F.lit(stride))
+    first, last = F.floor(F.col("before") / step), F.floor((F.col("before") + F.col("tokens") - 1) / step)
     group = Window.partitionBy("conv_id", "window_id")
     own = (
-        summed.withColumn("window_id", window)
+        summed.withColumn("window_id", 2 * first + (last > first).cast("long"))
         .withColumn("_end", F.max(F.col("before") + F.col("tokens")).over(group))
         .withColumn("_begin", F.min("before").over(group))
     )
@@ -83,16 +94,31 @@ def chat_windows(conversations: DataFrame, budget: int = 1024, stride: int = 384
         .select(F.col("conv_id").alias("_conv"), "s")
     )
     kept = ["conv_id", "window_id", "kind", "before", "role", "text", "tokens"]
+    windows = own.select("conv_id", "window_id", "_begin", (F.col("_end") - F.col("_begin")).alias("_span")).distinct()
+    windows = windows.join(system, F.col("conv_id").eqNullSafe(F.col("_conv")), "left")
+    retained = F.coalesce(F.when(F.col("s.before") < F.col("_begin"), F.col("s.tokens")), F.lit(0))
+    rest = F.greatest(F.lit(0), F.least(F.lit(history), F.lit(budget) - retained - F.col("_span")))
+    windows = windows.withColumn("_from", F.greatest(F.lit(0), F.col("_begin") - rest))
+    # History is looked up by blocks of prefix sums: two at most, each of few turns.
+    width = max(1, history)
+    block = lambda tokens: F.floor(tokens / width)
+    wanted = windows.where(F.col("_from") < F.col("_begin")).select(
+        F.col("conv_id").alias("_conv"),
+        F.col("window_id").alias("_window"),
+        "_from",
+        "_begin",
+        F.explode(F.sequence(block(F.col("_from")), block(F.col("_begin") - 1))).alias("_part"),
+    )
     repeated = (
-        own.where(F.col("_end") - F.col("before") <= history)
-        .withColumn("window_id", F.floor(F.col("_end") / stride))
+        own.select("conv_id", "before", "role", "text", "tokens", block(F.col("before")).alias("_block"))
+        .join(wanted, F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("_block") == F.col("_part")))
+        .where((F.col("before") >= F.col("_from")) & (F.col("before") < F.col("_begin")))
+        .withColumn("window_id", F.col("_window"))
         .withColumn("kind", F.lit(_HISTORY))
     )
-    windows = own.select("conv_id", "window_id", "_begin").distinct()
     head = (
-        windows.join(system, F.col("conv_id").eqNullSafe(F.col("_conv")))
         # Not where the turn is in the window anyway, as its own or as history.
-        .where(F.col("s.before") + history < F.col("_begin"))
+        windows.where(F.col("s.before") < F.col("_from"))
         .select(
             "conv_id", "window_id", F.lit(_SYSTEM).alias("kind"), "s.before", F.lit("system").alias("role"), "s.text", "s.tokens"
         )

@@ -32,6 +32,31 @@ def test_conversations_read_back(spark):
     assert conversation_digests(chat_windows(talks.limit(0))).count() == 0
 
 
+def test_no_window_exceeds_the_budget_unless_one_turn_does(spark):
+    dice = np.random.default_rng(4)
+    word = lambda n: "w " * int(n)
+    rows = [(1, 0, "system", word(600))] + [(1, k, ["assistant", "user"][k % 2], word(500)) for k in range(1, 10)]
+    rows += [(2, 0, "system", word(300))] + [(2, k, ["assistant", "user"][k % 2], word(dice.integers(0, 700))) for k in range(1, 80)]
+    rows += [(3, k, ["assistant", "user"][k % 2], word(dice.integers(0, 90))) for k in range(300)]
+    rows += [(4, k, ["assistant", "user", "system"][k % 3], word(dice.integers(0, 1500))) for k in range(90)]
+    talks = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    windows = chat_windows(talks, budget=1024, history=128)
+    first = {1: 604, 2: 304, 3: 0, 4: len(rows[-88][3].split()) + 4}
+    own = {}
+    for r in windows.collect():
+        turns = [len(p.split("\n", 1)[1].split()) + 4 for p in r.formatted.split("<|im_end|>\n")[:-1]]
+        assert r.tokens == sum(turns) and r.over_budget == (r.tokens > 1024)
+        mine = [t for t, kind in zip(turns, r.kinds) if kind == 2]
+        own[r.conv_id] = own.get(r.conv_id, 0) + len(mine)
+        if r.over_budget:
+            assert len(mine) == 1 and first[r.conv_id] + mine[0] > 1024 and 1 not in r.kinds
+        assert sum(t for t, kind in zip(turns, r.kinds) if kind == 1) <= 128
+    assert own == {1: 10, 2: 80, 3: 300, 4: 90}
+    assert windows.where("conv_id = 3").count() < 40 and windows.where("over_budget").count() > 5
+    assert windows.where("conv_id = 3 and array_contains(kinds, 1)").count() > 10
+    assert windows.where("conv_id = 2 and kinds[0] <> 0 and window_id > 1 and not array_contains(kinds, 0)").count() == 0
+
+
 def test_search_finds_the_nearest(spark):
     dice = np.random.default_rng(0)
     points = dice.normal(size=(4000, 16))
