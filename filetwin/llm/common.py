@@ -7,9 +7,11 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 #: ASCII white space that separates words in the queries' contracts.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -89,6 +91,27 @@ def rolling(values: np.ndarray, width: int) -> np.ndarray:
     return mix(out)
 
 
+_KEY_BITS = 1 << 24
+
+
+def key_bits(rows: DataFrame, key: str) -> DataFrame:
+    """One row, `bits`: a bitmap of the keys' hashes, as longs, whose size does not grow with the keys."""
+    place = F.xxhash64(key).bitwiseAND(F.lit(_KEY_BITS - 1))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int"))
+    held = rows.groupBy(F.shiftright(place, 6).alias("id")).agg(F.bit_or(one).alias("own"))
+    longs = rows.sparkSession.range(_KEY_BITS // 64).join(held, "id", "left")
+    longs = longs.agg(F.array_sort(F.collect_list(F.struct("id", F.coalesce("own", F.lit(0)).alias("own")))).alias("all"))
+    return materialize(longs.select(F.transform("all", lambda x: x["own"]).alias("bits")), "key-bits")
+
+
+def may_hold(bits: DataFrame, key: str) -> Column:
+    """Whether a row's key may be among those of `key_bits`; never false for one that is."""
+    place = F.xxhash64(key).bitwiseAND(F.lit(_KEY_BITS - 1))
+    long = F.get(bits.scalar(), F.shiftright(place, 6).cast("int"))
+    own = F.call_function("shiftright", long, place.bitwiseAND(F.lit(63)).cast("int"))
+    return own.bitwiseAND(F.lit(1)) == 1
+
+
 def crc_mod(column: str, modulus: int):
     """crc32 of a column's text, reduced; null for null."""
     return F.crc32(F.col(column).cast("string")) % modulus

@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from ..operators.skew import lookup
 from ..session import materialize
-from .common import arrow_map, key_groups, mix, rolling, tidy
+from .common import arrow_map, key_bits, key_groups, may_hold, mix, rolling, tidy
 from .components import connected
 
 MAX_FREQUENT = 200_000
@@ -547,7 +547,13 @@ def keep_first_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
 
     _, labels = _components(keyed.select(F.col("_node").alias("doc_id"), "text"), width, percent)
     others = labels.where(F.col("node") != F.col("component")).select(F.col("node").alias("_node"))
-    kept = keyed.join(others, "_node", "left_anti")
+    # Most rows are dropped by nobody: their texts are not shuffled to find that out.
+    others = materialize(others, "jaccard-others")
+    bits = key_bits(others, "_node")
+    left = keyed.where(~may_hold(bits, "_node"))
+    kept = left.unionByName(keyed.where(may_hold(bits, "_node")).join(others, "_node", "left_anti"))
     alone, several = kept.where(F.col("_first").isNull()), kept.where(F.col("_first").isNotNull())
+    if repeated.isEmpty():
+        return alone.select(*docs.columns)
     one = several.groupBy("_node").agg(F.min(F.struct(*[F.col(c) for c in docs.columns])).alias("_row")).select("_row.*")
     return alone.select(*docs.columns).unionByName(one)

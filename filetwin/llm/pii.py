@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from ..operators.skew import lookup
 from ..session import materialize
+from .common import key_bits, may_hold
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -45,8 +46,6 @@ _NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 _BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})"
 _WORD = r"[\p{L}\p{N}]+"
 _NO_WORD = r"[^\p{L}\p{N}]+"
-#: Bits of the map of disclosing terms: its size does not grow with them.
-_BITS = 1 << 24
 _SPAN = "array<struct<kind:string,start:bigint,end:bigint,value:string>>"
 
 
@@ -230,24 +229,6 @@ def disclosing_terms(
     return materialize(telling, "pii-telling"), terms
 
 
-def _bits_of(terms: DataFrame) -> DataFrame:
-    """One row, `bits`: a bitmap of fixed size of the terms' hashes, as longs."""
-    place = F.xxhash64("term").bitwiseAND(F.lit(_BITS - 1))
-    one = F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(F.lit(63)).cast("int"))
-    held = terms.groupBy(F.shiftright(place, 6).alias("id")).agg(F.bit_or(one).alias("own"))
-    longs = terms.sparkSession.range(_BITS // 64).join(held, "id", "left")
-    longs = longs.agg(F.array_sort(F.collect_list(F.struct("id", F.coalesce("own", F.lit(0)).alias("own")))).alias("all"))
-    return materialize(longs.select(F.transform("all", lambda x: x["own"]).alias("bits")), "pii-bits")
-
-
-def _may_be(term: Column, bits: Column) -> Column:
-    """Whether the bitmap has the term's hash."""
-    place = F.xxhash64(term).bitwiseAND(F.lit(_BITS - 1))
-    long = F.get(bits, F.shiftright(place, 6).cast("int"))
-    own = F.call_function("shiftright", long, place.bitwiseAND(F.lit(63)).cast("int"))
-    return own.bitwiseAND(F.lit(1)) == 1
-
-
 def _any_of(words: Column) -> Column:
     """A pattern for these words as whole words, null if there are none; words are letters and digits only."""
     return F.when(
@@ -266,7 +247,7 @@ def _with_terms(docs: DataFrame, **thresholds) -> DataFrame:
     telling, counts = disclosing_terms(found, _hits(found), **thresholds)
     words = found.select("_key", F.explode(F.array_distinct(F.split("_text", _NO_WORD))).alias("word"))
     # Most words tell nothing and go no further.
-    words = words.withColumn("term", F.lower("word")).where(_may_be(F.col("term"), _bits_of(telling).scalar()))
+    words = words.withColumn("term", F.lower("word")).where(may_hold(key_bits(telling, "term"), "term"))
     # A term is in as many documents as it likes; `lookup` spreads the frequent ones.
     counts = counts.withColumnRenamed("n_term", "n")
     met = lookup(words, telling, ["term"], spread="_key", counts=counts, measure=False)
@@ -286,7 +267,12 @@ def _with_terms(docs: DataFrame, **thresholds) -> DataFrame:
 
     free = lambda m: ~F.exists("_spans", lambda s: (s["start"] < m["end"]) & (s["end"] > m["start"]))
     terms = F.transform(F.filter(F.concat(occurrences("_removed"), occurrences("_general")), free), term)
-    return found.join(marked, "_key", "left").withColumn("_terms", F.sort_array(terms))
+    # Texts without any such word are not shuffled.
+    bits = key_bits(marked, "_key")
+    without = found.where(~may_hold(bits, "_key")).withColumn("_terms", F.lit(None))
+    met = found.where(may_hold(bits, "_key")).join(marked, "_key", "left").withColumn("_terms", F.sort_array(terms))
+    met = met.drop("_removed", "_general")
+    return met.unionByName(without.withColumn("_terms", F.array().cast(met.schema["_terms"].dataType)))
 
 
 def find_pii(docs: DataFrame, **thresholds) -> DataFrame:
