@@ -1,9 +1,11 @@
+import os
 import random
 from collections import Counter, defaultdict
 
 import pytest
 
 from filetwin.operators import similarity as sim
+from filetwin.operators import skew
 
 from .conftest import rows
 
@@ -241,6 +243,51 @@ def test_equal_signatures_of_different_folders_are_refused(make, monkeypatch):
         sim.duplicate_folders(files, "direct")
 
 
+@pytest.mark.parametrize("scope", ["direct", "subtree"])
+def test_folders_cut_into_parts_equal_brute_force(make, monkeypatch, scope):
+    monkeypatch.setattr(sim, "PART_CONTENTS", 3)
+    monkeypatch.setattr(sim, "SMALL_SHAPE", 4)
+    specs = _random_catalog(5) + [(f"/r0/many/f{i}", dict(hash_value="c03", size=4)) for i in range(9)]
+    _, wanted = _expected_pairs(specs, 40, scope)
+    got = sim.similar_folders(make.files(*specs), 40, scope).collect()
+    assert sum(r.folder_pairs for r in got) == len(wanted)
+
+
+def test_a_seed_that_gives_two_contents_one_key_is_left_out(make, monkeypatch):
+    real, zero = sim.F.xxhash64, sim.F.lit(0).cast("bigint")
+    monkeypatch.setattr(sim, "_content_hash", lambda seed: zero if seed == 0 else real(sim.F.lit(seed), *sim.CONTENT))
+    files = make.files(("/r/a/1", dict(hash_value="x")), ("/r/b/1", dict(hash_value="y")))
+    assert files.select(sim._content_key(files)).distinct().count() == 2
+
+
+def _stored(spark, monkeypatch, run):
+    """Bytes that the steps of `run` write, without broadcast joins."""
+    folders, real = [], sim.materialize
+
+    def kept(df, label):
+        out = real(df, label)
+        folders.append(sum(os.path.getsize(f.removeprefix("file:")) for f in out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(sim, "materialize", kept)
+    monkeypatch.setattr(skew, "materialize", kept)
+    run()
+    return sum(folders)
+
+
+@pytest.mark.parametrize("scope", ["direct", "subtree"])
+def test_written_bytes_per_file_are_bounded(spark, monkeypatch, scope):
+    n = 60_000
+    files = spark.range(n).selectExpr(
+        "concat('/r', id % 4, '/d', id div 4, '/f', id % 4) as path",
+        "concat('/r', id % 4, '/d', id div 16) as folder_path",
+        "concat('/r', id % 4) as root_path",
+        "sha2(cast(cast(xxhash64(id) % 9000 as string) as binary), 256) as hash_value",
+        *["9L as size", "0 as removed", "cast(null as string) as error_status", "1L as mtime"],
+    )
+    assert _stored(spark, monkeypatch, lambda: sim.similar_folders(files, scope=scope).count()) < 150 * n
+
+
 def test_bad_parameters(make):
     files = make.files("/r/a/1")
     with pytest.raises(ValueError):
