@@ -288,6 +288,14 @@ def test_written_bytes_per_file_are_bounded(spark, monkeypatch, scope):
     assert _stored(spark, monkeypatch, lambda: sim.similar_folders(files, scope=scope).count()) < 150 * n
 
 
+@pytest.mark.parametrize("value", ["00ff", "abc", "AB", "", "zz", "\u00e9", None])
+def test_hashes_of_differences_come_back_as_they_were(make, value):
+    files = make.files(("/t/a/1", dict(hash_value=value)), ("/t/a/2", dict(hash_value="x")), ("/t/b/2", dict(hash_value="x")))
+    pairs = files.sparkSession.createDataFrame([("/t/a", "/t/b")], "left_folder string, right_folder string")
+    got = [r.hash_value for r in sim.folder_differences(files, pairs).collect()]
+    assert got == ([] if value is None else [value])
+
+
 def test_bad_parameters(make):
     files = make.files("/r/a/1")
     with pytest.raises(ValueError):
