@@ -23,11 +23,14 @@ SPLIT_NAMES = 100_000
 FILE, FOLDER, NEXT = "file", "folder", "next"
 
 
-def _entries(store, path: str, parent: str | None, part: int, parts: int, hidden: bool, split: int) -> Iterator[tuple]:
+def _entries(
+    store, path: str, parent: str | None, part: int, parts: int, hidden: bool, split: int, tasks: int
+) -> Iterator[tuple]:
     """The folder's own row, its files, and its sub-folders as `next` rows.
 
     A folder of more than `split` names becomes several `next` rows, each for the names of one hash value, whose sizes
-    other tasks look up. An unreadable folder keeps its row with the error; a file that cannot be read is left out.
+    other tasks look up. Each of them reads all names, so there are no more rows than `tasks`. An unreadable folder
+    keeps its row with the error; a file that cannot be read is left out.
     """
     try:
         waiting, names = [], 0
@@ -43,7 +46,7 @@ def _entries(store, path: str, parent: str | None, part: int, parts: int, hidden
                 yield from _rows(waiting, path)
                 waiting = []
         if parts == 1 and names > split:
-            count = -(-names // split)
+            count = min(-(-names // split), max(tasks, 2))
             for k in range(count):
                 yield NEXT, path, parent, None, None, None, k, count
             return
@@ -67,7 +70,7 @@ def _rows(entries: list, path: str) -> Iterator[tuple]:
         yield FILE, entry.path, path, size, mtime, None, 0, 1
 
 
-def _list_folders(handle: Callable, hidden: bool, split: int):
+def _list_folders(handle: Callable, hidden: bool, split: int, tasks: int):
     names = ["kind", "path", "parent_path", "size", "mtime", "error_status", "part", "parts"]
 
     def frame(rows: list[tuple]) -> pd.DataFrame:
@@ -80,7 +83,7 @@ def _list_folders(handle: Callable, hidden: bool, split: int):
         for batch in batches:
             for path, parent, part, parts in batch.itertuples(index=False):
                 store = store or handle(path)
-                for row in _entries(store, path, parent, part, parts, hidden, split):
+                for row in _entries(store, path, parent, part, parts, hidden, split, tasks):
                     rows.append(row)
                     if len(rows) >= BATCH_ROWS:
                         yield frame(rows)
@@ -106,7 +109,8 @@ def walk_tree(
     The tree is listed level by level; the folders of a level are spread over the executors and
     each level is a written table in the shared folder, so a lost executor costs one task and the
     driver never holds names. `root` is a path that all executors see or a URI of a store; tasks list it through the
-    file-system handle that `handle(path)` gives them. A folder with more than `split` names is dealt to several tasks.
+    file-system handle that `handle(path)` gives them. A folder with more than `split` names is dealt to
+    several tasks, to all at most.
     Empty files, empty folders and hidden names are included (`hidden=False` skips names beginning with '.' or '_').
     """
     root = plain_path(root)
@@ -121,7 +125,7 @@ def walk_tree(
         target = f"{out_dir}/level={level}"
         (
             frontier.repartition(tasks if level else 1, "path", "part")
-            .mapInPandas(_list_folders(handle, hidden, split), _LEVEL_SCHEMA)
+            .mapInPandas(_list_folders(handle, hidden, split, tasks), _LEVEL_SCHEMA)
             .write.mode("overwrite")
             .parquet(target)
         )
