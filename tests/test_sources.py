@@ -2,6 +2,7 @@ import hashlib
 import os
 
 import pytest
+from pyspark.sql.classic.dataframe import DataFrame
 from pyspark.sql import functions as F
 
 from filetwin.operators.duplicates import duplicate_sets
@@ -73,6 +74,13 @@ def test_files_are_listed_completely(spark, tree):
     assert globbed == [(f"{tree}/dup/deep/file1_copy.txt",)]
 
 
+def test_a_large_folder_is_read_by_no_more_parts_than_tasks(tmp_path):
+    for k in range(200):
+        (tmp_path / f"f{k}").touch()
+    found = list(listing._entries(listing.store_of(""), str(tmp_path), None, 0, 1, True, 2, 5))
+    assert {row[0] for row in found} == {"next"} and len(found) == 5
+
+
 @pytest.mark.parametrize("split", [1, 3, 7])
 def test_very_large_folders_are_split(spark, tree, split):
     whole = rows(listing.walk_tree(spark, tree))
@@ -349,3 +357,15 @@ def test_rescan_reads_only_what_changed(spark, tree):
         back.write("x")
     third = scan.rescan(spark, scan.Catalog(*[materialize(df, "rescan") for df in second.catalog]), tree, 3000)
     assert third.summary.first().restored == 1 and third.catalog.files.where("removed = 1").count() == 0
+
+
+def test_document_tree_reaches_workers_in_bounded_batches(spark, tmp_path, monkeypatch):
+    """Texts come one by one, never as a whole Arrow batch."""
+    from filetwin.sources import samples
+
+    rows_of = [(k, "x" * 50, "en", "s") for k in range(300)]
+    spark.createDataFrame(rows_of, samples.COLUMNS["documents"]).write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(DataFrame, "mapInPandas", lambda *_: pytest.fail("a whole batch of texts"))
+    top = samples.document_tree(spark, str(tmp_path))
+    sizes = [os.path.getsize(os.path.join(at, name)) for at, _, names in os.walk(top) for name in names]
+    assert sorted(sizes) == [0] * 34 + [51] * 266
