@@ -32,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -44,6 +45,7 @@ MAX_WALKS = 48
 POSITIONS = 2
 _PAD = np.uint64(0x51ED270B2C1C6D5B)
 _CHUNK = 256
+_SLICE_BYTES = 1 << 20
 
 
 def clean_word(word: str) -> str:
@@ -58,7 +60,7 @@ class Cleaned(dict):
     """Raw word to the hash of its clean form; 0 when nothing is left of it."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) >= 300_000:
+        if len(self) >= 100_000:
             self.clear()
         plain = clean_word(word)
         value = self[word] = _hash(plain) or 1 if plain else 0
@@ -280,6 +282,18 @@ def _runs(words: np.ndarray, q: int) -> np.ndarray:
     return out
 
 
+def _matches(block: Block, cleaned: Cleaned, texts: pa.Array) -> Iterator[tuple[int, int, int, int, int]]:
+    """`block.matches` over all texts, those of about _SLICE_BYTES at a time (or one): what is held does not grow with a batch."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    begin = 0
+    while begin < len(texts):
+        before = ends[begin - 1] if begin else 0
+        end = max(begin + 1, int(np.searchsorted(ends, before + _SLICE_BYTES, "right")))
+        for d, *rest in block.matches([cleaned.of(t) for t in texts.slice(begin, end - begin).to_pylist()]):
+            yield begin + d, *rest
+        begin = end
+
+
 def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
     """The items in blocks of at most BLOCK_ITEMS items and BLOCK_CHARS characters (or one item)."""
     rows, chars = [], 0
@@ -311,7 +325,7 @@ def find_leaks(
 
             def step(batch: pa.RecordBatch) -> pa.RecordBatch:
                 ids = batch.column(0).to_pylist()
-                out = list(block.value.matches([cleaned.of(t) for t in batch.column(1).to_pylist()]))
+                out = list(_matches(block.value, cleaned, batch.column(1)))
                 kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
                 columns = list(zip(*((ids[d], *rest) for d, *rest in out), strict=True)) or [[]] * 5
                 names = ("doc_id", "item_id", "item_words", "edits", "first_word")
@@ -339,9 +353,8 @@ def drop_leaks(
             cleaned = Cleaned()
 
             def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-                texts = batch.column(place).to_pylist()
-                bad = {d for d, *_ in block.value.matches([cleaned.of(t) for t in texts])}
-                return batch.filter(pa.array([d not in bad for d in range(len(texts))], pa.bool_()))
+                bad = {d for d, *_ in _matches(block.value, cleaned, batch.column(place))}
+                return batch.filter(pa.array([d not in bad for d in range(batch.num_rows)], pa.bool_()))
 
             return step
 

@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pytest
 
+from filetwin.llm import decontaminate
 from filetwin.llm.decontaminate import Block, Cleaned, MAX_WALKS, drop_leaks, edits_allowed, find_leaks
 
 
@@ -78,3 +79,18 @@ def test_odd_inputs(spark):
     kept = drop_leaks(docs, bench)
     assert kept.columns == docs.columns and [r.doc_id for r in kept.collect()] == [3]
     assert find_leaks(docs.limit(0), bench).collect() == [] and find_leaks(docs, bench.limit(0)).collect() == []
+
+
+def test_texts_are_searched_a_slice_at_a_time(monkeypatch):
+    """However many texts a batch has, no more of them are held at once than a slice has."""
+    import pyarrow as pa
+
+    held = []
+    real = decontaminate.Block.matches
+    monkeypatch.setattr(decontaminate, "_SLICE_BYTES", 60)
+    monkeypatch.setattr(decontaminate.Block, "matches", lambda self, docs: held.append(len(docs)) or real(self, docs))
+    block = decontaminate.Block([(1, "one two three four five six")], 0.8, 0.95, 1)
+    texts = ["no", None, "", "x " * 50, "a one two three four five six b"] * 40
+    found = list(decontaminate._matches(block, decontaminate.Cleaned(), pa.array(texts)))
+    assert [d for d, *_ in found] == list(range(4, 200, 5))
+    assert sum(held) == 200 and max(held) < 6
