@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from ..operators.skew import lookup
 from ..session import materialize
-from .common import arrow_map, key_bits, key_groups, may_hold, mix, rolling, tidy
+from .common import arrow_map, arrow_runs, key_bits, key_groups, may_hold, mix, rolling
 from .components import connected
 
 MAX_FREQUENT = 200_000
@@ -153,7 +153,7 @@ def _frequent(docs: DataFrame, width: int) -> np.ndarray:
         if held:
             yield counts()
 
-    local = docs.select("text").mapInArrow(tidy(run), "token long, n long")
+    local = arrow_runs(docs.select("text"), run, "token long, n long")
     top = (
         local.groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= _FREQUENT)
         .orderBy(F.desc("n"), "token").limit(MAX_FREQUENT)
@@ -255,7 +255,7 @@ def _prepared(docs: DataFrame, width: int, percent: int) -> DataFrame:
     source = docs.select(F.col("doc_id").cast("long"), "text")
     schema = f"key long, doc_id long, band int, doc {_DOC}"
     dealt = arrow_map(source, make, schema).repartition("key").sortWithinPartitions("key")
-    return materialize(dealt.mapInArrow(tidy(shared), schema), "jaccard-sets")
+    return materialize(arrow_runs(dealt, shared, schema), "jaccard-sets")
 
 
 def _members(prepared: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
@@ -357,7 +357,7 @@ def _linked(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Dat
             if any(similar(x, y) for x in of_a for y in of_b):
                 yield pa.RecordBatch.from_pydict({"a": pa.array([a], pa.int64()), "b": pa.array([b], pa.int64())})
 
-    return materialize(met.mapInArrow(tidy(run), "a long, b long"), "jaccard-links")
+    return materialize(arrow_runs(met, run, "a long, b long"), "jaccard-links")
 
 
 def _leftover_pairs(members: DataFrame, labels: DataFrame, nodes: DataFrame, percent: int, few: int | None):
@@ -458,7 +458,7 @@ def _leftover_pairs(members: DataFrame, labels: DataFrame, nodes: DataFrame, per
                     [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["a", "b", "token", "more"]
                 )
 
-    return rows.mapInArrow(tidy(run), "a long, b long, token long, more boolean")
+    return arrow_runs(rows, run, "a long, b long, token long, more boolean")
 
 
 def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:

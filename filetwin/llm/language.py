@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import arrow_map, tidy
+from .common import arrow_map, arrow_runs
 
 DIMS = 1 << 16
 _BLANK = 32
@@ -115,7 +115,7 @@ def _frequencies(training: DataFrame) -> np.ndarray:
         seen = np.flatnonzero(totals)
         yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(totals[seen])], ["feature", "n"])
 
-    parts = training.select("text").mapInArrow(tidy(run), "feature int, n long")
+    parts = arrow_runs(training.select("text"), run, "feature int, n long")
     totals = np.zeros(DIMS + 1, np.int64)
     for feature, n in parts.groupBy("feature").agg(F.sum("n")).collect():  # at most DIMS + 1 rows
         totals[feature] = n

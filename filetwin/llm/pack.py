@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import tidy
+from .common import arrow_runs
 
 TIERS = (128, 256, 512, 1024)
 BLOCK_TOKENS = 8_000_000
@@ -214,4 +214,4 @@ def pack(
         if block:
             yield flush()
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(run), SCHEMA)
+    return arrow_runs(docs.select(F.col("doc_id").cast("long"), "text"), run, SCHEMA)

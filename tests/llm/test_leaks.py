@@ -3,11 +3,16 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from filetwin.llm import decontaminate
+from filetwin.llm.common import BATCH_BYTES, arrow_map
 from filetwin.llm.decontaminate import Block, Cleaned, MAX_WALKS, drop_leaks, edits_allowed, find_leaks
 
+BATCHES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 
 def _word(dice):
     return "".join(dice.choice("abcdefghij") for _ in range(6))
@@ -94,3 +99,16 @@ def test_texts_are_searched_a_slice_at_a_time(monkeypatch):
     found = list(decontaminate._matches(block, decontaminate.Cleaned(), pa.array(texts)))
     assert [d for d, *_ in found] == list(range(4, 200, 5))
     assert sum(held) == 200 and max(held) < 6
+
+
+def test_texts_come_in_batches_of_bounded_bytes(spark):
+    """However many texts a task has, it takes some megabytes at a time."""
+    spark.conf.unset(BATCHES)
+    docs = spark.range(0, 3000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 2000).alias("text"))
+    sizes = arrow_map(docs, lambda: lambda b: pa.RecordBatch.from_pydict({"n": [b.num_rows], "size": [b.nbytes]}), "n long, size long")
+    found = sizes.collect()
+    assert sum(r.n for r in found) == 3000 and max(r.size for r in found) < 2 * BATCH_BYTES
+    spark.conf.set(BATCHES, "100k")  # a lower bound is left alone
+    assert drop_leaks(docs, spark.createDataFrame([(1, "no such words anywhere here")], "item_id long, text string")).count() == 3000
+    assert spark.conf.get(BATCHES) == "100k"
+    spark.conf.unset(BATCHES)
