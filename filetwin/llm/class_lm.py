@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import discard, materialize
 from .common import arrow_map, ascii_lower, mix, words_of
 from .superkmers import whole_keys
 
@@ -415,12 +415,19 @@ def cluster(
         vectors = _vectors(bigrams, table, known, total)
         pairs = _class_pairs(vectors, total)
         value = _f(pairs).sum() - 2 * _f(pairs.sum(axis=1)).sum()
-        if turn > 1 and value <= kept[0]:
+        worse = turn > 1 and value <= kept[0]
+        if worse or turn == ROUNDS or share < SETTLED:
+            discard(vectors)
+            if worse:
+                discard(table)
+            else:
+                kept = (value, table, known, pairs)
             break
+        if kept:  # the rounds before are not gone back to: their tables would add up
+            discard(kept[1])
         kept = (value, table, known, pairs)
-        if turn == ROUNDS or share < SETTLED:
-            break
         table = _moved(vectors, pairs, shapes, classes, turn)
+        discard(vectors)
         moved, n = table.agg(F.sum(F.when(F.col("moved"), F.col("n")).otherwise(0)), F.sum("n")).first()
         share = moved / max(1, n) if turn else 1.0
     left = np.append(np.arange(classes), total - 1)  # no word has a shape for its class any more

@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from filetwin import session
 from filetwin.llm import class_lm, jaccard, pii, queries, suffix_array
 from filetwin.llm.class_lm import score_texts
 from filetwin.llm.common import crc_mod
@@ -288,6 +289,20 @@ def test_exchange_reaches_words_beyond_the_head_and_the_dictionary(spark, monkey
     assert all(r.perplexity < 150 for r in found)
 
 
+def test_rounds_leave_one_table_behind(spark, monkeypatch, tmp_path):
+    made = []
+    monkeypatch.setattr(session, "shared_dir", lambda _: str(tmp_path))
+    monkeypatch.setattr(class_lm, "materialize", lambda df, label: made.append(label) or session.materialize(df, label))
+    dice = random.Random(9)
+    rows = [(k, " ".join(dice.choice("abcdefghijklmnop") * dice.randint(1, 3) for _ in range(40))) for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert score_texts(docs, F.col("doc_id") % 7 == 2, head=5, classes=3).count() == 60
+    left = Counter(path.name.rsplit("-", 1)[0] for path in tmp_path.iterdir())
+    # The classes that stay, and those of the round before if the last one had too few moves or was the last.
+    assert made.count("lm-vectors") > 2 and left["lm-vectors"] == 0 and left["lm-classes"] <= 2
+    assert left["lm-counts"] == left["lm-bigrams"] == left["lm-scored"] == 1
+
+
 def test_gains_are_differences_of_the_likelihood():
     dice = np.random.default_rng(2)
     counts, of = dice.integers(0, 4, (12, 12)), dice.integers(0, 3, 12)
