@@ -30,12 +30,12 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(values[: len(values) - rest], values[rest:]) if rest else values
 
 
-def segments(hashes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First window, number of windows and minimiser of each segment, for windows of `width` hashes."""
+def segments(hashes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First window, number of windows, minimiser and its place of each segment, for windows of `width` hashes."""
     count = len(hashes) - width + 1
     if count < 1:
         none = np.zeros(0, np.int64)
-        return none, none, none.astype(np.uint64)
+        return none, none, none.astype(np.uint64), none
     parts = []
     for begin in range(0, count, _CHUNK):
         part = hashes[begin : begin + _CHUNK + width - 1]
@@ -44,7 +44,8 @@ def segments(hashes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np
     place = np.concatenate(parts)
     starts = np.concatenate(([0], np.flatnonzero(place[1:] != place[:-1]) + 1))
     counts = np.diff(np.concatenate((starts, [count])))
-    return starts, counts, hashes[place[starts]] >> np.uint64(20)
+    place = place[starts]
+    return starts, counts, hashes[place] >> np.uint64(20), place
 
 
 def repeated_minimisers(docs: DataFrame, cut: Callable, repeated: Column) -> np.ndarray:

@@ -44,7 +44,7 @@ def _cutter(width: int):
             if len(words) < width:
                 none = np.zeros(0, np.int64)
                 return none, none, none.astype(np.uint64), words
-            return *segments(rolling(words, RUN), width - RUN + 1), words
+            return *segments(rolling(words, RUN), width - RUN + 1)[:3], words
 
         return of
 
