@@ -11,7 +11,7 @@ are fewer). Documents link when |A and B| / |A or B| >= percent / 100, computed
    without near copies mostly keeps none. A tile is a shingle that is left and a size band: sizes that may
    link differ by one band at most.
 3. Hubs. Each member of a tile is paired with the smallest id of its band and of the band below, so a group
-   of N near copies gives some N pairs, not N squared. The most promising pair of each member is settled
+   of N near copies gives some N pairs, not N squared. Members are sorted by shingle once, and pairs are read off that order. The most promising pair of each member is settled
    first. What links is one component from now on; other pairs are settled if their ends are still apart.
 4. Leftovers. Tiles with members of several components are cut into blocks of at most BLOCK members and
    pairs of blocks are dealt out; members of different components are compared by bitmap. Of two components
@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.skew import lookup
-from ..session import materialize
+from ..session import discard, materialize
 from .common import arrow_map, arrow_runs, key_bits, key_groups, may_hold, mix, rolling
 from .components import connected
 
@@ -259,9 +259,9 @@ def _prepared(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
 
 def _members(prepared: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
-    """The tiles' members: `token`, `doc_id`, `band`."""
+    """The tiles' members, a row for the `tokens` of one `doc_id` and `band`: a list takes half the room of a row for each."""
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(100 / percent)) + 1e-9) if percent < 100 else F.col("n")
-    sure = rows.where(F.size("sure") > 0).select(F.explode("sure").alias("token"), "doc_id", band.cast("int").alias("band"))
+    sure = rows.where(F.size("sure") > 0).select(F.col("sure").alias("tokens"), "doc_id", band.cast("int").alias("band"))
     postings = prepared.where(F.col("band").isNotNull()).select(F.col("key").alias("token"), "doc_id", "band")
     # Rows that share a `doc_id` can't be told apart here; their surplus stays, which is never wrong.
     spare = (
@@ -272,11 +272,43 @@ def _members(prepared: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     kept = F.slice(F.sort_array("tokens"), F.lit(1), F.greatest(F.lit(0), F.size("tokens") - F.col("spare")).cast("int"))
     return (
         postings.groupBy("doc_id", "band").agg(F.collect_set("token").alias("tokens"))
-        .join(spare, "doc_id").select(F.explode(kept).alias("token"), "doc_id", "band")
+        .join(spare, "doc_id").select(kept.alias("tokens"), "doc_id", "band").where(F.size("tokens") > 0)
         .unionByName(sure)
     )
 
 
+def _hub_pairs(sets: DataFrame) -> DataFrame:
+    """Each member with the smallest id of its tile's band, and of the band below: `a`, `b`, other than itself."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple | None = None  # token, band and hub of the last run of rows, whether there is a band below, its hub
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            token, band, doc = (batch.column(c).to_numpy() for c in ("token", "band", "doc_id"))
+            new = np.concatenate(([True], (token[1:] != token[:-1]) | (band[1:] != band[:-1])))
+            t, b, hub = token[new], band[new], doc[new].copy()
+            has, below = np.zeros(len(t), bool), np.zeros(len(t), np.int64)
+            if last and last[0] == t[0] and last[1] == b[0]:
+                hub[0], has[0], below[0] = last[2:]
+            elif last and last[0] == t[0] and last[1] == b[0] - 1:
+                has[0], below[0] = True, last[2]
+            has[1:] = (t[1:] == t[:-1]) & (b[1:] == b[:-1] + 1)
+            below[1:] = hub[:-1]
+            last = (t[-1], b[-1], hub[-1], has[-1], below[-1])
+            run_of = np.cumsum(new) - 1
+            lower = has[run_of]
+            x = np.concatenate((hub[run_of], below[run_of][lower]))
+            y = np.concatenate((doc, doc[lower]))
+            other = x != y
+            x, y = x[other], y[other]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+
+    rows = sets.select(F.explode("tokens").alias("token"), "doc_id", "band")
+    rows = rows.repartition("token").sortWithinPartitions("token", "band", "doc_id")
+    return arrow_runs(rows, run, "a long, b long").distinct()
+
+
 def _passing(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Pairs whose bitmaps allow a link."""
     side = lambda end: nodes.select(
@@ -360,19 +392,22 @@ def _linked(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Dat
     return materialize(arrow_runs(met, run, "a long, b long"), "jaccard-links")
 
 
-def _leftover_pairs(members: DataFrame, labels: DataFrame, nodes: DataFrame, percent: int, few: int | None):
+def _leftover_pairs(sets: DataFrame, labels: DataFrame, nodes: DataFrame, percent: int, few: int | None):
     """Pairs of different components in one tile that their bitmaps allow: `a`, `b`, `token`, `more`.
 
     Where two components of a tile have more than `few` such pairs, only the most promising one is given,
     with `more` set.
     """
-    labelled = members.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
-        "token", "doc_id", F.coalesce("component", "doc_id").alias("component"), "band"
-    )
-    # Most shingles have members of one component only, and are done with.
+    own_component = F.coalesce("component", "doc_id").alias("component")
+    labelled_sets = sets.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    labelled_sets = materialize(labelled_sets.select("tokens", "doc_id", own_component, "band"), "jaccard-labelled")
+    labelled = labelled_sets.select(F.explode("tokens").alias("token"), "doc_id", "component", "band")
+    # Most shingles have members of one component only, and are done with: only the others' rows are shuffled.
     ends = labelled.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    open_tokens = ends.where(F.col("low") != F.col("high")).select("token")
-    labelled = materialize(labelled.join(open_tokens, "token", "left_semi"), "jaccard-open")
+    open_tokens = materialize(ends.where(F.col("low") != F.col("high")).select("token"), "jaccard-open-tokens")
+    near_open = labelled.where(may_hold(key_bits(open_tokens, "token"), "token"))
+    labelled = materialize(near_open.join(open_tokens, "token", "left_semi"), "jaccard-open")
+    discard(labelled_sets)
     # A tile of a band holds the band's own members and, to compare with them, those of the band below.
     labelled = labelled.withColumn("tile", F.explode(F.array("band", F.col("band") + 1)))
     mark = F.xxhash64("doc_id", "band")
@@ -474,16 +509,9 @@ def _components(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, D
     rows = prepared.where(F.col("doc").isNotNull()).select("doc_id", "doc.*")
     nodes = rows.where(F.col("marks").isNotNull()).select("doc_id", "n", "marks")
     ties = rows.where(F.col("tied_to").isNotNull()).select(F.col("doc_id").alias("a"), F.col("tied_to").alias("b"))
-    members = materialize(_members(prepared, rows, percent), "jaccard-members")
-
-    hubs = members.groupBy("token", "band").agg(F.min("doc_id").alias("hub"))
-    pairs = (
-        members.select("token", "doc_id", F.explode(F.array("band", F.col("band") - 1)).alias("band"))
-        .join(hubs, ["token", "band"])
-        .where(F.col("hub") != F.col("doc_id"))
-        .select(F.least("hub", "doc_id").alias("a"), F.greatest("hub", "doc_id").alias("b"))
-        .distinct()
-    )
+    sets = materialize(_members(prepared, rows, percent), "jaccard-members")
+
+    pairs = _hub_pairs(sets)
     checked = materialize(_passing(pairs, nodes, percent), "jaccard-pairs")
     texts = _Texts(docs, nodes)
     held = texts.of(checked)
@@ -496,7 +524,7 @@ def _components(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, D
     edges, labels = _joined_by(others, held, edges, labels, width, percent)
 
     for few in (FEW, None):
-        left = materialize(_leftover_pairs(members, labels, nodes, percent, few), "jaccard-pairs")
+        left = materialize(_leftover_pairs(sets, labels, nodes, percent, few), "jaccard-pairs")
         new = left.select("a", "b").distinct().join(checked.select("a", "b"), ["a", "b"], "left_anti")
         new = materialize(new, "jaccard-pairs")
         checked = checked.select("a", "b").unionByName(new)
@@ -505,7 +533,8 @@ def _components(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, D
         again = left.where("more").select("token").distinct()
         if again.isEmpty():
             break
-        members = members.join(again, "token", "left_semi")
+        held_back = sets.select(F.explode("tokens").alias("token"), "doc_id", "band").join(again, "token", "left_semi")
+        sets = held_back.groupBy("doc_id", "band").agg(F.collect_list("token").alias("tokens"))
     return rows, labels
 
 
