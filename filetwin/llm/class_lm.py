@@ -28,6 +28,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -38,17 +39,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import discard, materialize
-from .common import arrow_map, ascii_lower, mix, words_of
-from .superkmers import whole_keys
+from .common import arrow_runs, mix
 
 DICTIONARY = 200_000
 SHAPES = 12
 ROUNDS = 8
 SETTLED = 0.01
-_FLUSH = 500_000
+_FLUSH = 300_000
 _LINE = 2_000_000
-_CELLS = 1 << 25
-_KIND = (1 << 16) - 1
+_BLOCK = 1_000_000  # words of texts that are scored together
+_BUCKET = 150_000  # tokens of words beyond the dictionary in a bucket
+_RUN = 4096  # words of the dictionary in a bucket
+_RARE = (1 << 24) - 1
+_ROWS = "bucket long, kind int, parts array<binary>"
+# Of a bucket's words beyond the dictionary: word, class, count; per neighbour the word's place, side (1: left), neighbour, count.
+_STATE = (np.int64, np.int16, np.int64, np.int32, np.uint8, np.int64, np.int32)
 
 
 def shape(word: str) -> int:
@@ -58,82 +63,208 @@ def shape(word: str) -> int:
     return size * 4 + kind
 
 
+def _words(batch: pa.RecordBatch) -> list[list[bytes]]:
+    """The lower-cased words of each text; splitting bytes leaves Unicode's other white space inside words."""
+    return [text.lower().split() if text else [] for text in batch.column("text").cast(pa.binary()).to_pylist()]
+
+
 def _counts(training: DataFrame) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter[str] = Counter()
+        held: Counter[bytes] = Counter()
 
         def flush() -> pa.RecordBatch:
-            lowered: Counter[str] = Counter()
-            for word, n in held.items():
-                lowered[ascii_lower(word)] += n
+            columns = [pa.array(list(held), pa.binary()).cast(pa.string()), pa.array(list(held.values()), pa.int64())]
             held.clear()
-            return pa.RecordBatch.from_arrays(
-                [pa.array(list(lowered), pa.string()), pa.array(list(lowered.values()), pa.int64())], ["word", "n"]
-            )
+            return pa.RecordBatch.from_arrays(columns, ["word", "n"])
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                held.update(words_of(text))
+            for words in _words(batch):
+                held.update(words)
                 if len(held) >= _FLUSH:
                     yield flush()
         if held:
             yield flush()
 
-    return training.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return arrow_runs(training.select("text"), run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def rare_id(word: str) -> int:
+def rare_id(word: bytes) -> int:
     """A negative id for a lower-cased word beyond the dictionary; the last four bits are its shape."""
-    value = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
-    return ((value | 1 << 63) & ~15 | shape(word)) - (1 << 64)
+    return ((xxhash.xxh64_intdigest(word) | 1 << 63) & ~15 | shape(word.decode())) - (1 << 64)
 
 
 class Ids(dict):
-    """Word to its rank in the dictionary, or to a negative id."""
+    """Lower-cased word to its rank in the dictionary, or to a negative id."""
 
-    def __init__(self, ranks: dict[str, int]) -> None:
+    def __init__(self, ranks: dict[bytes, int]) -> None:
         super().__init__()
         self.ranks = ranks
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: bytes) -> int:
         if len(self) >= _FLUSH:
             self.clear()
-        low = ascii_lower(word)
-        rank = self.ranks.get(low)
-        value = self[word] = rare_id(low) if rank is None else rank
+        rank = self.ranks.get(word)
+        value = self[word] = rare_id(word) if rank is None else rank
         return value
 
-    def of(self, words: list[str]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+    def of(self, words: Iterable[bytes], count: int) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.int64, count)
 
 
-def _bigrams(training: DataFrame, ranks) -> DataFrame:
-    """Bigrams (`a`, `b`, `n`) by id, counted within tasks only; the end's id is the dictionary's size."""
+def _binaries(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    places = pa.py_buffer((offsets * values.itemsize).astype(np.int32))
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, places, pa.py_buffer(np.ascontiguousarray(values))])
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, end = Ids(ranks.value), np.array([len(ranks.value)])
-        held, n = [end], 0
-
-        def counted() -> pa.RecordBatch:
-            line = np.concatenate(held)
-            order = np.lexsort((line[1:], line[:-1]))
-            a, b = line[:-1][order], line[1:][order]
-            first = np.concatenate(([0], np.flatnonzero((a[1:] != a[:-1]) | (b[1:] != b[:-1])) + 1))
-            counts = np.diff(np.concatenate((first, [len(a)])))
-            held[:] = [line[-1:]]
-            return pa.RecordBatch.from_arrays([pa.array(a[first]), pa.array(b[first]), pa.array(counts)], ["a", "b", "n"])
 
+def _encoded(docs: DataFrame, ranks) -> DataFrame:
+    """Per text its ids: three bytes a word in `low` and `high`, and the negative ids in `rare`; `block` is a run of texts."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, first, filled = Ids(ranks.value), TaskContext.get().partitionId() << 32, 0
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                held += [ids.of(words_of(text)), end]
-                n += len(held[-2]) + 1
-                if n >= _LINE:
-                    yield counted()
-                    n = 0
-        if n:
-            yield counted()
+            lists = _words(batch)
+            lengths = np.fromiter(map(len, lists), np.int64, len(lists))
+            offsets = np.concatenate(([0], np.cumsum(lengths)))
+            words = ids.of(chain.from_iterable(lists), int(offsets[-1]))
+            beyond = words < 0
+            rare_offsets = np.concatenate(([0], np.cumsum(beyond)))[offsets]
+            places = np.where(beyond, _RARE, words)
+            ends = filled + np.cumsum(lengths + 1)
+            blocks = first + (ends - lengths - 1) // _BLOCK
+            filled = int(ends[-1]) if len(ends) else filled
+            columns = [
+                pa.array(blocks),
+                _binaries((places & 0xFFFF).astype("<u2"), offsets),
+                _binaries((places >> 16).astype(np.uint8), offsets),
+                _binaries(words[beyond], rare_offsets),
+            ]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(c) for c in ("doc_id", "held_out", "trains")] + columns,
+                ["doc_id", "held_out", "trains", "block", "low", "high", "rare"],
+            )
+
+    kinds = "doc_id long, held_out boolean, trains boolean, block long, low binary, high binary, rare binary"
+    return materialize(arrow_runs(docs.select("doc_id", "held_out", "trains", "text"), run, kinds), "lm-ids")
+
+
+def _line(low: list[bytes], high: list[bytes], rare: list[bytes], end: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of texts with the end before, between and behind them, and the number of words of each."""
+    lengths = np.fromiter(map(len, high), np.int64, len(high))
+    words = np.frombuffer(b"".join(low), "<u2").astype(np.int64) | np.frombuffer(b"".join(high), np.uint8).astype(np.int64) << 16
+    words[words == _RARE] = np.frombuffer(b"".join(rare), np.int64)
+    line = np.full(len(words) + len(lengths) + 1, end, np.int64)
+    line[np.arange(len(words)) + np.repeat(np.arange(len(lengths)) + 1, lengths)] = words
+    return line, lengths
+
+
+def _lines(batches: Iterable[pa.RecordBatch], end: int) -> Iterator[np.ndarray]:
+    """Lines of about _LINE ids; each starts and stops with an end."""
+    held: list[list[list[bytes]]] = []
+    size = 0
+    for batch in batches:
+        held.append([batch.column(c).to_pylist() for c in ("low", "high", "rare")])
+        size += sum(map(len, held[-1][1])) + len(held[-1][1])
+        if size >= _LINE:
+            yield _line(*(list(chain.from_iterable(c)) for c in zip(*held, strict=True)), end)[0]
+            held, size = [], 0
+    if size:
+        yield _line(*(list(chain.from_iterable(c)) for c in zip(*held, strict=True)), end)[0]
+
+
+def _blobs(rows: list[tuple[int, int, list[np.ndarray]]]) -> pa.RecordBatch:
+    """Rows of arrays for a bucket: many words travel in one row."""
+    parts = pa.array([[np.ascontiguousarray(x).tobytes() for x in r[2]] for r in rows], pa.list_(pa.binary()))
+    return pa.RecordBatch.from_arrays(
+        [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), parts], ["bucket", "kind", "parts"]
+    )
+
+
+def _by_bucket(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple[int, list[bytes]]]]]:
+    """The rows of each bucket, of batches sorted by it."""
+    held: list[tuple[int, list[bytes]]] = []
+    now = None
+    for batch in batches:
+        for bucket, kind, parts in zip(*(batch.column(c).to_pylist() for c in ("bucket", "kind", "parts")), strict=True):
+            if held and bucket != now:
+                yield now, held
+                held = []
+            now = bucket
+            held.append((kind, parts))
+    if held:
+        yield now, held
+
+
+def _grouped(rows: DataFrame) -> DataFrame:
+    return rows.repartition("bucket").sortWithinPartitions("bucket")
 
-    return training.select("text").mapInArrow(run, "a long, b long, n long")
+
+def _bucket(word: np.ndarray, buckets: int) -> np.ndarray:
+    return (mix(word.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+
+
+def _split(word: np.ndarray, buckets: int, columns: list[np.ndarray], kind: int) -> Iterator[pa.RecordBatch]:
+    """A row for each bucket of `word`, holding its part of the columns."""
+    bucket = _bucket(word, buckets)
+    order = np.argsort(bucket, kind="stable")
+    bucket, columns = bucket[order], [c[order] for c in columns]
+    starts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
+    stops = np.append(starts[1:], len(bucket))
+    rows = [(int(bucket[i]), kind, [c[i:j] for c in columns]) for i, j in zip(starts, stops, strict=True)]
+    for begin in range(0, len(rows), 256):
+        yield _blobs(rows[begin : begin + 256])
+
+
+def _arrays(parts: list[bytes], kinds: tuple) -> list[np.ndarray]:
+    return [np.frombuffer(p, k) for p, k in zip(parts, kinds, strict=True)]
+
+
+def _bigrams(ids: DataFrame, size: int) -> DataFrame:
+    """Bigrams (a, b, n) of the dictionary's words and the end, whose id is `size`; counted within lines only."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for line in _lines(batches, size):
+            a, b = line[:-1], line[1:]
+            keys = np.sort((a * (size + 1) + b)[(a >= 0) & (b >= 0)])
+            first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
+            counts = np.diff(np.append(first, len(keys))).astype(np.int32)
+            keys = keys[first]
+            for begin in range(0, len(keys), _FLUSH):
+                part = slice(begin, begin + _FLUSH)
+                pair = [(keys[part] // (size + 1)).astype(np.int32), (keys[part] % (size + 1)).astype(np.int32)]
+                yield _blobs([(0, 0, [*pair, counts[part]])])
+
+    return materialize(arrow_runs(ids.where("trains").select("low", "high", "rare"), run, _ROWS), "lm-bigrams")
+
+
+def _near(ids: DataFrame, size: int, classes: int, buckets: int) -> DataFrame:
+    """The words beyond the dictionary by bucket, with their counts, first classes and neighbours (_STATE)."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for line in _lines(batches, size):
+            a, b = line[:-1], line[1:]
+            right, left = a < 0, b < 0
+            word = np.concatenate((a[right], b[left]))
+            if len(word):
+                side = np.concatenate((np.zeros(right.sum(), np.uint8), np.ones(left.sum(), np.uint8)))
+                yield from _split(word, buckets, [word, side, np.concatenate((b[right], a[left]))], 0)
+
+    def merge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, rows in _by_bucket(batches):
+            found = [_arrays(parts, (np.int64, np.uint8, np.int64)) for _, parts in rows]
+            word, side, near = (np.concatenate(c) for c in zip(*found, strict=True))
+            order = np.lexsort((near, side, word))
+            word, side, near = word[order], side[order], near[order]
+            new = (word[1:] != word[:-1]) | (side[1:] != side[:-1]) | (near[1:] != near[:-1])
+            first = np.flatnonzero(np.concatenate(([True], new)))
+            n = np.diff(np.append(first, len(word))).astype(np.int32)
+            word, side, near = word[first], side[first], near[first]
+            words, of = np.unique(word, return_inverse=True)
+            count = np.bincount(of, np.where(side == 0, n, 0), len(words)).astype(np.int64)
+            number = (classes + (words & 15)).astype(np.int16)
+            yield _blobs([(bucket, 1, [words, number, count, of.astype(np.int32), side, near, n])])
+
+    rows = arrow_runs(ids.where("trains").select("low", "high", "rare"), run, _ROWS)
+    return materialize(arrow_runs(_grouped(rows), merge, _ROWS), "lm-near")
 
 
 def exchange(bigrams: np.ndarray, head: int, classes: int) -> np.ndarray:
@@ -183,7 +314,7 @@ def exchange(bigrams: np.ndarray, head: int, classes: int) -> np.ndarray:
     return of
 
 
-def _start(bigrams: DataFrame, shapes, head: int, classes: int) -> np.ndarray:
+def _start(bigrams: DataFrame, near: DataFrame, shapes, head: int, classes: int) -> np.ndarray:
     """The classes of the `head` most frequent words, exchanged among themselves."""
     size = head + SHAPES + 1
 
@@ -191,9 +322,17 @@ def _start(bigrams: DataFrame, shapes, head: int, classes: int) -> np.ndarray:
         symbol = np.concatenate((np.arange(head), head + shapes.value[head:], [size - 1])).astype(np.int64)
         of = lambda ids: np.where(ids < 0, head + (ids & 15), symbol[np.maximum(ids, 0)])
         totals = np.zeros(size * size, np.int64)
-        for batch in batches:
-            a, b, n = (c.to_numpy() for c in batch.columns)
-            np.add.at(totals, of(a) * size + of(b), n)
+        for _, rows in _by_bucket(batches):
+            for kind, parts in rows:
+                if kind == 0:
+                    a, b, n = _arrays(parts, (np.int32,) * 3)
+                    np.add.at(totals, of(a.astype(np.int64)) * size + of(b.astype(np.int64)), n)
+                    continue
+                words, _, _, at, side, other, n = _arrays(parts, _STATE)
+                own, right = words[at], side == 0
+                left = ~right & (other >= 0)  # two words beyond the dictionary count once
+                np.add.at(totals, of(own[right]) * size + of(other[right]), n[right])
+                np.add.at(totals, of(other[left]) * size + of(own[left]), n[left])
         found = np.flatnonzero(totals)
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in (found // size, found % size, totals[found])], ["a", "b", "n"])
 
@@ -203,116 +342,126 @@ def _start(bigrams: DataFrame, shapes, head: int, classes: int) -> np.ndarray:
         return pd.DataFrame({"symbol": np.arange(size), "class": exchange(table, head, classes)})
 
     # One bounded group, as a start for all words: size squared counts, however large the corpus.
-    rows = bigrams.mapInArrow(count, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    rows = arrow_runs(bigrams.unionByName(near), count, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
     of = np.arange(size)
     for symbol, number in rows.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(run, "symbol int, class int").collect():
         of[symbol] = number
     return of[:head]
 
 
-def _packed(word: np.ndarray, kind: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    """A row for each word: its cells, each a count above the 16 bits of the cell's kind."""
-    order = np.lexsort((kind, word))
-    word, kind, n = word[order], kind[order], n[order]
-    first = np.flatnonzero(np.concatenate(([True], (word[1:] != word[:-1]) | (kind[1:] != kind[:-1]))))
-    word, cells = word[first], np.add.reduceat(n, first) << 16 | kind[first]
-    row = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
-    lists = pa.ListArray.from_arrays(pa.array(np.concatenate((row, [len(word)])), pa.int32()), pa.array(cells))
-    return pa.RecordBatch.from_arrays([pa.array(word[row]), lists], ["word", "cells"])
-
+def _vectors(bigrams: DataFrame, state: DataFrame, known: np.ndarray, total: int, buckets: int) -> DataFrame:
+    """Per bucket its words' classes and cells: kinds are classes on the right, then on the left, then the word itself.
 
-def _pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: list[list[np.ndarray]] = []
-    for batch in batches:
-        held.append([c.to_numpy() for c in batch.columns])
-        if sum(len(h[0]) for h in held) >= _FLUSH:
-            yield _packed(*(np.concatenate(c) for c in zip(*held, strict=True)))
-            held = []
-    if held and sum(len(h[0]) for h in held):
-        yield _packed(*(np.concatenate(c) for c in zip(*held, strict=True)))
-
-
-def _vectors(bigrams: DataFrame, table: DataFrame, known: np.ndarray, total: int) -> DataFrame:
-    """Per word its `class` and `cells`: kinds are classes on the right, then on the left, then the word itself.
-
-    `table` has the class of every word, `known` that of the dictionary's words and the end.
+    A cell is a word's place in the bucket times the number of kinds, plus the kind. Buckets below 0 are runs of the
+    dictionary's words, whose classes are `known`; `state` has the others with their neighbours. Those tell each
+    neighbour their class, so only words next to each other beyond the dictionary meet in the shuffle. `pairs` are
+    the class bigrams that start in the bucket.
     """
-    shared = table.sparkSession.sparkContext.broadcast(known)
-    width, mark, self_ = 2 * total + 2, 2 * total, 2 * total + 1
-    dense = min(len(known), _CELLS // width)
+    shared = state.sparkSession.sparkContext.broadcast(known)
+    width, self_ = 2 * total + 2, 2 * total + 1
+
+    def told(totals: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for first in range(0, len(totals) // width, _RUN):
+            part = totals[first * width : (first + _RUN) * width]
+            cells = np.flatnonzero(part)
+            if len(cells):
+                yield _blobs([(-1 - first // _RUN, 0, [cells.astype(np.int32), part[cells]])])
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = shared.value.astype(np.int64)
-        totals = np.zeros(dense * width, np.int32)
+        totals = np.zeros(len(of) * width, np.int32)
+        for _, rows in _by_bucket(batches):
+            for _, parts in rows:
+                a, b, n = _arrays(parts, (np.int32,) * 3)
+                a, b, same = a.astype(np.int64), b.astype(np.int64), a == b
+                np.add.at(totals, a * width + of[b], n)
+                np.add.at(totals, b * width + (total + of[a]), n)
+                np.add.at(totals, a[same] * width + self_, n[same])
+        yield from told(totals)
+
+    def tell(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals = np.zeros(len(shared.value) * width, np.int32)
         held: list[tuple] = []
         size = 0
-        for batch in batches:
-            a, b, n = (c.to_numpy() for c in batch.columns)
-            right, left, same = b >= 0, a >= 0, a == b
-            for word, kind, times in (
-                (a[right], of[b[right]], n[right]),
-                (b[left], total + of[a[left]], n[left]),
-                (a[same], np.full(int(same.sum()), self_), n[same]),
-            ):
-                near = (word >= 0) & (word < dense)
-                np.add.at(totals, word[near] * width + kind[near], times[near].astype(np.int32))
-                held.append((word[~near], kind[~near], times[~near]))
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            word, kind, n = (np.concatenate(c) for c in zip(*held, strict=True))
+            held.clear()
+            if len(word):
+                yield from _split(word, buckets, [word, kind, n], 0)
+
+        for bucket, rows in _by_bucket(batches):
+            for _, parts in rows:
+                _, number, _, at, side, near, n = _arrays(parts, _STATE)
+                kind = number[at] + np.where(side == 0, total, 0).astype(np.int16)  # this word is on the neighbour's left
+                inside = near >= 0
+                np.add.at(totals, near[inside] * width + kind[inside], n[inside])
+                held.append((near[~inside], kind[~inside], n[~inside]))
                 size += len(held[-1][0])
-            if size >= _LINE:
-                yield _packed(*(np.concatenate(c) for c in zip(*held, strict=True)))
-                held, size = [], 0
-        if size:
-            yield _packed(*(np.concatenate(c) for c in zip(*held, strict=True)))
-        found = np.flatnonzero(totals)
-        for begin in range(0, len(found), _LINE):
-            part = found[begin : begin + _LINE]
-            yield _packed(part // width, part % width, totals[part].astype(np.int64))
+                if size >= _FLUSH:
+                    yield from flush()
+                    size = 0
+                yield _blobs([(bucket, 1, [np.frombuffer(p, np.uint8) for p in parts])])
+        if held:
+            yield from flush()
+        yield from told(totals)
 
     def merge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in whole_keys(batches, 20_000):
-            rows = rows.combine_chunks()
-            lists = rows.column("cells").chunk(0)
-            cells = lists.flatten().to_numpy()
-            word = np.repeat(rows.column("word").to_numpy(), lists.value_lengths().to_numpy())
-            out = _packed(word, cells & _KIND, cells >> 16)
-            lists = out.column(1)
-            cells = lists.flatten().to_numpy()
-            marked = (cells & _KIND) == mark  # every word has one mark
-            number = pa.array(((cells[marked] >> 16) - 1).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([out.column(0), number, lists], ["word", "class", "cells"])
-
-    rare = lambda side: table.where(F.col("word") < 0).select(F.col("word").alias(side), "class")
-    kinds = "word long, cells array<long>"
-    long = lambda c: c.cast("long").alias("kind")
-    rows = bigrams.mapInArrow(count, kinds)
-    for met in (
-        bigrams.where("b < 0").join(rare("b"), "b").select(F.col("a").alias("word"), long(F.col("class")), "n"),
-        bigrams.where("a < 0").join(rare("a"), "a").select(F.col("b").alias("word"), long(F.col("class") + total), "n"),
-    ):
-        rows = rows.unionByName(met.mapInArrow(_pack, kinds))
-    marks = table.select("word", F.array((F.col("class") + 1).cast("long") * (1 << 16) + mark).alias("cells"))
-    rows = rows.unionByName(marks).repartition("word").sortWithinPartitions("word")
-    return materialize(rows.mapInArrow(merge, "word long, class int, cells array<long>"), "lm-vectors")
-
-
-def _unpacked(lists: pa.ListArray, total: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        of = shared.value.astype(np.int64)
+        for bucket, rows in _by_bucket(batches):
+            if bucket < 0:
+                first = (-1 - bucket) * _RUN
+                number = shared.value[first : first + _RUN]
+                dense = np.zeros(len(number) * width, np.int64)
+                for _, parts in rows:
+                    cells, n = _arrays(parts, (np.int32, np.int32))
+                    dense[cells] += n
+                cells = np.flatnonzero(dense)
+                n, kept = dense[cells], [np.arange(first, first + len(number)), number]
+            else:
+                (kept,) = (parts for kind, parts in rows if kind == 1)
+                words, number, _, at, side, near, times = kept = _arrays(kept, _STATE)
+                inside, same = near >= 0, (side == 0) & (near == words[at])
+                cells = [at[inside] * width + of[near[inside]] + np.where(side[inside] == 0, 0, total), at[same] * width + self_]
+                n = [times[inside], times[same]]
+                for kind, parts in rows:
+                    if kind == 0:
+                        word, kinds, more = _arrays(parts, (np.int64, np.int16, np.int32))
+                        cells.append(np.searchsorted(words, word) * width + kinds)
+                        n.append(more)
+                cells, n = np.concatenate(cells), np.concatenate(n).astype(np.int64)
+                order = np.argsort(cells)
+                cells, n = cells[order], n[order]
+                first = np.flatnonzero(np.concatenate(([True], cells[1:] != cells[:-1])))
+                cells, n = cells[first], np.add.reduceat(n, first)
+            pairs = np.zeros((total, total), np.int64)
+            right = cells % width < total
+            np.add.at(pairs, (number[cells[right] // width], cells[right] % width), n[right])
+            batch = _blobs([(bucket, 1, [cells, n, *kept])])
+            yield batch.append_column("pairs", pa.array([pairs.tobytes()], pa.binary()))
+
+    rows = arrow_runs(bigrams, count, _ROWS).unionByName(arrow_runs(state, tell, _ROWS))
+    return materialize(arrow_runs(_grouped(rows), merge, _ROWS + ", pairs binary"), "lm-vectors")
+
+
+def _table(cells: np.ndarray, n: np.ndarray, many: int, total: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Counts of classes on the right and on the left, and of the word beside itself."""
-    cells, lengths = lists.flatten().to_numpy(), lists.value_lengths().to_numpy()
-    table = np.zeros((len(lists), 2 * total + 2))
-    table[np.repeat(np.arange(len(lists)), lengths), cells & _KIND] = cells >> 16
+    table = np.zeros((many, 2 * total + 2))
+    table.ravel()[cells] = n
     return table[:, :total], table[:, total : 2 * total], table[:, 2 * total + 1]
 
 
 def _class_pairs(vectors: DataFrame, total: int) -> np.ndarray:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((total, total))
+        sums = np.zeros(total * total, np.int64)
         for batch in batches:
-            np.add.at(sums, batch.column("class").to_numpy(), _unpacked(batch.column("cells"), total)[0])
-        g, h = np.nonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(h), pa.array(sums[g, h].astype(np.int64))], ["g", "h", "n"])
+            for pairs in batch.column("pairs").to_pylist():
+                sums += np.frombuffer(pairs, np.int64)
+        found = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (found // total, found % total, sums[found])], ["g", "h", "n"])
 
     pairs = np.zeros((total, total))
-    for g, h, n in vectors.mapInArrow(run, "g long, h long, n long").groupBy("g", "h").agg(F.sum("n")).collect():
+    for g, h, n in arrow_runs(vectors.select("pairs"), run, "g long, h long, n long").groupBy("g", "h").agg(F.sum("n")).collect():
         pairs[g, h] = n
     return pairs
 
@@ -350,69 +499,76 @@ def gains(pairs: np.ndarray, out: np.ndarray, into: np.ndarray, own: np.ndarray,
     return gain - 2 * (_f(mass + weight) - _f(mass))
 
 
-def _moved(vectors: DataFrame, pairs: np.ndarray, shapes, classes: int, turn: int) -> DataFrame:
-    """Per word `n`, `shape`, its `class` after this round and whether it `moved`."""
+def _alike(old: np.ndarray, cells: np.ndarray, n: np.ndarray, starts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first of the words with the same class and cells, and for each word the place of its first."""
+    kind, lengths = cells % width, np.diff(starts)
+    sign = mix(mix(kind.astype(np.uint64)) + n.astype(np.uint64))
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(sign)))
+    sign = mix(sums[starts[1:]] - sums[starts[:-1]] + mix(old.astype(np.uint64) + np.uint64(1 << 32)))
+    _, first, of = np.unique(sign, return_index=True, return_inverse=True)
+    like = first[of]
+    same = (lengths == lengths[like]).all() and (old == old[like]).all()
+    if same:
+        at = np.arange(len(cells)) + np.repeat(starts[like] - starts[:-1], lengths)
+        same = (kind == kind[at]).all() and (n == n[at]).all()
+    return (first, of) if same else (np.arange(len(old)), np.arange(len(old)))
+
+
+def _moved(vectors: DataFrame, pairs: np.ndarray, classes: int, turn: int) -> DataFrame:
+    """Per bucket its words with their classes after this round, the tokens `n` and those whose words `moved`."""
     total = len(pairs)
+    width = 2 * total + 2
     model = vectors.sparkSession.sparkContext.broadcast(pairs)
 
-    def make():
-        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            word, old = batch.column("word").to_numpy(), batch.column("class").to_numpy()
-            new, n = old.copy(), np.zeros(len(old), np.int64)
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, rows in _by_bucket(batches):
+            (parts,) = (parts for _, parts in rows)
+            cells, n, word, old, *rest = _arrays(parts, (np.int64, np.int64, *(_STATE if bucket >= 0 else _STATE[:2])))
+            new, right = old.copy(), cells % width < total
+            weight = np.bincount(cells[right] // width, n[right], len(word)).astype(np.int64)
             turns = (mix(word.astype(np.uint64)) >> np.uint64(40)).astype(np.int64) % 2 == turn % 2
-            free = (old != total - 1) & ((old >= classes) | turns)
-            for begin in range(0, len(word), 512):
-                part = slice(begin, begin + 512)
-                out, into, own = _unpacked(batch.column("cells").slice(begin, 512), total)
-                n[part] = out.sum(axis=1)
-                at = np.flatnonzero(free[part])
-                if not len(at):
-                    continue
-                gain = gains(model.value, out[at], into[at], own[at], old[part][at])
+            free = np.flatnonzero((old != total - 1) & ((old >= classes) | turns))
+            starts = np.searchsorted(cells // width, np.arange(len(word) + 1))
+            first, of = _alike(old[free], *_rows(cells, n, starts, free, width), width)
+            chosen = free[first]
+            best_of = np.zeros(len(chosen), old.dtype)
+            for begin in range(0, len(chosen), 512):
+                at = chosen[begin : begin + 512]
+                here, times, _ = _rows(cells, n, starts, at, width)
+                out, into, own = _table(here, times, len(at), total)
+                gain = gains(model.value, out, into, own, old[at])
                 best = gain[:, :classes].argmax(axis=1)
-                rows, now = np.arange(len(at)), old[part][at]
-                better = (gain[rows, best] > gain[rows, now] + 1e-9) | (now >= classes)
-                new[begin + at[better]] = best[better]
-            kinds = np.where(word < 0, word & 15, np.append(shapes.value, 0)[np.maximum(word, 0)])
-            return pa.RecordBatch.from_arrays(
-                [pa.array(word), pa.array(n), pa.array(kinds.astype(np.int32)), pa.array(new), pa.array(new != old)],
-                ["word", "n", "shape", "class", "moved"],
-            )
+                row, now = np.arange(len(at)), old[at]
+                better = (gain[row, best] > gain[row, now] + 1e-9) | (now >= classes)
+                best_of[begin : begin + 512] = np.where(better, best, now)
+            new[free] = best_of[of]
+            batch = _blobs([(bucket, 1, [word, new, *(rest or [weight])])])
+            sums = (int(weight[new != old].sum()), int(weight.sum()))
+            yield batch.append_column("moved", pa.array(sums[:1], pa.int64())).append_column("n", pa.array(sums[1:], pa.int64()))
 
-        return step
+    rows = vectors.select("bucket", "kind", "parts")
+    return materialize(arrow_runs(rows, run, _ROWS + ", moved long, n long"), "lm-classes")
 
-    found = arrow_map(vectors, make, "word long, n long, shape int, class int, moved boolean")
-    return materialize(found, "lm-classes")
+
+def _rows(cells: np.ndarray, n: np.ndarray, starts: np.ndarray, at: np.ndarray, width: int):
+    """The cells of the words `at`, renumbered, with their counts and where each word's start."""
+    lengths = starts[at + 1] - starts[at]
+    begins = np.concatenate(([0], np.cumsum(lengths)))
+    places = np.arange(begins[-1]) + np.repeat(starts[at] - begins[:-1], lengths)
+    return cells[places] % width + np.repeat(np.arange(len(at)) * width, lengths), n[places], begins
 
 
 def cluster(
-    bigrams: DataFrame, counts: DataFrame, ranks, shapes, head: int, classes: int, ends: int
+    bigrams: DataFrame, near: DataFrame, shapes, head: int, classes: int, buckets: int
 ) -> tuple[DataFrame, np.ndarray, np.ndarray]:
-    """Every word's class as a table, the classes of the dictionary's words and the end, and the class bigrams."""
-    spark, size = bigrams.sparkSession, len(shapes.value)
+    """The words beyond the dictionary with their classes, the classes of the dictionary's words and the end, and the class bigrams."""
+    size = len(shapes.value)
     total = classes + SHAPES + 1
-    start = spark.sparkContext.broadcast(_start(bigrams, shapes, head, classes))
-
-    def make():
-        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            word = Ids(ranks.value).of(batch.column(0).to_pylist())
-            kind = np.where(word < 0, word & 15, shapes.value[np.maximum(word, 0)])
-            number = classes + kind
-            number[(word >= 0) & (word < head)] = start.value[word[(word >= 0) & (word < head)]]
-            columns = [pa.array(word), batch.column(1), pa.array(kind, pa.int32()), pa.array(number, pa.int32())]
-            return pa.RecordBatch.from_arrays([*columns, pa.array(np.ones(len(word), bool))], ["word", "n", "shape", "class", "moved"])
-
-        return step
-
-    kinds = "word long, n long, shape int, class int, moved boolean"
-    table = arrow_map(counts.select("word", "n"), make, kinds)
-    table = materialize(table.unionByName(spark.createDataFrame([(size, ends, 0, total - 1, False)], kinds)), "lm-classes")
-    kept, share = None, 1.0
+    known = np.append(classes + shapes.value, total - 1).astype(np.int16)
+    known[:head] = _start(bigrams, near, shapes, head, classes)
+    table, kept, share = near, None, 1.0
     for turn in range(ROUNDS + 1):
-        known = np.zeros(size + 1, np.int16)
-        found = table.where("word >= 0").select("word", "class").toArrow()
-        known[found.column(0).to_numpy()] = found.column(1).to_numpy()
-        vectors = _vectors(bigrams, table, known, total)
+        vectors = _vectors(bigrams, table.where("bucket >= 0").select("bucket", "kind", "parts"), known, total, buckets)
         pairs = _class_pairs(vectors, total)
         value = _f(pairs).sum() - 2 * _f(pairs.sum(axis=1)).sum()
         worse = turn > 1 and value <= kept[0]
@@ -426,34 +582,105 @@ def cluster(
         if kept:  # the rounds before are not gone back to: their tables would add up
             discard(kept[1])
         kept = (value, table, known, pairs)
-        table = _moved(vectors, pairs, shapes, classes, turn)
+        table = _moved(vectors, pairs, classes, turn)
         discard(vectors)
-        moved, n = table.agg(F.sum(F.when(F.col("moved"), F.col("n")).otherwise(0)), F.sum("n")).first()
-        share = moved / max(1, n) if turn else 1.0
+        known = known.copy()
+        for parts in table.where("bucket < 0").select("parts").toArrow().column(0).to_pylist():
+            word, number, _ = _arrays(parts, _STATE[:3])
+            known[word] = number
+        moved, n = table.agg(F.sum("moved"), F.sum("n")).first()
+        share = (moved or 0) / max(1, n or 0) if turn else 1.0
     left = np.append(np.arange(classes), total - 1)  # no word has a shape for its class any more
-    return kept[1], np.minimum(kept[2], classes), kept[3][np.ix_(left, left)]
+    return kept[1].where("bucket >= 0").select("bucket", "kind", "parts"), np.minimum(kept[2], classes), kept[3][np.ix_(left, left)]
+
+
+def _by_shape(words: DataFrame, classes: int) -> Iterator[tuple[int, int, int, int, int]]:
+    """Per shape and class the tokens, the words and those seen once, of the words beyond the dictionary."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((3, 16 * classes), np.int64)
+        for _, rows in _by_bucket(batches):
+            for _, parts in rows:
+                word, number, n = _arrays(parts[:3], _STATE[:3])
+                at = (word & 15) * classes + number
+                for k, value in enumerate((n, np.ones(len(n)), n == 1)):
+                    sums[k] += np.bincount(at, value, 16 * classes).astype(np.int64)
+        found = np.flatnonzero(sums[1])
+        columns = (found // classes, found % classes, *sums[:, found])
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["shape", "class", "n", "v", "ones"])
+
+    sums = arrow_runs(words, run, "shape long, class long, n long, v long, ones long").groupBy("shape", "class")
+    return sums.agg(F.sum("n"), F.sum("v"), F.sum("ones")).collect()
+
+
+def _answers(ids: DataFrame, words: DataFrame, buckets: int) -> DataFrame:
+    """Per block (as `bucket`) the classes and counts of those of its words beyond the dictionary that were learned."""
+
+    def ask(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            word = np.unique(np.frombuffer(b"".join(held), np.int64))
+            held.clear()
+            if len(word):
+                yield from _split(word, buckets, [word, np.full(len(word), now, np.int64)], 0)
+
+        for batch in batches:
+            for block, rare in zip(batch.column("block").to_pylist(), batch.column("rare").to_pylist(), strict=True):
+                if block != now and held:
+                    yield from flush()
+                now = block
+                held.append(rare)
+        if held:
+            yield from flush()
+
+    def answer(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in _by_bucket(batches):
+            table = [_arrays(parts[:3], _STATE[:3]) for kind, parts in rows if kind == 1]
+            if not table:
+                continue
+            words, number, n = table[0]
+            for kind, parts in rows:
+                if kind == 0:
+                    word, block = _arrays(parts, (np.int64, np.int64))
+                    at = np.minimum(np.searchsorted(words, word), len(words) - 1)
+                    at = at[words[at] == word]
+                    if len(at):
+                        yield _blobs([(int(block[0]), 0, [words[at], number[at], n[at]])])
+
+    rows = arrow_runs(ids.select("block", "rare"), ask, _ROWS).unionByName(
+        words.select("bucket", "kind", F.slice("parts", 1, 3).alias("parts"))
+    )
+    return arrow_runs(_grouped(rows), answer, _ROWS)
 
 
 def score_texts(docs: DataFrame, held_out: Column, head: int = 1000, classes: int = 40) -> DataFrame:
     """Per row of `docs`: `doc_id`, `held_out`, `n_tokens`, `n_known`, `train_tokens`, `base_score`, `score`, `perplexity`."""
     spark = docs.sparkSession
     docs = docs.select(
-        F.col("doc_id").cast("long"), "text", F.coalesce(held_out, F.lit(False)).alias("held_out"), held_out.alias("_known")
+        F.col("doc_id").cast("long"),
+        "text",
+        F.coalesce(held_out, F.lit(False)).alias("held_out"),
+        F.coalesce(~held_out, F.lit(False)).alias("trains"),
     )
-    training = docs.where(~F.col("_known")).select("text")
+    training = docs.where("trains").select("text")
     counts = materialize(_counts(training), "lm-counts")
     ends = training.count()
     n_words, n_distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     train_tokens, distinct = n_words + ends, n_distinct + (1 if ends else 0)
-    top = counts.orderBy(F.desc("n"), "word").limit(DICTIONARY).collect()
-    head = min(head, len(top))
+    top = counts.orderBy(F.desc("n"), "word").limit(DICTIONARY).toArrow()
+    top_words, top_counts = top.column("word").to_pylist(), top.column("n").to_numpy().astype(np.int64)
+    size = len(top_words)
+    head = min(head, size)
     classes = max(1, min(classes, head))
-    ranks = spark.sparkContext.broadcast({r["word"]: k for k, r in enumerate(top)})
-    top_counts = np.array([r["n"] for r in top], np.int64)
-    shapes = spark.sparkContext.broadcast(np.array([shape(r["word"]) for r in top], np.int64))
-    bigrams = materialize(_bigrams(training, ranks), "lm-bigrams")
-    table, known, pairs = cluster(bigrams, counts, ranks, shapes, head, classes, ends)
-    words = table.where(F.col("class") < classes)
+    ranks = spark.sparkContext.broadcast({word.encode(): k for k, word in enumerate(top_words)})
+    of_word = np.array([shape(word) for word in top_words], np.int64)
+    shapes = spark.sparkContext.broadcast(of_word)
+    buckets = 1 + int(n_words - top_counts.sum()) // _BUCKET
+    ids = _encoded(docs, ranks)
+    near = _near(ids, size, classes, buckets)
+    bigrams = _bigrams(ids, size)
+    words, known, pairs = cluster(bigrams, near, shapes, head, classes, buckets)
     number = classes + 1
 
     outgoing, incoming, kinds = pairs.sum(axis=1), pairs.sum(axis=0), (pairs > 0).sum(axis=1)
@@ -463,13 +690,15 @@ def score_texts(docs: DataFrame, held_out: Column, head: int = 1000, classes: in
     moves = np.log10(moves + (1 - share)[:, None] * flat[None])
 
     in_class, single, of_shape = np.ones(number), np.zeros((SHAPES, classes)), np.zeros((SHAPES, classes))
-    once = F.sum((F.col("n") == 1).cast("long"))
-    for s, c, n, v, ones in words.groupBy("shape", "class").agg(F.sum("n"), F.count(F.lit(1)), once).collect():
+    for s, c, n, v, ones in _by_shape(words, classes):
         in_class[c] += n + v
         of_shape[s, c], single[s, c] = v, ones
+    np.add.at(in_class, known[:size], top_counts + 1)
+    np.add.at(of_shape, (of_word, known[:size]), 1)
+    np.add.at(single, (of_word, known[:size]), top_counts == 1)
     # The class of unseen words, by shape: most words seen once, else most words, of the shape or of all.
     evidence = np.where(single.any(axis=1)[:, None], single, np.where(of_shape.any(axis=1)[:, None], of_shape, of_shape.sum(axis=0)))
-    unseen = evidence.argmax(axis=1)
+    unseen = np.append(evidence.argmax(axis=1), np.zeros(16 - SHAPES, np.int64))
     class_total = np.log10(in_class)
     base_total = math.log10(train_tokens + distinct + 1)
     model = spark.sparkContext.broadcast((known.astype(np.int64), moves, class_total, top_counts))
@@ -477,85 +706,62 @@ def score_texts(docs: DataFrame, held_out: Column, head: int = 1000, classes: in
 
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of, moves, class_total, top_counts = model.value
-        ids, row = Ids(ranks.value), TaskContext.get().partitionId() << 40
-        log_counts = np.log10(np.append(top_counts, 0) + 1.0)
-        emission = log_counts - class_total[of]
-        emission[-1] = 0  # the end is all of its class
-        end = np.array([len(of) - 1])
-        pair = pa.struct([("a", pa.int64()), ("b", pa.int64()), ("times", pa.int64())])
-        for batch in batches:
-            rows = []
-            for text in batch.column("text").to_pylist():
-                inside = ids.of(words_of(text))
-                line = np.concatenate((end, inside, end))
-                # Classes of dictionary words; words beyond it keep their negative ids.
-                group = np.where(line < 0, line, of[np.maximum(line, 0)])
-                a, b = group[:-1], group[1:]
-                sure = (a >= 0) & (b >= 0)
-                inner = inside[inside >= 0]
-                total = float(moves[a[sure], b[sure]].sum()) + float(emission[inner].sum())
-                base = float(log_counts[inner].sum()) - base_total * len(inside) + end_base
-                open_ = Counter(zip(a[~sure].tolist(), b[~sure].tolist(), strict=True))
-                rest = [{"a": x, "b": y, "times": n} for (x, y), n in open_.items()]
-                rows.append((row, len(inside) + 1, len(inner) + (1 if ends else 0), base, total, rest))
-                row += 1
-            names = ("row", "n_tokens", "n_in", "base", "total", "rest")
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pair))
-            columns = list(zip(*rows, strict=True)) or [[]] * len(names)
+        log_counts = np.append(np.log10(top_counts + 1.0), 0.0)
+        lists: list[list] = []
+        found: list[list[np.ndarray]] = []
+        now = None
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if not lists:
+                return
+            doc_id, held, low, high, rare = zip(*lists, strict=True)
+            line, lengths = _line(low, high, rare, size)
+            beyond = line < 0
+            group, logs = of[np.maximum(line, 0)], log_counts[np.maximum(line, 0)]
+            seen = ~beyond
+            if beyond.any():
+                word, at = np.unique(line[beyond], return_inverse=True)
+                its, n = unseen[word & 15], np.zeros(len(word))
+                for known_word, number, times in found:
+                    place = np.searchsorted(word, known_word)
+                    its[place], n[place] = number, times
+                group[beyond], logs[beyond], seen[beyond] = its[at], np.log10(n + 1)[at], (n > 0)[at]
+            emission = logs - class_total[group]
+            emission[line == size] = 0  # the end is all of its class
+            ends_at = np.cumsum(lengths + 1)
+            value = np.add.reduceat(moves[group[:-1], group[1:]] + emission[1:], ends_at - lengths - 1)
+            base = np.add.reduceat(logs[1:], ends_at - lengths - 1) - base_total * lengths + end_base
+            n_known = np.add.reduceat((seen & (line != size))[1:].astype(np.int64), ends_at - lengths - 1) + (1 if ends else 0)
+            columns = (lengths + 1, n_known, base, value)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("held_out"), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))],
-                ["doc_id", "held_out", *names],
+                [pa.array(doc_id, pa.int64()), pa.array(held, pa.bool_()), *(pa.array(c) for c in columns)],
+                ["doc_id", "held_out", "n_tokens", "n_known", "base", "total"],
             )
 
-    scored = materialize(
-        docs.select("doc_id", "held_out", "text").mapInArrow(
-            score,
-            "doc_id long, held_out boolean, row long, n_tokens long, n_in long, base double, total double, "
-            "rest array<struct<a:bigint,b:bigint,times:bigint>>",
-        ),
-        "lm-scored",
-    )
-    # Bigrams with words beyond the dictionary: their classes and counts come from the full table. Ids of rows
-    # stand in for keys that need no join; they are never negative.
-    rare = words.where("word < 0").select("word", F.col("class").cast("long").alias("class"), "n")
-    guess = lambda c: F.element_at(F.array(*[F.lit(int(x)) for x in unseen]), c.bitwiseAND(F.lit(15)).cast("int") + 1).cast("long")
-    rest = scored.select("row", F.explode("rest").alias("r")).select("row", "r.*")
-    for side in ("a", "b"):
-        near = rare.select(F.col("word").alias("_key"), F.col("class").alias("_class"), F.col("n").alias(f"n{side}"))
-        own = F.col(side) < 0
-        rest = (
-            rest.withColumn("_key", F.when(own, F.col(side)).otherwise(F.col("row")))
-            .join(near, "_key", "left")
-            .withColumn(f"c{side}", F.when(own, F.coalesce("_class", guess(F.col(side)))).otherwise(F.col(side)))
-            .drop("_key", "_class")
-        )
-
-    def weigh():
-        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            _, moves, class_total, _ = model.value
-            row, b, times, a_of, b_of = (batch.column(c).to_numpy() for c in ("row", "b", "times", "ca", "cb"))
-            n = batch.column("nb").fill_null(0).to_numpy()
-            beyond = b < 0  # each word is the second of one bigram
-            logs = np.where(beyond, np.log10(n + 1.0), 0.0)
-            value = moves[a_of, b_of] + logs - np.where(beyond, class_total[b_of], 0.0)
-            seen = np.where(beyond & (n > 0), times, 0)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(x) for x in (row, times * value, times * logs, seen)], ["row", "more", "base_more", "seen"]
-            )
-
-        return step
-
-    rest = arrow_map(rest.select("row", "b", "times", "ca", "cb", "nb"), weigh, "row long, more double, base_more double, seen long")
-    rest = rest.groupBy("row").agg(*[F.sum(c).alias(c) for c in ("more", "base_more", "seen")])
-    result = scored.drop("rest").join(rest, "row", "left")
-    value = F.col("total") + F.coalesce("more", F.lit(0.0))
-    return result.select(
+        names = ("bucket", "parts", "doc_id", "held_out", "low", "high", "rare")
+        for batch in batches:
+            for block, parts, *text in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+                if block != now:
+                    yield from flush()
+                    now, lists, found = block, [], []
+                if parts is None:
+                    lists.append(text)
+                else:
+                    found.append(_arrays(parts, _STATE[:3]))
+        yield from flush()
+
+    texts = ids.select(F.col("block").alias("bucket"), "doc_id", "held_out", "low", "high", "rare")
+    rows = _grouped(texts.unionByName(_answers(ids, words, buckets).drop("kind"), allowMissingColumns=True))
+    kinds = "doc_id long, held_out boolean, n_tokens long, n_known long, base double, total double"
+    scored = materialize(arrow_runs(rows, score, kinds), "lm-scored")
+    value = F.col("total")
+    return scored.select(
         "doc_id",
         "held_out",
         "n_tokens",
-        (F.col("n_in") + F.coalesce("seen", F.lit(0))).alias("n_known"),
+        "n_known",
         F.lit(train_tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("base_more", F.lit(0.0))).alias("base_score"),
+        F.col("base").alias("base_score"),
         value.alias("score"),
         F.pow(F.lit(10.0), -value / F.col("n_tokens")).alias("perplexity"),
     )
