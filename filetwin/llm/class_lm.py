@@ -28,7 +28,8 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from itertools import chain
+from itertools import chain, groupby
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -49,7 +50,7 @@ _FLUSH = 300_000
 _LINE = 2_000_000
 _BLOCK = 1_000_000  # words of texts that are scored together
 _BUCKET = 150_000  # tokens of words beyond the dictionary in a bucket
-_RUN = 4096  # words of the dictionary in a bucket
+_RUN = 1024  # words of the dictionary in a bucket
 _RARE = (1 << 24) - 1
 _ROWS = "bucket long, kind int, parts array<binary>"
 # Of a bucket's words beyond the dictionary: word, class, count; per neighbour the word's place, side (1: left), neighbour, count.
@@ -59,8 +60,9 @@ _STATE = (np.int64, np.int16, np.int64, np.int32, np.uint8, np.int64, np.int32)
 def shape(word: str) -> int:
     """The kind of a word that has no class yet."""
     size = 0 if len(word) <= 4 else 1 if len(word) <= 9 else 2
-    kind = 3 if any(c.isdigit() for c in word) else 0 if word.isalpha() else 1 if word[:-1].isalpha() else 2
-    return size * 4 + kind
+    if word.isalpha():
+        return size * 4
+    return size * 4 + (3 if any(map(str.isdigit, word)) else 1 if word[:-1].isalpha() else 2)
 
 
 def _words(batch: pa.RecordBatch) -> list[list[bytes]]:
@@ -97,14 +99,14 @@ class Ids(dict):
     """Lower-cased word to its rank in the dictionary, or to a negative id."""
 
     def __init__(self, ranks: dict[bytes, int]) -> None:
-        super().__init__()
+        super().__init__(ranks)
         self.ranks = ranks
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= _FLUSH:
+        if len(self) >= len(self.ranks) + _FLUSH:
             self.clear()
-        rank = self.ranks.get(word)
-        value = self[word] = rare_id(word) if rank is None else rank
+            self.update(self.ranks)
+        value = self[word] = rare_id(word)
         return value
 
     def of(self, words: Iterable[bytes], count: int) -> np.ndarray:
@@ -179,19 +181,12 @@ def _blobs(rows: list[tuple[int, int, list[np.ndarray]]]) -> pa.RecordBatch:
     )
 
 
-def _by_bucket(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple[int, list[bytes]]]]]:
-    """The rows of each bucket, of batches sorted by it."""
-    held: list[tuple[int, list[bytes]]] = []
-    now = None
-    for batch in batches:
-        for bucket, kind, parts in zip(*(batch.column(c).to_pylist() for c in ("bucket", "kind", "parts")), strict=True):
-            if held and bucket != now:
-                yield now, held
-                held = []
-            now = bucket
-            held.append((kind, parts))
-    if held:
-        yield now, held
+def _by_bucket(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[tuple[int, list[bytes]]]]]:
+    """The rows of each bucket, of batches sorted by it; they are not gathered."""
+    columns = ("bucket", "kind", "parts")
+    rows = chain.from_iterable(zip(*(batch.column(c).to_pylist() for c in columns), strict=True) for batch in batches)
+    for bucket, own in groupby(rows, itemgetter(0)):
+        yield bucket, (row[1:] for row in own)
 
 
 def _grouped(rows: DataFrame) -> DataFrame:
@@ -419,6 +414,7 @@ def _vectors(bigrams: DataFrame, state: DataFrame, known: np.ndarray, total: int
                 cells = np.flatnonzero(dense)
                 n, kept = dense[cells], [np.arange(first, first + len(number)), number]
             else:
+                rows = list(rows)
                 (kept,) = (parts for kind, parts in rows if kind == 1)
                 words, number, _, at, side, near, times = kept = _arrays(kept, _STATE)
                 inside, same = near >= 0, (side == 0) & (near == words[at])
@@ -470,9 +466,14 @@ def _f(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1))
 
 
-def gains(pairs: np.ndarray, out: np.ndarray, into: np.ndarray, own: np.ndarray, old: np.ndarray) -> np.ndarray:
-    """For each word, taken out of its class `old`, what the likelihood gains when it joins each class."""
-    many, total = out.shape
+def gains(
+    pairs: np.ndarray, out: np.ndarray, into: np.ndarray, own: np.ndarray, old: np.ndarray, classes: int | None = None
+) -> np.ndarray:
+    """For each word, taken out of its class `old`, what the likelihood gains when it joins each class.
+
+    With `classes`, only the first ones are joined; all words must be in them.
+    """
+    many, total = out.shape[0], classes or out.shape[1]
     row, d = np.arange(many), np.arange(total)
     weight = out.sum(axis=1, keepdims=True)
     out, into = out.copy(), into.copy()
@@ -484,19 +485,24 @@ def gains(pairs: np.ndarray, out: np.ndarray, into: np.ndarray, own: np.ndarray,
         if not len(w):
             continue
         n, e = here[w, j], np.arange(len(w))
-        base = table[j]  # without the word: its old class's row and column are lower
+        base, lower = table[j, :total], _f(table[:, :total])[j]  # without the word: its old class's row and column are lower
         base[e, old[w]] -= n
         at = np.flatnonzero(j == old[w])
-        base[at] -= there[w[at]]
+        base[at] -= there[w[at], :total]
         base[at, old[w[at]]] -= own[w[at]]
+        lower[e, old[w]] = _f(base[e, old[w]])
+        lower[at] = _f(base[at])
         first = np.flatnonzero(np.concatenate(([True], w[1:] != w[:-1])))
-        gain[w[first]] += np.add.reduceat(_f(base + n[:, None]) - _f(base), first, axis=0)
-    both = np.broadcast_to(pairs[d, d], gain.shape).copy()
-    both[row, old] -= out[row, old] + into[row, old] + own
-    gain += _f(both + out + into + own[:, None]) - _f(both + out) - _f(both + into) + _f(both)
-    mass = np.broadcast_to(pairs.sum(axis=1), gain.shape).copy()
+        gain[w[first]] += np.add.reduceat(_f(base + n[:, None]) - lower, first, axis=0)
+    w, j = np.nonzero(((out != 0) | (into != 0) | (own != 0)[:, None])[:, :total])  # nothing changes elsewhere
+    here, there, same = out[w, j], into[w, j], own[w]
+    both = pairs[d, d][j] - np.where(j == old[w], here + there + same, 0)
+    gain[w, j] += _f(both + here + there + same) - _f(both + here) - _f(both + there) + _f(both)
+    sums = pairs.sum(axis=1)[:total]
+    mass, lower = np.broadcast_to(sums, gain.shape).copy(), np.broadcast_to(_f(sums), gain.shape).copy()
     mass[row, old] -= weight[:, 0]
-    return gain - 2 * (_f(mass + weight) - _f(mass))
+    lower[row, old] = _f(mass[row, old])
+    return gain - 2 * (_f(mass + weight) - lower)
 
 
 def _alike(old: np.ndarray, cells: np.ndarray, n: np.ndarray, starts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -536,7 +542,7 @@ def _moved(vectors: DataFrame, pairs: np.ndarray, classes: int, turn: int) -> Da
                 at = chosen[begin : begin + 512]
                 here, times, _ = _rows(cells, n, starts, at, width)
                 out, into, own = _table(here, times, len(at), total)
-                gain = gains(model.value, out, into, own, old[at])
+                gain = gains(model.value, out, into, own, old[at], None if (old[at] >= classes).any() else classes)
                 best = gain[:, :classes].argmax(axis=1)
                 row, now = np.arange(len(at)), old[at]
                 better = (gain[row, best] > gain[row, now] + 1e-9) | (now >= classes)
@@ -636,6 +642,7 @@ def _answers(ids: DataFrame, words: DataFrame, buckets: int) -> DataFrame:
 
     def answer(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in _by_bucket(batches):
+            rows = list(rows)
             table = [_arrays(parts[:3], _STATE[:3]) for kind, parts in rows if kind == 1]
             if not table:
                 continue

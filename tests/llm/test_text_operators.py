@@ -303,6 +303,31 @@ def test_rounds_leave_one_table_behind(spark, monkeypatch, tmp_path):
     assert left["lm-counts"] == left["lm-bigrams"] == left["lm-scored"] == 1
 
 
+def test_classes_do_not_depend_on_which_words_are_in_the_dictionary(spark, monkeypatch):
+    dice = random.Random(10)
+    rows = [(k, " ".join(f"w{int(dice.expovariate(0.05))}" for _ in range(40)) + " same same") for k in range(80)] + [(80, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(class_lm, "mix", lambda x: np.asarray(x, np.uint64) * np.uint64(0))  # all words move in the same rounds
+    found = []
+    for size in (1000, 8):
+        monkeypatch.setattr(class_lm, "DICTIONARY", size)
+        found.append({r.doc_id: r for r in score_texts(docs, F.col("doc_id") % 7 == 2, head=5, classes=4).collect()})
+    assert len(found[0]) == len(rows)
+    for d, r in found[0].items():
+        assert (found[1][d].n_tokens, found[1][d].n_known) == (r.n_tokens, r.n_known)
+        assert found[1][d].base_score == pytest.approx(r.base_score) and found[1][d].score == pytest.approx(r.score)
+
+
+def test_rounds_shuffle_rows_of_many_words(spark, monkeypatch):
+    rows = []
+    monkeypatch.setattr(class_lm, "materialize", lambda df, label: rows.append((label, session.materialize(df, label))) or rows[-1][1])
+    monkeypatch.setattr(class_lm, "discard", lambda table: None)
+    monkeypatch.setattr(class_lm, "DICTIONARY", 50)
+    texts = [(k, " ".join(f"w{(k * 31 + i * i) % 997}" for i in range(60))) for k in range(60)]
+    score_texts(spark.createDataFrame(texts, "doc_id long, text string"), F.col("doc_id") % 7 == 2, head=5, classes=3)
+    assert all(table.count() <= 10 for label, table in rows if label in ("lm-vectors", "lm-classes"))
+
+
 def test_gains_are_differences_of_the_likelihood():
     dice = np.random.default_rng(2)
     counts, of = dice.integers(0, 4, (12, 12)), dice.integers(0, 3, 12)
