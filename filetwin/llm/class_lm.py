@@ -32,7 +32,6 @@ from itertools import chain, groupby
 from operator import itemgetter
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
@@ -48,8 +47,10 @@ ROUNDS = 8
 SETTLED = 0.01
 _FLUSH = 300_000
 _LINE = 2_000_000
+_KEPT = 100_000  # words beyond the dictionary whose ids a task keeps at hand
+_PAIRS = 32_768  # bigrams in a row: Parquet buffers at least a hundred rows
 _BLOCK = 1_000_000  # words of texts that are scored together
-_BUCKET = 150_000  # tokens of words beyond the dictionary in a bucket
+_BUCKET = 100_000  # tokens of words beyond the dictionary in a bucket
 _RUN = 1024  # words of the dictionary in a bucket
 _RARE = (1 << 24) - 1
 _ROWS = "bucket long, kind int, parts array<binary>"
@@ -103,7 +104,7 @@ class Ids(dict):
         self.ranks = ranks
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= len(self.ranks) + _FLUSH:
+        if len(self) >= len(self.ranks) + _KEPT:
             self.clear()
             self.update(self.ranks)
         value = self[word] = rare_id(word)
@@ -223,8 +224,8 @@ def _bigrams(ids: DataFrame, size: int) -> DataFrame:
             first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
             counts = np.diff(np.append(first, len(keys))).astype(np.int32)
             keys = keys[first]
-            for begin in range(0, len(keys), _FLUSH):
-                part = slice(begin, begin + _FLUSH)
+            for begin in range(0, len(keys), _PAIRS):
+                part = slice(begin, begin + _PAIRS)
                 pair = [(keys[part] // (size + 1)).astype(np.int32), (keys[part] % (size + 1)).astype(np.int32)]
                 yield _blobs([(0, 0, [*pair, counts[part]])])
 
@@ -331,15 +332,15 @@ def _start(bigrams: DataFrame, near: DataFrame, shapes, head: int, classes: int)
         found = np.flatnonzero(totals)
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in (found // size, found % size, totals[found])], ["a", "b", "n"])
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
+    def run(rows: pa.Table) -> pa.Table:
         table = np.zeros((size, size))
-        table[rows["a"], rows["b"]] = rows["n"]
-        return pd.DataFrame({"symbol": np.arange(size), "class": exchange(table, head, classes)})
+        table[rows["a"].to_numpy(), rows["b"].to_numpy()] = rows["n"].to_numpy()
+        return pa.table({"symbol": np.arange(size, dtype=np.int32), "class": exchange(table, head, classes).astype(np.int32)})
 
     # One bounded group, as a start for all words: size squared counts, however large the corpus.
     rows = arrow_runs(bigrams.unionByName(near), count, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
     of = np.arange(size)
-    for symbol, number in rows.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(run, "symbol int, class int").collect():
+    for symbol, number in rows.withColumn("one", F.lit(0)).groupBy("one").applyInArrow(run, "symbol int, class int").collect():
         of[symbol] = number
     return of[:head]
 
